@@ -112,7 +112,7 @@ def token_estimate(c: Column | str) -> Column:
     value = F.coalesce(_col(c), F.lit(""))
     cjk = F.regexp_count(value, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"))
     ascii_ = F.regexp_count(value, F.lit(r"[\x00-\x08\x0E-\x1B\x21-\x7F]"))
-    spaces = F.regexp_count(value, F.lit(r"[  -  -    　]"))
+    spaces = F.regexp_count(value, F.lit(r"[\u1680\u2000-\u2006\u2008-\u200A\u2028\u2029\u205F\u3000]"))
     other = F.regexp_count(value, F.lit(r"[^\x00-\x7F]")) - cjk - spaces
     raw = ascii_ * F.lit(ASCII_TOKEN_RATIO) + cjk * F.lit(CJK_TOKEN_RATIO) + other * F.lit(OTHER_TOKEN_RATIO) + TEXT_TOKEN_BASE
     return F.when(is_blank(value), F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(raw))).cast("long")
@@ -217,7 +217,7 @@ def _clean_line(line: Column) -> Column:
 
 def clean_page_text(c: Column | str) -> Column:
     """Page text with tidy spacing, no page footers and at most one empty line in a row."""
-    plain_spaces = F.replace(F.coalesce(_col(c), F.lit("")), F.lit(" "), F.lit(" "))
+    plain_spaces = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\u00A0", " ")
     unified = F.regexp_replace(plain_spaces, r"\r\n?", "\n")
     lines = F.transform(F.split(unified, "\n"), _clean_line)
     return jtrim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))

@@ -148,7 +148,7 @@ def with_bindings(sql: str) -> str:
     """DuckDB text: the query behind one common table expression per binding that it names."""
     used: list[str] = []
     for name in SQL:
-        if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", sql, re.IGNORECASE):
+        if re.search(rf"\b{name}\b", sql):
             used += [n for n in _needs(name) if n not in used]
     if not used:
         return sql
@@ -178,6 +178,12 @@ class Tables:
             self._made[name] = self._read(name)
         return self._made[name]
 
+    def once(self, name: str, make) -> DataFrame:
+        """The DataFrame ``make()`` built at the first call under this name."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
     def _read(self, name: str) -> DataFrame:
         if name in GIVEN_TABLES:
             return read_table(self.spark, self.folder, name)

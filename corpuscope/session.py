@@ -54,15 +54,25 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def join_on_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], *, salts: int = 32,
-                     salt_by: list[str], how: str = "inner") -> DataFrame:
+def join_on_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], *, salt_by: list[str],
+                     small_fits: bool | None = None, salts: int = 32, how: str = "inner") -> DataFrame:
     """Equi-join where one key may hold a large share of ``big``.
 
-    ``small`` is broadcast when its counted size allows it. Otherwise the rows of one key of ``big``
+    ``small`` is broadcast when its counted size allows it (``small_fits`` passes on a count made before). Otherwise the rows of one key of ``big``
     are spread over ``salts`` groups by a hash of ``salt_by`` and ``small`` is repeated once per salt.
     """
-    if fits_broadcast(small):
+    if fits_broadcast(small) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), keys, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_big.join(salted_small, keys + ["_salt"], how).drop("_salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash ``df`` over all cores by ``keys``, but only when its input has fewer splits than there are cores.
+
+    Large tables have more splits than cores and pass through unchanged; a table in one small file would otherwise
+    keep a whole text stage on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
