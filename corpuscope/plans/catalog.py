@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "ingestion")
+MODULES = ("retrieval", "ingestion", "planning", "lists")
 
 
 def load() -> None:
