@@ -56,14 +56,15 @@ def visible(user: Column | str = "user_id", user_tags: Column | str = "user_tags
 
 
 def accessible_files(users: DataFrame, tags: DataFrame, files: DataFrame) -> DataFrame:
-    """(user_id, doc_id) for all users at once: three equi-joins, never one join on an OR.
+    """(user_id, doc_id) for all users at once: equi-joins united, never one join on an OR.
 
-    Public files are listed per user as well, as the reference does. The public list is the one part that grows
-    with users times public files; a caller that only filters should use :func:`visible` instead.
+    Public files are the same for everybody and stand once, under a null user_id, instead of once per user.
     """
-    owned = files.join(users.select("user_id"), F.col("owner_id") == F.col("user_id")).select("user_id", "doc_id")
-    tagged = files.join(effective_tags(users, tags), F.col("org_tag") == F.col("tag")).select("user_id", "doc_id")
-    return owned.unionByName(tagged).distinct()
+    private = files.where(~F.coalesce("is_public", F.lit(False)))
+    owned = private.join(users.select("user_id"), F.col("owner_id") == F.col("user_id")).select("user_id", "doc_id")
+    tagged = private.join(effective_tags(users, tags), F.col("org_tag") == F.col("tag")).select("user_id", "doc_id")
+    public = files.where("is_public").select(F.lit(None).cast("bigint").alias("user_id"), "doc_id")
+    return owned.unionByName(tagged).distinct().unionByName(public)
 
 
 def tag_tree(tags: DataFrame) -> DataFrame:

@@ -8,16 +8,19 @@ from corpuscope.operators import access, fuse, listing
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.registry import query
 from corpuscope.plans.retrieval import lists_of, FUSED
-from corpuscope.sources.tables import read_table  # noqa: F401
 
 _RECURSIVE = f"WITH RECURSIVE {sql.EFFECTIVE}"
 
 
 @query("d01_accessible_documents", f"""{_RECURSIVE} SELECT u.user_id, count(DISTINCT d.doc_id) AS documents, CAST(sum(DISTINCT d.doc_id) AS BIGINT) AS id_sum
-    FROM users u JOIN docs d ON d.owner_id = u.user_id OR (u.user_id, d.org_tag) IN (SELECT (user_id, tag) FROM eff) GROUP BY 1""")
+    FROM users u JOIN docs d ON d.owner_id = u.user_id OR d.is_public OR (u.user_id, d.org_tag) IN (SELECT (user_id, tag) FROM eff) GROUP BY 1""")
 def _acl(t):
     found = access.accessible_files(t.users, t.org_tags, t.docs)
-    return found.groupBy("user_id").agg(F.count("*").alias("documents"), F.sum("doc_id").alias("id_sum"))
+    own = found.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("_n"), F.sum("doc_id").alias("_s"))
+    everyone = found.where("user_id IS NULL")
+    n_public, s_public = everyone.select(F.count("*")).scalar(), everyone.select(F.sum("doc_id")).scalar()
+    return t.users.select("user_id").join(own, "user_id", "left").select(
+        "user_id", (F.coalesce("_n", F.lit(0)) + n_public).alias("documents"), (F.coalesce("_s", F.lit(0)) + s_public).alias("id_sum"))
 
 
 @query("d02_effective_tags", f"{_RECURSIVE} SELECT user_id, tag FROM eff")
