@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.chunking import let
 from corpuscope.functions.text import STOP_WORDS_QUESTION, fingerprint, jtrim
 
 
@@ -112,23 +113,27 @@ def missing_slots(text: Column, kind: Column, found: Column) -> Column:
             .otherwise(F.array().cast("array<string>")))
 
 
-def query_variants(plans: DataFrame, limit: int = MAX_VARIANTS) -> DataFrame:
-    """(query columns, variant_no, variant_type, variant): original, lexical, parts; each spelling once, first kept.
-
-    Works inside the row: no shuffle.
-    """
+def variant_array(limit: int = MAX_VARIANTS) -> Column:
+    """Variants of a plan row: original, lexical, parts; each spelling once, first kept, at most ``limit``."""
     def variant(kind: str, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("variant_type"), value.alias("variant"), fingerprint(value).alias("_key"))
-
-    all_ = F.concat(F.array(variant("ORIGINAL", F.col("text")), variant("LEXICAL", F.col("lexical"))),
-                    F.transform("parts", lambda p: variant("DECOMPOSED", p)))
-    filled = F.filter(all_, lambda v: v["_key"] != "")
-    keys = F.transform("_all", lambda v: v["_key"])
-    first = F.filter("_all", lambda v, i: F.array_position(keys, v["_key"]) == i + 1)
-    rows = (plans.withColumn("_all", filled).withColumn("_kept", F.slice(first, 1, limit))
-            .select(*[c for c in plans.columns if c != "parts"], F.posexplode_outer("_kept").alias("_i", "_v")).where("_i IS NOT NULL"))
-    return rows.select(*[c for c in plans.columns if c not in ("parts", "lexical")], (F.col("_i") + 1).alias("variant_no"),
-                       F.col("_v")["variant_type"].alias("variant_type"), F.col("_v")["variant"].alias("variant"))
+        return F.struct(F.lit(kind).alias("variant_type"), value.alias("variant"), fingerprint(value).alias("fp"))
+
+    listed = F.concat(F.array(variant("ORIGINAL", F.col("text")), variant("LEXICAL", F.col("lexical"))),
+                      F.transform("parts", lambda p: variant("DECOMPOSED", p)))
+
+    def distinct(all_):
+        keys = F.transform(all_, lambda v: v["fp"])
+        return F.slice(F.filter(all_, lambda v, i: F.array_position(keys, v["fp"]) == i + 1), 1, limit)
+
+    return let(F.filter(listed, lambda v: v["fp"] != ""), distinct)
+
+
+def query_variants(plans: DataFrame, limit: int = MAX_VARIANTS) -> DataFrame:
+    """(plan columns, variant_no, variant_type, variant, fp), one row per variant. Works inside the row: no shuffle."""
+    kept = [c for c in plans.columns if c not in ("parts", "lexical")]
+    rows = (plans.withColumn("_kept", variant_array(limit)).select(*kept, F.posexplode_outer("_kept").alias("_i", "_v"))
+            .where("_i IS NOT NULL"))
+    return rows.select(*kept, (F.col("_i") + 1).alias("variant_no"), "_v.*")
 
 
 PLAN_SCHEMA = ("intent string, complexity string, needsRetrieval boolean, entities array<string>, constraints array<string>, "

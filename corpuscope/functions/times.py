@@ -16,4 +16,4 @@ def micros(c: Column | str) -> Column:
 
 def elapsed_millis(start: Column | str, end: Column | str) -> Column:
     """Never negative; null while either side is open."""
-    return F.greatest(F.lit(0), millis(end) - millis(start))
+    return F.greatest(F.lit(0), F.floor((micros(end) - micros(start)) / 1000))

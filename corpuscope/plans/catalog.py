@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "ingestion", "planning", "lists", "evaluation", "metering")
+MODULES = ("retrieval", "ingestion", "planning", "lists", "evaluation", "metering", "agentic")
 
 
 def load() -> None:

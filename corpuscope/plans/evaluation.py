@@ -132,7 +132,7 @@ SIGNALS = f"""{LATEST}, so AS (SELECT generation_id, step_id, min(id) AS o FROM
       count(*) FILTER (effect = 'WRITE' AND status = 'SUCCESS') AS dn FROM tool_calls GROUP BY 1, 2),
     cs AS (SELECT generation_id, sum(n) AS total_actions, sum(n - 1) AS duplicate_actions, sum(ru) AS reused_steps, sum(wr) AS write_actions, sum(greatest(dn - 1, 0)) AS duplicate_side_effects FROM ca GROUP BY 1),
     signals AS (SELECT r.generation_id, retry_of IS NOT NULL AS recovery_attempt, retry_of IS NOT NULL AND r.status = 'COMPLETED' AS recovered,
-      epoch_ms(finished_at) - epoch_ms(created_at) AS latency_ms, prompt_tokens, completion_tokens, coalesce(intent, '') AS intent, coalesce(evidence_status, '') AS evidence_status,
+      (epoch_us(finished_at) - epoch_us(created_at)) // 1000 AS latency_ms, prompt_tokens, completion_tokens, coalesce(intent, '') AS intent, coalesce(evidence_status, '') AS evidence_status,
       coalesce(conflict, false) AS conflict, CAST(coalesce(total_actions, 0) AS BIGINT) AS total_actions, CAST(coalesce(duplicate_actions, 0) AS BIGINT) AS duplicate_actions,
       CAST(coalesce(reused_steps, 0) AS BIGINT) AS reused_steps, CAST(coalesce(write_actions, 0) AS BIGINT) AS write_actions,
       CAST(coalesce(duplicate_side_effects, 0) AS BIGINT) AS duplicate_side_effects, coalesce(steps, 0) AS steps
@@ -190,7 +190,7 @@ def r2(v):
     return f"floor(CAST({v} AS DOUBLE) * 100 + 0.5) / 100"
 
 
-@query("g10_run_health", f"""WITH {LATEST}, per AS (SELECT generation_id, count(*) AS st FROM latest GROUP BY 1), r AS (SELECT *, epoch_ms(finished_at) - epoch_ms(created_at) AS ms FROM runs LEFT JOIN per USING (generation_id))
+@query("g10_run_health", f"""WITH {LATEST}, per AS (SELECT generation_id, count(*) AS st FROM latest GROUP BY 1), r AS (SELECT *, (epoch_us(finished_at) - epoch_us(created_at)) // 1000 AS ms FROM runs LEFT JOIN per USING (generation_id))
     SELECT user_id, count(*) AS runs, {_STATUS}, {r2("count(*) FILTER (r.status = 'COMPLETED')::DOUBLE / count(*)")} AS success_rate, CAST(floor(avg(ms) + 0.5) AS BIGINT) AS avg_latency_ms,
       CAST(quantile_disc(ms, 0.95) AS BIGINT) AS p95_latency_ms, {r2('sum(st)::DOUBLE / count(*)')} AS steps_per_run, count(retry_of) AS retries,
       {r2("CASE WHEN count(retry_of) = 0 THEN 0 ELSE count(retry_of) FILTER (r.status = 'COMPLETED')::DOUBLE / count(retry_of) END")} AS recovery_rate,

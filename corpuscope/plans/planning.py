@@ -34,8 +34,9 @@ def _found(c):
 
 
 # the questions of every turn and benchmark text together: many rows, both short and long
-PLAN = f"""qs AS (SELECT query_id, {_TRIM.format(c='text')} AS text FROM (SELECT item_id AS query_id, text FROM benchmark
-      UNION ALL SELECT 1000000 + conv_id * 100 + pos, content FROM messages)),
+def plan_sql(source):
+    """Common table expressions ending in ``plan`` over the (query_id, text) rows of ``source``."""
+    return f"""qs AS (SELECT query_id, {_TRIM.format(c='text')} AS text FROM ({source})),
     q1 AS (SELECT *, {_INTENT} AS intent, {_found('text')} AS fe, {_found("regexp_replace(text, '" + R.PUNCTUATION + "', ' ', 'g')")} AS fl FROM qs),
     q2 AS (SELECT *, {_distinct_in_order('fe')}[1:8] AS entities, {_distinct_in_order('fl')} AS ll,
       intent IN ('COMPARE', 'MULTI_HOP') OR length(text) > 42 OR {_any('text', L.complex)} AS hard FROM q1),
@@ -45,6 +46,10 @@ PLAN = f"""qs AS (SELECT query_id, {_TRIM.format(c='text')} AS text FROM (SELECT
         lambda p: length(p) >= 4 AND p <> text) ELSE [] END AS parts FROM q2)"""
 
 
+# the questions of every turn and benchmark text together: many rows, both short and long
+PLAN = plan_sql("SELECT item_id AS query_id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + pos, content FROM messages")
+
+
 def questions(t):
     of_chat = t.messages.select((F.lit(1000000) + F.col("conv_id") * 100 + F.col("pos")).alias("query_id"), F.col("content").alias("text"))
     return t.benchmark.select(F.col("item_id").alias("query_id"), "text").unionByName(of_chat)
@@ -79,7 +84,8 @@ def _parts(t):
     return plans(t).select("query_id", F.size("parts").alias("n_parts"), F.array_join("parts", "|").alias("parts"))
 
 
-VARIANTS = f"""{PLAN}, v1 AS (SELECT query_id, 1 AS o, 'ORIGINAL' AS variant_type, text AS variant FROM plan
+def variants_sql(plan):
+    return f"""{plan}, v1 AS (SELECT query_id, 1 AS o, 'ORIGINAL' AS variant_type, text AS variant FROM plan
       UNION ALL SELECT query_id, 2, 'LEXICAL', lexical FROM plan
       UNION ALL SELECT query_id, 2 + unnest(range(1, len(parts) + 1)), 'DECOMPOSED', unnest(parts) FROM plan),
     v2 AS (SELECT *, lower({_SQUEEZE.format(c='variant')}) AS fp FROM v1),
@@ -88,6 +94,9 @@ VARIANTS = f"""{PLAN}, v1 AS (SELECT query_id, 1 AS o, 'ORIGINAL' AS variant_typ
       FROM v3 WHERE first = 1) WHERE variant_no <= 4)"""
 
 
+VARIANTS = variants_sql(PLAN)
+
+
 @query("c06_query_variants", f"WITH {VARIANTS} SELECT query_id, variant_no, variant_type, variant FROM variants")
 def _variants(t):
     return R.query_variants(plans(t)).select("query_id", "variant_no", "variant_type", "variant")
