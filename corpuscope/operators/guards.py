@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.operators.access import first_rows
+
 # --- fixed values -----------------------------------------------------------------------------
 REPEAT_WARNING, REPEAT_LIMIT, NO_PROGRESS_LIMIT, HISTORY_MESSAGES = 2, 3, 2, 20
 MAX_MODEL_TURNS, MAX_TOOL_CALLS, MAX_PROMPT_TOKENS, MAX_COMPLETION_TOKENS, MAX_RUN_SECONDS = 4, 8, 24000, 8000, 120
@@ -64,43 +62,30 @@ def budget_decisions(actions: DataFrame, *, turns: int = MAX_MODEL_TURNS, tools:
     """Add decision (ALLOWED or the budget that is used up) to ordered actions of runs.
 
     ``actions``: generation_id, id, kind (MODEL, MODEL_WITH_TOOLS, TOOL), elapsed_ms, prompt_tokens, completion_tokens.
-    Tokens are charged by an allowed model turn only and a denied action uses nothing, so the decision is a fold in order.
-    Rows are placed by run and sorted; each task walks its rows batch by batch and keeps the state of one run only.
+    Tokens are charged by an allowed model turn only and a denied action uses nothing. Budgets are only ever used up, so the
+    fold has a closed form: without the token limit the turns of a run are its first ``turns - 1`` model actions in time and
+    the first plain MODEL action after them; the token limit cuts this short list at the first turn that exceeds it; tool
+    calls are the first ``tools`` in time before that cut. All of these are top-n limits and combinable minima.
     """
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in actions.schema.fields) + ", decision string"
-    placed = actions.repartition("generation_id").sortWithinPartitions("generation_id", "id")
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, state = None, None
-        for pdf in batches:
-            decisions = []
-            for key, kind, elapsed, p, c in zip(pdf["generation_id"], pdf["kind"], pdf["elapsed_ms"], pdf["prompt_tokens"], pdf["completion_tokens"]):
-                if key != run:
-                    run, state = key, budget_start()
-                decision, state = budget_step(state, kind, elapsed, p, c, turns, tools, prompt, completion, seconds)
-                decisions.append(decision)
-            yield pdf.assign(decision=np.array(decisions, dtype=object))
-
-    return placed.mapInPandas(label, out)
-
-
-def budget_start() -> tuple[int, int, int, int]:
-    """Model turns, tool calls, prompt tokens and completion tokens used."""
-    return 0, 0, 0, 0
-
-
-def budget_step(state, kind, elapsed_ms, prompt_tokens, completion_tokens, turns, tools, prompt, completion, seconds):
-    """Decision on one action and the state after it."""
-    used_turns, used_tools, used_prompt, used_completion = state
-    if elapsed_ms >= seconds * 1000:
-        return "TIME_BUDGET_EXHAUSTED", state
-    if used_prompt >= prompt or used_completion >= completion:
-        return "TOKEN_BUDGET_EXHAUSTED", state
-    if kind == "TOOL":
-        if used_tools >= tools:
-            return "TOOL_BUDGET_EXHAUSTED", state
-        return "ALLOWED", (used_turns, used_tools + 1, used_prompt, used_completion)
-    usable = turns - 1 if kind == "MODEL_WITH_TOOLS" else turns
-    if used_turns >= max(0, usable):
-        return "ROUND_BUDGET_EXHAUSTED", state
-    return "ALLOWED", (used_turns + 1, used_tools, used_prompt + max(0, prompt_tokens), used_completion + max(0, completion_tokens))
+    timed = actions.where(F.col("elapsed_ms") < seconds * 1000)
+    model = timed.where("kind <> 'TOOL'").select("generation_id", "id", "kind", F.greatest("prompt_tokens", F.lit(0)).alias("_p"),
+                                                 F.greatest("completion_tokens", F.lit(0)).alias("_c"))
+    early = first_rows(model, ["generation_id"], [F.asc("id")], max(0, turns - 1), "_n")
+    full = early.groupBy("generation_id").agg(F.max("id").alias("_last"), F.count("*").alias("_k")).where(F.col("_k") == turns - 1)
+    if turns == 1:
+        late = first_rows(model.where("kind = 'MODEL'"), ["generation_id"], [F.asc("id")], 1, "_n")
+    else:
+        late = first_rows(model.join(full, "generation_id").where("id > _last AND kind = 'MODEL'"), ["generation_id"], [F.asc("id")], 1, "_n").drop("_last", "_k")
+    turn_rows = early.unionByName(late)
+    run = Window.partitionBy("generation_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    spent = turn_rows.withColumn("_sp", F.sum("_p").over(run)).withColumn("_sc", F.sum("_c").over(run))
+    # the turn that uses up the tokens is itself allowed; everything after it is not
+    cut = spent.where((F.col("_sp") >= prompt) | (F.col("_sc") >= completion)).groupBy("generation_id").agg(F.min("id").alias("_cut"))
+    allowed_turns = turn_rows.join(cut, "generation_id", "left").where("_cut IS NULL OR id <= _cut")
+    calls = timed.where("kind = 'TOOL'").select("generation_id", "id").join(cut, "generation_id", "left").where("_cut IS NULL OR id <= _cut")
+    allowed_calls = first_rows(calls, ["generation_id"], [F.asc("id")], tools)
+    allowed = allowed_turns.select("generation_id", "id").unionByName(allowed_calls.select("generation_id", "id")).withColumn("_ok", F.lit(True))
+    joined = actions.join(cut, "generation_id", "left").join(allowed, ["generation_id", "id"], "left")
+    decision = (F.when(F.col("elapsed_ms") >= seconds * 1000, "TIME_BUDGET_EXHAUSTED").when(F.col("id") > F.col("_cut"), "TOKEN_BUDGET_EXHAUSTED")
+                .when(F.col("_ok"), "ALLOWED").when(F.col("kind") == "TOOL", "TOOL_BUDGET_EXHAUSTED").otherwise("ROUND_BUDGET_EXHAUSTED"))
+    return joined.withColumn("decision", decision).drop("_cut", "_ok")

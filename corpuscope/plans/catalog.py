@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retrieval", "ingestion", "planning", "lists", "evaluation", "metering", "agentic")
+MODULES = ("retrieval", "ingestion", "planning", "lists", "evaluation", "metering", "agentic", "stateful")
 
 
 def load() -> None:

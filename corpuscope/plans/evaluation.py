@@ -103,7 +103,12 @@ def expected_path():
     return F.array(*[F.lit(s) for s in _EXPECTED])
 
 
-@query("g19_trajectory_score")
+_SUBSEQUENCES = ["".join(x for x, keep in zip("svcp", f"{bits:04b}") if keep == "1") for bits in range(1, 16)]
+_LCS = "greatest(0, " + ", ".join(f"CASE WHEN path SIMILAR TO '.*{'.*'.join(s)}.*' THEN {len(s)} ELSE 0 END" for s in _SUBSEQUENCES) + ")"
+
+
+@query("g19_trajectory_score", f"""WITH p AS (SELECT generation_id, count(*) AS n, string_agg(substr(stage, 1, 1), '' ORDER BY o) AS path FROM (SELECT generation_id, min(id) AS o, arg_max(stage, id) AS stage FROM steps GROUP BY generation_id, step_id) GROUP BY 1)
+    SELECT generation_id, {r4(f"2.0::DOUBLE * {_LCS} / (n + 4)")} AS trajectory_score FROM p""")
 def _trajectory(t):
     return traces.trajectories(t.steps).select("generation_id", E.round4(E.trajectory_score(expected_path(), F.col("trajectory"))).alias("trajectory_score"))
 

@@ -148,14 +148,25 @@ def _stagnation(t):
 _KIND = "CASE WHEN stage IN ('click', 'purchase', 'error') THEN 'TOOL' WHEN stage = 'view' THEN 'MODEL_WITH_TOOLS' ELSE 'MODEL' END"
 
 
-@query("h05_run_budgets")
+_BUDGET = f"""s AS (SELECT generation_id, id, {_KIND} AS kind, epoch_ms(occurred_at) - min(epoch_ms(occurred_at)) OVER (PARTITION BY generation_id) AS ms, k, 2 * k AS c,
+      row_number() OVER (PARTITION BY generation_id ORDER BY id) AS n FROM steps),
+    ok AS (SELECT 1 AS x),
+    fold AS (SELECT s.*, 0 AS turns, 0 AS tools, 0 AS p, 0 AS q, CASE WHEN ms >= 40000000 THEN 'TIME_BUDGET_EXHAUSTED' ELSE 'ALLOWED' END AS decision FROM s WHERE n = 1
+      UNION ALL SELECT generation_id, id, kind, ms, k, c, n, turns, tools, p, q, CASE WHEN ms >= 40000000 THEN 'TIME_BUDGET_EXHAUSTED' WHEN p >= 120 OR q >= 300 THEN 'TOKEN_BUDGET_EXHAUSTED'
+        WHEN kind = 'TOOL' AND tools >= 2 THEN 'TOOL_BUDGET_EXHAUSTED' WHEN kind = 'MODEL_WITH_TOOLS' AND turns >= 1 THEN 'ROUND_BUDGET_EXHAUSTED' WHEN kind = 'MODEL' AND turns >= 2 THEN 'ROUND_BUDGET_EXHAUSTED' ELSE 'ALLOWED' END
+      FROM (SELECT s.*, f.turns + CASE WHEN f.decision = 'ALLOWED' AND f.kind <> 'TOOL' THEN 1 ELSE 0 END AS turns, f.tools + CASE WHEN f.decision = 'ALLOWED' AND f.kind = 'TOOL' THEN 1 ELSE 0 END AS tools,
+        f.p + CASE WHEN f.decision = 'ALLOWED' AND f.kind <> 'TOOL' THEN f.k ELSE 0 END AS p, f.q + CASE WHEN f.decision = 'ALLOWED' AND f.kind <> 'TOOL' THEN f.c ELSE 0 END AS q
+        FROM fold f JOIN s ON s.generation_id = f.generation_id AND s.n = f.n + 1) nx)"""
+
+
+@query("h05_run_budgets", f"WITH RECURSIVE {_BUDGET} SELECT id, decision FROM fold")
 def _budget(t):
     # tight limits, so that the short runs of this table reach them
     start = t.steps.groupBy("generation_id").agg(F.min(millis("occurred_at")).alias("_s"))
     actions = t.steps.join(start, "generation_id").select(
         "generation_id", "id", F.expr(_KIND).alias("kind"), (millis("occurred_at") - F.col("_s")).alias("elapsed_ms"),
         F.col("k").cast("long").alias("prompt_tokens"), (F.col("k") * 2).cast("long").alias("completion_tokens"))
-    return guards.budget_decisions(actions, turns=2, tools=2, prompt=120, completion=300, seconds=40000)
+    return guards.budget_decisions(actions, turns=2, tools=2, prompt=120, completion=300, seconds=40000).select("id", "decision")
 
 
 @query("h05_token_time_budget", """SELECT id, CASE WHEN elapsed_ms >= 40000000 THEN 'TIME_BUDGET_EXHAUSTED' WHEN before >= 120 THEN 'TOKEN_BUDGET_EXHAUSTED' ELSE 'ALLOWED' END AS decision FROM (
