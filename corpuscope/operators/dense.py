@@ -87,14 +87,18 @@ def _scan_search(head: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def _grid_search(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: int, document_blocks: int) -> DataFrame:
     """Every (query block, document block) cell is one bounded group; block sizes follow from the counted rows."""
-    q = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
+    # both sides may stem from one table, so the query columns get names of their own
+    named = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    q = (named.withColumn("qb", F.pmod(F.xxhash64("q_query_id"), F.lit(query_blocks)))
          .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(document_blocks - 1)))))
-    d = (vectors.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(document_blocks)).cast("int"))
+    d = (vectors.select(*[F.col(c).alias(f"d_{c}") for c in vectors.columns])
+         .withColumn("db", F.pmod(F.xxhash64("d_doc_id"), F.lit(document_blocks)).cast("int"))
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("qb", F.col("qb").cast("bigint")))
 
     def cell(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or block.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        asked, block = asked.rename(columns=lambda c: c.removeprefix("q_")), block.rename(columns=lambda c: c.removeprefix("d_"))
         return _best(asked, _unit(asked["embedding"]), block, k)
 
     return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(cell, _OUT)
