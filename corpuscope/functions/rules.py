@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.chunking import let
-from corpuscope.functions.text import STOP_WORDS_QUESTION, fingerprint, jtrim
+from corpuscope.functions.text import STOP_WORDS_QUESTION, fingerprint, jtrim, let
 
 
 # --- fixed values -----------------------------------------------------------------------------

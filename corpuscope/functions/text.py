@@ -29,6 +29,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def jtrim(c: Column | str) -> Column:
     """Strip every character up to U+0020 on both ends (Spark's ``trim`` strips spaces only)."""
     return F.regexp_replace(_col(c), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
@@ -49,10 +54,16 @@ def fingerprint(c: Column | str) -> Column:
 
 
 def _han_bigrams(normalized: Column) -> Column:
-    han = F.regexp_replace(normalized, r"[^\p{IsHan}]", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(han) - 1), lambda i: F.substring(han, i, F.lit(2)))
+    """Pairs of neighbouring Han characters, other characters left out. The range test is a cheap first look: Han starts
+    at U+2E80, and most text has no character from there on."""
     none = F.array().cast("array<string>")
-    return F.when(normalized.rlike(r"\p{IsHan}\P{IsHan}*\p{IsHan}"), pairs).otherwise(none)
+    han = F.regexp_replace(normalized, r"[^\p{IsHan}]", "")
+
+    def pairs(h):
+        cut = F.transform(F.sequence(F.lit(1), F.length(h) - 1), lambda i: F.substring(h, i, F.lit(2)))
+        return F.when(F.length(h) >= 2, cut).otherwise(none)
+
+    return F.when(normalized.rlike(r"[\u2E80-\x{10FFFF}]"), let(han, pairs)).otherwise(none)
 
 
 def tokens(c: Column | str, stop_words: tuple[str, ...] = ()) -> Column:

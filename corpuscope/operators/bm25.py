@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import tokens
 from corpuscope.operators.access import first_rows, visible
-from corpuscope.session import fits_broadcast, join_on_hot_keys, spread
+from corpuscope.session import fits_broadcast, join_on_hot_keys, spread, task_count
 
 K1, B, MIN_SCORE = 1.2, 0.75, 0.3
 ACCESS_COLUMNS = ("owner_id", "org_tag", "is_public")
@@ -39,7 +39,7 @@ def postings(docs: DataFrame, vocabulary: DataFrame, small_vocabulary: bool) ->
     exploded = (docs.select(*kept, tokens("text").alias("_t")).withColumn("dl", F.size("_t"))
                 .withColumn("term", F.explode_outer("_t")).drop("_t"))
     wanted = F.broadcast(vocabulary) if small_vocabulary else vocabulary
-    return (exploded.join(wanted, "term", "left_semi").repartition("doc_id")
+    return (exploded.join(wanted, "term", "left_semi").repartition(task_count(docs.sparkSession), "doc_id")
             .groupBy(*kept, "dl", "term").agg(F.count("*").alias("tf")))
 
 

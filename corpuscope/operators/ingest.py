@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.chunking import GROUP_SIZE, chunk_table
 from corpuscope.functions.text import EMBEDDING_TEXT_EXTRA, EMBEDDING_TOKEN_MARGIN, anchor, contextual_text, token_estimate, tokens
 from corpuscope.operators.access import first_rows
+from corpuscope.session import spread
 
 # --- fixed values -----------------------------------------------------------------------------
 SUPPORTED_EXTENSIONS = (
@@ -177,6 +178,7 @@ def backfill_status(files: DataFrame, counts: DataFrame) -> DataFrame:
 
 def hashed_embedding(texts: DataFrame, key: list[str], *, text_col: str = "text", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
     """Default embedder: signed feature hashing of words, unit length; (key, embedding). Needs no model or network."""
+    texts = spread(texts.select(*key, text_col), *key)
     word = texts.select(*key, F.explode_outer(tokens(text_col)).alias("_word"))
     digest = F.md5("_word")
     bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimensions

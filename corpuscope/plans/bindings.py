@@ -12,6 +12,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuscope.session import ship_package
 from corpuscope.sources.tables import GIVEN_TABLES, read_table
 
 _EXTENSION = """CASE CAST(n_chars % 9 AS INT) WHEN 0 THEN '.pdf' WHEN 1 THEN '.TXT' WHEN 2 THEN '.md' WHEN 3 THEN '.png'
@@ -113,7 +114,16 @@ SQL: dict[str, str | tuple[str, str]] = {
         CASE WHEN turn % 3 = 0 THEN NULL
              ELSE TIMESTAMP '2024-03-01 00:00:00' + INTERVAL '1' HOUR * (conv_id % 100) END AS expires_at,
         TIMESTAMP '2024-02-01 00:00:00' + INTERVAL '1' MINUTE * (conv_id * 10 + turn) AS updated_at FROM {conversations}""",
-    "qrels": """SELECT b.item_id AS query_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)""",
+    # documents that hold a benchmark text word for word. Spark finds candidates by an equi-join on four words in a row (the
+    # second to the fifth, whole words on both sides; every benchmark text has more) and then compares the text itself
+    "qrels": (
+        """WITH b AS (SELECT item_id, text, concat_ws(' ', slice(split(text, '[^\\\\p{{L}}\\\\p{{N}}]+'), 2, 4)) AS four FROM {benchmark}),
+           w AS (SELECT doc_id, text, split(text, '[^\\\\p{{L}}\\\\p{{N}}]+') AS words FROM {documents}),
+           d AS (SELECT doc_id, text, explode_outer(CASE WHEN size(words) >= 4
+             THEN transform(sequence(1, size(words) - 3), i -> concat_ws(' ', slice(words, i, 4))) END) AS four FROM w)
+           SELECT DISTINCT b.item_id AS query_id, d.doc_id FROM b JOIN d ON b.four = d.four AND contains(d.text, b.text)""",
+        """SELECT b.item_id AS query_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)""",
+    ),
     "recharge_orders": """SELECT o_orderkey AS order_id, o_custkey AS user_id,
         concat('T', CAST(o_orderkey - o_orderkey % 3 AS STRING)) AS trade_no,
         CASE o_orderstatus WHEN 'F' THEN 'SUCCEED' WHEN 'O' THEN 'NOT_PAY' ELSE 'FAILED' END AS status,
@@ -126,7 +136,7 @@ SQL: dict[str, str | tuple[str, str]] = {
         value > 50 AS expected_flag, {_K} > 50 AS actual_flag, value, {_K} AS k FROM {{events}}""",
 }
 
-_REF = re.compile(r"\{(\w+)\}")
+_REF = re.compile(r"\{(\w{2,})\}")
 
 
 def _text(name: str, dialect: int) -> str:
@@ -167,6 +177,7 @@ class Tables:
     """Attribute access to the given tables and the bindings of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship_package(spark)
         self.spark = spark
         self.folder = folder
         self._made: dict[str, DataFrame] = {}

@@ -8,6 +8,7 @@ from corpuscope.functions import rules as R
 from corpuscope.functions import text as X
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.registry import query
+from corpuscope.session import spread
 
 L = R.WITH_LATIN
 
@@ -148,7 +149,7 @@ def _action(t):
     len(list_distinct(list_filter({sql.tokens('text')}, lambda w: w NOT IN ({', '.join("'" + w + "'" for w in X.STOP_WORDS)})))) AS evidence_terms,
     len(list_distinct({sql.tokens('text')})) AS memory_terms FROM documents""")
 def _terms(t):
-    return t.documents.select("doc_id", F.size(X.rerank_terms("text")).alias("rerank_terms"), F.size(X.evidence_terms("text")).alias("evidence_terms"),
+    return spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.size(X.rerank_terms("text")).alias("rerank_terms"), F.size(X.evidence_terms("text")).alias("evidence_terms"),
                               F.size(X.memory_terms("text")).alias("memory_terms"))
 
 
@@ -166,7 +167,7 @@ _MASKED = rf"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(tx, '
       THEN left(m, 200) || '...' ELSE m END AS audit_message
     FROM (SELECT doc_id, {_category('text')} AS category, {_MASKED} AS m, tx FROM (SELECT doc_id, text, {_TRIM.format(c='text')} AS tx FROM documents))""")
 def _redact(t):
-    return t.documents.select("doc_id", F.md5(X.mask_secrets(X.jtrim("text"))).alias("masked_md5"), X.audit_message("text").alias("audit_message"))
+    return spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.md5(X.mask_secrets(X.jtrim("text"))).alias("masked_md5"), X.audit_message("text").alias("audit_message"))
 
 
 @query("c15_failure_taxonomy", """WITH f AS (SELECT id, k, CASE CAST(k % 7 AS INT) WHEN 0 THEN 'RATE_LIMITED' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'PERMISSION_DENIED'

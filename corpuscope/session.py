@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_corpuscope_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="corpuscope-")) / "corpuscope.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._corpuscope_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -68,6 +86,11 @@ def join_on_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], *, salt_
     return salted_big.join(salted_small, keys + ["_salt"], how).drop("_salt")
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for a stage whose work per byte is high: the configured shuffle width, never less than the cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash ``df`` over all cores by ``keys``, but only when its input has fewer splits than there are cores.
 
