@@ -9,6 +9,7 @@ from corpuscope.functions.text import rerank_terms
 from corpuscope.operators.access import first_rows
 from corpuscope.operators.bm25 import bm25_scores, bm25_topk
 from corpuscope.operators.dense import dense_topk
+from corpuscope.session import spread
 
 RANK_CONSTANT = 60
 SCORE_DIGITS = 12
@@ -113,7 +114,7 @@ def heuristic_rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, n: i
     Document text is fetched for the surviving hits only.
     """
     asked = queries.select("query_id", rerank_terms("text").alias("_q"))
-    body = texts.select("doc_id", F.col("text").alias("_body"))
+    body = spread(texts.select("doc_id", F.col("text").alias("_body")), "doc_id")
     joined = hits.where(F.col("rank") <= RERANK_LIMIT).drop("rank").join(asked, "query_id").join(body, "doc_id")
     n_query = F.size("_q")
     coverage = F.when(n_query > 0, F.size(F.array_intersect("_q", rerank_terms("_body"))) / n_query).otherwise(0.0)

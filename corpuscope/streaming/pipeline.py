@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.operators.ingest import child_chunks, chunk_documents, embed_chunks, number_chunks, parent_chunks
-from corpuscope.session import cut_lineage, ensure_checkpoint_dir
+from corpuscope.session import cut_lineage, ensure_checkpoint_dir, spread
 from corpuscope.sources.sinks import read_if_exists, write_batch
 
 TASK_SCHEMA = ("fileMd5 string, filePath string, fileName string, userId string, orgTag string, isPublic boolean, "
@@ -99,9 +99,10 @@ def ingest_batch(tasks: DataFrame, documents: DataFrame, base: str, batch_id: in
         wanted = wanted.join(done.distinct(), "fileMd5", "left_anti")
     wanted = cut_lineage(wanted)
     texts = documents.join(wanted.select("fileMd5"), "fileMd5", "left_semi")
-    passages = chunk_documents(texts.select(F.col("fileMd5").alias("doc_id"), "text"))
+    # passages and children are each read several times below, so they are written once
+    passages = cut_lineage(chunk_documents(spread(texts.select(F.col("fileMd5").alias("doc_id"), "text"), "doc_id")))
     numbered = number_chunks(passages)
-    children = child_chunks(numbered, parent_chunks(numbered))
+    children = cut_lineage(child_chunks(numbered, parent_chunks(numbered)))
     vectors = embed_chunks(children, **({"embedder": embedder} if embedder else {}))
     rows = cut_lineage(vectors.join(wanted.withColumnRenamed("fileMd5", "doc_id"), "doc_id").select(
         F.col("doc_id").alias("file_md5"), "chunk_id", "parent_index", "text", "embedding", "tokens", "model_version",
