@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import CONTEXT_SNIPPET_LENGTH, TOOL_TEXT_LENGTH, limit_text, limit_text_within
+from corpuscope.operators.usage import running
 from corpuscope.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -127,9 +128,9 @@ def compact_messages(messages: DataFrame, max_chars: int = MAX_PROMPT_CHARS, *,
     Groups are taken from the newest on while they fit; one that does not fit is skipped, the newest always stays.
     """
     cut = messages.withColumn("content", normalized_message())
-    w = Window.partitionBy("conv_id").orderBy("pos")
-    leader = F.last(F.when(F.col("role") != "tool", F.struct("pos", (F.col("has_tool_calls") & (F.col("role") == "assistant")).alias("calls"))), ignorenulls=True).over(w)
-    placed = cut.withColumn("_lead", leader).withColumn("_first", F.min("pos").over(Window.partitionBy("conv_id")))
+    calls = (F.coalesce("has_tool_calls", F.lit(False)) & (F.col("role") == "assistant")).alias("calls")
+    led = running(cut, ["conv_id"], F.when(F.col("role") != "tool", F.struct("pos", calls)), "_lead", how="max", position=F.col("pos"))
+    placed = led.join(cut.groupBy("conv_id").agg(F.min("pos").alias("_first")), "conv_id")
     is_system = (F.col("role") == "system") & (F.col("pos") == F.col("_first"))
     group = F.when((F.col("role") == "tool") & F.col("_lead.calls"), F.col("_lead.pos")).otherwise(F.col("pos"))
     placed = placed.withColumn("_sys", is_system).withColumn("_group", group).drop("_lead", "_first")

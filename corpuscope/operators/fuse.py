@@ -9,7 +9,7 @@ from corpuscope.functions.text import rerank_terms
 from corpuscope.operators.access import first_rows
 from corpuscope.operators.bm25 import bm25_scores, bm25_topk
 from corpuscope.operators.dense import dense_topk
-from corpuscope.session import spread
+from corpuscope.session import cut_lineage, spread
 
 RANK_CONSTANT = 60
 SCORE_DIGITS = 12
@@ -141,6 +141,9 @@ def rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, n: int, scorer
     """Rerank with a plug-in: ``scorer`` takes (query_id, doc_id, query, text) rows and returns a ``score`` column."""
     if not enabled:
         return hits.where(F.col("rank") <= n)
+    if scorer is not None:
+        # read three times below: by the scorer, the join of its scores and the fallback
+        hits = cut_lineage(hits)
     fallback = heuristic_rerank(hits, queries, texts, n)
     if scorer is None:
         return fallback

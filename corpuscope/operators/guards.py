@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.operators.access import first_rows
+from corpuscope.operators.usage import running
 
 # --- fixed values -----------------------------------------------------------------------------
 REPEAT_WARNING, REPEAT_LIMIT, NO_PROGRESS_LIMIT, HISTORY_MESSAGES = 2, 3, 2, 20
@@ -30,15 +31,16 @@ def repeated_actions(actions: DataFrame, *, warn: int = REPEAT_WARNING, limit: i
 def stagnation(rounds: DataFrame, *, limit: int = NO_PROGRESS_LIMIT) -> DataFrame:
     """Add stagnant_rounds (equal signatures in a row before this one) and stop; blank signatures neither count nor reset.
 
-    ``rounds``: generation_id, seq, signature. A run has few rounds, so one window group is one run.
+    ``rounds``: generation_id, seq, signature. Built from running values in blocks, so no run has to fit into one task.
     """
     known = rounds.where("trim(coalesce(signature, '')) <> ''")
-    w = Window.partitionBy("generation_id").orderBy("seq")
-    changed = (F.lag("signature").over(w).isNull() | (F.lag("signature").over(w) != F.col("signature"))).cast("int")
-    islands = known.withColumn("_c", changed).withColumn("_island", F.sum("_c").over(w))
-    inside = Window.partitionBy("generation_id", "_island").orderBy("seq")
-    counted = islands.withColumn("stagnant_rounds", F.row_number().over(inside) - 1).drop("_c", "_island")
-    return counted.withColumn("stop", F.col("stagnant_rounds") >= limit)
+    here, run = F.struct("seq", "signature"), ["generation_id"]
+    previous = running(known, run, here, "_p", how="max", position=F.col("seq"), inclusive=False)
+    numbered = running(previous, run, F.lit(1), "_i", position=F.col("seq"))
+    fresh = F.col("_p").isNull() | (F.col("_p.signature") != F.col("signature"))
+    counted = running(numbered, run, F.when(fresh, F.col("_i")), "_since", how="max", position=F.col("seq"))
+    return (counted.withColumn("stagnant_rounds", F.col("_i") - F.col("_since")).drop("_p", "_i", "_since")
+            .withColumn("stop", F.col("stagnant_rounds") >= limit))
 
 
 def batch_cutoff(calls: DataFrame) -> DataFrame:

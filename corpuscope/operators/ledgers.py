@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.operators.listing import FINISHED, latest_steps
+from corpuscope.operators.usage import running
 
 # --- fixed values -----------------------------------------------------------------------------
 SCHEMA_VERSION, HISTORY_DAYS, PENDING_HOURS = 1, 7, 24
@@ -23,8 +24,8 @@ def transitions(rows: DataFrame) -> DataFrame:
     joined = rows.join(ending, "generation_id", "left")
     verdict = F.when(~known, "BAD_SCHEMA").when(F.col("id") > F.col("_end"), "AFTER_TERMINAL").otherwise("OK")
     marked = joined.withColumn("verdict", verdict).drop("_end")
-    ok = marked.where("verdict = 'OK'").withColumn("state_version", F.row_number().over(Window.partitionBy("generation_id").orderBy("id")))
-    return ok.unionByName(marked.where("verdict <> 'OK'").withColumn("state_version", F.lit(0)))
+    ok = running(marked.where("verdict = 'OK'"), ["generation_id"], F.lit(1), "state_version", position=F.col("id"))
+    return ok.unionByName(marked.where("verdict <> 'OK'").withColumn("state_version", F.lit(0).cast("long")))
 
 
 def run_ledger(runs: DataFrame, steps: DataFrame) -> DataFrame:

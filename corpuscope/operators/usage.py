@@ -48,32 +48,38 @@ def daily_rollup(ledger: DataFrame) -> DataFrame:
         F.max_by("balance_after", "event_id").alias("balance_after"))
 
 
-def running(df: DataFrame, keys: list[str], value: Column, name: str, *, how: str = "sum", ts: str = "ts", tie: str = "event_id",
-            inclusive: bool = True, block_seconds: int = 3600) -> DataFrame:
-    """Running ``sum`` or ``max`` per key in time order, with a hot key spread over blocks of time.
+def running(df: DataFrame, keys: list[str], value: Column, name: str, *, position: Column, tie: str | None = None, how: str = "sum",
+            inclusive: bool = True, block_size: int = 100_000) -> DataFrame:
+    """Running ``sum`` or ``max`` per key in the order of a whole number ``position`` (then ``tie``), with a hot key spread
+    over blocks of positions.
 
     Rows are windowed inside (key, block); the block results, one row per key and block, are accumulated on their own and
     joined back. No task ever holds more than one block of a key. Before the first value a sum is 0 and a max is null.
+    The max of a struct that starts with the position is the latest row so far, so it stands in for ``lag`` and ``last``.
     """
     combine = F.sum if how == "sum" else F.max
-    block = F.floor(micros(ts) / (block_seconds * 1_000_000))
-    rows = df.withColumn("_v", value).withColumn("_block", block)
+    rows = df.withColumn("_v", value).withColumn("_pos", position).withColumn("_block", F.floor(F.col("_pos") / block_size))
     totals = rows.groupBy(*keys, "_block").agg(combine("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*keys, "_block", combine("_t").over(before).alias("_start"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    order = ["_pos", tie] if tie else ["_pos"]
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     joined = rows.withColumn("_local", combine("_v").over(inside)).join(starts, [*keys, "_block"])
     if how == "sum":
         result = F.coalesce("_start", F.lit(0)) + F.coalesce("_local", F.lit(0))
     else:
         result = F.greatest("_start", "_local")
-    return joined.withColumn(name, result).drop("_v", "_block", "_local", "_start")
+    return joined.withColumn(name, result).drop("_v", "_pos", "_block", "_local", "_start")
+
+
+#: block of time for running values over timestamps: one hour in microseconds
+HOUR_BLOCK = 3_600_000_000
 
 
 def running_balance(ledger: DataFrame, grants: DataFrame) -> DataFrame:
     """Balance after every booking: the grant of (user_id, token_type) plus increases minus consumption. It may go negative."""
     signed = F.when(F.col("change_type") == "INCREASE", F.col("amount")).otherwise(-F.col("amount"))
-    moved = running(ledger, ["user_id", "token_type"], signed, "_moved")
+    moved = running(ledger, ["user_id", "token_type"], signed, "_moved", position=micros("ts"), tie="event_id", block_size=HOUR_BLOCK)
     joined = moved.join(grants.select("user_id", "token_type", "initial"), ["user_id", "token_type"], "left")
     return joined.withColumn("balance_after", F.coalesce("initial", F.lit(0)) + F.col("_moved")).drop("_moved", "initial")
 

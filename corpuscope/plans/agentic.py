@@ -190,7 +190,15 @@ def _truncate(t):
     return t.messages.select("conv_id", "pos", context.normalized_message().alias("content"))
 
 
-@query("f22_message_compaction")
+@query("f22_message_compaction", """WITH RECURSIVE m AS (SELECT conv_id, pos, CASE WHEN role = 'user' AND pos % 4 = 2 THEN 'tool' ELSE role END AS role, pos % 4 = 1 AS calls,
+      CASE WHEN role = 'system' THEN length(content) WHEN role = 'user' AND pos % 4 = 2 THEN least(length(content), 8000) ELSE least(length(content), 1600) END AS len FROM messages),
+    l AS (SELECT *, max(CASE WHEN role <> 'tool' THEN pos END) OVER (PARTITION BY conv_id ORDER BY pos) AS lead, min(pos) OVER (PARTITION BY conv_id) AS fp FROM m),
+    g AS (SELECT l.*, l.role = 'system' AND l.pos = l.fp AS sys, CASE WHEN l.role = 'tool' AND h.calls AND h.role = 'assistant' THEN l.lead ELSE l.pos END AS grp FROM l LEFT JOIN m h ON h.conv_id = l.conv_id AND h.pos = l.lead),
+    hd AS (SELECT conv_id, sum(CASE WHEN sys THEN len ELSE 0 END) AS used, sum(len) AS total FROM g GROUP BY 1),
+    z AS (SELECT conv_id, grp, sum(len) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY grp DESC) AS n FROM g WHERE NOT sys GROUP BY 1, 2),
+    f AS (SELECT z.conv_id, z.grp, z.n, CAST(hd.used + z.size AS BIGINT) AS used, true AS kept FROM z JOIN hd USING (conv_id) WHERE z.n = 1
+      UNION ALL SELECT z.conv_id, z.grp, z.n, CAST(f.used + CASE WHEN f.used + z.size <= 1500 THEN z.size ELSE 0 END AS BIGINT), f.used + z.size <= 1500 FROM f JOIN z ON z.conv_id = f.conv_id AND z.n = f.n + 1)
+    SELECT g.conv_id, g.pos, g.role, g.len AS characters FROM g LEFT JOIN f ON f.conv_id = g.conv_id AND f.grp = g.grp JOIN hd ON hd.conv_id = g.conv_id WHERE g.sys OR f.kept OR hd.total <= 1500""")
 def _compact(t):
     tool = (F.col("role") == "user") & (F.col("pos") % 4 == 2)
     rows = t.messages.withColumn("role", F.when(tool, "tool").otherwise(F.col("role"))).withColumn("has_tool_calls", F.col("pos") % 4 == 1)

@@ -183,7 +183,13 @@ def _words(t):
                         F.forall("_pieces", lambda p: F.length(p) <= bound).alias("bounded"))
 
 
-@query("b06_merge_short")
+@query("b06_merge_short", r"""WITH RECURSIVE l AS (SELECT doc_id, tx, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (
+      SELECT doc_id, pos, regexp_replace(line, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS tx FROM lines) WHERE tx <> ''),
+    f AS (SELECT doc_id, n, 0 AS pos, tx AS cur FROM l WHERE n = 1
+      UNION ALL SELECT doc_id, n, CASE WHEN joins THEN pos ELSE pos + 1 END, CASE WHEN joins THEN cur || chr(10) || chr(10) || tx ELSE tx END FROM (
+        SELECT l.doc_id, l.n, l.tx, f.pos, f.cur, (length(l.tx) < 100 OR length(f.cur) < 100) AND length(f.cur) + 2 + length(l.tx) <= 612 AS joins
+        FROM f JOIN l ON l.doc_id = f.doc_id AND l.n = f.n + 1) x)
+    SELECT doc_id, pos, arg_max(cur, n) AS text FROM f GROUP BY doc_id, pos""")
 def _merge(t):
     from corpuscope.functions.chunking import merge_short
 

@@ -8,6 +8,7 @@ from corpuscope.operators import access, bm25, dense, fuse
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.bindings import Tables
 from corpuscope.plans.registry import query
+from corpuscope.session import cut_lineage
 
 
 def asked(t: Tables):
@@ -95,7 +96,7 @@ def _rrf(t):
       round(sum(CAST(1 AS DOUBLE) / (60 + l.rank)), 9) AS contribution
     FROM k JOIN lists l ON l.query_id = k.query_id AND l.doc_id = k.doc_id GROUP BY ALL""")
 def _provenance(t):
-    lists = lists_of(t)
+    lists = cut_lineage(lists_of(t))
     found = fuse.provenance(lists, fuse.rrf(lists, 10))
     text = F.transform("hits", lambda h: F.concat(h["channel"], F.lit("#"), h["rank"].cast("string")))
     total = F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["rrf_contribution"])
@@ -142,7 +143,7 @@ def vector_scores(t: Tables):
     UNION ALL SELECT query_id, doc_id, rank, rerank_score, 'HEURISTIC' FROM hr
       WHERE query_id NOT IN (SELECT query_id FROM m)""")
 def _external(t):
-    hits = fuse.rrf(lists_of(t), fuse.FUSION_LIMIT)
+    hits = cut_lineage(fuse.rrf(lists_of(t), fuse.FUSION_LIMIT))
     fallback = fuse.heuristic_rerank(hits, t.questions, t.docs, 8)
     return fuse.external_rerank(hits, vector_scores(t), fallback, 8)
 

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscope.functions.times import micros
 from corpuscope.operators import context, guards, ledgers, limits, memory, usage
 from corpuscope.streaming import pipeline, state
 
@@ -94,7 +95,7 @@ def test_running_values_equal_plain_windows(spark):
     rows = events(random.Random(6))
     df = frame(spark, rows)
     for how, plain in (("sum", F.sum), ("max", F.max)):
-        got = usage.running(df, ["key"], F.col("amount"), "r", how=how, tie="id", block_seconds=100).select("id", "r")
+        got = usage.running(df, ["key"], F.col("amount"), "r", how=how, position=micros("ts"), tie="id", block_size=100_000_000).select("id", "r")
         from pyspark.sql import Window
 
         w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
