@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import tokens
 from corpuscope.operators.access import first_rows, visible
-from corpuscope.session import fits_broadcast, join_on_hot_keys, spread, task_count
+from corpuscope.session import join_on_hot_keys, spread, task_count
 
 K1, B, MIN_SCORE = 1.2, 0.75, 0.3
 ACCESS_COLUMNS = ("owner_id", "org_tag", "is_public")
 SCORE_DIGITS = 9
+#: term rows times (1 + tags of the user) up to which the question side is broadcast
+BROADCAST_CELLS = 1_000_000
 
 
 def corpus_stats(docs: DataFrame) -> tuple[Column, Column]:
@@ -43,6 +45,13 @@ def postings(docs: DataFrame, vocabulary: DataFrame, small_vocabulary: bool) ->
             .groupBy(*kept, "dl", "term").agg(F.count("*").alias("tf")))
 
 
+def _terms_fit(queries: DataFrame, restricted: bool) -> bool:
+    """Whether the question terms, each with its user's tags, are few enough to be broadcast. One combinable sum."""
+    width = F.lit(1) + F.size("user_tags") if restricted else F.lit(1)
+    cells = queries.agg(F.sum(F.size(tokens("text")) * width).alias("n")).first()["n"]
+    return (cells or 0) <= BROADCAST_CELLS
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score, matched, n_terms) of every visible document that shares a term with the query.
 
@@ -53,7 +62,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float
     asked = query_terms(queries.select("query_id", "text", *(["user_id", "user_tags"] if restricted else [])))
     docs = spread(docs.select(*[c for c in ("doc_id", "text", *ACCESS_COLUMNS) if c in docs.columns]), "doc_id")
     vocabulary = queries.select(F.explode_outer(tokens("text")).alias("term"))
-    small = fits_broadcast(vocabulary)
+    small = _terms_fit(queries, restricted)
     found = postings(docs, vocabulary.distinct(), small)
     n_docs, mean_length = corpus_stats(docs)
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))

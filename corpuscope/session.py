@@ -91,11 +91,16 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+#: input bytes per core up to which a table counts as small: one file split
+SPREAD_BYTES = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash ``df`` over all cores by ``keys``, but only when its input has fewer splits than there are cores.
+    """Hash a small table over all cores by ``keys``; a table of at least one split per core passes through unchanged.
 
-    Large tables have more splits than cores and pass through unchanged; a table in one small file would otherwise
-    keep a whole text stage on one core.
+    A table in one small file would otherwise keep a whole text stage on one core. The decision uses the optimizer's size
+    estimate only, so nothing runs, and an input whose size is unknown is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if estimate < cores * SPREAD_BYTES else df

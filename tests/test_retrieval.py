@@ -54,7 +54,7 @@ def test_user_without_identity_sees_public_rows_only(spark, tables):
 def test_salted_join_equals_broadcast_join(tables, monkeypatch):
     queries = tables.questions.select("query_id", "text")
     plain = bm25.bm25_topk(queries, tables.docs.drop("owner_id"), 10).orderBy("query_id", "rank").collect()
-    monkeypatch.setattr(bm25, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(bm25, "BROADCAST_CELLS", 0)
     salted = bm25.bm25_topk(queries, tables.docs.drop("owner_id"), 10).orderBy("query_id", "rank").collect()
     assert salted == plain
 
