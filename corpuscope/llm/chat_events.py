@@ -52,7 +52,7 @@ def events_of(turns: DataFrame, piece: int = PIECE) -> DataFrame:
         F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
         lambda i: F.struct(i.alias("nth"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"),
                            F.substring(F.col("text"), (i - 1) * piece + 1, F.lit(piece)).alias("text")))
-    log = rows.select("conv_id", "message", F.explode(F.concat(opened, F.when(F.col("role") == ASSISTANT, pieces).otherwise(F.slice(pieces, 1, 0)))).alias("e"))
+    log = rows.select("conv_id", "message", F.explode_outer(F.concat(opened, F.when(F.col("role") == ASSISTANT, pieces).otherwise(F.slice(pieces, 1, 0)))).alias("e"))
     return log.select("conv_id", "message", F.struct("message", "e.nth").alias("seq"), "e.kind", "e.role", "e.text")
 
 

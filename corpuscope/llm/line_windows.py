@@ -48,7 +48,8 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lines = with_lines(keyed(docs))
     found = (
         lines.withColumn("_hashes", window_hashes("_used", window))
-        .select("_key", F.transform("_used", lambda x: x["pos"]).alias("_pos"), F.posexplode("_hashes").alias("_at", "_hash"))
+        .select("_key", F.transform("_used", lambda x: x["pos"]).alias("_pos"), F.posexplode_outer("_hashes").alias("_at", "_hash"))
+        .where("_at IS NOT NULL")  # the outer form keeps Catalyst from copying the array expressions into a filter below it
         .select("_key", "_at", F.slice("_pos", F.col("_at") + 1, F.lit(window)).alias("_span"), "_hash.a", "_hash.b")
     )
     place = F.struct("_key", "_at")

@@ -42,7 +42,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     rows = items.select(items["item_id"].cast("string").alias("_item"),
                         _words(F.coalesce(items["text"].cast("string"), F.lit(""))).alias("_words"))
     rows = _fingerprints(rows, window, gram).where("_n > 0")
-    long = rows.where(F.col("_n") >= window).select("_item", "_words", F.posexplode("_low").alias("_at", "_fp")).select(
+    long = rows.where(F.col("_n") >= window).select("_item", "_words", F.posexplode_outer("_low").alias("_at", "_fp")).where("_at IS NOT NULL").select(
         "_item", F.lit(window).alias("_size"), "_fp", F.array_join(F.slice("_words", F.col("_at") + 1, F.lit(window)), " ").alias("_window"))
     short = rows.where(F.col("_n") < window).select("_item", F.col("_n").alias("_size"), F.xxhash64("_hash").alias("_fp"),
                                                     F.array_join("_words", " ").alias("_window"))
@@ -51,17 +51,19 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
 def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
     """``_size``, ``_fp`` and the first and last window start (``_from``, ``_to``) it stands for, next to ``_key`` and ``_words``."""
+    # the outer forms of explode keep Catalyst from copying the whole chain of array expressions into a filter below it
     out = _fingerprints(rows, window, gram)
     starts = F.filter(F.sequence(F.lit(0), F.size("_low") - 1), lambda i: (i == 0) | (F.get("_low", i) != F.get("_low", i - 1)))
     out = out.withColumn("_starts", F.when(F.size("_low") > 0, starts))
     at, begin = F.col("_nth"), F.col("_from")
     parts = [
-        out.select("_key", "_words", "_low", "_starts", F.posexplode("_starts").alias("_nth", "_from")).select(
+        out.select("_key", "_words", "_low", "_starts", F.posexplode_outer("_starts").alias("_nth", "_from")).where("_from IS NOT NULL").select(
             "_key", "_words", F.lit(window).alias("_size"), F.get("_low", begin).alias("_fp"), "_from",
             (F.coalesce(F.get("_starts", at + 1), F.size("_low")) - 1).alias("_to"))
     ]
     for size in sizes:
-        spots = out.where(F.col("_n") >= size).select("_key", "_words", "_hash", F.explode(F.sequence(F.lit(0), F.col("_n") - size)).alias("_from"))
+        every = F.when(F.col("_n") >= size, F.sequence(F.lit(0), F.col("_n") - size))
+        spots = out.select("_key", "_words", "_hash", F.explode_outer(every).alias("_from")).where("_from IS NOT NULL")
         parts.append(spots.select("_key", "_words", F.lit(size).alias("_size"), F.xxhash64(F.slice("_hash", begin + 1, F.lit(size))).alias("_fp"),
                                   "_from", begin.alias("_to")))
     whole = parts[0]
