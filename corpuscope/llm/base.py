@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows up to which a counted side may be broadcast; a physical choice only, both ways give the same rows
@@ -41,3 +46,31 @@ def sha256_hex(c: Column) -> Column:
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Counts at most ``rows + 1`` rows."""
     return df.limit(rows + 1).count() <= rows
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: Column, salts: int = 16) -> DataFrame:
+    """Inner join with a side of one row per key: a key with a large share of ``many`` is spread over ``salts`` tasks."""
+    left = many.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
+def map_text(rows: DataFrame, column: str, added: str, fn: Callable[[list], list[tuple]], step: int = 256) -> DataFrame:
+    """``rows`` without ``column``, plus the ``added`` columns (a DDL list) that ``fn`` gives for a list of its values.
+
+    Arrow batches are worked in slices of ``step`` rows; the other columns pass through untouched, nulls included.
+    """
+    kept = [c for c in rows.columns if c != column]
+    kinds = dict(rows.dtypes)
+    new = StructType.fromDDL(added)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in new]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                made = fn(batch.column(column).to_pylist())
+                values = [pa.array([m[i] for m in made], kind) for i, (_, kind) in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *values], names=[*kept, *(n for n, _ in fields)])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), added]))

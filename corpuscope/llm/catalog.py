@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, line_windows, winnowing
+from corpuscope.llm import chat_events, line_windows, quality, simhash, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -15,6 +15,10 @@ from corpuscope.session import ship_package
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("_key")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -33,6 +37,11 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_windows.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_left", F.length("text").cast("long").alias("n_chars_left"),
@@ -50,8 +59,10 @@ def shipped(run: Run) -> Run:
 
 
 QUERIES: dict[str, Run] = {
+    "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_winnowing": op7_winnowing,
+    "op9_quality": op9_quality,
     "op10_line_windows": op10_line_windows,
 }
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import keyed
+from corpuscope.llm.base import keyed, salted_join
 
 WINDOW = 3
 
@@ -62,13 +62,6 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("_span"))).alias("_covered"))
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: Column, salts: int = 16) -> DataFrame:
-    """Inner join with a side of one row per key: a key with a large share of ``many`` is spread over ``salts`` tasks."""
-    left = many.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))
-    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
-
-
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``text`` (what is left), ``n_lines``, ``n_removed``, ``n_left`` (non-blank lines left)."""
     rows = keyed(docs)
