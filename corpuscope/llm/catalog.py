@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, line_windows, quality, simhash, winnowing
+from corpuscope.llm import chat_events, line_windows, pieces, quality, simhash, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -37,6 +37,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_hex(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Run] = {
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_winnowing": op7_winnowing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_line_windows": op10_line_windows,
 }

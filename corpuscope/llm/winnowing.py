@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.base import ascii_lower, keyed, small_enough
+from corpuscope.session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
 
 
@@ -105,7 +107,7 @@ def _covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``spans`` of hit words, ``contaminated``."""
     windows = item_windows(items, window, gram)
-    found = hits(docs, windows, window, gram)
+    found = cut_lineage(hits(docs, windows, window, gram))  # read twice below; hits are few beside the texts
     span = F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("_size")).alias("end"))
     spans = found.groupBy("_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     members = windows.where(F.col("_item").isNotNull()).select("_window", "_item").distinct()
@@ -113,7 +115,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         found.select("_key", "_window").distinct().join(members, "_window").select("_key", "_item").distinct()
         .groupBy("_key").agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )
-    rows = keyed(docs).select("_key", "_id", F.regexp_count(ascii_lower(F.col("_text")), F.lit(WORD)).cast("long").alias("n_words"))
+    rows = keyed(docs).select("_key", "_id", F.regexp_count("_text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = rows.join(spans.join(listed, "_key", "left"), "_key", "left")
     return out.select(F.col("_id").alias("doc_id"), "_key", "n_words",
