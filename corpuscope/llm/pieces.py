@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from corpuscope.llm.base import map_text, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, MEMO, COMMIT_EVERY = "▁", 300_000, 256
+SPACE, MEMO, SHORT, COMMIT_EVERY = "▁", 300_000, 64, 256
 
 
 class Vocabulary:
@@ -40,6 +41,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         self.byte_ids = {int(pieces[i][3:5], 16): i for i, k in kinds.items() if k == "b"}
         self.memo: dict[str, bytes] = {}
+        self.prefixes: dict[str, str] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @classmethod
@@ -125,6 +127,29 @@ class Vocabulary:
                     done = meet
         yield from self._out(back, done, len(chars))
 
+    def _short(self, chars: str) -> list[int]:
+        """``stream`` for a short stretch of a BPE model: the piece that ends at a boundary depends on the characters before it only,
+        so stretches with the same beginning share their backpointers."""
+        ids, known, tails = self.ids, self.prefixes, [""]
+        if not all(map(ids.__contains__, chars)):
+            return list(self.stream(chars))
+        if len(known) >= MEMO:
+            known.clear()
+        for end in range(1, len(chars) + 1):
+            piece = known.get(chars[:end])
+            if piece is None:
+                for begin in range(max(0, end - self.longest), end):
+                    piece = chars[begin:end]
+                    if piece in ids and self.stays(tails[begin], piece):
+                        break
+                known[chars[:end]] = piece
+            tails.append(piece)
+        out, end = [], len(chars)
+        while end:
+            out.append(ids[tails[end]])
+            end -= len(tails[end])
+        return out[::-1]
+
     def _meeting(self, back: dict[int, str], done: int, end: int) -> int:
         live = {at for at in range(max(done, end - self.longest + 1), end + 1) if at in back}
         while len(live) > 1:
@@ -148,8 +173,10 @@ class Vocabulary:
         for stretch in self.stretches.findall(chars):
             ids = self.memo.get(stretch)
             if ids is None:
-                ids = np.fromiter(self.stream(stretch), "<i4").tobytes()
-                if len(stretch) <= 64:
+                short = len(stretch) <= SHORT
+                made = self._short(stretch) if short and not self.unigram else list(self.stream(stretch))
+                ids = array("i", made).tobytes()
+                if short:
                     if len(self.memo) >= MEMO:
                         self.memo.clear()
                     self.memo[stretch] = ids
@@ -169,7 +196,7 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "kinds", "unigram", "ids", "rank", "longest", "byte_ids")} | {"memo": {}, "pairs": {}}
+        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "kinds", "unigram", "ids", "rank", "longest", "byte_ids")} | {"memo": {}, "pairs": {}, "prefixes": {}}
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
