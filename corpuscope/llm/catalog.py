@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, line_windows, pieces, quality, simhash, winnowing
+from corpuscope.llm import chat_events, line_windows, pieces, quality, simhash, toxicity, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -15,6 +15,12 @@ from corpuscope.session import ship_package
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).drop("text_hash")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).drop("_key")
 
@@ -63,6 +69,7 @@ def shipped(run: Run) -> Run:
 
 
 QUERIES: dict[str, Run] = {
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
     "op7_winnowing": op7_winnowing,
