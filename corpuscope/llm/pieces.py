@@ -28,7 +28,10 @@ from pyspark.sql import functions as F
 from corpuscope.llm.base import map_text, row_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, MEMO, SHORT, COMMIT_EVERY = "▁", 300_000, 64, 256
+SPACE, MEMO, SHORT, COMMIT_EVERY = "▁", 400_000, 64, 256
+#: letters of the scripts that word pieces are made of; other characters end a stretch of letters
+LETTERS = "a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u03FF\u0400-\u052F"
+LETTER = f"[{LETTERS}]"
 
 
 class Vocabulary:
@@ -39,6 +42,9 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(pieces) if i not in kinds}
         self.rank = {p: -scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
+        self.made: dict[str, tuple[float, str, str]] = {}
+        if not unigram:
+            self.halve()
         self.byte_ids = {int(pieces[i][3:5], 16): i for i, k in kinds.items() if k == "b"}
         self.memo: dict[str, bytes] = {}
         self.prefixes: dict[str, str] = {}
@@ -55,10 +61,14 @@ class Vocabulary:
 
     @cached_property
     def stretches(self) -> re.Pattern | None:
-        """Stretches between boundaries that no piece spans, if a space and a line end are such boundaries."""
-        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.ids if len(p) > 1):
+        """Stretches of text between boundaries that no piece spans, as far as the vocabulary has such boundaries."""
+        many = [p for p in self.ids if len(p) > 1]
+        if any("\n" in p or SPACE in p.lstrip(SPACE) for p in many):
             return None
-        return re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        crossing = re.compile(f"{LETTER}[^{SPACE}{LETTERS}]|[^{SPACE}{LETTERS}]{LETTER}")
+        if any(crossing.search(p) for p in many):
+            return re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        return re.compile(f"\n|{SPACE}*{LETTER}+|{SPACE}*[^{SPACE}\n{LETTERS}]+|{SPACE}+")
 
     @cached_property
     def raw(self) -> list[bytes]:
@@ -67,29 +77,59 @@ class Vocabulary:
             out[i] = bytes([int(self.pieces[i][3:5], 16)]) if kind == "b" else " ⁇ ".encode() if kind == "u" else b""
         return out
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces that merging the best-ranked pair again and again leaves; for two pieces' length of text."""
-        rank, none = self.rank.get, np.inf
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces that merging the best-ranked pair again and again leaves, and the two halves of the last merge."""
+        rank, none, halves = self.rank.get, np.inf, None
         parts = list(text)
         ranks = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
+            halves = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
             if at:
                 ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
             if at < len(ranks):
                 ranks[at] = rank(parts[at] + parts[at + 1], none)
-        return parts
+        return parts, halves
+
+    def halve(self) -> None:
+        """Keep the pieces that the merges make from their own characters, each with its formation rank and last two halves."""
+        for piece in list(self.ids):
+            if len(piece) == 1:
+                self.made[piece] = (-1, piece, piece)
+                continue
+            parts, halves = self.merged(piece)
+            if len(parts) == 1:
+                self.made[piece] = (self.rank[piece], *halves)
+        self.ids = {p: i for p, i in self.ids.items() if p in self.made}
 
     def stays(self, left: str, piece: str) -> bool:
-        """Whether ``piece`` may follow ``left`` (empty: the start) without the merges undoing either."""
+        """Whether ``piece`` may follow ``left`` (empty: the start): no merge across their boundary comes before those inside them.
+
+        Undoes the later of the two last merges again and again, so that only the parts that touch are left to compare.
+        """
+        if not left:
+            return True
         known = self.pairs.get((left, piece))
-        if known is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            known = self.pairs[(left, piece)] = self.merged(left + piece) == ([left, piece] if left else [piece])
-        return known
+        if known is not None:
+            return known
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        key, limit, rank, made = (left, piece), np.inf, self.rank.get, self.made
+        while True:
+            across = rank(left + piece)
+            if across is not None and across < limit:
+                self.pairs[key] = False
+                return False
+            a, b = made[left], made[piece]
+            if a[0] > b[0]:
+                limit, left = a[0], a[2]
+            elif b[0] < 0:
+                self.pairs[key] = True
+                return True
+            else:
+                limit, piece = b[0] + 1, b[1]
 
     def spell(self, char: str) -> list[int]:
         return [self.byte_ids.get(b, 0) for b in char.encode("utf-8")]
@@ -196,7 +236,7 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") else text
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "kinds", "unigram", "ids", "rank", "longest", "byte_ids")} | {"memo": {}, "pairs": {}, "prefixes": {}}
+        return {k: v for k, v in self.__dict__.items() if k in ("pieces", "scores", "kinds", "unigram", "ids", "rank", "made", "longest", "byte_ids")} | {"memo": {}, "pairs": {}, "prefixes": {}}
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
