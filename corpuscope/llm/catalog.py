@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, html_main, line_windows, pieces, quality, simhash, toxicity, winnowing
+from corpuscope.llm import chat_events, disclosure, html_main, line_windows, pieces, quality, simhash, toxicity, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -42,6 +42,13 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = disclosure.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(disclosure.KINDS))
+    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(disclosure.KINDS)]
+    return out.select("doc_id", *counts, sha256_hex(disclosure.listed(base)).alias("base_sha256"), disclosure.listed(F.col("spans")).alias("spans"))
+
+
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -78,6 +85,7 @@ QUERIES: dict[str, Run] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
+    "op6_disclosure": op6_disclosure,
     "op7_winnowing": op7_winnowing,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
