@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, disclosure, html_main, line_windows, pieces, quality, simhash, toxicity, winnowing
+from corpuscope.llm import chat_events, disclosure, html_main, line_windows, pieces, quality, simhash, suffix_dedup, toxicity, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -20,6 +20,10 @@ def op1_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -82,6 +86,7 @@ def shipped(run: Run) -> Run:
 
 QUERIES: dict[str, Run] = {
     "op1_html_main": op1_html_main,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op5_chat_format": op5_chat_format,
