@@ -34,9 +34,9 @@ def row_key(docs: DataFrame) -> Column:
     return F.struct(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``_key``, ``_id``, ``_text`` of every row, other columns left out, so that no name of the input can clash."""
-    return docs.select(row_key(docs).alias("_key"), docs["doc_id"].alias("_id"), text_of(docs).alias("_text"))
+def keyed(docs: DataFrame, *extra: str) -> DataFrame:
+    """``_key``, ``_id``, ``_text`` of every row, and the ``extra`` columns; others are left out, so that no name of the input can clash."""
+    return docs.select(row_key(docs).alias("_key"), docs["doc_id"].alias("_id"), text_of(docs).alias("_text"), *(docs[c] for c in extra))
 
 
 def sha256_hex(c: Column) -> Column:

@@ -62,9 +62,10 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("_key").agg(F.array_distinct(F.flatten(F.collect_set("_span"))).alias("_covered"))
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``text`` (what is left), ``n_lines``, ``n_removed``, ``n_left`` (non-blank lines left)."""
-    rows = keyed(docs)
+def dedup_lines(docs: DataFrame, window: int = WINDOW, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``text`` (what is left), ``n_lines``, ``n_removed``, ``n_left`` (non-blank lines left),
+    and the columns of ``docs`` named in ``extra``."""
+    rows = keyed(docs, *extra)
     both = rows.join(covered_lines(docs, window), "_key", "left")
     lines = both.withColumn("_lines", F.split("_text", "\n", -1))
     everywhere = F.sequence(F.lit(0), F.size("_lines") - 1)
@@ -75,5 +76,5 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.when(F.col("_covered").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias("text"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
-        F.size(F.filter("_kept", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_left"),
+        F.size(F.filter("_kept", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_left"), *extra,
     )

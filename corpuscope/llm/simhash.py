@@ -6,6 +6,9 @@ their two halves; a pair of tiles is compared only when the counts differ by no
 and bit counts. A tile pair hands on a spanning forest of its links, never the pairs of a group, and components are then found by
 alternating large-star and small-star rounds over checkpointed edges.
 
+A fingerprint may be wider than 64 bits; the pipeline takes 256 bits over five-word shingles, where a similarity (Jaccard) of 0.8
+stands at 39 differing bits on average, and links at ``WIDE_RADIUS``, which leaves room for the spread of that number.
+
 Cases: fewer words than a shingle needs make one shingle of all words; a wordless, empty or null text has the fingerprint zero and
 links like any other. Equal texts and repeated rows share a fingerprint. The component is the smallest doc_id reachable; a null
 doc_id is smaller than none, so a component has one only if all its ids are null. Empty tables give no rows.
@@ -22,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm.base import map_text, row_key, salted_join
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, task_count
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 44
 #: fingerprints of a tile at most, about; a tile pair needs some ROWS x TILE x 9 bytes
 TILE, ROWS = 16_384, 256
 
@@ -42,36 +46,50 @@ def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(begins, (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, len(begins))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+def _other(hashes: np.ndarray, nth: int) -> np.ndarray:
+    """Further 64 bits of every hash (the finaliser of splitmix64)."""
+    x = hashes + np.uint64((0x9E3779B97F4A7C15 * nth) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, words: int = 1) -> bytes:
+    """``words`` x 64 bits, big-endian."""
     hashes = shingle_hashes(text, size)
-    if not len(hashes):
-        return 0
-    votes = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 65_536):
-        bits = np.unpackbits(hashes[part : part + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    on = (2 * votes > len(hashes)).astype(np.uint8)
-    return int(np.packbits(on, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``text_hash`` and ``fp`` (64 bits as a signed long) of every row."""
+    out = np.zeros(words, ">u8")
+    for nth in range(words if len(hashes) else 0):
+        votes = np.zeros(64, np.int64)
+        for part in range(0, len(hashes), 65_536):
+            some = hashes[part : part + 65_536]
+            some = _other(some, nth) if nth else some
+            votes += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[nth] = np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+    return out.tobytes()
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE, words: int = 1) -> DataFrame:
+    """``doc_id``, ``text_hash``, ``fp`` and the population counts of its halves, ``high`` and ``low``, of every row."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs)["text_hash"].alias("text_hash"), docs["text"].cast("string").alias("text"))
 
     def run(texts: list) -> list[tuple]:
-        return [(x,) for x in np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64).tolist()]
+        prints = [fingerprint(t, size, words) for t in texts]
+        half = 4 * words
+        return [(p, int.from_bytes(p[:half], "big").bit_count(), int.from_bytes(p[half:], "big").bit_count()) for p in prints]
 
-    return map_text(rows, "text", "fp long", run)
+    return map_text(rows, "text", "fp binary, high int, low int", run)
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links between two arrays of distinct fingerprints (or within one, ``a is b``)."""
+    """Edges of a spanning forest of the links between two arrays of distinct fingerprints, a row each (or within one, ``a is b``)."""
     both = a if a is b else np.concatenate([a, b])
     shift = 0 if a is b else len(a)
     label = np.arange(len(both))
     for start in range(0, len(a), ROWS):
-        near = np.bitwise_count(a[start : start + ROWS, None] ^ b[None, :]) <= radius
-        rows, cols = np.nonzero(near)
+        apart = np.bitwise_count(a[start : start + ROWS, None, 0] ^ b[None, :, 0])
+        for nth in range(1, a.shape[1]):
+            apart = apart.astype(np.uint16) + np.bitwise_count(a[start : start + ROWS, None, nth] ^ b[None, :, nth])
+        rows, cols = np.nonzero(apart <= radius)
         _union(label, rows + start, cols + shift)
     label = _roots(label)
     linked = np.nonzero(label != np.arange(len(label)))[0]
@@ -98,50 +116,44 @@ def _union(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(rx, ry), np.minimum(rx, ry))
 
 
-def _half(name: str, shift: int) -> Column:
-    return F.bit_count(F.shiftrightunsigned(F.col(name), shift).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def tiles(prints: DataFrame, tile: int = TILE) -> DataFrame:
-    """``cell`` (population counts of both halves), ``part`` and ``prints``: distinct fingerprints packed into one binary per tile."""
-    cells = prints.select("fp", (_half("fp", 32) * 33 + _half("fp", 0)).alias("cell"))
-    sizes = {r["cell"]: r["n"] for r in cells.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most 33 x 33 rows
+def tiles(prints: DataFrame, width: int, tile: int = TILE) -> DataFrame:
+    """``h``, ``l`` (population counts of both halves, over ``width``), ``part`` and ``prints``: distinct fingerprints packed into one binary per tile."""
+    cells = prints.select("fp", F.floor(F.col("high") / width).cast("int").alias("h"), F.floor(F.col("low") / width).cast("int").alias("l"))
+    sizes = {(r["h"], r["l"]): r["n"] for r in cells.groupBy("h", "l").agg(F.count("*").alias("n")).collect()}  # as many rows as pairs of counts
     parts = {cell: -(-n // tile) for cell, n in sizes.items() if n > tile}
     count = F.lit(1)
     if parts:
-        table = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-        count = F.coalesce(table[F.col("cell")], F.lit(1))
+        table = F.create_map(*[x for (h, l), n in parts.items() for x in (F.lit(f"{h}:{l}"), F.lit(n))])
+        count = F.coalesce(table[F.concat_ws(":", "h", "l")], F.lit(1))
     placed = cells.withColumn("part", F.pmod(F.xxhash64("fp"), count).cast("int"))
-    return placed.groupBy("cell", "part").agg(F.array_join(F.collect_list(F.lpad(F.hex("fp"), 16, "0")), "").alias("hex")).select(
-        "cell", "part", F.unhex("hex").alias("prints"))
+    return placed.groupBy("h", "l", "part").agg(F.array_join(F.collect_list(F.hex("fp")), "").alias("hex")).select("h", "l", "part", F.unhex("hex").alias("prints"))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, words: int = 1) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints whose components are those of all links within the radius."""
-    packed = cut_lineage(tiles(prints, tile))
-    near = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
+    width = max(1, radius // 4)
+    packed = cut_lineage(tiles(prints, width, tile))
+    least = lambda step: max(0, (abs(step) - 1) * width + 1)  # noqa: E731  how far counts in cells so many steps apart differ at least
+    far = range(-radius // width - 1, radius // width + 2)
+    near = [(i, j) for i in far for j in far if least(i) + least(j) <= radius and (i, j) >= (0, 0)]
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in near])
-    high, low = F.floor(F.col("cell") / 33), F.col("cell") % 33
     left = packed.withColumn("step", F.explode(steps)).select(
-        F.col("cell").alias("cell1"), F.col("part").alias("part1"), (high + F.col("step.i")).alias("h"), (low + F.col("step.j")).alias("l"))
-    names = packed.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), high.alias("h"), low.alias("l"))
-    pairs = left.join(names, ["h", "l"]).where((F.col("cell1") != F.col("cell2")) | (F.col("part1") <= F.col("part2")))
-    first = packed.select(F.col("cell").alias("cell1"), F.col("part").alias("part1"), F.col("prints").alias("prints1"))
-    second = packed.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("prints").alias("prints2"))
-    wide = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.sparkSession.sparkContext.defaultParallelism)
-    work = pairs.join(first, ["cell1", "part1"]).join(second, ["cell2", "part2"]).select(
-        "prints1", F.when((F.col("cell1") != F.col("cell2")) | (F.col("part1") != F.col("part2")), F.col("prints2")).alias("prints2")
-    ).repartition(wide)
+        F.struct("h", "l", "part").alias("one"), (F.col("h") + F.col("step.i")).alias("h"), (F.col("l") + F.col("step.j")).alias("l"))
+    names = packed.select(F.struct("h", "l", "part").alias("two"), "h", "l")
+    pairs = left.join(names, ["h", "l"]).where((F.col("one.h") != F.col("two.h")) | (F.col("one.l") != F.col("two.l")) | (F.col("one.part") <= F.col("two.part")))
+    first = packed.select(F.struct("h", "l", "part").alias("one"), F.col("prints").alias("prints1"))
+    second = packed.select(F.struct("h", "l", "part").alias("two"), F.col("prints").alias("prints2"))
+    work = pairs.join(first, "one").join(second, "two").select("prints1", F.when(F.col("one") != F.col("two"), F.col("prints2")).alias("prints2"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = lambda packed: np.frombuffer(packed, ">u8").astype(np.uint64).reshape(-1, words)
         for batch in batches:
             for one, two in zip(batch["prints1"], batch["prints2"], strict=True):
-                a = np.frombuffer(one, ">u8").astype(np.uint64)
-                b = a if two is None else np.frombuffer(two, ">u8").astype(np.uint64)
-                u, v = forest(a, b, radius)
-                yield pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
+                a = unpack(one)
+                u, v = forest(a, a if two is None else unpack(two), radius)
+                yield pd.DataFrame({"u": [x.tobytes() for x in u.astype(">u8")], "v": [x.tobytes() for x in v.astype(">u8")]})
 
-    return work.mapInPandas(run, "u long, v long")
+    return work.repartition(task_count(prints.sparkSession)).mapInPandas(run, "u binary, v binary")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -166,13 +178,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not settled after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``_key``, ``fingerprint`` (16 hex digits) and ``component_id``."""
-    rows = cut_lineage(fingerprints(docs, size))  # narrow: the texts are read once
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(prints.select("fp"), radius, tile))
-    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.struct("doc_id", "text_hash").alias("_key"),
-                                         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def grouped(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, words: int = 1, tile: int = TILE) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``text_hash``, ``fp`` and ``root``, a fingerprint that stands for the component."""
+    rows = cut_lineage(fingerprints(docs, size, words))  # narrow: the texts are read once
+    prints = rows.groupBy("fp").agg(F.first("high").alias("high"), F.first("low").alias("low"))
+    found = components(links(prints, radius, tile, words))
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return salted_join(rows, rooted, ["fp"], F.xxhash64("doc_id", "text_hash")).select("doc_id", "text_hash", "fp", "root")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, words: int = 1, tile: int = TILE) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``_key``, ``fingerprint`` (hex digits) and ``component_id``."""
+    rows = cut_lineage(grouped(docs, size, radius, words, tile))
+    ids = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return salted_join(rows, ids, ["root"], F.xxhash64("doc_id", "text_hash")).select(
+        "doc_id", F.struct("doc_id", "text_hash").alias("_key"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, size: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
+    """``_key`` of the document that stays of every group: that of smallest doc_id, then text hash."""
+    rows = grouped(docs, size, radius, words, tile)
+    return rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_key")).select("_key")

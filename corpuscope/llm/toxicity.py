@@ -162,9 +162,14 @@ def descend(rows: list[list[int]], y: np.ndarray, deltas: list[tuple[list[int],
     return w, float(bias)
 
 
+def with_scores(rows: DataFrame, column: str, model: Model) -> DataFrame:
+    """``rows`` with ``score`` in place of the text ``column``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and those of the identity terms
+    return map_text(rows, column, "score double", lambda texts: [(shared.value.score(t),) for t in texts])
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: ``doc_id``, ``text_hash``, ``held_out``, ``score`` and ``predicted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FEATURES weights and those of the identity terms
     rows = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs)["text_hash"].alias("text_hash"), docs["text"].cast("string").alias("text"))
-    out = map_text(rows, "text", "score double", lambda texts: [(shared.value.score(t),) for t in texts])
-    return out.select("doc_id", "text_hash", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return with_scores(rows, "text", model).select(
+        "doc_id", "text_hash", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
