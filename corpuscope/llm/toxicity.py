@@ -1,8 +1,8 @@
 """Toxicity scores from a counterfactual-regularised classifier.
 
 A logistic regression over the words of a text and their beginnings (4 to 7 characters), each counted as present or absent. Training takes
-labelled texts; in every labelled sentence that names a group, the identity term is swapped for another of its kind, and the squared change of
-the score is added to the loss. A neutral mention of a group therefore carries next to no weight, whatever the labels say.
+labelled texts; in every labelled sentence that names a group, the identity term is swapped for another of its kind, and once for none, and the
+squared changes of the score are added to the loss. Neither a mention of a group nor which one it is then moves the score much, whatever the labels say.
 
 Feature counts are made by Spark over the training texts; the most telling features and the training rows' feature numbers, both of
 bounded size (``FEATURES``, ``SAMPLE``), are fitted on the driver, and the weights are shipped to score all texts.
@@ -59,13 +59,13 @@ def features(text: str | None) -> set[str]:
 
 
 def swapped(text: str | None, other: dict[str, str]) -> list[tuple[list[str], list[str]]]:
-    """Per sentence with identity terms: the features it has and its swapped twin has not, and the other way round."""
+    """Per sentence with identity terms and each of its twins (swapped, or without them): the features it has and the twin has not, and the reverse."""
     out = []
     for sentence in _SENTENCE.findall((text or "").lower()):
         words = _WORD.findall(sentence)
         if not other.keys().isdisjoint(words):
-            own, twin = ({f for w in ws for f in word_features(w)} for ws in (words, [other.get(w, w) for w in words]))
-            out.append((sorted(own - twin), sorted(twin - own)))
+            own, *twins = ({f for w in ws for f in word_features(w)} for ws in (words, [other.get(w, w) for w in words], [w for w in words if w not in other]))
+            out.extend((sorted(own - twin), sorted(twin - own)) for twin in twins)
     return out
 
 

@@ -51,8 +51,12 @@ def item_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return long.unionByName(short)
 
 
-def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
-    """``_size``, ``_fp`` and the first and last window start (``_from``, ``_to``) it stands for, next to ``_key`` and ``_words``."""
+def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int) -> list[DataFrame]:
+    """Fingerprints of the long windows, and of the runs of each short size: ``_size``, ``_fp`` and the first and last window start
+    (``_from``, ``_to``) it stands for, next to ``_key`` and ``_words``.
+
+    They stay apart: each is joined in the stage that makes it, so a text's words are passed on by reference and not copied for every fingerprint.
+    """
     # the outer forms of explode keep Catalyst from copying the whole chain of array expressions into a filter below it
     out = _fingerprints(rows, window, gram)
     starts = F.filter(F.sequence(F.lit(0), F.size("_low") - 1), lambda i: (i == 0) | (F.get("_low", i) != F.get("_low", i - 1)))
@@ -68,10 +72,7 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
         spots = out.select("_key", "_words", "_hash", F.explode_outer(every).alias("_from")).where("_from IS NOT NULL")
         parts.append(spots.select("_key", "_words", F.lit(size).alias("_size"), F.xxhash64(F.slice("_hash", begin + 1, F.lit(size))).alias("_fp"),
                                   "_from", begin.alias("_to")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return parts
 
 
 def _extended(met: DataFrame) -> DataFrame:
@@ -86,11 +87,16 @@ def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int =
     distinct = windows.select("_size", "_fp", "_window").distinct()
     sizes = sorted(r[0] for r in windows.where(F.col("_size") < window).select("_size").distinct().collect())  # at most window - 1 numbers
     rows = keyed(docs).select("_key", _words(F.col("_text")).alias("_words"))
-    prints = _document_prints(rows, sizes, window, gram)
+    parts = _document_prints(rows, sizes, window, gram)
     if small_enough(distinct):
-        return _extended(prints.join(F.broadcast(distinct), ["_size", "_fp"]))
-    met = prints.drop("_words").join(distinct, ["_size", "_fp"]).select("_key", "_from", "_to", "_size", "_window")
-    return _extended(met.join(rows.dropDuplicates(["_key"]), "_key"))
+        found = [_extended(part.join(F.broadcast(distinct), ["_size", "_fp"])) for part in parts]
+    else:
+        slim = [part.drop("_words").join(distinct, ["_size", "_fp"]).select("_key", "_from", "_to", "_size", "_window") for part in parts]
+        found = [_extended(met.join(rows.dropDuplicates(["_key"]), "_key")) for met in slim]
+    whole = found[0]
+    for part in found[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def _covered(spans: Column) -> Column:
