@@ -5,22 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.operators.closure import ancestors
+
 DEFAULT_TAG = "DEFAULT"
 PRIVATE_PREFIX = "PRIVATE_"
-MAX_TAG_DEPTH = 32
 
 
 def tag_ancestors(tags: DataFrame) -> DataFrame:
-    """(tag_id, ancestor, depth) with every tag as its own ancestor at depth 0; a cycle ends at the depth cap."""
-    return tags.sparkSession.sql(
-        f"""WITH RECURSIVE up(tag_id, ancestor, depth) AS (
-              SELECT tag_id, tag_id, 0 FROM {{tags}}
-              UNION ALL
-              SELECT up.tag_id, t.parent_tag, up.depth + 1 FROM up JOIN {{tags}} t ON t.tag_id = up.ancestor
-              WHERE t.parent_tag IS NOT NULL AND up.depth < {MAX_TAG_DEPTH})
-            SELECT tag_id, ancestor, min(depth) AS depth FROM up GROUP BY tag_id, ancestor""",
-        tags=tags.select("tag_id", "parent_tag"),
-    )
+    """(tag_id, ancestor, depth) with every tag as its own ancestor at depth 0, however deep the tree."""
+    return ancestors(tags, "tag_id", "parent_tag")
 
 
 def split_tags(csv: Column | str) -> Column:
@@ -125,10 +118,10 @@ def access_decisions(requests: DataFrame, resources: DataFrame, users: DataFrame
 
 
 def oversize_uploads(files: DataFrame, users: DataFrame, tags: DataFrame) -> DataFrame:
-    """Uploads of non-admins above the byte limit of their organisation tag."""
+    """Uploads of non-admins above the byte limit of their organisation tag; a limit of 0 or none is no limit."""
     limits = tags.select(F.col("tag_id").alias("org_tag"), "upload_max_size_bytes")
     people = users.select("user_id", "role")
-    return (files.join(limits, "org_tag").where(F.col("total_size") > F.col("upload_max_size_bytes"))
+    return (files.join(limits, "org_tag").where((F.col("upload_max_size_bytes") > 0) & (F.col("total_size") > F.col("upload_max_size_bytes")))
             .join(people, "user_id").where(F.col("role") != "ADMIN")
             .select("doc_id", "user_id", "org_tag", "total_size", "upload_max_size_bytes"))
 

@@ -105,7 +105,7 @@ def _grid_search(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: i
 
 
 def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int, *, bucket_length: float = 0.6, tables: int = 12,
-                     seed: int = 7, max_distance: float = 1.3) -> DataFrame:
+                     seed: int = 7) -> DataFrame:
     """Approximate top-k: random-projection buckets give candidates, exact cosine ranks them.
 
     On unit vectors the Euclidean distance d and the cosine are tied by cos = 1 - d*d/2. A query that gets fewer than
@@ -121,7 +121,7 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int, *, bucket_l
     docs, asked = prepared(vectors), prepared(queries)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=tables, seed=seed).fit(docs)
-    near = model.approxSimilarityJoin(asked, docs, max_distance, distCol="distance")
+    near = model.approxSimilarityJoin(asked, docs, 2.01, distCol="distance")
     flat = near.select(F.col("datasetA.*"), *[F.col(f"datasetB.{c}").alias(c) for c in
                                               ("doc_id", "owner_id", "org_tag", "is_public") if c in docs.columns], "distance")
     if "user_tags" in queries.columns:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import TITLE_LENGTH, audit_message, limit_text
 from corpuscope.operators.access import first_rows, split_tags
+from corpuscope.operators.closure import chain_starts
 
+# --- fixed values: caps, states and the title of a new session ----------------------------------
 MEMORY_CANDIDATES, RECENT_RUNS = 50, 50
 RECOVERABLE = ("FAILED", "INTERRUPTED", "CANCELLED", "WAITING_APPROVAL")
 FINISHED = ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED", "RESUMED")
 DEFAULT_TITLE = "新对话"
+# ------------------------------------------------------------------------------------------------
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
@@ -100,15 +103,10 @@ def unexecuted(variants: DataFrame, executed: DataFrame) -> DataFrame:
 
 
 def retry_lineage(runs: DataFrame) -> DataFrame:
-    """(generation_id, root, depth, recovered): the first run of every retry chain."""
-    links = runs.select("generation_id", "retry_of", "status")
-    return runs.sparkSession.sql(
-        """WITH RECURSIVE chain(generation_id, root, depth) AS (
-             SELECT generation_id, generation_id, 0 FROM {r} WHERE retry_of IS NULL
-             UNION ALL
-             SELECT r.generation_id, c.root, c.depth + 1 FROM {r} r JOIN chain c ON r.retry_of = c.generation_id WHERE c.depth < 64)
-           SELECT c.generation_id, c.root, c.depth, c.depth > 0 AND r.status = 'COMPLETED' AS recovered
-           FROM chain c JOIN {r} r ON r.generation_id = c.generation_id""", r=links)
+    """(generation_id, root, depth, recovered): the first run of every retry chain. Every run comes out once; a retry of an absent run starts a chain."""
+    found = chain_starts(runs, "generation_id", "retry_of")
+    return found.join(runs.select("generation_id", "status"), "generation_id").select(
+        "generation_id", "root", "depth", ((F.col("depth") > 0) & (F.col("status") == "COMPLETED")).alias("recovered"))
 
 
 def latest_checkpoints(checkpoints: DataFrame, prefixes: dict[str, str]) -> DataFrame:

@@ -97,7 +97,7 @@ def _any(c, needles):
     return "(" + " OR ".join(f"contains({c}, '{n}')" for n in needles) + ")"
 
 
-HITS = f"""{sql.bm25('questions', 'docs', acl=False)}, top8 AS ({sql.topk('bm_scores', 8, where='WHERE score >= 20')}),
+HITS = f"""{sql.bm25('questions', 'docs', acl=False)}, top8 AS ({sql.topk('bm_scores', 8, where='WHERE score >= 0.3')}),
     ev AS (SELECT h.query_id, h.doc_id, h.rank, f.file_name || '   ' || d.text AS body, d.text, f.file_name FROM top8 h JOIN docs d ON d.doc_id = h.doc_id JOIN files f ON f.doc_id = h.doc_id)"""
 COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(body) AS lb FROM ev),
     aa AS (SELECT query_id, unnest(range(0, len(aspects))) AS i, unnest(aspects) AS aspect FROM asp),
@@ -115,7 +115,7 @@ COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(bo
 
 
 def evidence_hits(t):
-    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), t.docs.select("doc_id", "text"), 8, min_score=20.0)
+    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), t.docs.select("doc_id", "text"), 8)
     return agentic.as_evidence(hits, t.docs, t.files)
 
 
@@ -257,11 +257,12 @@ def _summary(t):
 
 
 @query("k16_memory_decisions", """WITH d AS (SELECT event_id AS decision_id, user_id % 20 AS user_id, m.memory_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'EXPIRED' ELSE 'DELETED' END AS target
-      FROM events e JOIN memories m ON m.memory_id = (e.event_id % 100) * 1000 + e.event_id % 5),
+      FROM events e JOIN memories m ON m.memory_id = (e.event_id % (SELECT max(memory_id) // 1000 + 1 FROM memories)) * 1000 + e.event_id % 5),
     v AS (SELECT d.memory_id, arg_max(target, decision_id) AS t FROM d JOIN memories m ON m.memory_id = d.memory_id AND m.owner_id = d.user_id WHERE target <> 'DELETED' GROUP BY 1)
     SELECT m.memory_id, coalesce(v.t, m.status) AS status FROM memories m LEFT JOIN v ON v.memory_id = m.memory_id""")
 def _decisions(t):
     target = F.get(F.array(*[F.lit(s) for s in ("active", "Rejected", "EXPIRED", "DELETED")]), (F.col("event_id") % 4).cast("int"))
+    conversations = t.memories.agg(F.max("memory_id")).first()[0] // 1000 + 1
     decisions = t.events.select(F.col("event_id").alias("decision_id"), (F.col("user_id") % 20).alias("user_id"),
-                                ((F.col("event_id") % 100) * 1000 + F.col("event_id") % 5).alias("memory_id"), target.alias("target"), "ts")
+                                ((F.col("event_id") % conversations) * 1000 + F.col("event_id") % 5).alias("memory_id"), target.alias("target"), "ts")
     return memory.decide(t.memories, decisions)

@@ -11,7 +11,7 @@ def tokens(column: str) -> str:
 
 UP = """up AS (SELECT tag_id, tag_id AS ancestor, 0 AS depth FROM org_tags UNION ALL
     SELECT up.tag_id, t.parent_tag, up.depth + 1 FROM up JOIN org_tags t ON t.tag_id = up.ancestor
-    WHERE t.parent_tag IS NOT NULL AND up.depth < 32)"""
+    WHERE t.parent_tag IS NOT NULL)"""
 
 EFFECTIVE = UP + """, eff AS (SELECT user_id, coalesce(up.ancestor, o.tag_id) AS tag FROM
     (SELECT user_id, unnest(string_split(org_tags, ',')) AS tag_id FROM users WHERE org_tags <> '') o

@@ -170,13 +170,12 @@ def _sentences(t):
     return spread(t.documents, "doc_id").select("doc_id", F.posexplode(split_paragraph(F.col("text"), 512)).alias("pos", "text"))
 
 
-@query("b05_long_sentences", """SELECT doc_id, pos, length(line) AS characters, true AS rejoins, true AS bounded FROM lines
-    WHERE length(line) > 40""")
+@query("b05_long_sentences", """SELECT doc_id, pos, length(line) AS characters, true AS rejoins, true AS bounded FROM lines""")
 def _words(t):
     from corpuscope.functions.chunking import split_sentence
 
     pieces = split_sentence(F.col("line"), 40)
-    lines = t.lines.where(F.length("line") > 40).withColumn("_pieces", pieces)
+    lines = t.lines.withColumn("_pieces", pieces)
     longest_token = F.array_max(F.transform(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.length(w)))
     bound = F.greatest(F.lit(40), F.coalesce(longest_token, F.lit(0)))
     return lines.select("doc_id", "pos", F.length("line").alias("characters"), (F.array_join("_pieces", "") == F.col("line")).alias("rejoins"),

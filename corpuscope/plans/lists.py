@@ -72,7 +72,7 @@ def _history(t):
 
 
 @query("d09_oversize_uploads", """SELECT f.doc_id, f.user_id, f.org_tag, f.total_size, o.upload_max_size_bytes FROM files f JOIN org_tags o ON o.tag_id = f.org_tag
-    JOIN users u ON u.user_id = f.user_id WHERE u.role <> 'ADMIN' AND f.total_size > o.upload_max_size_bytes""")
+    JOIN users u ON u.user_id = f.user_id WHERE u.role <> 'ADMIN' AND o.upload_max_size_bytes > 0 AND f.total_size > o.upload_max_size_bytes""")
 def _oversize(t):
     return access.oversize_uploads(t.files, t.users, t.org_tags)
 
@@ -136,10 +136,11 @@ _REASON = """CASE WHEN f.doc_id IS NULL THEN 'NOT_FOUND' WHEN f.is_public THEN '
     WHEN u.org_tags = '' THEN 'NO_TAGS' WHEN list_contains(string_split(u.org_tags, ','), f.org_tag) THEN 'TAG_MATCH' ELSE 'TAG_MISMATCH' END"""
 
 
-@query("d16_access_decisions", f"""WITH r AS (SELECT event_id, user_id * 11 AS user_id, event_id % 1300 AS doc_id FROM events)
+@query("d16_access_decisions", f"""WITH r AS (SELECT event_id, user_id * 11 AS user_id, event_id % (SELECT count(*) + 300 FROM files) AS doc_id FROM events)
     SELECT r.event_id, {_REASON} AS reason, {_REASON} IN ('PUBLIC', 'OPEN_TAG', 'OWNER', 'ADMIN', 'TAG_MATCH') AS allowed FROM r LEFT JOIN files f ON f.doc_id = r.doc_id LEFT JOIN users u ON u.user_id = r.user_id""")
 def _decisions(t):
-    requests = t.events.select("event_id", (F.col("user_id") * 11).alias("user_id"), (F.col("event_id") % 1300).alias("doc_id"))
+    asked = t.files.count() + 300  # every document, and some that are not there
+    requests = t.events.select("event_id", (F.col("user_id") * 11).alias("user_id"), (F.col("event_id") % asked).alias("doc_id"))
     resources = t.files.withColumnRenamed("user_id", "owner_id")
     keyed = requests.select("user_id", "doc_id").distinct()
     return requests.join(access.access_decisions(keyed, resources, t.users), ["user_id", "doc_id"]).select("event_id", "reason", "allowed")
@@ -158,10 +159,9 @@ def _parent(t):
     return child.join(parent, ["doc_id", "g"], "left").select("doc_id", "pos", F.coalesce("children", F.lit(0)).alias("siblings"))
 
 
-@query("e03_ledger_names", """SELECT l.event_id, l.user_id, coalesce(u.username, 'Unknown User') AS username FROM ledger l LEFT JOIN users u ON u.user_id = l.user_id * 20""")
+@query("e03_ledger_names", """SELECT l.event_id, l.user_id, coalesce(u.username, 'Unknown User') AS username FROM ledger l LEFT JOIN users u ON u.user_id = l.user_id""")
 def _ledger_names(t):
-    people = t.users.where("user_id % 20 = 0").withColumn("user_id", (F.col("user_id") / 20).cast("long"))
-    return listing.names_for(t.ledger.select("event_id", "user_id"), people).select("event_id", "user_id", "username")
+    return listing.names_for(t.ledger.select("event_id", "user_id"), t.users).select("event_id", "user_id", "username")
 
 
 @query("e04_tag_details", """SELECT u.user_id, coalesce(string_agg(coalesce(o.name, x.tag_id), ',' ORDER BY x.i), '') AS tag_names FROM users u
@@ -193,7 +193,7 @@ def _unexecuted(t):
     return listing.unexecuted(spelled(3).distinct(), spelled(2))
 
 
-@query("e09_retry_lineage", """WITH RECURSIVE chain AS (SELECT generation_id, generation_id AS root, 0 AS depth FROM runs WHERE retry_of IS NULL
+@query("e09_retry_lineage", """WITH RECURSIVE chain AS (SELECT generation_id, generation_id AS root, 0 AS depth FROM runs WHERE retry_of IS NULL OR retry_of NOT IN (SELECT generation_id FROM runs)
       UNION ALL SELECT r.generation_id, c.root, c.depth + 1 FROM runs r JOIN chain c ON r.retry_of = c.generation_id)
     SELECT c.generation_id, c.root, c.depth, c.depth > 0 AND r.status = 'COMPLETED' AS recovered FROM chain c JOIN runs r ON r.generation_id = c.generation_id""")
 def _lineage(t):

@@ -174,13 +174,13 @@ def _tools(t):
     return limits.tool_ledger(t.tool_calls, t.runs).select("id", "disposition")
 
 
-@query("k13_approvals", """WITH d AS (SELECT e.event_id AS decision_id, e.event_id % 2000 AS call_id, CASE WHEN e.event_id % 3 = 0 THEN e.user_id ELSE c.user_id END AS user_id, e.value > 50 AS decision, c.user_id AS owner
-      FROM events e JOIN events c ON c.event_id = e.event_id % 2000),
+@query("k13_approvals", """WITH d AS (SELECT e.event_id AS decision_id, e.event_id // 2 AS call_id, CASE WHEN e.event_id % 3 = 0 THEN e.user_id ELSE c.user_id END AS user_id, e.value > 50 AS decision, c.user_id AS owner
+      FROM events e JOIN events c ON c.event_id = e.event_id // 2),
     f AS (SELECT call_id, arg_min(decision, decision_id) AS decision, min(decision_id) AS id FROM d WHERE user_id = owner GROUP BY 1)
     SELECT d.decision_id, CASE WHEN d.user_id <> d.owner THEN 'FORBIDDEN' WHEN d.decision_id = f.id THEN 'APPLIED' WHEN d.decision = f.decision THEN 'IDEMPOTENT' ELSE 'CONFLICT' END AS outcome FROM d LEFT JOIN f ON f.call_id = d.call_id""")
 def _approvals(t):
     calls = t.events.select(F.col("event_id").alias("call_id"), "user_id")
-    made = t.events.withColumn("call_id", F.col("event_id") % 2000).join(calls.withColumnRenamed("user_id", "_u"), "call_id")
+    made = t.events.withColumn("call_id", F.floor(F.col("event_id") / 2)).join(calls.withColumnRenamed("user_id", "_u"), "call_id")
     who = F.when(F.col("event_id") % 3 == 0, F.col("user_id")).otherwise(F.col("_u"))
     decisions = made.select(F.col("event_id").alias("decision_id"), "call_id", who.alias("user_id"), (F.col("value") > 50).alias("decision"))
     return ledgers.approvals(calls, decisions).select("decision_id", "outcome")

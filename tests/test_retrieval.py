@@ -98,8 +98,8 @@ def test_comparison_is_decomposed_and_original_kept(spark):
 
 
 def test_vague_action_asks(spark):
-    assert plan_of(spark, "帮我删除一下").first()["missing_slots"] == ["actionTarget"]
-    assert plan_of(spark, "帮我删除合同模板").first()["missing_slots"] == []
+    assert plan_of(spark, "帮我修改一下").first()["missing_slots"] == ["actionTarget"]
+    assert plan_of(spark, "帮我修改报销流程文档").first()["missing_slots"] == []
 
 
 def test_planner_text_is_parsed_leniently(spark):
