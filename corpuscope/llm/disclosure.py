@@ -111,11 +111,8 @@ def disclosing_terms(docs: DataFrame, share: float = LEAST_SHARE, bits: float =
     strong = cut_lineage(by_context.groupBy("entity", "term", "with").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
                          .where(F.col("contexts") >= contexts))
     every = lines.select(_terms(_plain(F.col("line"))).alias("terms")).select(F.explode_outer("terms").alias("term"))
-    wanted = strong.select("term").distinct()
-    if small_enough(wanted):
-        own = every.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("own"))
-    else:
-        own = every.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("own")).join(wanted, "term")
+    # words are counted before they meet the candidates: common words are candidates too, and would pass with every occurrence
+    own = every.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("own")).join(strong.select("term").distinct(), "term")
     total = keyed(docs).agg(F.sum(F.size(F.split("_text", "\n"))).alias("all"))
     judged = strong.join(own, "term").withColumn("_one", F.lit(0)).join(F.broadcast(total.withColumn("_one", F.lit(0))), "_one")  # one row
     told = F.log2(F.col("both") * F.col("all") / (F.col("own") * F.col("with")))
