@@ -39,6 +39,16 @@ def with_effective_tags(requests: DataFrame, users: DataFrame, tags: DataFrame)
         "user_tags", F.coalesce("user_tags", F.array().cast("array<string>")))
 
 
+def is_restricted(queries: DataFrame, open_access: bool) -> bool:
+    """Whether a search applies permissions. It does unless ``open_access`` says otherwise; rows without an identity are refused."""
+    if open_access:
+        return False
+    missing = {"user_id", "user_tags"} - set(queries.columns)
+    if missing:
+        raise ValueError(f"a search needs {sorted(missing)} of its user (see with_effective_tags), or open_access=True")
+    return True
+
+
 def visible(user: Column | str = "user_id", user_tags: Column | str = "user_tags", owner: str = "owner_id",
             org_tag: str = "org_tag", is_public: str = "is_public") -> Column:
     """Owner, public, or tagged with one of the user's effective tags. Never null."""

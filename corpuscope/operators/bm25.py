@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import tokens
-from corpuscope.operators.access import first_rows, visible
+from corpuscope.operators.access import first_rows, is_restricted, visible
 from corpuscope.session import join_on_hot_keys, spread, task_count
 
 K1, B, MIN_SCORE = 1.2, 0.75, 0.3
@@ -52,13 +52,13 @@ def _terms_fit(queries: DataFrame, restricted: bool) -> bool:
     return (cells or 0) <= BROADCAST_CELLS
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float = B, open_access: bool = False) -> DataFrame:
     """(query_id, doc_id, score, matched, n_terms) of every visible document that shares a term with the query.
 
-    ``queries``: query_id, text and, for permissions, user_id and user_tags. ``docs``: doc_id, text and, for
-    permissions, owner_id, org_tag, is_public. Document frequencies are taken over the whole table.
+    ``queries``: query_id, text, user_id and user_tags. ``docs``: doc_id, text, owner_id, org_tag, is_public. With
+    ``open_access`` every document is visible and only ids and texts are needed. Document frequencies are taken over the whole table.
     """
-    restricted = "user_tags" in queries.columns
+    restricted = is_restricted(queries, open_access)
     asked = query_terms(queries.select("query_id", "text", *(["user_id", "user_tags"] if restricted else [])))
     docs = spread(docs.select(*[c for c in ("doc_id", "text", *ACCESS_COLUMNS) if c in docs.columns]), "doc_id")
     vocabulary = queries.select(F.explode_outer(tokens("text")).alias("term"))
@@ -76,16 +76,16 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, k1: float = K1, b: float
         F.round(F.sum(part), SCORE_DIGITS).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, min_score: float = MIN_SCORE) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int, *, min_score: float = MIN_SCORE, open_access: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank) of the best ``k`` documents per query with at least ``min_score``."""
-    scored = bm25_scores(queries, docs).where(F.col("score") >= min_score)
+    scored = bm25_scores(queries, docs, open_access=open_access).where(F.col("score") >= min_score)
     return first_rows(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "rank").drop("matched", "n_terms")
 
 
 def bm25_all_terms_rescore(queries: DataFrame, docs: DataFrame, k: int, window: int, *,
-                           first_weight: float = 0.2, all_terms_weight: float = 1.0) -> DataFrame:
+                           first_weight: float = 0.2, all_terms_weight: float = 1.0, open_access: bool = False) -> DataFrame:
     """Rescore the recall window: first pass times 0.2, plus the full score where all terms match."""
-    recall = first_rows(bm25_scores(queries, docs), ["query_id"], [F.desc("score"), F.asc("doc_id")], window)
+    recall = first_rows(bm25_scores(queries, docs, open_access=open_access), ["query_id"], [F.desc("score"), F.asc("doc_id")], window)
     bonus = F.when(F.col("matched") == F.col("n_terms"), F.col("score")).otherwise(0.0)
     final = F.round(first_weight * F.col("score") + all_terms_weight * bonus, SCORE_DIGITS)
     rescored = recall.select("query_id", "doc_id", final.alias("score"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.operators.access import first_rows, visible
+from corpuscope.operators.access import first_rows, is_restricted, visible
 
 MAX_BROADCAST_QUERIES = 8192
 SCORE_DIGITS = 9
@@ -48,14 +48,14 @@ def _best(queries: pd.DataFrame, unit_queries: np.ndarray, block: pd.DataFrame,
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, *, query_blocks: int | None = None,
-               document_blocks: int | None = None) -> DataFrame:
+               document_blocks: int | None = None, open_access: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): best ``k`` visible documents by (1 + cosine) / 2.
 
-    ``queries``: query_id, embedding and optionally user_id, user_tags. ``vectors``: doc_id, embedding and, with
-    user_tags, owner_id, org_tag, is_public. Up to MAX_BROADCAST_QUERIES queries travel to the scan of the documents,
+    ``queries``: query_id, embedding, user_id, user_tags. ``vectors``: doc_id, embedding, owner_id, org_tag, is_public.
+    With ``open_access`` every vector is visible and only ids and embeddings are needed. Up to MAX_BROADCAST_QUERIES queries travel to the scan of the documents,
     which then needs no shuffle. A larger query table is cut into blocks that meet the document blocks in a grid.
     """
-    restricted = "user_tags" in queries.columns
+    restricted = is_restricted(queries, open_access)
     q_cols = ["query_id", "embedding", *(["user_id", "user_tags"] if restricted else [])]
     v_cols = ["doc_id", "embedding", *(["owner_id", "org_tag", "is_public"] if restricted else [])]
     queries, vectors = queries.select(*q_cols), vectors.select(*v_cols)
@@ -105,7 +105,7 @@ def _grid_search(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: i
 
 
 def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int, *, bucket_length: float = 0.6, tables: int = 12,
-                     seed: int = 7) -> DataFrame:
+                     seed: int = 7, open_access: bool = False) -> DataFrame:
     """Approximate top-k: random-projection buckets give candidates, exact cosine ranks them.
 
     On unit vectors the Euclidean distance d and the cosine are tied by cos = 1 - d*d/2. A query that gets fewer than
@@ -124,7 +124,7 @@ def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int, *, bucket_l
     near = model.approxSimilarityJoin(asked, docs, 2.01, distCol="distance")
     flat = near.select(F.col("datasetA.*"), *[F.col(f"datasetB.{c}").alias(c) for c in
                                               ("doc_id", "owner_id", "org_tag", "is_public") if c in docs.columns], "distance")
-    if "user_tags" in queries.columns:
+    if is_restricted(queries, open_access):
         flat = flat.where(visible())
     score = F.round((2.0 - F.col("distance") * F.col("distance") / 2.0) / 2.0, SCORE_DIGITS)
     scored = flat.select("query_id", "doc_id", score.alias("score"))

@@ -69,8 +69,8 @@ def legacy_hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: in
     """One-shot search: vector recall of depth 30k must match the text too, rescored by all-terms BM25, top-k."""
     depth = recall_factor * k
     plain = queries.select("query_id", "text")
-    near = dense_topk(queries.select("query_id", "embedding"), vectors.select("doc_id", "embedding"), depth)
-    lexical = bm25_scores(plain, docs.select("doc_id", "text"))
+    near = dense_topk(queries.select("query_id", "embedding"), vectors.select("doc_id", "embedding"), depth, open_access=True)
+    lexical = bm25_scores(plain, docs.select("doc_id", "text"), open_access=True)
     joined = near.select("query_id", "doc_id", F.col("score").alias("vector_score")).join(lexical, ["query_id", "doc_id"], "full_outer")
     first = F.coalesce("vector_score", F.lit(0.0)) + F.coalesce("score", F.lit(0.0))
     window = first_rows(joined.withColumn("first", F.round(first, 9)), ["query_id"], [F.desc("first"), F.asc("doc_id")], depth)

@@ -66,7 +66,7 @@ def _parents(t):
                         (F.col("doc_id") * 100000 + F.col("chunk_id") - F.col("in_page") % 3).alias("parent_id"), "text")
     parents = ingest.parent_chunks(rows).select((F.col("doc_id") * 100000 + F.col("parent_index")).alias("parent_id"), "parent_text")
     passages = child.select(F.col("child_id").alias("doc_id"), "text")
-    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), passages, 20, min_score=0.0).withColumnRenamed("doc_id", "child_id")
+    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), passages, 20, min_score=0.0, open_access=True).withColumnRenamed("doc_id", "child_id")
     out = fuse.assemble_parents(hits.drop("score"), child, parents, 8)
     return out.select("query_id", "child_id", "parent_id", "rank", F.md5("text").alias("text_md5"), "n_candidates", "n_dropped")
 
@@ -97,7 +97,7 @@ def _any(c, needles):
     return "(" + " OR ".join(f"contains({c}, '{n}')" for n in needles) + ")"
 
 
-HITS = f"""{sql.bm25('questions', 'docs', acl=False)}, top8 AS ({sql.topk('bm_scores', 8, where='WHERE score >= 0.3')}),
+HITS = f"""{sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)}, top8 AS ({sql.topk('bm_scores', 8, where='WHERE score >= 0.3')}),
     ev AS (SELECT h.query_id, h.doc_id, h.rank, f.file_name || '   ' || d.text AS body, d.text, f.file_name FROM top8 h JOIN docs d ON d.doc_id = h.doc_id JOIN files f ON f.doc_id = h.doc_id)"""
 COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(body) AS lb FROM ev),
     aa AS (SELECT query_id, unnest(range(0, len(aspects))) AS i, unnest(aspects) AS aspect FROM asp),
@@ -115,7 +115,7 @@ COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(bo
 
 
 def evidence_hits(t):
-    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), t.docs.select("doc_id", "text"), 8)
+    hits = bm25.bm25_topk(asked(t), t.docs, 8)
     return agentic.as_evidence(hits, t.docs, t.files)
 
 
@@ -123,31 +123,31 @@ def aspects(t):
     return evidence.required_aspects(R.query_plans(t.questions))
 
 
-@query("f14_coverage", f"WITH {COVER} SELECT a.query_id, a.i AS aspect_no, round(a.best, 6) AS best_coverage, round(q.query_coverage, 6) AS query_coverage FROM ac a JOIN qc q ON q.query_id = a.query_id")
+@query("f14_coverage", f"WITH RECURSIVE {COVER} SELECT a.query_id, a.i AS aspect_no, round(a.best, 6) AS best_coverage, round(q.query_coverage, 6) AS query_coverage FROM ac a JOIN qc q ON q.query_id = a.query_id")
 def _coverage(t):
     seen = evidence.coverage(aspects(t), evidence_hits(t))
     return seen.select("query_id", F.posexplode("aspect_scores").alias("aspect_no", "_b"), "query_coverage").select(
         "query_id", "aspect_no", F.round("_b", 6).alias("best_coverage"), F.round("query_coverage", 6).alias("query_coverage"))
 
 
-@query("f15_evidence_status", f"""WITH {COVER} SELECT query_id, status, n_hits, n_covered, CASE status WHEN 'SUFFICIENT' THEN 'ANSWER' WHEN 'CONFLICTED' THEN 'ANSWER_WITH_CONFLICTS' ELSE 'REFINE_RETRIEVAL' END AS action,
+@query("f15_evidence_status", f"""WITH RECURSIVE {COVER} SELECT query_id, status, n_hits, n_covered, CASE status WHEN 'SUFFICIENT' THEN 'ANSWER' WHEN 'CONFLICTED' THEN 'ANSWER_WITH_CONFLICTS' ELSE 'REFINE_RETRIEVAL' END AS action,
     round(CASE WHEN status = 'INSUFFICIENT' AND n_hits = 0 THEN 0.95 ELSE greatest(0, least(1, 0.25::DOUBLE * least(1, n_hits / 4.0::DOUBLE) + 0.4::DOUBLE * query_coverage + 0.35::DOUBLE * aspect_coverage)) END, 6) AS confidence FROM fin""")
 def _status(t):
     out = evidence.assess(aspects(t), evidence_hits(t), phrases=PHRASES)
     return out.select("query_id", "status", "n_hits", F.size("covered").alias("n_covered"), "action", F.round("confidence", 6).alias("confidence"))
 
 
-@query("f16_conflicts", f"WITH {COVER} SELECT query_id, conflict FROM qc")
+@query("f16_conflicts", f"WITH RECURSIVE {COVER} SELECT query_id, conflict FROM qc")
 def _conflicts(t):
     return evidence.coverage(aspects(t), evidence_hits(t), PHRASES).select("query_id", "conflict")
 
 
-@query("f17_progress_signature", f"WITH {COVER} SELECT query_id, sha256(status || '|' || ids || '|' || covered) AS signature FROM fin")
+@query("f17_progress_signature", f"WITH RECURSIVE {COVER} SELECT query_id, sha256(status || '|' || ids || '|' || covered) AS signature FROM fin")
 def _signature(t):
     return evidence.assess(aspects(t), evidence_hits(t), phrases=PHRASES).select("query_id", "signature")
 
 
-@query("f18_corrective_queries", f"""WITH {COVER}, ms AS (SELECT query_id, list(aspect ORDER BY i) FILTER (best < 0.5) AS missing FROM ac GROUP BY 1),
+@query("f18_corrective_queries", f"""WITH RECURSIVE {COVER}, ms AS (SELECT query_id, list(aspect ORDER BY i) FILTER (best < 0.5) AS missing FROM ac GROUP BY 1),
     cand AS (SELECT query_id, unnest(range(0, len(missing))) AS o, 'DECOMPOSED' AS variant_type, unnest(missing) AS variant FROM ms WHERE missing IS NOT NULL
       UNION ALL SELECT query_id, 1000, 'LEXICAL', array_to_string(missing, ' ') FROM ms WHERE missing IS NOT NULL
       UNION ALL SELECT ms.query_id, 0, 'SEMANTIC', array_to_string(list_concat(a.entities, [a.text]), ' ') FROM ms JOIN asp a ON a.query_id = ms.query_id WHERE missing IS NULL),
@@ -174,12 +174,12 @@ def _trace(t):
     return agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, max_rounds=1).trace
 
 
-@query("f21_context_pack", f"""WITH {HITS} SELECT query_id, string_agg('[' || rank || '] (' || file_name || ' | 第' || rank || '页) ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END || chr(10), '' ORDER BY rank) AS context FROM ev GROUP BY query_id""")
+@query("f21_context_pack", f"""WITH RECURSIVE {HITS} SELECT query_id, string_agg('[' || rank || '] (' || file_name || ' | 第' || rank || '页) ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END || chr(10), '' ORDER BY rank) AS context FROM ev GROUP BY query_id""")
 def _pack(t):
     return context.context_pack(evidence_hits(t).withColumn("page", F.col("rank")))
 
 
-@query("f21_tool_text", f"""WITH {HITS} SELECT e.query_id, '检索到 ' || count(*) || ' 个知识库片段。' || chr(10) || chr(10) || string_agg('[' || e.rank || '] ' || file_name || ' (doc=' || e.doc_id || ', score=' || printf('%.4f', e.rank::DOUBLE) || ')' || chr(10)
+@query("f21_tool_text", f"""WITH RECURSIVE {HITS} SELECT e.query_id, '检索到 ' || count(*) || ' 个知识库片段。' || chr(10) || chr(10) || string_agg('[' || e.rank || '] ' || file_name || ' (doc=' || e.doc_id || ', score=' || printf('%.4f', e.rank::DOUBLE) || ')' || chr(10)
     || CASE WHEN length(text) > 1200 THEN left(text, 1200) || '…' ELSE text END, chr(10) || chr(10) ORDER BY e.rank) AS content FROM ev e GROUP BY e.query_id""")
 def _tool_text(t):
     return context.tool_text(evidence_hits(t).withColumn("score", F.col("rank").cast("double")))

@@ -8,6 +8,7 @@ from corpuscope.operators import access, bm25, evaluate as E, traces
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.lists import LATEST
 from corpuscope.plans.registry import query
+from corpuscope.plans.retrieval import asked
 
 _R4 = "floor(({v}) * 10000 + 0.5) / 10000"
 
@@ -16,7 +17,7 @@ def r4(v):
     return _R4.format(v=f"CAST({v} AS DOUBLE)")
 
 
-CASES = f"""{sql.bm25('questions', 'docs', acl=False)}, top10 AS ({sql.topk('bm_scores', 10)}),
+CASES = f"""{sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)}, top10 AS ({sql.topk('bm_scores', 10)}),
     tot AS (SELECT query_id, count(*) AS relevant FROM qrels GROUP BY 1),
     gain AS (SELECT query_id, count(*) AS hits, min(rank) AS best, sum(1.0::DOUBLE / log2(rank + 1)) AS dcg FROM top10 JOIN qrels USING (query_id, doc_id) GROUP BY 1),
     cases AS (SELECT query_id, relevant, coalesce(hits, 0) AS hits, {r4('coalesce(hits, 0)::DOUBLE / relevant')} AS recall_at_k, {r4('coalesce(1.0::DOUBLE / best, 0)')} AS reciprocal_rank,
@@ -25,12 +26,12 @@ CASES = f"""{sql.bm25('questions', 'docs', acl=False)}, top10 AS ({sql.topk('bm_
 
 
 def cases(t):
-    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), t.docs.select("doc_id", "text"), 10, min_score=0.0)
+    hits = bm25.bm25_topk(asked(t), t.docs, 10, min_score=0.0)
     found = E.retrieval_cases(hits, t.qrels, 10)
     return found.withColumn("latency_ms", F.col("relevant") * 100 + F.col("query_id"))
 
 
-@query("g12_retrieval_metrics", f"WITH {CASES} SELECT query_id, relevant, hits, recall_at_k, reciprocal_rank, ndcg_at_k FROM cases")
+@query("g12_retrieval_metrics", f"WITH RECURSIVE {CASES} SELECT query_id, relevant, hits, recall_at_k, reciprocal_rank, ndcg_at_k FROM cases")
 def _metrics(t):
     return cases(t).drop("latency_ms")
 
@@ -39,7 +40,7 @@ REPORT = f"""{CASES}, report AS (SELECT count(*) AS queries, {r4('avg(recall_at_
     {r4('count(*) FILTER (hits = 0)::DOUBLE / count(*)')} AS zero_recall_rate, CAST(quantile_disc(latency_ms, 0.95) AS DOUBLE) AS p95_latency_ms FROM cases)"""
 
 
-@query("g13_retrieval_report", f"WITH {REPORT} SELECT * FROM report")
+@query("g13_retrieval_report", f"WITH RECURSIVE {REPORT} SELECT * FROM report")
 def _report(t):
     return E.retrieval_report(cases(t))
 
@@ -48,7 +49,7 @@ _GATES = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS val
                             for m, b, low in E.RETRIEVAL_GATES)
 
 
-@query("g14_quality_gates", f"""WITH {REPORT}, g AS ({_GATES}), c AS (SELECT *, CASE WHEN is_minimum THEN value >= threshold ELSE value <= threshold END AS passed FROM g)
+@query("g14_quality_gates", f"""WITH RECURSIVE {REPORT}, g AS ({_GATES}), c AS (SELECT *, CASE WHEN is_minimum THEN value >= threshold ELSE value <= threshold END AS passed FROM g)
     SELECT *, (SELECT bool_and(passed) FROM c) AS gate_passed FROM c""")
 def _gate(t):
     return E.gate(E.retrieval_report(cases(t)))

@@ -109,13 +109,14 @@ def _top(t):
     return usage.top_consumers(t.ledger, "2024-01-15")
 
 
-@query("h01_final_rank", f"""WITH {sql.bm25('questions', 'docs', acl=False)} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm_scores""")
+@query("h01_final_rank", f"""WITH RECURSIVE {sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm_scores""")
 def _ranks(t):
     from pyspark.sql import Window
 
     from corpuscope.operators.bm25 import bm25_scores
+    from corpuscope.plans.retrieval import asked
 
-    scored = bm25_scores(t.questions.select("query_id", "text"), t.docs.select("doc_id", "text"))
+    scored = bm25_scores(asked(t), t.docs)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return scored.select("query_id", "doc_id", F.row_number().over(w).alias("rank"))
 

@@ -50,7 +50,7 @@ def _bm25(t):
     f AS (SELECT query_id, doc_id, round(0.2::DOUBLE * score + CASE WHEN matched = n_terms THEN score ELSE 0 END, 9) AS score FROM w)
     SELECT query_id, doc_id, rank, {_R6} FROM ({sql.topk('f', 10)}) x""")
 def _rescore(t):
-    return bm25.bm25_all_terms_rescore(t.questions, t.docs, 10, 300)
+    return bm25.bm25_all_terms_rescore(t.questions, t.docs, 10, 300, open_access=True)
 
 
 @query("f03_dense_topk", f"""WITH RECURSIVE {sql.EFFECTIVE}, {DENSE_ALL}
@@ -131,7 +131,7 @@ def _rerank(t):
 
 def vector_scores(t: Tables):
     """Scores of an outside model, for the queries whose id is not a multiple of three: here the vector channel's."""
-    scored = dense.dense_topk(t.question_vectors.select("query_id", "embedding"), t.vectors.select("doc_id", "embedding"), 100)
+    scored = dense.dense_topk(t.question_vectors.select("query_id", "embedding"), t.vectors.select("doc_id", "embedding"), 100, open_access=True)
     return scored.where(F.col("query_id") % 3 != 0).select("query_id", "doc_id", "score")
 
 

@@ -52,13 +52,22 @@ def test_user_without_identity_sees_public_rows_only(spark, tables):
 
 
 def test_salted_join_equals_broadcast_join(tables, monkeypatch):
-    queries = tables.questions.select("query_id", "text")
-    plain = bm25.bm25_topk(queries, tables.docs.drop("owner_id"), 10).orderBy("query_id", "rank").collect()
+    queries = asked(tables)
+    plain = bm25.bm25_topk(queries, tables.docs, 10).orderBy("query_id", "rank").collect()
     monkeypatch.setattr(bm25, "BROADCAST_CELLS", 0)
-    salted = bm25.bm25_topk(queries, tables.docs.drop("owner_id"), 10).orderBy("query_id", "rank").collect()
+    salted = bm25.bm25_topk(queries, tables.docs, 10).orderBy("query_id", "rank").collect()
     assert salted == plain
 
 
+def test_search_without_identity_is_refused(tables):
+    queries = tables.questions.select("query_id", "text")
+    vectors = tables.question_vectors.select("query_id", "embedding")
+    for search in (lambda: bm25.bm25_topk(queries, tables.docs, 5), lambda: dense.dense_topk(vectors, tables.vectors, 5),
+                   lambda: dense.approximate_topk(vectors, tables.vectors, 5)):
+        with pytest.raises(ValueError, match="open_access"):
+            search()
+
+
 def test_grid_search_equals_scan_search(tables):
     queries = asked_vectors(tables)
     scan = dense.dense_topk(queries, tables.vectors, 7).orderBy("query_id", "rank").collect()
@@ -69,7 +78,7 @@ def test_grid_search_equals_scan_search(tables):
 def test_dense_scores_equal_brute_force(tables):
     q = {r["query_id"]: np.array(r["embedding"], dtype=float) for r in tables.question_vectors.collect()}
     d = {r["doc_id"]: np.array(r["embedding"], dtype=float) for r in tables.vectors.collect()}
-    rows = dense.dense_topk(tables.question_vectors.select("query_id", "embedding"), tables.vectors.select("doc_id", "embedding"), 5).collect()
+    rows = dense.dense_topk(tables.question_vectors.select("query_id", "embedding"), tables.vectors.select("doc_id", "embedding"), 5, open_access=True).collect()
     for query, vector in q.items():
         score = {k: round((1 + float(vector @ v / np.linalg.norm(vector) / np.linalg.norm(v))) / 2, 9) for k, v in d.items()}
         want = sorted(score, key=lambda k: (-score[k], k))[:5]
@@ -162,7 +171,7 @@ def test_refinement_is_bounded_and_keeps_every_question(tables):
 def test_bm25_formula(spark):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "cat cat bird"), (3, "fish fish")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "cat")], "query_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in bm25.bm25_scores(queries, docs).collect()}
+    got = {r["doc_id"]: r["score"] for r in bm25.bm25_scores(queries, docs, open_access=True).collect()}
     idf = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5))
     want = {d: idf * tf / (tf + 1.2 * (0.25 + 0.75 * dl / (7 / 3))) for d, tf, dl in ((1, 1, 2), (2, 2, 3))}
     assert got == pytest.approx(want, abs=1e-8)
