@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from corpuscope.session import ensure_checkpoint_dir
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows up to which a counted side may be broadcast; a physical choice only, both ways give the same rows
 BROADCAST_ROWS = 200_000
@@ -48,6 +51,15 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder, compressed and read back; it survives lost executors."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: Column, salts: int = 16) -> DataFrame:
     """Inner join with a side of one row per key: a key with a large share of ``many`` is spread over ``salts`` tasks."""
     left = many.withColumn("_salt", F.pmod(spread_by, F.lit(salts)).cast("int"))

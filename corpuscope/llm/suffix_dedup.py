@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import map_text, text_of
+from corpuscope.llm.base import map_text, stored, text_of
 from corpuscope.session import cut_lineage, task_count
 
 LENGTH, GRAM = 100, 16
@@ -280,8 +281,26 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(docs["doc_id"].alias("doc_id"), tag.alias("tag")).alias("key"), text_of(docs).alias("text"))
 
 
+def _ranks(held: Spool) -> np.ndarray:
+    """Numbers in the order of (key, place) within every h; rows that repeat a place share one."""
+    last, parts, at = None, [], 0
+    for batch in held.read():
+        keys = batch.select(["h", "key", "place"]).to_struct_array()
+        new = np.ones(len(keys), bool)
+        if len(keys) > 1:
+            same = [pc.equal(a.slice(1), a.slice(0, len(a) - 1)).fill_null(True).to_numpy(zero_copy_only=False) for a in (
+                batch.column("h"), batch.column("place"), *batch.column("key").flatten())]
+            new[1:] = ~np.logical_and.reduce(same)
+        new[0] = keys[0].as_py() != last
+        last = keys[len(keys) - 1].as_py()
+        part = at + np.cumsum(new)
+        at = int(part[-1])
+        parts.append(part)
+    return np.concatenate(parts)
+
+
 def _sorted_shards(shards: DataFrame, length: int) -> DataFrame:
-    """``key``, ``start``, ``stop`` of repeated bytes, from rows (h, key, place, anchor, body) that come sorted by h within their partitions."""
+    """``key``, ``start``, ``stop`` of repeated bytes, from rows (h, key, place, anchor, body, size) that come sorted by h, key, place within their partitions."""
     kind = dict(shards.dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +321,7 @@ def _sorted_shards(shards: DataFrame, length: int) -> DataFrame:
             yield from solve(held)
 
     def solve(held: Spool) -> Iterator[pa.RecordBatch]:
-        flags = repeated_windows(held.bodies(), held.numbers("size"), held.numbers("anchor"), held.numbers("rank"), length)
+        flags = repeated_windows(held.bodies(), held.numbers("size"), held.numbers("anchor"), _ranks(held), length)
         done = 0
         for batch in held.read():
             part = flags[done : done + batch.num_rows]
@@ -317,10 +336,8 @@ def _sorted_shards(shards: DataFrame, length: int) -> DataFrame:
     return shards.mapInArrow(run, f"key {kind}, start long, stop long")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``key`` and ``spans``: sorted byte ranges (start, stop) that repeats cover, for documents that have any."""
-    rows = keyed_rows(docs)
-    spark = docs.sparkSession
+def _occurrences(rows: DataFrame, length: int) -> DataFrame:
+    """Segments of anchors that occur twice or more: ``h``, ``g``, ``key``, ``place``, ``salt``, and ``first``, ``mixed`` within its (h, salt)."""
     lone = map_text(rows, "text", "h array<long>", lambda texts: [(segments(t, length)[0],) for t in texts])
     counted = lone.select(F.explode_outer("h").alias("h")).where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = cut_lineage(counted)
@@ -328,25 +345,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hot = F.broadcast(repeated.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h", F.lit(SALTS).alias("salts")))
     full = map_text(rows, "text", "h array<long>, g array<long>, place array<long>", lambda texts: [segments(t, length) for t in texts])
     found = full.select("key", F.explode_outer(F.arrays_zip("h", "g", "place")).alias("s")).select("key", "s.*").where("h IS NOT NULL")
-    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(SALTS))).cast("int")
+    salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(SALTS))).cast("int")
     found = found.join(hot, "h", "left").select("h", "g", "key", "place", salt.alias("salt"))
-    known = repeated.join(hot, "h", "left").select("h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    met = cut_lineage(found.join(known, ["h", "salt"]))
+    salts = F.when(F.col("salts").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    known = repeated.select("h").join(hot, "h", "left").select("h", F.explode(salts).alias("salt"))
+    met = found.join(known, ["h", "salt"])
+    # what follows keeps the partitioning of the join: no segment is shuffled again
+    group = Window.partitionBy("h", "salt")
+    ranked = met.withColumn("nth", F.rank().over(Window.partitionBy("h", "salt", "g").orderBy("key", "place")))
+    bodies = F.max("g").over(group) != F.min("g").over(group)
+    return ranked.select("h", "g", "key", "place", "salt", (F.col("nth") == 1).alias("first"), bodies.alias("mixed"))
 
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``key`` and ``spans``: sorted byte ranges (start, stop) that repeats cover, for documents that have any."""
+    rows = keyed_rows(docs)
+    spark = docs.sparkSession
+    met = stored(_occurrences(rows, length).where("NOT first OR mixed OR salt >= 0"))
+    # of a spread anchor, the firsts of the salts meet here: at most SALTS rows for a segment
+    ends = met.where("first AND salt >= 0").select("h", "g", "key", "place")
     spot = F.struct("key", "place")
-    least = met.groupBy("h", "g", "salt").agg(F.min(spot).alias("first"), F.count("*").alias("n")).groupBy("h", "g").agg(
-        F.min("first").alias("first"), F.sum("n").alias("n"), F.max("salt").alias("top"))
-    least = cut_lineage(least)
-    several = least.where("n > 1").select("h", "g", "first", F.explode(F.when(F.col("top") > 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    copies = met.join(several, ["h", "g", "salt"]).where(spot > F.col("first"))
+    least = ends.groupBy("h", "g").agg(F.min(spot).alias("least"))
+    spread_copies = ends.join(least, ["h", "g"]).where(spot > F.col("least")).select("key", "place")
+    several = least.groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h")
+    spread_mixed = least.join(several, "h").select("h", "least.key", "least.place")
+
+    copies = met.where("NOT first").select("key", "place").unionByName(spread_copies)
     begin, count = F.shiftright("place", 7), F.col("place").bitwiseAND(F.lit(127))
     copied = copies.select("key", begin.alias("start"), (begin + count + (length - 1)).alias("stop"))
 
-    mixed = least.groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h")
-    wanted = least.join(mixed, "h").select("h", "first.key", "first.place").groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
+    mixed = met.where("first AND mixed AND salt < 0").select("h", "key", "place").unionByName(spread_mixed)
+    wanted = mixed.groupBy("key").agg(F.collect_list(F.struct("h", "place")).alias("wanted"))
     width = task_count(spark)
-    dealt = rows.dropDuplicates(["key"]).repartition(width, "key")
-    texts = dealt.join(wanted, "key")
+    texts = rows.repartition(width, "key").join(wanted, "key")
 
     def cut(cells: list) -> list[tuple]:
         out = []
@@ -361,12 +392,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return out
 
     bodies = map_text(texts.select("key", F.struct("text", "wanted").alias("cell")), "cell", "s array<struct<h:long,place:long,anchor:int,body:binary>>", cut)
-    each = bodies.select("key", F.explode_outer("s").alias("s")).select("key", "s.*").where("h IS NOT NULL")
-    shards = each.repartition(width, "h").sortWithinPartitions("h", "key", F.col("place"))
-    ranked = shards.withColumn("size", F.length("body")).withColumn("rank", F.monotonically_increasing_id())  # rows of one h come in the order of (key, place)
-    sorted_out = _sorted_shards(ranked, length)
+    each = bodies.select("key", F.explode_outer("s").alias("s")).select("key", "s.*").where("h IS NOT NULL").withColumn("size", F.length("body"))
+    sorted_out = _sorted_shards(each.repartition(width, "h").sortWithinPartitions("h", "key", "place"), length)
     span = F.struct(F.col("start").alias("start"), F.col("stop").alias("stop"))
-    return copied.unionByName(sorted_out).groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    return copied.unionByName(sorted_out).groupBy("key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
 def anchor_of(body: bytes, length: int = LENGTH) -> int:
