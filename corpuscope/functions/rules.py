@@ -6,8 +6,11 @@ French and Spanish, so that the rules also fire on text in those languages.
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,12 +177,31 @@ def merge_slots(known: Column, missing: Column, answer: Column) -> Column:
         F.map_entries(F.map_filter(known, lambda k, _: ~F.array_contains(F.map_keys(added), k))), F.map_entries(added)))
 
 
-def flat_action_fingerprint(tool: Column, args: Column) -> Column:
-    """SHA-256 of tool and flat JSON arguments with sorted keys and squeezed text values."""
-    entries = F.array_sort(F.map_entries(F.from_json(args, "map<string,string>")))
-    body = F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), F.regexp_replace(jtrim(e["value"]), r"\s+", " "),
-                                                                F.lit('"'))), ",")
-    return F.sha2(F.concat(jtrim(tool), F.lit("\n{"), F.coalesce(body, F.lit("")), F.lit("}")), 256)
+def _squeezed(value):
+    if isinstance(value, dict):
+        return {k: _squeezed(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_squeezed(v) for v in value]
+    return re.sub(r"\s+", " ", value.strip("".join(map(chr, range(33))))) if isinstance(value, str) else value
+
+
+def canonical(text: str | None) -> str:
+    """JSON with keys sorted at every level, types kept, strings squeezed and escaped. Nothing is an empty object; no JSON stands as a string."""
+    try:
+        value = json.loads(text) if text and text.strip() else {}
+    except ValueError:
+        value = text
+    return json.dumps(_squeezed(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def canonical_json(args: Column) -> Column:
+    """``canonical`` by Arrow batches: no built-in rewrites strings inside nested objects."""
+    return F.pandas_udf(lambda texts: pd.Series([canonical(t) for t in texts], dtype=object), "string")(args)
+
+
+def action_fingerprint(tool: Column, args: Column) -> Column:
+    """SHA-256 of tool and canonical JSON arguments."""
+    return F.sha2(F.concat(jtrim(tool), F.lit("\n"), canonical_json(args)), 256)
 
 
 # --- fixed values: failures and what to do about them -------------------------------------------

@@ -139,10 +139,10 @@ def _fingerprint(t):
     return t.messages.select("conv_id", "pos", X.fingerprint("content").alias("fingerprint"))
 
 
-@query("c12_action_fingerprint", """SELECT event_id, sha256(event_type || chr(10) || '{"k":"' || regexp_extract(props, '[0-9]+', 0) || '","source":"a b"}') AS fingerprint FROM events""")
+@query("c12_action_fingerprint", """SELECT event_id, sha256(event_type || chr(10) || '{"k":' || regexp_extract(props, '[0-9]+', 0) || ',"source":"a b"}') AS fingerprint FROM events""")
 def _action(t):
     args = F.concat(F.lit('{"source": " a  b ", '), F.substring("props", 2, 1000))
-    return t.events.select("event_id", R.flat_action_fingerprint(F.col("event_type"), args).alias("fingerprint"))
+    return t.events.select("event_id", R.action_fingerprint(F.col("event_type"), args).alias("fingerprint"))
 
 
 @query("c13_term_sets", f"""SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9一-龥]+'), lambda t: length(t) > 1))) AS rerank_terms,

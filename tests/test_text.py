@@ -165,3 +165,15 @@ def test_overlap_starts_with_previous_sentence(spark):
     df = spark.createDataFrame([("aaaaaaa. bbbbbbb. ccccccc. ddddddd.",)], "text string")
     out = [r["text"] for r in C.chunk_table(df.withColumn("id", F.lit(1)), ["id"], size=20, overlap=10, minimum=1).orderBy("pos").collect()]
     assert len(out) == 2 and out[1].startswith("bbbbbbb.")
+
+
+def test_action_fingerprints_tell_unequal_arguments_apart(spark):
+    from corpuscope.functions import rules
+
+    args = ['{"k":1}', '{"k":"1"}', '{"a":"x","b":"y"}', '{"a":"x\\",\\"b\\":\\"y"}', '{"o":{"a":1,"b":[1,2]}}', '{"o":{"a":1,"b":[2,1]}}', "", "not json"]
+    same = [('{"o": {"b": [1, 2], "a": 1}}', '{"o":{"a":1,"b":[1,2]}}'), ('{"t":"  a \\n b "}', '{"t":"a b"}'), (None, "{}")]
+    rows = [(i, a) for i, a in enumerate(args)] + [(100 + 2 * i + j, a) for i, pair in enumerate(same) for j, a in enumerate(pair)]
+    table = spark.createDataFrame(rows, "id int, args string")
+    got = {r["id"]: r["f"] for r in table.select("id", rules.action_fingerprint(F.lit("search"), F.col("args")).alias("f")).collect()}
+    assert len({got[i] for i in range(len(args))}) == len(args)
+    assert all(got[100 + 2 * i] == got[101 + 2 * i] for i in range(len(same)))
