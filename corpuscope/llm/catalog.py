@@ -49,7 +49,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = disclosure.find(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] < len(disclosure.KINDS))
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(disclosure.KINDS)]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(i).eqNullSafe)).cast("long").alias(f"n_{k}") for i, k in enumerate(disclosure.KINDS)]
     return out.select("doc_id", *counts, sha256_hex(disclosure.listed(base)).alias("base_sha256"), disclosure.listed(F.col("spans")).alias("spans"))
 
 
@@ -99,7 +100,9 @@ QUERIES: dict[str, Run] = {
 
 SQL: dict[str, str] = {
     "op5_chat_format": oracles.CHAT,
+    "op6_disclosure": oracles.DISCLOSURE,
     "op7_winnowing": oracles.WINNOWING,
+    "op9_quality": oracles.QUALITY,
     "op10_line_windows": oracles.LINE_WINDOWS,
 }
 
