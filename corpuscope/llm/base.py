@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from corpuscope.session import ensure_checkpoint_dir
+from corpuscope.session import ensure_checkpoint_dir, ship_package
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows up to which a counted side may be broadcast; a physical choice only, both ways give the same rows
@@ -72,6 +72,7 @@ def map_text(rows: DataFrame, column: str, added: str, fn: Callable[[list], list
 
     Arrow batches are worked in slices of ``step`` rows; the other columns pass through untouched, nulls included.
     """
+    ship_package(rows.sparkSession)
     kept = [c for c in rows.columns if c != column]
     kinds = dict(rows.dtypes)
     new = StructType.fromDDL(added)

@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, identity: tuple[tuple[str, ...], ...
         names = sorted({r["feature"] for r in best.select("feature").collect()} | {f for w in other for f in word_features(w)})
         number = {f: i for i, f in enumerate(names)}
         shared = docs.sparkSession.sparkContext.broadcast(number)
-        coded = F.udf(lambda fs: sorted(shared.value[f] for f in fs if f in shared.value), "array<int>")
-        kept = parts.select("doc_id", "toxic", coded("found").alias("x"), F.transform("swaps", lambda s: s["own"]).alias("own"),
+        coded = map_text(parts, "found", "x array<int>", lambda lists: [(sorted(shared.value[f] for f in fs if f in shared.value),) for fs in lists])
+        kept = coded.select("doc_id", "toxic", "x", F.transform("swaps", lambda s: s["own"]).alias("own"),
                             F.transform("swaps", lambda s: s["twin"]).alias("twin")).collect()
         shared.destroy()
     finally:
