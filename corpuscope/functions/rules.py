@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import STOP_WORDS_QUESTION, fingerprint, jtrim, let
+from corpuscope.functions.text import STOP_WORDS_QUESTION, fingerprint, is_blank, jtrim, let
 
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -258,6 +258,18 @@ def yuan(amount: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\.00$", ""), r"(\.\d)0$", "$1")
 
 
+def discount_percent(discount: Column | str) -> Column:
+    """Tenths text ("8.5") to percent (85), halves down; null for blank text."""
+    tenths = F.trim(F.col(discount) if isinstance(discount, str) else discount).cast("decimal(18,6)") * 10
+    return F.when(~is_blank(discount), F.ceil(tenths - F.lit("0.5").cast("decimal(2,1)")).cast("int"))
+
+
+def percent_discount(percent: Column | str) -> Column:
+    """Percent (85) to tenths text with one decimal ("8.5"); null stays null."""
+    value = F.col(percent) if isinstance(percent, str) else percent
+    return (value.cast("decimal(18,1)") / 10).cast("decimal(18,1)").cast("string")
+
+
 def legal_price(price: Column | str) -> Column:
     return F.coalesce(cents(price) > 0, F.lit(False))
 

@@ -88,6 +88,12 @@ def tag_details(users: DataFrame, tags: DataFrame) -> DataFrame:
         "user_id", F.coalesce(F.array_join(F.transform("_l", lambda x: x["n"]), ","), F.lit("")).alias("tag_names"))
 
 
+def file_tag_names(files: DataFrame, tags: DataFrame) -> DataFrame:
+    """Add ``org_tag_name`` to files: the name of the tag, an unknown tag's id, null without a tag."""
+    names = tags.select(F.col("tag_id").alias("org_tag"), F.col("name").alias("_name"))
+    return files.join(names, "org_tag", "left").withColumn("org_tag_name", F.coalesce("_name", "org_tag")).drop("_name")
+
+
 def low_balance(ledger: DataFrame, threshold: int) -> DataFrame:
     """Rows on each user's latest date and token type with balance_after at most ``threshold``.
 

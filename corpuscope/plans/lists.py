@@ -171,6 +171,11 @@ def _details(t):
     return listing.tag_details(t.users, t.org_tags)
 
 
+@query("e04_file_tag_names", """SELECT f.doc_id, coalesce(o.name, f.org_tag) AS org_tag_name FROM files f LEFT JOIN org_tags o ON o.tag_id = f.org_tag""")
+def _file_tags(t):
+    return listing.file_tag_names(t.files, t.org_tags).select("doc_id", "org_tag_name")
+
+
 @query("e05_latest_steps", f"""WITH {LATEST} SELECT r.generation_id, r.status AS run_status, l.step_id, l.id, l.stage, l.status FROM runs r JOIN latest l ON l.generation_id = r.generation_id""")
 def _latest(t):
     runs = t.runs.select("generation_id", F.col("status").alias("run_status"))

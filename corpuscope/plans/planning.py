@@ -224,3 +224,11 @@ def _snippet(t):
 def _prices(t):
     text = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     return t.orders.select(F.col("o_orderkey").alias("order_id"), R.cents(text).alias("cents"), R.yuan(R.cents(text)).alias("yuan"), R.legal_price(text).alias("legal"))
+
+
+@query("c20_discounts", """SELECT l_orderkey AS order_id, l_linenumber AS line_no, CAST(round(l_discount * 100) AS INT) AS percent,
+      CAST(CAST(round(l_discount * 100) / 10 AS DECIMAL(18,1)) AS VARCHAR) AS discount FROM lineitem""")
+def _discounts(t):
+    text = (F.col("l_discount") * 10).cast("decimal(18,1)").cast("string")
+    return t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), R.discount_percent(text).alias("percent"),
+                             R.percent_discount(R.discount_percent(text)).alias("discount"))
