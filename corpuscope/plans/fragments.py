@@ -50,3 +50,45 @@ def dense(queries: str, vectors: str, *, acl: bool) -> str:
         OR (q.user_id, v.org_tag) IN (SELECT (user_id, tag) FROM eff)""") if acl else ""
     return f"""SELECT q.query_id, v.doc_id, round((1 + list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
         CAST(v.embedding AS DOUBLE[]))) / 2, 9) AS score FROM {queries} q, {vectors} v {visible}"""
+
+
+# Folds of the chunker as list_reduce over states {done, cur}.
+_NONE = "{'done': []::VARCHAR[], 'cur': ''}"
+
+
+def trimmed(value: str) -> str:
+    return f"regexp_replace({value}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+
+
+def _closed(state: str, trim: bool) -> str:
+    last = trimmed(f"{state}.cur") if trim else f"{state}.cur"
+    return f"CASE WHEN {state}.cur <> '' THEN list_append({state}.done, {last}) ELSE {state}.done END"
+
+
+def _fold(items: str, name: str, step: str, trim: bool) -> str:
+    """Pieces that the fold of ``items`` leaves; ``step`` names the state ``a{name}`` and the item ``x{name}.cur``."""
+    states = f"list_concat([{_NONE}], list_transform({items}, lambda u{name}: {{'done': []::VARCHAR[], 'cur': u{name}}}))"
+    return f"list_transform([list_reduce({states}, lambda a{name}, x{name}: {step})], lambda s{name}: {_closed('s' + name, trim)})[1]"
+
+
+def split_sentence(value: str, size: int) -> str:
+    step = (f"CASE WHEN a1.cur <> '' AND length(a1.cur) + length(x1.cur) > {size} THEN {{'done': list_append(a1.done, a1.cur), 'cur': x1.cur}} "
+            "ELSE {'done': a1.done, 'cur': a1.cur || x1.cur} END")
+    return _fold(f"regexp_extract_all({value}, '(?s)[A-Za-z0-9_]+|\\s+|.')", "1", step, False)
+
+
+def split_paragraph(value: str, size: int) -> str:
+    marked = f"regexp_replace(regexp_replace({value}, '([。！？；])', '\\1' || chr(1), 'g'), '([.!?;])\\s+', '\\1' || chr(1), 'g')"
+    step = (f"CASE WHEN length(a2.cur) + length(x2.cur) <= {size} THEN {{'done': a2.done, 'cur': a2.cur || x2.cur}} "
+            f"WHEN length(x2.cur) > {size} THEN {{'done': list_concat({_closed('a2', True)}, {split_sentence('x2.cur', size)}), 'cur': ''}} "
+            f"ELSE {{'done': {_closed('a2', True)}, 'cur': x2.cur}} END")
+    return _fold(f"string_split({marked}, chr(1))", "2", step, True)
+
+
+def pack_paragraphs(value: str, size: int) -> str:
+    parts = f"list_filter(list_transform(regexp_split_to_array({value}, '\\n\\n+'), lambda p: {trimmed('p')}), lambda p: p <> '')"
+    step = (f"CASE WHEN length(x3.cur) > {size} THEN {{'done': list_concat({_closed('a3', True)}, {split_paragraph('x3.cur', size)}), 'cur': ''}} "
+            f"WHEN length(a3.cur) + length(x3.cur) + CASE WHEN a3.cur = '' THEN 0 ELSE 2 END <= {size} "
+            "THEN {'done': a3.done, 'cur': CASE WHEN a3.cur = '' THEN x3.cur ELSE a3.cur || chr(10) || chr(10) || x3.cur END} "
+            f"ELSE {{'done': {_closed('a3', True)}, 'cur': x3.cur}} END")
+    return _fold(parts, "3", step, True)

@@ -154,7 +154,11 @@ def _paragraphs(t):
     return t.documents.select("doc_id", F.size(ps).alias("paragraphs"), size.alias("characters"))
 
 
-@query("b03_paragraph_packing")
+def _pieces(expression: str) -> str:
+    return f"SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INT) AS pos, unnest(ps) AS text FROM (SELECT doc_id, {expression} AS ps FROM documents)"
+
+
+@query("b03_paragraph_packing", _pieces(sql.pack_paragraphs("replace(text, chr(10), chr(10) || chr(10))", 512)))
 def _packing(t):
     from corpuscope.functions.chunking import pack_paragraphs
 
@@ -163,23 +167,20 @@ def _packing(t):
     return spread(t.documents, "doc_id").select("doc_id", F.posexplode(pack_paragraphs(text, 512)).alias("pos", "text"))
 
 
-@query("b04_long_paragraphs")
+@query("b04_long_paragraphs", _pieces(sql.split_paragraph("text", 512)))
 def _sentences(t):
     from corpuscope.functions.chunking import split_paragraph
 
     return spread(t.documents, "doc_id").select("doc_id", F.posexplode(split_paragraph(F.col("text"), 512)).alias("pos", "text"))
 
 
-@query("b05_long_sentences", """SELECT doc_id, pos, length(line) AS characters, true AS rejoins, true AS bounded FROM lines""")
+@query("b05_long_sentences", f"""SELECT doc_id, pos, length(line) AS characters, len(ps) AS pieces, md5(array_to_string(ps, chr(1))) AS digest
+    FROM (SELECT doc_id, pos, line, {sql.split_sentence('line', 40)} AS ps FROM lines)""")
 def _words(t):
     from corpuscope.functions.chunking import split_sentence
 
-    pieces = split_sentence(F.col("line"), 40)
-    lines = t.lines.withColumn("_pieces", pieces)
-    longest_token = F.array_max(F.transform(F.regexp_extract_all("line", F.lit("[A-Za-z0-9_]+"), F.lit(0)), lambda w: F.length(w)))
-    bound = F.greatest(F.lit(40), F.coalesce(longest_token, F.lit(0)))
-    return lines.select("doc_id", "pos", F.length("line").alias("characters"), (F.array_join("_pieces", "") == F.col("line")).alias("rejoins"),
-                        F.forall("_pieces", lambda p: F.length(p) <= bound).alias("bounded"))
+    lines = t.lines.withColumn("_pieces", split_sentence(F.col("line"), 40))
+    return lines.select("doc_id", "pos", F.length("line").alias("characters"), F.size("_pieces").alias("pieces"), F.md5(F.array_join("_pieces", "\x01")).alias("digest"))
 
 
 @query("b06_merge_short", r"""WITH RECURSIVE l AS (SELECT doc_id, tx, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (
