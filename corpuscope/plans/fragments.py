@@ -92,3 +92,32 @@ def pack_paragraphs(value: str, size: int) -> str:
             "THEN {'done': a3.done, 'cur': CASE WHEN a3.cur = '' THEN x3.cur ELSE a3.cur || chr(10) || chr(10) || x3.cur END} "
             f"ELSE {{'done': {_closed('a3', True)}, 'cur': x3.cur}} END")
     return _fold(parts, "3", step, True)
+
+
+def merge_short(chunks: str, least: int, most: int) -> str:
+    clean = f"list_filter(list_transform({chunks}, lambda p: {trimmed('p')}), lambda p: p <> '')"
+    step = (f"CASE WHEN a4.cur <> '' AND (length(x4.cur) < {least} OR length(a4.cur) < {least}) AND length(a4.cur) + 2 + length(x4.cur) <= {most} "
+            f"THEN {{'done': a4.done, 'cur': a4.cur || chr(10) || chr(10) || x4.cur}} ELSE {{'done': {_closed('a4', False)}, 'cur': x4.cur}} END")
+    return _fold(clean, "4", step, False)
+
+
+def _tail_fold(items: str, name: str, step: str) -> str:
+    states = f"list_concat([{{'out': '', 'stop': false}}], list_transform(list_reverse({items}), lambda u{name}: {{'out': u{name}, 'stop': false}}))"
+    return f"list_reduce({states}, lambda a{name}, x{name}: {step}).out"
+
+
+def tail_on_token(value: str, size: int, name: str) -> str:
+    clean = trimmed(value)
+    step = (f"CASE WHEN a{name}.stop OR length(a{name}.out) + length(x{name}.out) > {size} THEN {{'out': a{name}.out, 'stop': true}} "
+            f"ELSE {{'out': x{name}.out || a{name}.out, 'stop': false}} END")
+    found = _tail_fold(f"regexp_extract_all({clean}, '(?s)[A-Za-z0-9_]+|\\s+|.')", name, step)
+    return f"CASE WHEN length({clean}) <= {size} THEN {clean} ELSE coalesce(nullif({found}, ''), right({clean}, {size})) END"
+
+
+def overlap_text(value: str, size: int) -> str:
+    found = f"list_filter(list_transform(regexp_extract_all({value}, '[^。！？；.!?;]+[。！？；.!?;]?'), lambda p: {trimmed('p')}), lambda p: p <> '')"
+    units = f"CASE WHEN len({found}) > 0 THEN {found} ELSE [{trimmed(value)}] END"
+    step = (f"CASE WHEN a6.stop THEN a6 WHEN length(x6.out) > {size} AND a6.out = '' THEN {{'out': {tail_on_token('x6.out', size, '5')}, 'stop': true}} "
+            f"WHEN length(a6.out) + length(x6.out) > {size} THEN {{'out': a6.out, 'stop': true}} ELSE {{'out': x6.out || a6.out, 'stop': false}} END")
+    kept = _tail_fold(units, "6", step)
+    return f"list_transform([{kept}], lambda k: CASE WHEN k = '' THEN {tail_on_token(value, size, '7')} ELSE {trimmed('k')} END)[1]"

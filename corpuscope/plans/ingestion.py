@@ -197,14 +197,17 @@ def _merge(t):
     return spread(t.documents, "doc_id").select("doc_id", F.posexplode(merged).alias("pos", "text"))
 
 
-@query("b07_overlap")
+@query("b07_overlap", f"SELECT * FROM (SELECT doc_id, pos, {sql.overlap_text('line', 100)} AS overlap FROM lines) WHERE overlap <> ''")
 def _overlap(t):
     from corpuscope.functions.chunking import overlap_text
 
     return t.lines.select("doc_id", "pos", overlap_text(F.col("line"), 100).alias("overlap")).where("overlap <> ''")
 
 
-@query("b08_chunker")
+@query("b08_chunker", f"""WITH c AS (SELECT doc_id, {sql.merge_short(sql.pack_paragraphs("coalesce(text, '')", 512), 100, 612)} AS ps FROM documents),
+    r AS (SELECT doc_id, CAST(unnest(range(0, len(ps))) AS INT) AS pos, unnest(ps) AS cur, unnest(list_concat([''], ps)[1:len(ps)]) AS prev FROM c),
+    o AS (SELECT *, CASE WHEN pos = 0 THEN '' ELSE {sql.overlap_text('prev', 100)} END AS head FROM r)
+    SELECT doc_id, pos, CASE WHEN head = '' THEN cur ELSE head || chr(10) || chr(10) || cur END AS text FROM o""")
 def _chunker(t):
     return chunk_table(spread(t.documents.select("doc_id", "text"), "doc_id"), ["doc_id"])
 
