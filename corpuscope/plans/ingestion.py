@@ -301,7 +301,10 @@ def _embed(t):
     return vectors.where("_w <> 0").select("doc_id", "dimension", F.round(F.col("_w").cast("double"), 4).alias("weight"))
 
 
-@query("l03_pluggable_embedder", """SELECT doc_id, 8 AS dimensions, true AS unit FROM documents WHERE length(trim(text)) > 0""")
+@query("l03_pluggable_embedder", """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (instr('0123456789ABCDEF', h[2]) - 1) % 8) AS codes
+      FROM documents WHERE length(trim(text)) > 0),
+    c AS (SELECT doc_id, list_transform(range(0, 8), lambda s: len(list_filter(codes, lambda x: x = s))::DOUBLE) AS counts FROM b)
+    SELECT doc_id, CAST(unnest(range(0, 8)) AS INT) AS slot, CAST(round(unnest(counts) / sqrt(list_sum(list_transform(counts, lambda n: n * n))) * 1000) AS BIGINT) AS thousandths FROM c""")
 def _plug_embed(t):
     @pandas_udf("array<float>")
     def letters(texts: pd.Series) -> pd.Series:
@@ -315,9 +318,9 @@ def _plug_embed(t):
         return texts.select(*key, letters("text").alias("embedding"))
 
     chunks = t.documents.select("doc_id", F.lit(1).alias("chunk_id"), "text", F.lit(None).cast("string").alias("contextual_text"))
-    norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return (ingest.embed_chunks(chunks, embedder=embedder, model_version="letters-8").where(F.length(F.trim("text")) > 0)
-            .select("doc_id", F.size("embedding").alias("dimensions"), (F.abs(norm - 1) < 1e-5).alias("unit")))
+    found = ingest.embed_chunks(chunks, embedder=embedder, model_version="letters-8").where(F.length(F.trim("text")) > 0)
+    return found.select("doc_id", F.posexplode("embedding").alias("slot", "_v")).select(
+        "doc_id", "slot", F.round(F.col("_v").cast("double") * 1000).cast("long").alias("thousandths"))
 
 
 @query("b19_limited_text", """SELECT conv_id, pos, CASE WHEN length(content) > 300 THEN left(content, 300) || '…' ELSE content END AS context,
