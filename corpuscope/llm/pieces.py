@@ -23,7 +23,6 @@ from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpuscope.llm.base import map_text, row_key
 

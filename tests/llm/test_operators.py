@@ -314,3 +314,20 @@ def test_line_windows(docs, no_docs, corpus):
 
 def test_labels_and_ids_stay_out_of_scores():
     assert "doc_id" not in json.dumps(toxicity.Model({}, 0.0).__getstate__())
+
+
+def test_null_ids_everywhere(spark):
+    """Rows without an id go through every operator; each gets the result of its text."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, passage), (None, "short"), (None, passage), (1, passage), (2, None), (None, None)]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([(None, passage[:80]), (7, passage[:80])], "item_id long, text string")
+    labels = spark.createDataFrame([(None, None), (1, None)], "doc_id long, toxic int")
+    assert sorted(r["n_removed"] for r in suffix_dedup.dedup(docs).collect()) == [0, 0, 0, 0, 0, len(passage)]
+    assert toxicity.scored(docs, toxicity.fit(docs, labels)).count() == 6
+    assert [r["component_id"] for r in simhash.near_duplicates(docs).where("fingerprint = '0000000000000000'").collect()] == [2, 2]
+    assert sorted(len(r["spans"]) for r in disclosure.find(docs).collect()) == [0] * 6
+    assert sorted(r["items"] for r in winnowing.decontaminate(docs, items).collect()) == [[], [], [], ["7"], ["7"], ["7"]]
+    assert all(r["exact"] for r in pieces.round_trips(docs).collect()) and pieces.round_trips(docs).count() == 6
+    assert sum(r["kept"] for r in quality.judge(docs).collect()) == 3
+    assert line_windows.dedup_lines(docs).count() == 6
