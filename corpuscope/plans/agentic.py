@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import rules as R
 from corpuscope.functions import text as X
-from corpuscope.operators import access, agentic, bm25, context, evidence, fuse, ingest, memory
+from corpuscope.operators import agentic, bm25, context, evidence, fuse, ingest, memory
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.ingestion import PARENTS, numbered
 from corpuscope.plans.lists import ACTIVE, _NOW
 from corpuscope.plans.planning import plan_sql, variants_sql
 from corpuscope.plans.registry import query
 from corpuscope.plans.retrieval import asked, asked_both
-from corpuscope.session import spread
 
 QPLAN = plan_sql("SELECT query_id, text FROM questions")
 QVARIANTS = variants_sql(QPLAN)
