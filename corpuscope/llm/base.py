@@ -16,10 +16,15 @@ from corpuscope.session import ensure_checkpoint_dir, ship_package
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: rows up to which a counted side may be broadcast; a physical choice only, both ways give the same rows
 BROADCAST_ROWS = 200_000
+ONE_FILE_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One small file would keep a whole stage on one core, so its rows are dealt out; larger tables come as they are."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if len(table.inputFiles()) == 1 and int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < ONE_FILE_BYTES:
+        return table.repartition(spark.sparkContext.defaultParallelism)
+    return table
 
 
 def ascii_lower(c: Column) -> Column:
