@@ -59,13 +59,12 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
     """
     # the outer forms of explode keep Catalyst from copying the whole chain of array expressions into a filter below it
     out = _fingerprints(rows, window, gram)
-    starts = F.filter(F.sequence(F.lit(0), F.size("_low") - 1), lambda i: (i == 0) | (F.get("_low", i) != F.get("_low", i - 1)))
-    out = out.withColumn("_starts", F.when(F.size("_low") > 0, starts))
-    at, begin = F.col("_nth"), F.col("_from")
+    runs, begin = window - gram + 1, F.col("_from")
+    # neighbours with one smallest hash share a fingerprint, which stands for the windows up to the next multiple or ``runs`` further
+    fresh = (begin % runs == 0) | (F.col("_fp") != F.get("_low", begin - 1))
     parts = [
-        out.select("_key", "_words", "_low", "_starts", F.posexplode_outer("_starts").alias("_nth", "_from")).where("_from IS NOT NULL").select(
-            "_key", "_words", F.lit(window).alias("_size"), F.get("_low", begin).alias("_fp"), "_from",
-            (F.coalesce(F.get("_starts", at + 1), F.size("_low")) - 1).alias("_to"))
+        out.select("_key", "_words", "_low", F.posexplode_outer("_low").alias("_from", "_fp")).where(begin.isNotNull()).where(fresh).select(
+            "_key", "_words", F.lit(window).alias("_size"), "_fp", "_from", F.least(begin + (runs - 1), F.size("_low") - 1).alias("_to"))
     ]
     for size in sizes:
         every = F.when(F.col("_n") >= size, F.sequence(F.lit(0), F.col("_n") - size))
