@@ -63,8 +63,8 @@ def lowest(h: np.ndarray, window: int) -> np.ndarray:
     return at
 
 
-def segments(text: str | None, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per segment: hash of the anchor gram, hash of the segment, and its place (first window << 7 | windows)."""
+def segments(text: str | None, length: int = LENGTH, anchors_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per segment: hash of the anchor gram, hash of the segment, and its place (first window << 14 | anchor's distance from it << 7 | windows)."""
     data = (text or "").encode("utf-8", "surrogatepass")
     keys, bodies, places = [], [], []
     for begin in range(0, max(0, len(data) - length + 1), PIECE):
@@ -76,13 +76,15 @@ def segments(text: str | None, length: int = LENGTH) -> tuple[np.ndarray, np.nda
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         ends = np.concatenate([starts[1:], [len(at)]])
         keys.append(h[at[starts]].view(np.int64))
+        if anchors_only:
+            continue
         digest = xxhash.xxh3_64_intdigest
         bodies.append(np.fromiter((digest(part[a:b]) for a, b in zip(starts.tolist(), (ends + length - 1).tolist(), strict=True)), np.uint64, len(starts)).view(np.int64))
-        places.append(((starts + begin) << 7) | (ends - starts))
+        places.append(((starts + begin) << 14) | ((at[starts] - starts) << 7) | (ends - starts))
     if not keys:
         none = np.zeros(0, np.int64)
         return none, none, none
-    return np.concatenate(keys), np.concatenate(bodies), np.concatenate(places)
+    return np.concatenate(keys), np.concatenate(bodies or keys), np.concatenate(places or keys)
 
 
 class TupleQueue:
@@ -191,6 +193,8 @@ class Spool:
         self.limit, self.rows, self.batches, self.file = limit, 0, [], None
 
     def add(self, batch: pa.RecordBatch) -> None:
+        if not batch.num_rows:
+            return
         self.rows += batch.num_rows
         self.batches.append(batch)
         if self.rows > self.limit:
@@ -329,7 +333,7 @@ def _sorted_shards(shards: DataFrame, length: int) -> DataFrame:
             edge = np.diff(np.pad(part, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, begin = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)
-            start = (batch.column("place").to_numpy(zero_copy_only=False) >> 7)[row]
+            start = (batch.column("place").to_numpy(zero_copy_only=False) >> 14)[row]
             keys = batch.column("key").take(pa.array(row))
             yield pa.RecordBatch.from_arrays([keys, pa.array(start + begin), pa.array(start + end + length - 1)], names=["key", "start", "stop"])
 
@@ -338,7 +342,7 @@ def _sorted_shards(shards: DataFrame, length: int) -> DataFrame:
 
 def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     """Segments of anchors that occur twice or more: ``h``, ``g``, ``key``, ``place``, ``salt``, and ``first``, ``mixed`` within its (h, salt)."""
-    lone = map_text(rows, "text", "h array<long>", lambda texts: [(segments(t, length)[0],) for t in texts])
+    lone = map_text(rows, "text", "h array<long>", lambda texts: [(segments(t, length, True)[0],) for t in texts])
     counted = lone.select(F.explode_outer("h").alias("h")).where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = cut_lineage(counted)
     # the most frequent anchors, a bounded number, are spread over salts
@@ -371,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spread_mixed = least.join(several, "h").select("h", "least.key", "least.place")
 
     copies = met.where("NOT first").select("key", "place").unionByName(spread_copies)
-    begin, count = F.shiftright("place", 7), F.col("place").bitwiseAND(F.lit(127))
+    begin, count = F.shiftright("place", 14), F.col("place").bitwiseAND(F.lit(127))
     copied = copies.select("key", begin.alias("start"), (begin + count + (length - 1)).alias("stop"))
 
     mixed = met.where("first AND mixed AND salt < 0").select("h", "key", "place").unionByName(spread_mixed)
@@ -385,9 +389,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             data = cell["text"].encode("utf-8", "surrogatepass")
             made = []
             for w in cell["wanted"]:
-                start, many = w["place"] >> 7, w["place"] & 127
-                body = data[start : start + many + length - 1]
-                made.append({"h": w["h"], "place": w["place"], "anchor": anchor_of(body, length), "body": body})
+                start, many = w["place"] >> 14, w["place"] & 127
+                made.append({"h": w["h"], "place": w["place"], "anchor": w["place"] >> 7 & 127, "body": data[start : start + many + length - 1]})
             out.append((made,))
         return out
 
@@ -398,11 +401,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return copied.unionByName(sorted_out).groupBy("key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
-def anchor_of(body: bytes, length: int = LENGTH) -> int:
-    """The position of a segment's anchor in it: that of its first window."""
-    return int(np.argmin(gram_hashes(np.frombuffer(body[:length], np.uint8))))
-
-
 def cut_spans(text: str | None, spans: list | None) -> tuple[bytes, int, int, int]:
     """What is left of a text, its bytes, removed bytes and maximal removed runs."""
     data = (text or "").encode("utf-8", "surrogatepass")

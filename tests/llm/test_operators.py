@@ -48,7 +48,10 @@ def test_site_templates(spark):
 
 
 # --- 2 -----------------------------------------------------------------------------------------
-def test_repeated_substrings(docs, no_docs, corpus):
+@pytest.mark.parametrize("chunk, hot", [(32_768, 5_000), (20, 3)])
+def test_repeated_substrings(docs, no_docs, corpus, monkeypatch, chunk, hot):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", hot)
     want = dict(zip([i for i, _ in corpus], brute.repeats([t for _, t in corpus]), strict=True))
     rows = suffix_dedup.dedup(docs).collect()
     assert len(rows) == len(corpus) + 1
@@ -80,8 +83,8 @@ def test_induced_order_in_memory_and_on_disk(limit):
 def test_long_text_in_pieces(monkeypatch):
     text = "".join(random.Random(1).choice("abcd ") for _ in range(5000))
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
-    places = suffix_dedup.segments(text)[2]
-    assert (places & 127).sum() == 5000 - 99
+    keys, _, places = suffix_dedup.segments(text)
+    assert (places & 127).sum() == 5000 - 99 and (suffix_dedup.segments(text, anchors_only=True)[0] == keys).all()
 
 
 # --- 3 -----------------------------------------------------------------------------------------
