@@ -20,8 +20,8 @@ from corpuscope.llm.base import ascii_lower, keyed, small_enough
 from corpuscope.session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
+TEXT_MARK = -(2**62) + 12_345
 
 
 def _words(text: Column) -> Column:
@@ -60,17 +60,19 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
     # the outer forms of explode keep Catalyst from copying the whole chain of array expressions into a filter below it
     out = _fingerprints(rows, window, gram)
     starts = F.filter(F.sequence(F.lit(0), F.size("_low") - 1), lambda i: (i == 0) | (F.get("_low", i) != F.get("_low", i - 1)))
-    out = out.withColumn("_starts", F.when(F.size("_low") > 0, starts))
+    # the start -1 stands for the text itself and meets the text mark, so that its number of words comes out of the same pass
+    found = F.when(F.size("_low") > 0, starts).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn("_starts", F.concat(F.array(F.lit(-1)), found))
     at, begin = F.col("_nth"), F.col("_from")
     parts = [
-        out.select("_key", "_words", "_low", "_starts", F.posexplode_outer("_starts").alias("_nth", "_from")).where("_from IS NOT NULL").select(
-            "_key", "_words", F.lit(window).alias("_size"), F.get("_low", begin).alias("_fp"), "_from",
-            (F.coalesce(F.get("_starts", at + 1), F.size("_low")) - 1).alias("_to"))
+        out.select("_key", "_words", "_n", "_low", "_starts", F.posexplode_outer("_starts").alias("_nth", "_from")).where("_from IS NOT NULL").select(
+            "_key", "_words", "_n", F.lit(window).alias("_size"), F.when(begin < 0, F.lit(TEXT_MARK)).otherwise(F.get("_low", begin)).alias("_fp"), "_from",
+            F.when(begin < 0, -1).otherwise(F.coalesce(F.get("_starts", at + 1), F.size("_low")) - 1).alias("_to"))
     ]
     for size in sizes:
         every = F.when(F.col("_n") >= size, F.sequence(F.lit(0), F.col("_n") - size))
-        spots = out.select("_key", "_words", "_hash", F.explode_outer(every).alias("_from")).where("_from IS NOT NULL")
-        parts.append(spots.select("_key", "_words", F.lit(size).alias("_size"), F.xxhash64(F.slice("_hash", begin + 1, F.lit(size))).alias("_fp"),
+        spots = out.select("_key", "_words", "_n", "_hash", F.explode_outer(every).alias("_from")).where("_from IS NOT NULL")
+        parts.append(spots.select("_key", "_words", "_n", F.lit(size).alias("_size"), F.xxhash64(F.slice("_hash", begin + 1, F.lit(size))).alias("_fp"),
                                   "_from", begin.alias("_to")))
     return parts
 
@@ -78,20 +80,21 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
 def _extended(met: DataFrame) -> DataFrame:
     """Every window start under a meeting whose words are those of the item window."""
     spread = met.withColumn("_at", F.explode(F.sequence("_from", "_to")))
-    own = F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_size")), " ")
-    return spread.where(own == F.col("_window")).select("_key", "_at", "_size", "_window")
+    own = F.array_join(F.slice("_words", F.greatest(F.col("_at") + 1, F.lit(1)), F.col("_size")), " ")
+    return spread.where((F.col("_at") < 0) & F.col("_window").isNull() | (F.col("_at") >= 0) & (own == F.col("_window"))).select("_key", "_n", "_at", "_size", "_window")
 
 
 def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``_key``, ``_at``, ``_size``, ``_window`` of every occurrence of an item window in a document."""
-    distinct = windows.select("_size", "_fp", "_window").distinct()
+    """``_key``, ``_n`` (words), ``_at``, ``_size``, ``_window`` of every occurrence of an item window, and one row with ``_at`` -1 for every text."""
+    mark = docs.sparkSession.range(1).select(F.lit(window).alias("_size"), F.lit(TEXT_MARK).alias("_fp"), F.lit(None).cast("string").alias("_window"))
+    distinct = windows.select("_size", "_fp", "_window").distinct().unionByName(mark)
     sizes = sorted(r[0] for r in windows.where(F.col("_size") < window).select("_size").distinct().collect())  # at most window - 1 numbers
     rows = keyed(docs).select("_key", _words(F.col("_text")).alias("_words"))
     parts = _document_prints(rows, sizes, window, gram)
     if small_enough(distinct):
         found = [_extended(part.join(F.broadcast(distinct), ["_size", "_fp"])) for part in parts]
     else:
-        slim = [part.drop("_words").join(distinct, ["_size", "_fp"]).select("_key", "_from", "_to", "_size", "_window") for part in parts]
+        slim = [part.drop("_words").join(distinct, ["_size", "_fp"]).select("_key", "_n", "_from", "_to", "_size", "_window") for part in parts]
         found = [_extended(met.join(rows.dropDuplicates(["_key"]), "_key")) for met in slim]
     whole = found[0]
     for part in found[1:]:
@@ -113,7 +116,8 @@ def _covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``items`` (sorted ids as strings), ``spans`` of hit words, ``contaminated``."""
     windows = item_windows(items, window, gram)
-    found = cut_lineage(hits(docs, windows, window, gram))  # read twice below; hits are few beside the texts
+    seen = cut_lineage(hits(docs, windows, window, gram))  # read below; narrow beside the texts, which are read once
+    found = seen.where("_at >= 0")
     span = F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("_size")).alias("end"))
     spans = found.groupBy("_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     members = windows.where(F.col("_item").isNotNull()).select("_window", "_item").distinct()
@@ -121,7 +125,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         found.select("_key", "_window").distinct().join(members, "_window").select("_key", "_item").distinct()
         .groupBy("_key").agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )
-    rows = keyed(docs).select("_key", "_id", F.regexp_count("_text", F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    rows = seen.where("_at < 0").select("_key", F.col("_key.doc_id").alias("_id"), F.col("_n").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = rows.join(spans.join(listed, "_key", "left"), "_key", "left")
     return out.select(F.col("_id").alias("doc_id"), "_key", "n_words",
