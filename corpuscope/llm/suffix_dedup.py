@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import map_text, stored, text_of
+from corpuscope.llm.base import map_text, row_key, stored, text_of
 from corpuscope.session import cut_lineage, task_count
 
 LENGTH, GRAM = 100, 16
@@ -280,9 +280,8 @@ def _flag(who: np.ndarray, begins: np.ndarray, at: int, first: np.ndarray, order
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """``key`` (doc_id and a small hash that tells texts of one id apart) and ``text`` of every row."""
-    tag = F.pmod(F.xxhash64(docs["text"]), F.lit(1 << 16))
-    return docs.select(F.struct(docs["doc_id"].alias("doc_id"), tag.alias("tag")).alias("key"), text_of(docs).alias("text"))
+    """``key`` (doc_id and the whole hash of the text, which tells texts of one id apart) and ``text`` of every row."""
+    return docs.select(row_key(docs).alias("key"), text_of(docs).alias("text"))
 
 
 def _ranks(held: Spool) -> np.ndarray:

@@ -60,6 +60,17 @@ def test_repeated_substrings(docs, no_docs, corpus, monkeypatch, chunk, hot):
     assert suffix_dedup.dedup(no_docs).count() == 0
 
 
+def test_repeats_among_thousands_of_null_ids(spark):
+    rnd = random.Random(5)
+    texts = []
+    for i in range(3_000):  # each repeats 120 bytes of its own, at a place of its own
+        line = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=120))
+        texts.append(line + "".join(rnd.choices("0123456789", k=1 + i % 97)) + line)
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(8)
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(docs).collect())
+    assert got == sorted(brute.repeats([t])[0] for t in texts)
+
+
 @pytest.mark.parametrize("limit", [10**6, 60])
 def test_induced_order_in_memory_and_on_disk(limit):
     rnd = random.Random(2)
