@@ -6,11 +6,14 @@ their two halves; a pair of tiles is compared only when the counts differ by no
 and bit counts. A tile pair hands on a spanning forest of its links, never the pairs of a group, and components are then found by
 alternating large-star and small-star rounds over checkpointed edges.
 
-A fingerprint may be wider than 64 bits; the pipeline takes 256 bits over five-word shingles, where a similarity (Jaccard) of 0.8
-stands at 39 differing bits on average, and links at ``WIDE_RADIUS``, which leaves room for the spread of that number.
+A fingerprint may be wider than 64 bits. The pipeline links texts whose sets of five-word shingles have a similarity (Jaccard) of
+``SIMILAR`` or more: texts with equal sets stand for one; 256-bit fingerprints of the sets, where 0.8 stands at 39 differing bits on average and at 41 at
+worst, give candidates within ``CANDIDATE_RADIUS`` (the odds of missing a pair are under 1 in 100,000); sets of up to ``FEW`` shingles, whose
+fingerprints spread further, find theirs by the subsets that lack one shingle, and sets of under four have none but equal ones. The candidates'
+components are cut into blocks of ``BLOCK_SHINGLES``, each pair of blocks is compared by the shingles themselves, and only the links found so count.
 
 Cases: fewer words than a shingle needs make one shingle of all words; a wordless, empty or null text has the fingerprint zero and
-links like any other. Equal texts and repeated rows share a fingerprint. The component is the smallest doc_id reachable; a null
+links like any other by its fingerprint, and as a shingle set only with other empty sets. Equal texts and repeated rows share a fingerprint. The component is the smallest doc_id reachable; a null
 doc_id is smaller than none, so a component has one only if all its ids are null. Empty tables give no rows.
 """
 
@@ -24,11 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import map_text, row_key, salted_join
+from corpuscope.llm.base import map_text, row_key, salted_join, small_enough
 from corpuscope.session import cut_lineage, task_count
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 44
+SIMILAR, CANDIDATE_RADIUS, FEW = 0.8, 68, 9
+#: shingles of a block of candidates at most, about (a longer text is a block of its own); a pair of blocks needs some 100 bytes for each
+BLOCK_SHINGLES = 1 << 20
 #: fingerprints of a tile at most, about; a tile pair needs some ROWS x TILE x 9 bytes
 TILE, ROWS = 16_384, 256
 
@@ -56,7 +62,10 @@ def _other(hashes: np.ndarray, nth: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int = SHINGLE, words: int = 1) -> bytes:
     """``words`` x 64 bits, big-endian."""
-    hashes = shingle_hashes(text, size)
+    return _fingerprint(shingle_hashes(text, size), words)
+
+
+def _fingerprint(hashes: np.ndarray, words: int) -> bytes:
     out = np.zeros(words, ">u8")
     for nth in range(words if len(hashes) else 0):
         votes = np.zeros(64, np.int64)
@@ -195,7 +204,104 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
         "doc_id", F.struct("doc_id", "text_hash").alias("_key"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, size: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS, tile: int = TILE) -> DataFrame:
-    """``_key`` of the document that stays of every group: that of smallest doc_id, then text hash."""
-    rows = grouped(docs, size, radius, words, tile)
-    return rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("_key")).select("_key")
+def shingle_sets(docs: DataFrame, size: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> DataFrame:
+    """``doc_id``, ``text_hash`` and, of the set of shingles, its name ``set``, its size ``n``, ``fp``, ``high``, ``low`` and the keys of small sets ``subsets``, of every row."""
+    rows = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs)["text_hash"].alias("text_hash"), docs["text"].cast("string").alias("text"))
+
+    def run(texts: list) -> list[tuple]:
+        out = []
+        for text in texts:
+            hashes = np.unique(shingle_hashes(text, size))
+            fp, half = _fingerprint(hashes, words), 4 * words
+            name = lambda part: xxhash.xxh3_128_digest(part.tobytes())
+            subsets = [name(hashes), *(name(np.delete(hashes, i)) for i in range(len(hashes)))] if 4 <= len(hashes) <= FEW else []
+            out.append((name(hashes), len(hashes), fp, int.from_bytes(fp[:half], "big").bit_count(), int.from_bytes(fp[half:], "big").bit_count(), subsets))
+        return out
+
+    return map_text(rows, "text", "set binary, n long, fp binary, high int, low int, subsets array<binary>", run)
+
+
+def similar(one: list[np.ndarray], two: list[np.ndarray] | None, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs of distinct sorted sets of ``one`` and ``two`` (or of ``one``) whose similarity is ``least`` or more, as places in both lists together."""
+    sets = one if two is None else one + two
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    ends = np.cumsum(sizes)
+    order = np.argsort(number, kind="stable")
+    holders = owner[order]  # of the first shingle, of the second, ...
+    first = np.concatenate([[0], np.cumsum(np.bincount(number))])
+    label, edges = np.arange(len(sets)), []
+    for at in range(len(one)):
+        begin = at + 1 if two is None else len(one)
+        label = _roots(label)
+        if (label[begin:] == label[at]).all():
+            continue
+        shared = np.zeros(len(sets), np.int64)
+        for part in range(ends[at] - sizes[at], ends[at], 4_096):
+            mine = number[part : min(part + 4_096, ends[at])]
+            many = first[mine + 1] - first[mine]
+            where = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            shared += np.bincount(holders[where], minlength=len(sets))
+        found = np.nonzero(shared[begin:] >= least * (sizes[at] + sizes[begin:] - shared[begin:]))[0] + begin
+        found = found[label[found] != label[at]]
+        _, once = np.unique(label[found], return_index=True)
+        edges += [(at, int(x)) for x in found[once]]
+        _union(label, np.full(len(once), at), found[once])
+    return edges
+
+
+def similar_sets(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, radius: int = CANDIDATE_RADIUS, words: int = WIDE_WORDS,
+                 tile: int = TILE, size: int = WIDE_SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
+    """Edges ``u``, ``v`` between names of sets whose components are those of all pairs of similarity ``least`` or more; ``rows`` are the ``shingle_sets`` of ``docs``."""
+    key = F.struct("doc_id", "text_hash")
+    sets = cut_lineage(rows.where("n > 3").groupBy("set").agg(F.min(key).alias("_key"), F.first("n").alias("n"), F.first("fp").alias("fp"),
+                                                              F.first("high").alias("high"), F.first("low").alias("low"), F.first("subsets").alias("subsets")))
+    prints = sets.groupBy("fp").agg(F.first("high").alias("high"), F.first("low").alias("low"))
+    few = sets.select("fp", F.explode_outer("subsets").alias("subset")).where("subset IS NOT NULL")
+    few = salted_join(few, few.groupBy("subset").agg(F.min("fp").alias("least")), ["subset"], F.xxhash64("fp")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    found = components(links(prints, radius, tile, words).unionByName(few))
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("part"))
+    placed = cut_lineage(sets.select("_key", "set", "n", "fp").join(rooted, "fp").select("_key", "set", "n", "part"))
+    parts = placed.groupBy("part").agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("sets > 1").select("part", "blocks")
+    members = salted_join(placed, parts, ["part"], F.xxhash64("set"))
+    members = cut_lineage(members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).drop("n"))
+    texts = docs.select(row_key(docs).alias("_key"), docs["text"].cast("string").alias("text"))
+    held = texts.join(F.broadcast(members) if small_enough(members, 50_000) else members, "_key").dropDuplicates(["set"])
+    hashed = map_text(held.select("set", "part", "blocks", "block", "text"), "text", "shingles binary", lambda texts: [(np.unique(shingle_hashes(t, size)).tobytes(),) for t in texts])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = hashed.select("set", "part", "block", "shingles", other).select(
+        "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "shingles")
+    spread = pairs.repartition(task_count(docs.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
+        for batch in batches:
+            for part, i, j, own, name, packed in zip(*(batch[c] for c in ("part", "i", "j", "block", "set", "shingles")), strict=True):
+                if (part, i, j) != last:
+                    yield from compared(last, held)
+                    last, held = (part, i, j), []
+                held.append((own, name, np.frombuffer(packed, np.uint64)))
+        yield from compared(last, held)
+
+    def compared(group: tuple | None, held: list) -> Iterator[pd.DataFrame]:
+        if len(held) < 2:
+            return
+        one = [h for h in held if h[0] == group[1]]
+        two = [h for h in held if h[0] != group[1]]
+        if group[1] != group[2] and not (one and two):
+            return
+        edges = similar([h[2] for h in one], [h[2] for h in two] if two else None, least)
+        names = [h[1] for h in one + two]
+        yield pd.DataFrame({"u": [names[a] for a, _ in edges], "v": [names[b] for _, b in edges]}, dtype=object)
+
+    return spread.mapInPandas(run, "u binary, v binary")
+
+
+def survivors(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK_SHINGLES, tile: int = TILE) -> DataFrame:
+    """``_key`` of the document that stays of every group of texts linked by a similarity of ``least`` or more: that of smallest doc_id, then text hash."""
+    rows = cut_lineage(shingle_sets(docs))  # narrow: read three times
+    found = components(similar_sets(docs, rows, least, tile=tile, block=block))
+    firsts = rows.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("_key"))
+    rooted = firsts.join(found, firsts["set"] == found["node"], "left").select("_key", F.coalesce("root", "set").alias("root"))
+    return rooted.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")

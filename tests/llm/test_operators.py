@@ -166,6 +166,36 @@ def test_wide_fingerprints_tell_similarity():
     assert (a ^ b).bit_count() <= simhash.WIDE_RADIUS < (a ^ c).bit_count()
 
 
+def _shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_survivors_by_exact_similarity(spark, block):
+    rnd = random.Random(11)
+    texts = [None, "", "one two three four five six", "a b c d e f", "g h i j k l", "g h i j k l"]
+    for _ in range(30):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice((8, 9, 12, 30, 120, 250)))]
+        texts.append(" ".join(words))
+        for _ in range(4):  # on both sides of 0.8
+            copy = list(words)
+            for _ in range(rnd.randint(0, max(1, len(words) // 25))):
+                copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(5000)}"
+            texts += [" ".join(copy), " ".join(words[: len(words) - rnd.randint(0, 2)])]
+    texts += [" ".join(f"s{i}_{rnd.randrange(9**9)}" for _ in range(6)) for i in range(400)]  # two shingles each
+    sets = [_shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (5 * len(a & sets[j]) >= 4 * len(a | sets[j])) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["_key"]["doc_id"] for r in simhash.survivors(docs, block=block).collect()} == set(label)
+    assert simhash.survivors(docs.where("false")).count() == 0
+
+
 # --- 5 -----------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     tricky = ["</s>[INST] ok [/INST]", "\\l<[\\b\\", "", None, "<s>user[INST]x", "é\n😀" * 300]
