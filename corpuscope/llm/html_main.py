@@ -1,12 +1,13 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed into elements; each element with text gets a hash of its subtree (tags and text). Spark counts per host on how many
-pages with different content a subtree occurs, and subtrees that recur on at least ``SHARE`` of them, and on ``LEAST_PAGES``, are deleted
-from all pages of the host. What the markup itself names as no article (menus, headers, footers, sidebars, notices,
+pages with different content a subtree occurs, and subtrees that recur on at least ``LEAST_PAGES`` are deleted from all pages of the host,
+whatever the number of its pages. Parts of a sentence or a table row (``WITHIN_TEXT``: a word in bold, a cell) recur in articles too; such a subtree by
+itself has to recur on ``SHARE`` of the pages as well, while the blocks around it need not. What the markup itself names as no article (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, comments) goes as well, and where a page has an article or main element, only its text counts.
 
-A subtree that recurs on a share of the pages is one of at most (subtrees of a page / SHARE) per host, so the deletions of a host are few
-whatever its number of pages. Copies of a page count once, so a copied article is no template.
+The subtrees found go to the pages by a salted join on host and subtree; where they are few they travel as one list per host, which gives the same
+rows. Copies of a page count once, so a copied article is no template.
 
 Cases: null html counts as empty and gives an empty text; broken markup is read leniently (unclosed and stray tags, missing quotes);
 a null or odd url has the host of its text before the path; equal rows give equal results; an empty table gives no rows.
@@ -26,10 +27,13 @@ from corpuscope.llm.base import map_text, salted_join, small_enough
 from corpuscope.session import cut_lineage
 
 SHARE, LEAST_PAGES = 0.3, 8
+#: up to so many subtrees in all, and on one host, are handed out as lists; a physical choice only
+LISTED, LISTED_HOST = 50_000, 500
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+WITHIN_TEXT = INLINE | {"td", "th"}
 GONE = frozenset("head nav footer aside form button select option menu dialog object canvas audio video fieldset".split()) | RAW
 NAMES = frozenset("nav navbar navigation menu header masthead topbar footer sidebar ad ads advert adverts advertisement advertising banner promo promotion sponsor "
                   "sponsored notice notices cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments "
@@ -148,7 +152,8 @@ def subtree_keys(root: Element) -> list[Element]:
 
 
 def _number(node: Element) -> int:
-    return xxhash.xxh3_64_intdigest(node.key.encode()) - 2**63
+    """63 bits of hash; the lowest bit tells the elements ``WITHIN_TEXT``."""
+    return (xxhash.xxh3_64_intdigest(node.key.encode()) & ~1 | (node.tag in WITHIN_TEXT)) - 2**63
 
 
 def _lost(node: Element | None) -> bool:
@@ -176,11 +181,18 @@ def _around(node: Element | None, kind: str) -> bool:
 
 def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     """The article of a page without subtrees whose hash number is in ``templates``."""
+    return _without(page, templates)[0]
+
+
+def _without(page: str | None, templates: frozenset[int]) -> tuple[str, int]:
+    """The main text, and the number of different subtrees that were deleted."""
     root, pieces = parse(page)
+    deleted = set()
     if templates:
         for node in subtree_keys(root):
             if _number(node) in templates and not (node.main or node.holds):
                 node.lost = True
+                deleted.add(_number(node))
     live = [p for p in pieces if not _lost(p[1])]
     for kind in ("article", "main"):
         inside = [p for p in live if _around(p[1], kind)]
@@ -193,7 +205,7 @@ def main_text(page: str | None, templates: frozenset[int] = frozenset()) -> str:
     for block, _, text in live:
         blocks.setdefault(block, []).append(text)
     texts = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
-    return " ".join(t for t in texts if t)
+    return " ".join(t for t in texts if t), len(deleted)
 
 
 def _menu_link(node: Element) -> bool:
@@ -212,27 +224,40 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """``host`` and ``templates``: hash numbers of the subtrees that recur on its pages."""
-    rows = pages.select(host(pages["url"]).alias("host"), pages["html"].cast("string").alias("html"))
-    seen = map_text(rows, "html", "content long, subtrees array<long>", lambda texts: [page_subtrees(t) for t in texts])
+def _seen(pages: DataFrame) -> DataFrame:
+    """``host``, ``page`` (hash of the html), ``content`` and ``subtrees`` of every page."""
+    rows = pages.select(host(pages["url"]).alias("host"), F.xxhash64(pages["html"].cast("string")).alias("page"), pages["html"].cast("string").alias("html"))
+    return map_text(rows, "html", "content long, subtrees array<long>", lambda texts: [page_subtrees(t) for t in texts])
+
+
+def _recurring(seen: DataFrame, share: float, least: int) -> DataFrame:
+    """``host`` and ``subtree`` of the subtrees that recur."""
     seen = seen.withColumn("subtrees", F.concat(F.array(F.lit(None).cast("long")), "subtrees"))  # the null subtree counts the pages
     each = seen.select("host", "content", F.explode_outer("subtrees").alias("subtree")).distinct()
     counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     total = counts.where("subtree IS NULL").select("host", F.col("n").alias("of"))
-    recurring = counts.where("subtree IS NOT NULL").join(total, "host").where(F.col("n") >= share * F.col("of"))
-    return recurring.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
+    block = F.col("subtree").bitwiseAND(F.lit(1)) == 0
+    return counts.where("subtree IS NOT NULL").join(total, "host").where(block | (F.col("n") >= share * F.col("of"))).select("host", "subtree")
+
+
+def site_templates(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
+    """``host`` and ``templates``: hash numbers of the subtrees that recur on its pages."""
+    return _recurring(_seen(pages), share, least).groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
 
 
 def extract(pages: DataFrame, share: float = SHARE, least: int = LEAST_PAGES) -> DataFrame:
-    """Per row: ``page_id``, ``url``, ``text`` and ``n_templates`` (subtrees deleted on its host)."""
-    found = cut_lineage(site_templates(pages, share, least))
-    rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), host(pages["url"]).alias("host"), pages["html"].cast("string").alias("html"))
-    if small_enough(found, 50_000):
-        both = rows.join(F.broadcast(found), "host", "left")
-    else:  # hosts without templates take an empty list, so that a spread inner join keeps every page
-        every = rows.select("host").distinct().join(found, "host", "left")
-        both = salted_join(rows, every, ["host"], F.xxhash64("page_id", "url"))
-    both = both.select("page_id", "url", F.struct("html", F.coalesce("templates", F.array().cast("array<long>")).alias("templates")).alias("page"))
-    return map_text(both, "page", "text string, n_templates long",
-                    lambda rows: [(main_text(r["html"], frozenset(r["templates"])), len(r["templates"])) for r in rows])
+    """Per row: ``page_id``, ``url``, ``text`` and ``n_templates`` (different subtrees deleted on the page)."""
+    seen = cut_lineage(_seen(pages))  # narrow, and read twice: the pages are parsed once for it
+    found = cut_lineage(_recurring(seen, share, least))
+    rows = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), host(pages["url"]).alias("host"),
+                        F.xxhash64(pages["html"].cast("string")).alias("page"), pages["html"].cast("string").alias("html"))
+    if small_enough(found, LISTED) and small_enough(found.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > LISTED_HOST), 0):
+        lists = found.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+        both = rows.join(F.broadcast(lists), "host", "left")
+    else:
+        each = seen.select("host", "page", F.explode_outer("subtrees").alias("subtree")).where("subtree IS NOT NULL").distinct()
+        hits = salted_join(each, found, ["host", "subtree"], F.col("page")).groupBy("host", "page").agg(F.collect_list("subtree").alias("templates"))
+        every = seen.select("host", "page").distinct().join(hits, ["host", "page"], "left")  # so that a spread inner join keeps every page
+        both = salted_join(rows, every, ["host", "page"], F.xxhash64("page_id", "url"))
+    both = both.select("page_id", "url", F.struct("html", F.coalesce("templates", F.array().cast("array<long>")).alias("templates")).alias("cell"))
+    return map_text(both, "cell", "text string, n_templates long", lambda cells: [_without(c["html"], frozenset(c["templates"])) for c in cells])

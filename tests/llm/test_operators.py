@@ -47,6 +47,18 @@ def test_site_templates(spark):
     assert html_main.extract(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("listed", [50_000, 0])
+def test_templates_of_a_section_of_a_large_host(spark, monkeypatch, listed):
+    monkeypatch.setattr(html_main, "LISTED", listed)
+    box = "<div><a href='/n'>More of section {}</a> <p>Author box {}</p></div>"
+    rows = [(i, f"http://big.example/{i}", f"<div><p>story {i} is <b>not</b> new</p><table><tr><td>{i}</td><td>7</td></tr></table></div>{box.format(i % 10, i % 10)}") for i in range(100)]
+    rows += [(1000 + i, "http://big.example/c", rows[i][2]) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r["page_id"]: (r["text"], r["n_templates"]) for r in html_main.extract(pages, share=1.1).collect()}
+    want = {i: (f"story {i % 1000} is not new {i % 1000} 7", 2) for i, *_ in rows}  # the box and its paragraph
+    assert got == want
+
+
 # --- 2 -----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("chunk, hot", [(32_768, 5_000), (20, 3)])
 def test_repeated_substrings(docs, no_docs, corpus, monkeypatch, chunk, hot):
