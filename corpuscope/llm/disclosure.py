@@ -3,9 +3,11 @@
 Base kinds are matched leftmost and without overlap, kind by kind, and checked (address parts, Luhn, digit counts). The
 values found are the protected entities. Information-theoretic sanitisation then asks of every word in a line beside an entity how strongly
 it points to it: with ``both`` lines that have word and entity, ``own`` lines that have the word and ``with`` lines that have the entity, out
-of ``all`` lines, the share ``both / own`` and the pointwise mutual information ``log2(both * all / (own * with))``. A word that exceeds both thresholds
-in at least ``LEAST_CONTEXTS`` different surroundings of the entity (so that copies count once) is disclosing, and its
-occurrences become spans of the kind ``term``. Spans are generalised to the name of their kind, or removed.
+of ``all`` lines, the share ``both / own`` and the pointwise mutual information ``log2(both * all / (own * with))``. A word of any length is disclosing
+when, in at least ``LEAST_CONTEXTS`` different surroundings of the entity (so that copies count once), the share is ``LEAST_SHARE`` or more, the information
+is ``LEAST_RELATIVE`` or more of the most it can be for this entity, ``log2(all / with)``, and the information of all common lines together is no chance: ``LEAST_BITS`` for
+each of the ``LEAST_CONTEXTS``, or ``log2(all)`` where that is less. So an entity on many lines needs more common lines, but none is too frequent for a term. The
+occurrences of such a word become spans of the kind ``term``. Spans are generalised to the name of their kind, or removed.
 
 The patterns are the plain ones, written with possessive repeats and a test for the start of a run, which match the same spans
 in linear time. Positions are code points.
@@ -25,7 +27,9 @@ from corpuscope.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SHARE, LEAST_BITS, LEAST_CONTEXTS, AROUND = 0.5, 8.0, 3, 30
-TERM = r"(?<!\p{L})\p{L}{4,}+"
+#: what eight bits are of the nine that an entity needs for them at a share of a half
+LEAST_RELATIVE = 8 / 9
+TERM = r"\p{L}++"
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -116,7 +120,9 @@ def disclosing_terms(docs: DataFrame, share: float = LEAST_SHARE, bits: float =
     total = keyed(docs).agg(F.sum(F.size(F.split("_text", "\n"))).alias("all"))
     judged = strong.join(own, "term").withColumn("_one", F.lit(0)).join(F.broadcast(total.withColumn("_one", F.lit(0))), "_one")  # one row
     told = F.log2(F.col("both") * F.col("all") / (F.col("own") * F.col("with")))
-    return judged.where((F.col("both") >= share * F.col("own")) & (told >= bits)).select("term").distinct()
+    relative = told >= LEAST_RELATIVE * F.log2(F.col("all") / F.col("with"))
+    certain = told * F.col("both") >= F.least(F.lit(bits * contexts), F.log2("all"))
+    return judged.where((F.col("both") >= share * F.col("own")) & relative & certain).select("term").distinct()
 
 
 def find(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS, contexts: int = LEAST_CONTEXTS) -> DataFrame:

@@ -253,6 +253,18 @@ def test_disclosing_terms(spark):
     assert out[10]["spans"] == [] and out[701]["spans"] == []
 
 
+def test_short_names_and_frequent_entities_disclose(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"{a}{b}{c}ing" for a in "bcdfg" for b in "aeiou" for c in "klmnp"]
+    said = lambda: " ".join(rnd.choices(vocabulary, k=8))
+    rows = [f"{said()} Kim office@hot.example.com {said()}" for _ in range(40)]  # on a quarter of the lines
+    rows += [f"{said()} \u738b\u82b3 a@rare.example.com Li {said()}" for _ in range(8)] + [f"{said()} {said()}" for _ in range(112)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    assert {r["term"] for r in disclosure.disclosing_terms(table).collect()} == {"kim", "li", "\u738b\u82b3"}
+    out = by_id(disclosure.find(table).withColumn("clean", disclosure.sanitised(disclosure.F.col("text"), disclosure.F.col("spans"))).collect())
+    assert " [TERM] [EMAIL] " in out[0]["clean"] and out[100]["clean"] == rows[100]
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("rows", [200_000, 1])
 def test_winnowing(spark, docs, no_docs, corpus, monkeypatch, rows):
