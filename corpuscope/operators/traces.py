@@ -88,6 +88,22 @@ def attempts_of_cases(cases: DataFrame, traces: DataFrame, samples: int) -> tupl
     return attempts, cases.where(~enough).select("case_id", F.size("generation_ids").alias("samples"))
 
 
-def passed(expected_trajectory, trajectory, expected_intent, intent, expected_conflict, conflict):
-    """Pass rule over the given sides of an attempt."""
-    return E.is_subsequence(expected_trajectory, trajectory) & E.matches(expected_intent, intent) & (expected_conflict == conflict)
+def passed(expected_trajectory, trajectory, expected_intent, intent, expected_conflict, conflict, *, expected_clarification, clarification,
+           expected_evidence_status, evidence_status, expected_terminal_reason, terminal_reason, expected_tools, tools,
+           expected_citations, citations, required_claims, supported_claims):
+    """Pass rule over the given sides of an attempt; blank and empty expectations accept anything, flags have to be equal, further tools, citations and claims do no harm.
+
+    ``tools`` are arrays of structs (name, fingerprint of the arguments), citations and claims arrays of ids. A null array is an empty one, a null flag false.
+    """
+    words = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return (E.is_subsequence(words(expected_trajectory), words(trajectory)) & E.matches(expected_intent, intent) & (flag(expected_conflict) == flag(conflict))
+            & (flag(expected_clarification) == flag(clarification)) & E.matches(expected_evidence_status, evidence_status)
+            & E.matches(expected_terminal_reason, terminal_reason)
+            & (F.size(F.array_except(_calls(expected_tools), _calls(tools))) == 0)
+            & E.contains_all(words(citations), words(expected_citations)) & E.contains_all(words(supported_claims), words(required_claims)))
+
+
+def _calls(tools):
+    named = F.transform(tools, lambda t: F.struct(E.norm(t["name"]).alias("name"), E.norm(t["fingerprint"]).alias("fingerprint")))
+    return F.coalesce(named, F.array().cast("array<struct<name:string,fingerprint:string>>"))

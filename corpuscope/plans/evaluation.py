@@ -163,7 +163,12 @@ def _ratios(t):
     SELECT s.generation_id, w.path SIMILAR TO '.*v.*p.*' AND (s.intent = 'view') AND NOT s.conflict AS passed FROM signals s JOIN w USING (generation_id)""")
 def _pass_rule(t):
     joined = signals(t).join(traces.trajectories(t.steps), "generation_id")
-    rule = traces.passed(F.array(F.lit(" View"), F.lit("purchase ")), F.col("trajectory"), F.lit("VIEW"), F.col("intent"), F.lit(False), F.col("conflict"))
+    # the twin expects a trajectory, an intent and no conflict; the other expectations are blank, and these tables have no citations, claims or clarifications
+    none, no_calls, blank = F.array().cast("array<string>"), F.array().cast("array<struct<name:string,fingerprint:string>>"), F.lit("")
+    rule = traces.passed(F.array(F.lit(" View"), F.lit("purchase ")), F.col("trajectory"), F.lit("VIEW"), F.col("intent"), F.lit(False), F.col("conflict"),
+                         expected_clarification=F.lit(False), clarification=F.lit(False), expected_evidence_status=blank, evidence_status=F.col("evidence_status"),
+                         expected_terminal_reason=blank, terminal_reason=blank, expected_tools=no_calls, tools=no_calls,
+                         expected_citations=none, citations=none, required_claims=none, supported_claims=none)
     return joined.select("generation_id", rule.alias("passed"))
 
 

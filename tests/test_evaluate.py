@@ -99,3 +99,18 @@ def test_retrieval_golden_reader(spark, tmp_path):
     (tmp_path / "g.jsonl").write_text('{"id":"1","query":"q","relevantDocumentIds":["m:1","m:1","m:2"],"topK":5}\n{"id":"2","query":"r","relevantDocumentIds":[]}\n')
     cases, qrels = golden.read_retrieval_golden(spark, str(tmp_path / "g.jsonl"))
     assert {(r["case_id"], r["k"]) for r in cases.collect()} == {("1", 5), ("2", 8)} and qrels.count() == 2
+
+
+def test_every_condition_of_the_pass_rule(spark):
+    sides = {"expected_trajectory": ["plan", "answer"], "trajectory": ["plan", "x", "Answer"], "expected_intent": "ASK", "intent": " ask", "expected_conflict": False, "conflict": False,
+             "expected_clarification": True, "clarification": True, "expected_evidence_status": "FULL", "evidence_status": "full ", "expected_terminal_reason": "done", "terminal_reason": "DONE",
+             "expected_tools": [("search", "F1")], "tools": [("other", "f2"), (" Search", "f1")], "expected_citations": ["C1"], "citations": ["c2", "c1 "], "required_claims": ["k1"], "supported_claims": ["K1"]}
+    wrong = [{"trajectory": ["answer", "plan"]}, {"intent": "tell"}, {"conflict": True}, {"clarification": False}, {"evidence_status": "none"}, {"terminal_reason": None},
+             {"tools": [("search", "f2"), ("other", "f1")]}, {"tools": None}, {"citations": ["c2"]}, {"citations": None}, {"supported_claims": []}]
+    right = [{}, {"expected_tools": None, "tools": None}, {"required_claims": [], "supported_claims": None}, {"expected_evidence_status": " ", "evidence_status": "none"}]
+    kinds = {"expected_trajectory": "array<string>", "trajectory": "array<string>", "expected_conflict": "boolean", "conflict": "boolean", "expected_clarification": "boolean",
+             "clarification": "boolean", "expected_tools": "array<struct<name:string,fingerprint:string>>", "tools": "array<struct<name:string,fingerprint:string>>",
+             "expected_citations": "array<string>", "citations": "array<string>", "required_claims": "array<string>", "supported_claims": "array<string>"}
+    df = spark.createDataFrame([(n, *(sides | change).values()) for n, change in enumerate(right + wrong)], "n int, " + ", ".join(f"{c} {kinds.get(c, 'string')}" for c in sides))
+    rows = df.select("n", traces.passed(**{c: F.col(c) for c in sides}).alias("passed")).collect()
+    assert [r["passed"] for r in sorted(rows)] == [True] * len(right) + [False] * len(wrong)
