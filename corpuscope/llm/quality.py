@@ -1,6 +1,6 @@
 """Quality rules with thresholds learned per language and source.
 
-Every text is measured once. Each measure goes into a quantile sketch per language and source: logarithmic buckets with a relative
+Every text is measured once. Each measure of a text that passes the base rules goes into a quantile sketch per language and source: logarithmic buckets with a relative
 error of ``ACCURACY``, kept as counts, so sketches merge by adding and a third of all rows in one source is pre-aggregated
 by every task. The quartiles of a sketch give the fences of its group: a measure is out when it lies more than ``REACH`` spreads
 beyond the quartiles, where a spread is the interquartile range or the measure's least spread, whichever is larger. A group of fewer
@@ -8,7 +8,9 @@ than ``LEAST_ROWS`` rows takes the merged sketch of its language, or of all rows
 document is kept when it passes the base rules and lies within all fences.
 
 Cases: a null text has no words and fails the base rules; null languages and sources form groups of their own; equal rows are
-measured one by one; ties share a bucket; an empty table gives no rows. Whole texts are measured, and all rows feed the sketches.
+measured one by one; ties share a bucket; an empty table gives no rows. Whole texts are measured. The rows that
+pass the base rules feed the sketches, and ``LEAST_ROWS`` counts those: texts that are dropped anyway, being short or mostly repeats, have odd shares that
+would widen the fences for the others.
 """
 
 from __future__ import annotations
