@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import chat_events, disclosure, html_main, line_windows, pieces, quality, simhash, suffix_dedup, toxicity, winnowing
+from corpuscope.llm import alignment, chat_events, disclosure, html_main, line_windows, pieces, quality, simhash, suffix_dedup, toxicity, warc, whitening, winnowing
 from corpuscope.llm import oracles
 from corpuscope.llm.base import read, sha256_hex
 from corpuscope.session import ship_package
@@ -75,6 +75,18 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       sha256_hex(F.col("text")).alias("kept_sha256"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(read(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.through_archives(read(spark, sf_dir, "pages"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def shipped(run: Run) -> Run:
     """``run`` after giving this package to the Python workers."""
 
@@ -96,6 +108,9 @@ QUERIES: dict[str, Run] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality": op9_quality,
     "op10_line_windows": op10_line_windows,
+    "op11_alignment": op11_alignment,
+    "op12_warc": op12_warc,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -104,6 +119,7 @@ SQL: dict[str, str] = {
     "op7_winnowing": oracles.WINNOWING,
     "op9_quality": oracles.QUALITY,
     "op10_line_windows": oracles.LINE_WINDOWS,
+    "op12_warc": oracles.WARC,
 }
 
 

@@ -144,3 +144,15 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind =
   sha256(coalesce(string_agg(s, ',' ORDER BY kind, start) FILTER (kind < 4), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY kind, start), '') AS spans
 FROM d LEFT JOIN every e ON e.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+_BASE32 = " || ".join(f"lpad(to_base(('0x' || substr(sha1(p), {1 + 5 * i}, 5))::BIGINT, 32), 4, '0')" for i in range(8))
+
+#: SHA-1 in base 32 by fives of hexadecimal digits; equal payloads refer to their largest page
+WARC = f"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+coded AS (SELECT page_id, octet_length(encode(p)) AS payload_bytes,
+                 translate({_BASE32}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+                 max(page_id) OVER (PARTITION BY p) AS latest FROM rows)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM coded"""
