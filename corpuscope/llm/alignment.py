@@ -18,12 +18,11 @@ count as documents of their own and get equal results; a null doc_id stays null;
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -42,6 +41,13 @@ LISTED = 2_000_000
 #: distinct pairs that a task counts before it hands on what it has
 HELD = 2_000_000
 
+#: links of a group up to which its pairs are written out one by one
+WIDE_GROUP = 4_096
+
+# --- fixed values: how byte-level BPE files cut texts before merging ------------------------------
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# --------------------------------------------------------------------------------------------------
+
 _CUT = re.compile(r"(?<=[^\W\d_]) (?=[^\W\d_])")
 
 
@@ -52,18 +58,57 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _byte_level(spec: str) -> tuple:
+    """Of a byte-level BPE file: a function from texts to arrays of ids, the bytes of its letters, its vocabulary, and its special tokens (plain text here).
+
+    Where the merges number the tokens in their order, as they do in files of this kind, the ids are ranks and the faster library gives the same ones.
+    """
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    held, letters = json.loads(spec), byte_alphabet()
+    own = Tokenizer.from_str(spec)
+    special = {i: t.content for i, t in own.get_added_tokens_decoder().items()}
+    vocabulary = own.get_vocab(with_added_tokens=False)
+    merges = [m if isinstance(m, str) else " ".join(m) for m in held["model"].get("merges", [])]
+    singles = sorted(vocabulary[c] for c in letters if c in vocabulary)
+    plain = held.get("normalizer") is None and held["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    if plain and singles == list(range(256)) and len(vocabulary) == 256 + len(merges) and all(vocabulary.get(m.replace(" ", "")) == 256 + i for i, m in enumerate(merges)):
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
+        fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [fast.encode_to_numpy(t).astype(np.int64) for t in texts], letters, vocabulary, special
+    own.encode_special_tokens = True
+    return lambda texts: [np.array(e.ids, np.int64) for e in own.encode_batch_fast(texts, add_special_tokens=False)], letters, vocabulary, special
+
+
+def _distinct(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, upto_a: np.ndarray, from_b: np.ndarray, upto_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each group of equal windows, and the number of the group of every window. Hashes only name whom to compare: ids decide."""
+    total = np.zeros(len(from_a), np.uint64)
+    for ids, begin, end, seed in ((a, from_a, upto_a, 0x9E3779B97F4A7C15), (b, from_b, upto_b, 0xC2B2AE3D27D4EB4F)):
+        size = end - begin
+        powers = np.cumprod(np.full(int(size.max()), seed, np.uint64))  # wraps
+        nth = np.arange(len(ids)) - np.repeat(begin, size)
+        total = total * np.uint64(0xD6E8FEB86659FD93) + np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * powers[nth], begin)
+    _, first, which = np.unique(total, return_index=True, return_inverse=True)
+    same = np.ones(len(from_a), bool)
+    for ids, begin, end in ((a, from_a, upto_a), (b, from_b, upto_b)):
+        size, like = end - begin, first[which]
+        same &= size == size[like]
+        other = np.repeat(begin[like] - begin, size) + np.arange(len(ids))
+        same &= np.logical_and.reduceat(ids == ids[np.minimum(other, len(ids) - 1)], begin)
+    alone = np.nonzero(~same)[0]  # a hash that two windows share: they are looked up one by one
+    which[alone] = len(first) + np.arange(len(alone))
+    return np.concatenate([first, alone]), which
+
+
 class Tokenizers:
     """Both tokenizers, the bytes of their ids, and the windows aligned so far."""
 
     def __init__(self, spec: str, model: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(spec)
-        self.a.encode_special_tokens = True
+        self.encode_a, letters, vocabulary, special = _byte_level(spec)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        letters, special = byte_alphabet(), {i: t.content for i, t in self.a.get_added_tokens_decoder().items()}
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
         self.bytes_a = [b""] * (max([*vocabulary.values(), *special]) + 1)
         for token, i in vocabulary.items():
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
@@ -76,14 +121,16 @@ class Tokenizers:
         self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
         self.space_a, self.space_b = (np.array([x[:1] == b" " for x in table]) for table in (self.bytes_a, self.bytes_b))
-        self.long_a, self.long_b = self.size_a.tolist(), self.size_b.tolist()
-        self.names = [str(i) for i in range(max(len(self.long_a), len(self.long_b)))]
+        self.bits = len(self.bytes_b).bit_length()  # a pair's number in a batch: text, A id, B id
+        # ids as written, with what follows inside a group and at its end
+        named = lambda many, end: np.array([f"{i}{end}" for i in range(many)], dtype=object)
+        self.name_a = named(len(self.bytes_a), ","), named(len(self.bytes_a), "|")
+        self.name_b = named(len(self.bytes_b), ","), named(len(self.bytes_b), ";")
         self.forget()
 
     def forget(self) -> None:
-        """Starts the memory of windows anew: per window its groups as text, their number, its links, and the end of its pairs in ``codes`` and ``times``."""
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
+        """Starts the memory of windows anew: per window its number of groups and links, and the end of its linked pairs in ``codes`` and ``times``."""
+        self.known: dict[bytes, int] = {}
         self.n_groups, self.n_links, self.ends, self.codes, self.times = (array("q") for _ in range(5))
 
     def pieces_of(self, text: str) -> list[str]:
@@ -97,112 +144,115 @@ class Tokenizers:
                 begin = cut.end()
         return [*parts, text[begin:]]
 
-    def tokens(self, texts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """(part, A ids, B ids) of every part, in order; about ``AT_ONCE`` characters are tokenised at a time."""
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= AT_ONCE):
-                size += len(texts[upto])
-                upto += 1
-            some = texts[at:upto]
-            encoded = self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            yield from zip(some, (e.ids for e in encoded), self.b.encode(some, num_threads=1), strict=True)
-            at = upto
-
-    def right(self, part: str, ids_a: list[int], ids_b: list[int]) -> bool:
+    def tokens(self, texts: list[str]) -> list[tuple[str, np.ndarray, list[int]]]:
+        """(part, A ids, B ids) of every part."""
+        return list(zip(texts, self.encode_a([" " + t for t in texts]), self.b.encode(texts, num_threads=1) if texts else [], strict=True))
+
+    def right(self, part: str, ids_a: np.ndarray, ids_b: list[int]) -> bool:
         """Whether the joined bytes of both token sequences are those of the part with its space."""
         data = b" " + part.encode("utf-8", "surrogatepass")
-        return b"".join(map(self.bytes_a.__getitem__, ids_a)) == data and b"".join(map(self.bytes_b.__getitem__, ids_b)) == data
+        return b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == data and b"".join(map(self.bytes_b.__getitem__, ids_b)) == data
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the aligned windows of two verified token sequences, and the byte offset where each ends."""
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of two verified token sequences: the numbers of their windows, the byte offset where each ends, the ids as written in the order of the groups, and the end
+        of each window in that order."""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         spot = np.searchsorted(ends_b, ends_a)
         shared = ends_b[spot] == ends_a
-        next_a, next_b = np.nonzero(shared)[0] + 1, spot[shared] + 1
+        next_a, next_b = np.nonzero(shared)[0] + 1, spot[shared] + 1  # where the group behind each shared end begins
+        first_a, first_b = (np.concatenate([[0], x[:-1]]).astype(np.int64) for x in (next_a, next_b))
+        many_a, many_b = next_a - first_a, next_b - first_b
+        written = np.empty(len(a) + len(b), dtype=object)
+        last_b = np.zeros(len(b), bool)
+        last_b[next_b - 1] = True
+        for ids, last, names, place in ((a, shared, self.name_a, np.arange(len(a)) + np.repeat(first_b, many_a)), (b, last_b, self.name_b, np.arange(len(b)) + np.repeat(next_a, many_b))):
+            written[place] = names[0][ids]
+            written[place[last]] = names[1][ids[last]]
         anchor = np.ones(len(next_a), bool)  # the last shared end closes the last window
         anchor[:-1] = self.space_a[a[next_a[:-1]]] & self.space_b[b[next_b[:-1]]]
-        next_a, next_b = next_a[anchor], next_b[anchor]
-        raw_a, raw_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        out, known, from_a, from_b = [], self.known, 0, 0
-        for upto_a, upto_b in zip((4 * next_a).tolist(), (4 * next_b).tolist(), strict=True):
-            key = (raw_a[from_a:upto_a], raw_b[from_b:upto_b])
+        closing = np.nonzero(anchor)[0]
+        upto_a, upto_b = next_a[closing], next_b[closing]
+        from_a, from_b = (np.concatenate([[0], x[:-1]]).astype(np.int64) for x in (upto_a, upto_b))
+        first, which = _distinct(a, b, from_a, upto_a, from_b, upto_b)
+        # ids of A carry a mark, so that the bytes of both tuples in a row tell where the second begins
+        raw_a, raw_b = (a | 1 << 31).astype("<u4").tobytes(), b.astype("<u4").tobytes()
+        numbers, fresh, known = [], [], self.known
+        for at, i, j, x, y in zip(first.tolist(), *((4 * side[first]).tolist() for side in (from_a, upto_a, from_b, upto_b)), strict=True):
+            key = raw_a[i:j] + raw_b[x:y]
             number = known.get(key)
             if number is None:
-                number = known[key] = self.align(np.frombuffer(key[0], "<u4").tolist(), np.frombuffer(key[1], "<u4").tolist())
-            out.append(number)
-            from_a, from_b = upto_a, upto_b
-        return np.array(out, np.int64), ends_a[next_a - 1]
-
-    def align(self, a: list[int], b: list[int]) -> int:
-        """Aligns a window, remembers its groups and linked pairs, and gives its number."""
-        size_a, size_b, names, texts, links = self.long_a, self.long_b, self.names, [], 0
-        i = j = 0
-        while i < len(a):
-            one, other = a[i], b[j]
-            end_a, end_b = size_a[one], size_b[other]
-            if end_a == end_b:
-                texts.append(f"{names[one]}|{names[other]}")
-                self.codes.append(one << 32 | other)
-                self.times.append(1)
-                links += 1
-                i, j = i + 1, j + 1
-                continue
-            first_a, first_b = i, j
-            while end_a != end_b:
-                if end_a < end_b:
-                    i += 1
-                    end_a += size_a[a[i]]
-                else:
-                    j += 1
-                    end_b += size_b[b[j]]
-            i, j = i + 1, j + 1
-            own_a, own_b = a[first_a:i], b[first_b:j]
-            texts.append(f"{','.join([names[x] for x in own_a])}|{','.join([names[x] for x in own_b])}")
-            links += len(own_a) * len(own_b)
-            times_b = Counter(own_b).items()
-            for one, n in Counter(own_a).items():
-                self.codes.extend([one << 32 | other for other, _ in times_b])
-                self.times.extend([n * m for _, m in times_b])
-        self.groups.append(";".join(texts))
-        self.n_groups.append(len(texts))
-        self.n_links.append(links)
-        self.ends.append(len(self.codes))
-        return len(self.groups) - 1
+                number = known[key] = len(known)
+                fresh.append(at)
+            numbers.append(number)
+        opening = np.concatenate([[0], closing[:-1] + 1]).astype(np.int64)
+        self.align(a, b, opening[fresh], closing[fresh] + 1, first_a, first_b, many_a, many_b)
+        return np.array(numbers, np.int64)[which], ends_a[upto_a - 1], written, upto_a + upto_b
+
+    def align(self, a: np.ndarray, b: np.ndarray, opening: np.ndarray, closing: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, many_a: np.ndarray, many_b: np.ndarray) -> None:
+        """Remembers new windows, given by their first group and the one behind their last: all pairs of ids that share a group."""
+        groups = closing - opening
+        group = np.repeat(opening - np.concatenate([[0], np.cumsum(groups)])[:-1].astype(np.int64), groups) + np.arange(groups.sum())
+        window = np.repeat(np.arange(len(groups)), groups)
+        links = many_a[group] * many_b[group]
+        wide = links > WIDE_GROUP  # few and large, as in a text without spaces: pairs of distinct ids with their products
+        narrow = group[~wide]
+        count = links[~wide]
+        nth = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)])[:-1].astype(np.int64), count)
+        width = np.repeat(many_b[narrow], count)
+        codes = [a[np.repeat(first_a[narrow], count) + nth // width] << 32 | b[np.repeat(first_b[narrow], count) + nth % width]]
+        owner, times = [np.repeat(window[~wide], count)], [np.ones(len(nth), np.int64)]
+        for at in np.nonzero(wide)[0].tolist():
+            g = group[at]
+            (x, n), (y, m) = np.unique(a[first_a[g] : first_a[g] + many_a[g]], return_counts=True), np.unique(b[first_b[g] : first_b[g] + many_b[g]], return_counts=True)
+            codes.append((x[:, None] << 32 | y[None, :]).ravel())
+            times.append((n[:, None] * m[None, :]).ravel())
+            owner.append(np.full(len(codes[-1]), window[at]))
+        owners = np.concatenate(owner)
+        order = np.argsort(owners, kind="stable") if wide.any() else np.arange(len(owners))
+        begin = len(self.codes)
+        self.codes.frombytes(np.concatenate(codes)[order].astype(np.int64).tobytes())
+        self.times.frombytes(np.concatenate(times)[order].astype(np.int64).tobytes())
+        self.ends.frombytes((begin + np.cumsum(np.bincount(owners, minlength=len(groups)))).astype(np.int64).tobytes())
+        self.n_groups.frombytes(groups.astype(np.int64).tobytes())
+        self.n_links.frombytes(np.bincount(window, links, len(groups)).astype(np.int64).tobytes())
 
     def summarised(self, texts: list[str | None], whole: bool) -> list[pa.Array]:
         """Columns: tokens of A, of B, groups, links, digest, distinct pair codes, their multiplicities, and the groups as text if ``whole``."""
         if len(self.known) > MEMO or len(self.codes) > HELD:
             self.forget()
         parts = [self.pieces_of(t) if t else [] for t in texts]
-        owners = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        made = list(self.tokens([p for some in parts for p in some]))
-        wrong = np.zeros(len(texts), bool)
-        wrong[[o for o, one in zip(owners.tolist(), made, strict=True) if not self.right(*one)]] = True
-        good = [(o, one) for o, one in zip(owners.tolist(), made, strict=True) if not wrong[o]]
+        owners = [at for at, some in enumerate(parts) for _ in some]
+        made = self.tokens([p for some in parts for p in some])
+        wrong = {o for o, one in zip(owners, made, strict=True) if not self.right(*one)}
+        good = [(o, one) for o, one in zip(owners, made, strict=True) if o not in wrong]
         owner = np.array([o for o, _ in good], np.int64)
-        a, b = (np.fromiter(chain.from_iterable(one[k] for _, one in good), np.int64) for k in (1, 2))
+        none = np.zeros(0, np.int64)
+        a, b = (np.concatenate([np.asarray(one[k], np.int64) for _, one in good]) if good else none for k in (1, 2))
         per_text = lambda of, n: np.bincount(of, n, len(texts)).astype(np.int64) if len(of) else np.zeros(len(texts), np.int64)
         n_a, n_b = (per_text(owner, [len(one[k]) for _, one in good]) for k in (1, 2))
-        number, end = self.windows(a, b) if len(a) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        number, end, names, upto = self.windows(a, b) if len(a) else (none, none, none, none)
         part_ends = np.cumsum([1 + len(one[0].encode("utf-8", "surrogatepass")) for _, one in good])
         of = owner[np.searchsorted(part_ends, end)]
         n_groups, n_links, ends, codes, times = (np.array(x, np.int64) for x in (self.n_groups, self.n_links, self.ends, self.codes, self.times))
         first = np.concatenate([[0], ends]).astype(np.int64)[number]
         many = ends[number] - first
         at = np.repeat(first - np.concatenate([[0], np.cumsum(many)])[:-1].astype(np.int64), many) + np.arange(many.sum())
-        known, code = np.unique(codes[at], return_inverse=True)
-        pair, where = np.unique(np.repeat(of, many) * len(known) + code, return_inverse=True)
-        pair_times = np.bincount(where, times[at], len(pair)).astype(np.int64)
-        pair_of = pair // max(1, len(known))
-        offsets = pa.array(np.searchsorted(pair_of, np.arange(len(texts) + 1)), pa.int32())
-        bounds = np.searchsorted(of, np.arange(len(texts) + 1)).tolist()
-        listed = number.tolist()
-        written = [";".join(map(self.groups.__getitem__, listed[i:j])) for i, j in zip(bounds, bounds[1:], strict=False)]
+        code, every = codes[at], times[at]
+        number_of = np.repeat(of, many) << (32 + self.bits) | (code >> 32) << self.bits | code & 0xFFFFFFFF
+        if (every == 1).all():
+            pair, pair_times = np.unique(number_of, return_counts=True)
+        else:
+            pair, where = np.unique(number_of, return_inverse=True)
+            pair_times = np.bincount(where, every, len(pair))
+        held = pair & (1 << (32 + self.bits)) - 1
+        distinct = (held >> self.bits) << 32 | held & (1 << self.bits) - 1
+        offsets = pa.array(np.searchsorted(pair >> (32 + self.bits), np.arange(len(texts) + 1)), pa.int32())
+        bounds = np.concatenate([[0], upto]).astype(np.int64)[np.searchsorted(of, np.arange(len(texts) + 1))].tolist()
+        names = names.tolist()
+        written = ["".join(names[i:j])[:-1] for i, j in zip(bounds, bounds[1:], strict=False)]
         digests = [hashlib.sha256(w.encode()).hexdigest() if w else "" for w in written]
         return [pa.array(n_a), pa.array(n_b), pa.array(per_text(of, n_groups[number])), pa.array(per_text(of, n_links[number])), pa.array(digests, pa.string()),
-                pa.ListArray.from_arrays(offsets, pa.array(known[pair % max(1, len(known))], pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(pair_times)),
+                pa.ListArray.from_arrays(offsets, pa.array(distinct, pa.int64())), pa.ListArray.from_arrays(offsets, pa.array(pair_times.astype(np.int64))),
                 pa.array(written if whole else [None] * len(texts), pa.string())]
 
 

@@ -97,6 +97,28 @@ def test_long_texts_in_parts(monkeypatch):
         assert [c.to_pylist() for c in both.summarised([text, None, text[:50]], True)] == whole
 
 
+def test_both_libraries_give_the_same_ids():
+    """The faster library against the one the file is made for, on every character between letters, digits, spaces and signs (a thirtieth of them here)."""
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(alignment.BYTE_BPE)
+    slow.encode_special_tokens = True
+    fast = alignment._byte_level(Path(alignment.BYTE_BPE).read_text())[0]
+    points = [c for c in [*range(0x3000), *range(0x3000, 0x110000, 30)] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b 1{chr(c)}1 {chr(c)} {chr(c)}{chr(c)}x ,{chr(c)},  {chr(c)}" for c in points] + ODD
+    assert [x.tolist() for x in fast(texts)] == [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_wide_groups(monkeypatch):
+    """Pairs of a long group by products of counts, as of one written out."""
+    both = alignment.Tokenizers(Path(alignment.BYTE_BPE).read_text(), Path(alignment.PIECES).read_bytes())
+    texts = ["ab" * 300 + "日本" * 50, "x" * 2_000, "plain words here"]
+    narrow = [c.to_pylist() for c in both.summarised(texts, True)]
+    monkeypatch.setattr(alignment, "WIDE_GROUP", 1)
+    both.forget()
+    assert [c.to_pylist() for c in both.summarised(texts, True)] == narrow
+
+
 def test_counts_leave_full_tasks(spark, monkeypatch):
     """A task that may hold few pairs hands them on and counts again."""
     monkeypatch.setattr(alignment, "HELD", 8)
