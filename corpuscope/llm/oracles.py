@@ -121,7 +121,7 @@ def _spans(table: str, ident: str, text: str) -> str:
 _BLANKED = "line"
 for _name in (0, 3, 2, 1):
     _BLANKED = f"regexp_replace({_BLANKED}, '{_KINDS[_name][1]}', ' ', 'g')"
-_TERMS = "list_distinct(list_filter(list_transform(regexp_extract_all({c}, '\\p{{L}}+'), lambda x: lower(x)), lambda x: length(x) >= 4))"
+_TERMS = "list_distinct(list_transform(regexp_extract_all({c}, '\\p{{L}}+'), lambda x: lower(x)))"
 
 DISCLOSURE = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -134,7 +134,9 @@ entities AS (SELECT entity, count(*) AS w FROM pairs GROUP BY 1 HAVING count(*)
 met AS (SELECT entity, w, around, unnest(terms) AS term FROM pairs JOIN entities USING (entity)),
 strong AS (SELECT entity, term, w, count(*) AS both_n FROM met GROUP BY ALL HAVING count(DISTINCT around) >= 3),
 own AS (SELECT term, count(*) AS own FROM (SELECT unnest({_TERMS.format(c=_BLANKED)}) AS term FROM lines) WHERE term IN (SELECT term FROM strong) GROUP BY 1),
-flagged AS (SELECT DISTINCT term FROM strong JOIN own USING (term) WHERE both_n >= 0.5::DOUBLE * own AND log2(both_n::DOUBLE * (SELECT count(*) FROM lines) / (own * w)) >= 8),
+total AS (SELECT count(*)::DOUBLE AS n FROM lines),
+told AS (SELECT term, both_n, own, w, n, log2(both_n * n / (own * w)) AS bits FROM strong JOIN own USING (term), total),
+flagged AS (SELECT DISTINCT term FROM told WHERE both_n >= 0.5::DOUBLE * own AND bits >= 8::DOUBLE / 9 * log2(n / w) AND bits * both_n >= least(24, log2(n))),
 said AS (SELECT doc_id, ws, gs, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '\p{{L}}+') AS ws, regexp_split_to_array(t, '\p{{L}}+') AS gs FROM d
   WHERE len(list_intersect({_TERMS.format(c='t')}, (SELECT coalesce(list(term), []) FROM flagged))) > 0)),
 spoken AS (SELECT doc_id, 4 AS kind, stop - length(hit) AS start, stop, hit FROM (SELECT doc_id, ws[i] AS hit,
