@@ -7,10 +7,12 @@ and bit counts. A tile pair hands on a spanning forest of its links, never the p
 alternating large-star and small-star rounds over checkpointed edges.
 
 A fingerprint may be wider than 64 bits. The pipeline links texts whose sets of five-word shingles have a similarity (Jaccard) of
-``SIMILAR`` or more: texts with equal sets stand for one; 256-bit fingerprints of the sets, where 0.8 stands at 39 differing bits on average and at 41 at
-worst, give candidates within ``CANDIDATE_RADIUS`` (the odds of missing a pair are under 1 in 100,000); sets of up to ``FEW`` shingles, whose
-fingerprints spread further, find theirs by the subsets that lack one shingle, and sets of under four have none but equal ones. The candidates'
-components are cut into blocks of ``BLOCK_SHINGLES``, each pair of blocks is compared by the shingles themselves, and only the links found so count.
+``SIMILAR`` or more: texts with equal sets stand for one. The ``LEAST`` smallest shingle hashes of a set are its buckets: of two sets at 0.8, each of the smallest hashes
+of both together lies in both with odds of 0.8, so a pair meets in no bucket with odds under 0.2 ^ 16 (1 in 10^11), and never where a set has up to 75 shingles. Inside a bucket the
+256-bit fingerprints of the sets are compared as above, in tiles if there are many, and only where the sizes allow 0.8: there fingerprints stand at 39 differing bits on average and at 41 at
+worst, so ``CANDIDATE_RADIUS`` misses a pair with odds under 1 in 100,000; sets of up to ``FEW`` shingles, whose fingerprints spread further, are candidates without it, and sets of
+under four have none but equal ones. The candidates' components are compared by the shingles themselves; one of up to ``BLOCK_SHINGLES`` is settled
+in one place, larger ones are cut into blocks that are compared pair by pair, and only the links found so count.
 
 Cases: fewer words than a shingle needs make one shingle of all words; a wordless, empty or null text has the fingerprint zero and
 links like any other by its fingerprint, and as a shingle set only with other empty sets. Equal texts and repeated rows share a fingerprint. The component is the smallest doc_id reachable; a null
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,10 @@ from corpuscope.llm.base import map_text, row_key, salted_join, small_enough
 from corpuscope.session import cut_lineage, task_count
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS = 5, 4, 44
-SIMILAR, CANDIDATE_RADIUS, FEW = 0.8, 68, 9
+WIDE_SHINGLE, WIDE_WORDS = 5, 4
+SIMILAR, CANDIDATE_RADIUS, FEW, LEAST = 0.8, 68, 9, 16
+#: sets of a bucket up to which it is compared in one place; beyond, in pairs of tiles of about so many
+BUCKET = 4_096
 #: shingles of a block of candidates at most, about (a longer text is a block of its own); a pair of blocks needs some 100 bytes for each
 BLOCK_SHINGLES = 1 << 20
 #: fingerprints of a tile at most, about; a tile pair needs some ROWS x TILE x 9 bytes
@@ -204,21 +209,83 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
         "doc_id", F.struct("doc_id", "text_hash").alias("_key"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, size: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> DataFrame:
-    """``doc_id``, ``text_hash`` and, of the set of shingles, its name ``set``, its size ``n``, ``fp``, ``high``, ``low`` and the keys of small sets ``subsets``, of every row."""
+def shingle_sets(docs: DataFrame, size: int = WIDE_SHINGLE, words: int = WIDE_WORDS, least: int = LEAST) -> DataFrame:
+    """``doc_id``, ``text_hash`` and, of the set of shingles, its name ``set``, its size ``n``, ``fp`` and its smallest hashes ``least``, of every row."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs)["text_hash"].alias("text_hash"), docs["text"].cast("string").alias("text"))
 
     def run(texts: list) -> list[tuple]:
         out = []
         for text in texts:
             hashes = np.unique(shingle_hashes(text, size))
-            fp, half = _fingerprint(hashes, words), 4 * words
-            name = lambda part: xxhash.xxh3_128_digest(part.tobytes())
-            subsets = [name(hashes), *(name(np.delete(hashes, i)) for i in range(len(hashes)))] if 4 <= len(hashes) <= FEW else []
-            out.append((name(hashes), len(hashes), fp, int.from_bytes(fp[:half], "big").bit_count(), int.from_bytes(fp[half:], "big").bit_count(), subsets))
+            out.append((xxhash.xxh3_128_digest(hashes.tobytes()), len(hashes), _fingerprint(hashes, words), hashes[:least].view(np.int64).tolist()))
         return out
 
-    return map_text(rows, "text", "set binary, n long, fp binary, high int, low int, subsets array<binary>", run)
+    return map_text(rows, "text", "set binary, n long, fp binary, least array<long>", run)
+
+
+def bucket_links(sets: DataFrame, least: float = SIMILAR, radius: int = CANDIDATE_RADIUS, tile: int = BUCKET) -> DataFrame:
+    """Edges ``u``, ``v`` between names of ``sets`` (``set``, ``n``, ``fp``, ``least``) that share a bucket and may be similar; per bucket a star for each group that hangs together."""
+    members = sets.select("set", "n", "fp", F.explode("least").alias("shingle"))
+    shared = cut_lineage(members.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1"))
+    # sizes that may be similar lie in one class or in neighbouring ones (classes are a little wider than the limit, whatever the rounding)
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(1.000001 * float(np.log(1 / least)))).cast("int")
+    parts = F.ceil(F.col("m") / tile).cast("int")
+    met = salted_join(members, shared, ["shingle"], F.xxhash64("set")).withColumn("parts", parts)
+    met = met.withColumn("size", F.when(F.col("parts") > 1, size).otherwise(0)).withColumn("part", F.pmod(F.xxhash64("set", F.lit(1)), F.col("parts")).cast("int"))
+    spot = lambda size, part: F.struct(size.alias("size"), part.alias("part"))
+    pair = lambda one, two: F.struct(one.alias("one"), two.alias("two"))
+    here, own = F.col("size"), spot(F.col("size"), F.col("part"))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    # a tile meets itself and the later ones of its class, and all of the next class
+    same = F.transform(every, lambda q: pair(F.least(own, spot(here, q)), F.greatest(own, spot(here, q))))
+    upper = F.transform(every, lambda q: pair(own, spot(here + 1, q)))
+    lower = F.transform(every, lambda q: pair(spot(here - 1, q), own))
+    pairs = F.when(F.col("parts") > 1, F.concat(same, upper, lower)).otherwise(F.array(pair(own, own)))
+    spread = met.select("set", "n", "fp", "shingle", F.explode(pairs).alias("tiles"))
+    group = F.xxhash64("shingle", "tiles")  # rows of one group stay together; two that share a number are only compared in vain
+    placed = spread.select(group.alias("bucket"), "set", "n", "fp").repartition(task_count(sets.sparkSession), "bucket").sortWithinPartitions("bucket", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            buckets = held.column("bucket").to_numpy()
+            cut = int(np.searchsorted(buckets == buckets[-1], True))  # sorted: the last bucket may go on
+            if cut:
+                yield linked(held.slice(0, cut))
+            rest = held.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield linked(rest)
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        prints = np.frombuffer(b"".join(batch.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+        label = alike(batch.column("bucket").to_numpy(), batch.column("n").to_numpy(), prints, least, radius)
+        far = np.nonzero(label != np.arange(len(label)))[0]
+        names = batch.column("set")
+        return pa.RecordBatch.from_arrays([names.take(pa.array(far)), names.take(pa.array(label[far]))], names=["u", "v"])
+
+    return placed.mapInArrow(run, "u binary, v binary").where("u <> v").distinct()
+
+
+def alike(bucket: np.ndarray, n: np.ndarray, prints: np.ndarray, least: float, radius: int) -> np.ndarray:
+    """A root for each row: those of one bucket hang together whose sizes allow a similarity of ``least`` and whose fingerprints lie within the radius.
+
+    Rows come sorted by bucket and size, and are compared with those one, two, ... places further until no bucket has a later row of a fitting size.
+    """
+    label, here, step = np.arange(len(bucket)), np.arange(len(bucket)), 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(here):
+        step += 1
+        here = here[here + step < len(bucket)]
+        # a row whose next one is too large, or in another bucket, has no later partner either
+        here = here[(bucket[here] == bucket[here + step]) & (n[here] >= least * n[here + step])]
+        apart = np.bitwise_count(prints[here] ^ prints[here + step]).sum(axis=1, dtype=np.int64)
+        near = here[(apart <= radius) | (n[here] <= FEW)]
+        found.append((near, near + step))
+        if sum(len(x) for x, _ in found) > 1_000_000 or not len(here):
+            _union(label, *(np.concatenate(side) for side in zip(*found, strict=True)))
+            found = []
+    return _roots(label)
 
 
 def similar(one: list[np.ndarray], two: list[np.ndarray] | None, least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -251,36 +318,29 @@ def similar(one: list[np.ndarray], two: list[np.ndarray] | None, least: float =
     return edges
 
 
-def similar_sets(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, radius: int = CANDIDATE_RADIUS, words: int = WIDE_WORDS,
-                 tile: int = TILE, size: int = WIDE_SHINGLE, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """Edges ``u``, ``v`` between names of sets whose components are those of all pairs of similarity ``least`` or more; ``rows`` are the ``shingle_sets`` of ``docs``."""
-    key = F.struct("doc_id", "text_hash")
-    sets = cut_lineage(rows.where("n > 3").groupBy("set").agg(F.min(key).alias("_key"), F.first("n").alias("n"), F.first("fp").alias("fp"),
-                                                              F.first("high").alias("high"), F.first("low").alias("low"), F.first("subsets").alias("subsets")))
-    prints = sets.groupBy("fp").agg(F.first("high").alias("high"), F.first("low").alias("low"))
-    few = sets.select("fp", F.explode_outer("subsets").alias("subset")).where("subset IS NOT NULL")
-    few = salted_join(few, few.groupBy("subset").agg(F.min("fp").alias("least")), ["subset"], F.xxhash64("fp")).select(F.col("fp").alias("u"), F.col("least").alias("v"))
-    found = components(links(prints, radius, tile, words).unionByName(few))
-    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("part"))
-    placed = cut_lineage(sets.select("_key", "set", "n", "fp").join(rooted, "fp").select("_key", "set", "n", "part"))
-    parts = placed.groupBy("part").agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block).cast("int").alias("blocks")).where("sets > 1").select("part", "blocks")
+def similar_sets(docs: DataFrame, sets: DataFrame, least: float = SIMILAR, block: int = BLOCK_SHINGLES, tile: int = BUCKET, size: int = WIDE_SHINGLE) -> DataFrame:
+    """``node`` and ``root``: the group of every set but its root whose similarity to some other is ``least`` or more; ``sets`` are the distinct ``shingle_sets`` of ``docs`` with a ``_key`` each."""
+    many = sets.where("n > 3")
+    found = components(bucket_links(many, least, tile=tile))
+    placed = cut_lineage(many.select("_key", "set", "n").join(found.select(F.col("node").alias("set"), F.col("root").alias("part")), "set"))
+    parts = placed.groupBy("part").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     members = salted_join(placed, parts, ["part"], F.xxhash64("set"))
     members = cut_lineage(members.withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).drop("n"))
     texts = docs.select(row_key(docs).alias("_key"), docs["text"].cast("string").alias("text"))
     held = texts.join(F.broadcast(members) if small_enough(members, 50_000) else members, "_key").dropDuplicates(["set"])
     hashed = map_text(held.select("set", "part", "blocks", "block", "text"), "text", "shingles binary", lambda texts: [(np.unique(shingle_hashes(t, size)).tobytes(),) for t in texts])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = hashed.select("set", "part", "block", "shingles", other).select(
-        "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "shingles")
+    pairs = hashed.select("set", "part", "blocks", "block", "shingles", other).select(
+        "part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blocks", "set", "shingles")
     spread = pairs.repartition(task_count(docs.sparkSession), "part", "i", "j").sortWithinPartitions("part", "i", "j")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, []
         for batch in batches:
-            for part, i, j, own, name, packed in zip(*(batch[c] for c in ("part", "i", "j", "block", "set", "shingles")), strict=True):
-                if (part, i, j) != last:
+            for part, i, j, own, blocks, name, packed in zip(*(batch[c] for c in ("part", "i", "j", "block", "blocks", "set", "shingles")), strict=True):
+                if (part, i, j, blocks) != last:
                     yield from compared(last, held)
-                    last, held = (part, i, j), []
+                    last, held = (part, i, j, blocks), []
                 held.append((own, name, np.frombuffer(packed, np.uint64)))
         yield from compared(last, held)
 
@@ -293,15 +353,23 @@ def similar_sets(docs: DataFrame, rows: DataFrame, least: float = SIMILAR, radiu
             return
         edges = similar([h[2] for h in one], [h[2] for h in two] if two else None, least)
         names = [h[1] for h in one + two]
-        yield pd.DataFrame({"u": [names[a] for a, _ in edges], "v": [names[b] for _, b in edges]}, dtype=object)
+        if group[3] == 1:  # all of the component is here: stars are final
+            label = np.arange(len(names))
+            _union(label, *(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+            edges = [(at, int(root)) for at, root in enumerate(_roots(label)) if at != root]
+        yield pd.DataFrame({"u": [names[a] for a, _ in edges], "v": [names[b] for _, b in edges], "final": group[3] == 1}, dtype=object)
 
-    return spread.mapInPandas(run, "u binary, v binary")
+    links = cut_lineage(spread.mapInPandas(run, "u binary, v binary, final boolean"))
+    settled = links.where("final").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    open_links = links.where("NOT final").select("u", "v")
+    return settled if open_links.isEmpty() else settled.unionByName(components(open_links))
 
 
-def survivors(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK_SHINGLES, tile: int = TILE) -> DataFrame:
+def survivors(docs: DataFrame, least: float = SIMILAR, block: int = BLOCK_SHINGLES, tile: int = BUCKET) -> DataFrame:
     """``_key`` of the document that stays of every group of texts linked by a similarity of ``least`` or more: that of smallest doc_id, then text hash."""
-    rows = cut_lineage(shingle_sets(docs))  # narrow: read three times
-    found = components(similar_sets(docs, rows, least, tile=tile, block=block))
-    firsts = rows.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("_key"))
-    rooted = firsts.join(found, firsts["set"] == found["node"], "left").select("_key", F.coalesce("root", "set").alias("root"))
+    key = F.struct("doc_id", "text_hash")
+    firsts = shingle_sets(docs).groupBy("set").agg(F.min(key).alias("_key"), *(F.first(c).alias(c) for c in ("n", "fp", "least")))
+    sets = cut_lineage(firsts)  # narrow: read several times
+    found = similar_sets(docs, sets, least, block=block, tile=tile)
+    rooted = sets.select("_key", "set").join(found, sets["set"] == found["node"], "left").select("_key", F.coalesce("root", "set").alias("root"))
     return rooted.groupBy("root").agg(F.min("_key").alias("_key")).select("_key")

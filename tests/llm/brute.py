@@ -53,6 +53,24 @@ def classes(ids: list, prints: list[int], radius: int) -> dict:
     return {doc: min((m for m in group if m is not None), default=None) for group in members.values() for doc in group}
 
 
+def alike(ids: list, texts: list[str | None], size: int = 5) -> dict:
+    """Smallest id of the group of every text, groups hanging together by a similarity of the shingle sets of 0.8 or more."""
+    sets = []
+    for text in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    label = {i: i for i in range(len(ids))}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if x == high else x for k, x in label.items()}
+    members: dict[int, list] = {}
+    for i, x in label.items():
+        members.setdefault(x, []).append(ids[i])
+    return {doc: min(group) for group in members.values() for doc in group}
+
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -167,24 +167,8 @@ def test_tiles_lose_no_link(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
 
 
-def test_wide_fingerprints_tell_similarity():
-    rnd = random.Random(3)
-    words = [f"w{rnd.randrange(5000)}" for _ in range(400)]
-    near = list(words)
-    for at in (50, 150, 250, 350):
-        near[at] = "new"
-    far = [f"w{rnd.randrange(5000)}" for _ in range(400)]
-    a, b, c = (int.from_bytes(simhash.fingerprint(" ".join(t), 5, 4), "big") for t in (words, near, far))
-    assert (a ^ b).bit_count() <= simhash.WIDE_RADIUS < (a ^ c).bit_count()
-
-
-def _shingle_set(text):
-    w = (text or "").lower().split()
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-@pytest.mark.parametrize("block", [1 << 20, 400])
-def test_survivors_by_exact_similarity(spark, block):
+@pytest.mark.parametrize("block, tile", [(1 << 20, simhash.BUCKET), (400, 3)])
+def test_survivors_by_exact_similarity(spark, block, tile):
     rnd = random.Random(11)
     texts = [None, "", "one two three four five six", "a b c d e f", "g h i j k l", "g h i j k l"]
     for _ in range(30):
@@ -196,15 +180,10 @@ def test_survivors_by_exact_similarity(spark, block):
                 copy[rnd.randrange(len(copy))] = f"n{rnd.randrange(5000)}"
             texts += [" ".join(copy), " ".join(words[: len(words) - rnd.randint(0, 2)])]
     texts += [" ".join(f"s{i}_{rnd.randrange(9**9)}" for _ in range(6)) for i in range(400)]  # two shingles each
-    sets = [_shingle_set(t) for t in texts]
-    label = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if (5 * len(a & sets[j]) >= 4 * len(a | sets[j])) and label[i] != label[j]:
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
+    texts += [f"{texts[40]} {' '.join(f'x{rnd.randrange(9**9)}' for _ in range(rnd.randint(0, 3)))}" for _ in range(60)]  # one bucket holds many
+    groups = brute.alike(list(range(len(texts))), texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r["_key"]["doc_id"] for r in simhash.survivors(docs, block=block).collect()} == set(label)
+    assert {r["_key"]["doc_id"] for r in simhash.survivors(docs, block=block, tile=tile).collect()} == set(groups.values())
     assert simhash.survivors(docs.where("false")).count() == 0
 
 
@@ -245,7 +224,7 @@ def test_base_spans(spark, corpus):
 
 def test_disclosing_terms(spark):
     rows = [(i, f"{w} Zorblax wrote from zb@mail.example.com the {w} note {v}") for i, (w, v) in enumerate(zip("alpha bravo candy delta eagle".split(), "fotter ganda hilbo ivory jumbo".split(), strict=True))]
-    rows += [(10 + i, f"plain words note that {i} wrote from here") for i in range(600)] + [(700, "again zorblax here"), (701, None)]
+    rows += [(10 + i, f"plain words note that {i} wrote from the street") for i in range(600)] + [(700, "again zorblax here"), (701, None)]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     out = by_id(disclosure.find(table, bits=5.0).withColumn("clean", disclosure.sanitised(disclosure.F.col("text"), disclosure.F.col("spans"))).collect())
     assert [r["term"] for r in disclosure.disclosing_terms(table, bits=5.0).collect()] == ["zorblax"]
@@ -265,6 +244,30 @@ def test_short_names_and_frequent_entities_disclose(spark):
     assert " [TERM] [EMAIL] " in out[0]["clean"] and out[100]["clean"] == rows[100]
 
 
+def test_terms_by_sql(spark, tmp_path):
+    """The twin on texts where short words, frequent entities and chance decide."""
+    import duckdb
+
+    from corpuscope.llm import catalog, oracles
+
+    rnd = random.Random(9)
+    vocabulary = [f"{a}{b}ing" for a in "bcdfg" for b in "aeiou"]
+    said = lambda: " ".join(rnd.choices(vocabulary, k=6))
+    lines = [f"{said()} Kim office@hot.example.com {said()}" for _ in range(60)]
+    lines += [f"{said()} Li a@rare.example.com of {said()} 10.0.0.{i % 3}" for i in range(9)] + [f"{said()} now and of then {said()}" for _ in range(200)]
+    lines += [f"Bo sent {said()} once to +49 30 123456{i % 2}" for i in range(4)] + [f"Bo alone {said()}" for _ in range(4)]
+    rnd.shuffle(lines)
+    rows = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(-(-len(lines) // 3))] + [(900, None), (901, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = catalog.op6_disclosure(spark, str(tmp_path))
+    cur = con.execute(oracles.DISCLOSURE)
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall())
+    assert sorted(map(tuple, got.select(*names).collect())) == want and sum("term:" in r[names.index("spans")] for r in want) > 40
+
+
 # --- 7 -----------------------------------------------------------------------------------------
 @pytest.mark.parametrize("rows", [200_000, 1])
 def test_winnowing(spark, docs, no_docs, corpus, monkeypatch, rows):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import brute
 import corpus_pipeline
-from corpuscope.llm import simhash, toxicity
+from corpuscope.llm import toxicity
 from corpuscope.llm.base import read
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,9 +27,7 @@ def test_stages(spark, tmp_path):
             want = brute.line_windows(sorted(before.items()))
             assert {r["doc_id"]: r["text"] for r in rows} == {i: w[0] for i, w in want.items() if not w[2] or w[0].strip()}
         elif name == "near_dedup":
-            prints = {i: int.from_bytes(simhash.fingerprint(t, simhash.WIDE_SHINGLE, simhash.WIDE_WORDS), "big") for i, t in before.items()}
-            groups = brute.classes(list(prints), list(prints.values()), simhash.WIDE_RADIUS)
-            assert set(ids) == set(groups.values())
+            assert set(ids) == set(brute.alike(list(before), list(before.values())).values())
         elif name == "decontaminate":
             items = [(r["item_id"], r["text"]) for r in read(spark, FOLDER, "benchmark").collect()]
             windows = {tuple(w[i : i + min(10, len(w))]) for _, t in items if (w := brute.words7(t)) for i in range(max(1, len(w) - 9))}
