@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.rules import query_variants
 from corpuscope.operators import fuse
+from corpuscope.operators.postings import Postings
 from corpuscope.operators.evidence import MAX_ROUNDS, assess, corrective_queries
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, only_ids
 
 
 @dataclass
@@ -30,8 +31,9 @@ def rank_lists(lists: DataFrame, queries: DataFrame, docs: DataFrame, k: int) ->
 
 def as_evidence(hits: DataFrame, docs: DataFrame, files: DataFrame) -> DataFrame:
     """Hits with the four text columns that evidence looks at."""
-    names = fuse.attach_names(hits.select("query_id", "doc_id", "rank"), files)
-    body = docs.select("doc_id", "text")
+    hits = cut_lineage(hits.select("query_id", "doc_id", "rank"))
+    names = fuse.attach_names(hits, files)
+    body = only_ids(docs.select("doc_id", "text"), hits, "doc_id")
     none = F.lit(None).cast("string")
     return names.join(body, "doc_id").select("query_id", "doc_id", "rank", "file_name", none.alias("anchor_text"), none.alias("matched"), "text")
 
@@ -58,7 +60,7 @@ def stage_rows(queries: DataFrame, variants: DataFrame, lists: DataFrame, fused:
     return base.select("query_id", F.explode(stages).alias("s")).select("query_id", "s.*", F.lit(round_).alias("round"))
 
 
-def retrieve(plans: DataFrame, docs: DataFrame, vectors: DataFrame | None, files: DataFrame, k: int, *, max_rounds: int = MAX_ROUNDS) -> Outcome:
+def retrieve(plans: DataFrame, docs: DataFrame, vectors: DataFrame | None, files: DataFrame, k: int, *, max_rounds: int = MAX_ROUNDS, index: Postings | None = None) -> Outcome:
     """Run every question of ``plans`` (query_id, text, entities, intent, complexity, parts, lexical, aspects, user_id, user_tags[, embedding]).
 
     The driver loop has at most ``max_rounds`` steps, whatever the number of questions; each handles all open questions in
@@ -70,7 +72,7 @@ def retrieve(plans: DataFrame, docs: DataFrame, vectors: DataFrame | None, files
 
     def recall(rows: DataFrame) -> DataFrame:
         asked = rows.select("query_id", "variant_no", "variant_type", F.col("variant").alias("text")).join(identity, "query_id")
-        return fuse.recall_round(asked, docs, vectors, k)
+        return fuse.recall_round(asked, index or docs, vectors, k)
 
     def judge(lists: DataFrame, who: DataFrame, round_: int):
         fused, ranked = rank_lists(lists, who.select("query_id", "text"), docs, k)

@@ -1,6 +1,6 @@
-"""Exact and approximate nearest neighbours under permissions.
+"""Exact nearest neighbours under permissions.
 
-Exact search never forms query-document pairs as rows: each task multiplies blocks of its own documents with a block
+The search never forms query-document pairs as rows: each task multiplies blocks of its own documents with a block
 of queries and keeps the best k per query, so at most k rows per query and block leave the task.
 """
 
@@ -102,30 +102,3 @@ def _grid_search(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: i
         return _best(asked, _unit(asked["embedding"]), block, k)
 
     return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(cell, _OUT)
-
-
-def approximate_topk(queries: DataFrame, vectors: DataFrame, k: int, *, bucket_length: float = 0.6, tables: int = 12,
-                     seed: int = 7, open_access: bool = False) -> DataFrame:
-    """Approximate top-k: random-projection buckets give candidates, exact cosine ranks them.
-
-    On unit vectors the Euclidean distance d and the cosine are tied by cos = 1 - d*d/2. A query that gets fewer than
-    ``k`` candidates from its buckets returns those it got; compare with :func:`dense_topk` for the recall.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    def prepared(df: DataFrame) -> DataFrame:
-        raw = df.withColumn("_raw", array_to_vector(F.col("embedding").cast("array<double>"))).drop("embedding")
-        return Normalizer(inputCol="_raw", outputCol="unit", p=2.0).transform(raw).drop("_raw")
-
-    docs, asked = prepared(vectors), prepared(queries)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
-                                        numHashTables=tables, seed=seed).fit(docs)
-    near = model.approxSimilarityJoin(asked, docs, 2.01, distCol="distance")
-    flat = near.select(F.col("datasetA.*"), *[F.col(f"datasetB.{c}").alias(c) for c in
-                                              ("doc_id", "owner_id", "org_tag", "is_public") if c in docs.columns], "distance")
-    if is_restricted(queries, open_access):
-        flat = flat.where(visible())
-    score = F.round((2.0 - F.col("distance") * F.col("distance") / 2.0) / 2.0, SCORE_DIGITS)
-    scored = flat.select("query_id", "doc_id", score.alias("score"))
-    return first_rows(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.text import rerank_terms
 from corpuscope.operators.access import first_rows
-from corpuscope.operators.bm25 import bm25_scores, bm25_topk
+from corpuscope.operators.bm25 import bm25_scores
 from corpuscope.operators.dense import dense_topk
-from corpuscope.session import cut_lineage, spread
+from corpuscope.operators.postings import Postings, lexical_topk
+from corpuscope.session import cut_lineage, only_ids
 
 RANK_CONSTANT = 60
 SCORE_DIGITS = 12
@@ -50,17 +51,18 @@ def provenance(lists: DataFrame, fused: DataFrame, *, rank_constant: int = RANK_
 
 def attach_names(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``file_name``; the smallest name stands where one key has several, unknown keys get null."""
-    names = files.groupBy("doc_id").agg(F.min("file_name").alias("file_name"))
+    hits = cut_lineage(hits)  # read for its ids first, so that names of other files do not move
+    names = only_ids(files.select("doc_id", "file_name"), hits, "doc_id").groupBy("doc_id").agg(F.min("file_name").alias("file_name"))
     return hits.join(names, "doc_id", "left")
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: int, *, recall_factor: int = 4) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame | Postings, vectors: DataFrame, k: int, *, recall_factor: int = 4) -> DataFrame:
     """Permissioned BM25 and vector recall of depth 4k, fused; a query without vector hits keeps its BM25 order.
 
-    ``queries`` needs query_id, text, embedding (null allowed), user_id, user_tags.
+    ``queries`` needs query_id, text, embedding (null allowed), user_id, user_tags. ``docs`` are documents or their stored postings.
     """
     depth = recall_factor * k
-    lexical = ranked(bm25_topk(queries.drop("embedding"), docs, depth), "BM25")
+    lexical = ranked(lexical_topk(queries.drop("embedding"), docs, depth), "BM25")
     dense = ranked(dense_topk(queries.where("embedding IS NOT NULL").drop("text"), vectors, depth), "VECTOR")
     return rrf(lexical.unionByName(dense), k)
 
@@ -79,7 +81,7 @@ def legacy_hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, k: in
     return first_rows(final, ["query_id"], [F.desc("score"), F.asc("doc_id")], k, "rank")
 
 
-def recall_round(variants: DataFrame, docs: DataFrame, vectors: DataFrame | None, k: int) -> DataFrame:
+def recall_round(variants: DataFrame, docs: DataFrame | Postings, vectors: DataFrame | None, k: int) -> DataFrame:
     """Ranked lists of all variants of all queries: one BM25 job and one vector job, max(k, 30) rows per list.
 
     ``variants``: query_id, variant_no, variant_type, text, user_id, user_tags and, for vectors, embedding.
@@ -93,7 +95,7 @@ def recall_round(variants: DataFrame, docs: DataFrame, vectors: DataFrame | None
         return (hits.withColumnRenamed("query_id", "_k").join(labels, "_k").drop("_k").withColumn("channel", F.lit(channel)))
 
     asked = keyed.drop("query_id").withColumnRenamed("_key", "query_id")
-    lists = tagged(bm25_topk(asked.select("query_id", "text", "user_id", "user_tags"), docs, depth), "BM25")
+    lists = tagged(lexical_topk(asked.select("query_id", "text", "user_id", "user_tags"), docs, depth), "BM25")
     if vectors is not None:
         dense = asked.where("embedding IS NOT NULL").select("query_id", "embedding", "user_id", "user_tags")
         lists = lists.unionByName(tagged(dense_topk(dense, vectors, depth), "VECTOR"))
@@ -114,12 +116,15 @@ def heuristic_rerank(hits: DataFrame, queries: DataFrame, texts: DataFrame, n: i
     Document text is fetched for the surviving hits only.
     """
     asked = queries.select("query_id", rerank_terms("text").alias("_q"))
-    body = spread(texts.select("doc_id", F.col("text").alias("_body")), "doc_id")
-    joined = hits.where(F.col("rank") <= RERANK_LIMIT).drop("rank").join(asked, "query_id").join(body, "doc_id")
+    top = cut_lineage(hits.where(F.col("rank") <= RERANK_LIMIT).drop("rank"))
+    body = only_ids(texts.select("doc_id", F.col("text").alias("_body")), top, "doc_id")
+    # words are taken once per document, however many questions have it
+    words = body.select("doc_id", rerank_terms("_body").alias("_words"))
+    joined = top.join(asked, "query_id").join(words, "doc_id")
     n_query = F.size("_q")
-    coverage = F.when(n_query > 0, F.size(F.array_intersect("_q", rerank_terms("_body"))) / n_query).otherwise(0.0)
+    coverage = F.when(n_query > 0, F.size(F.array_intersect("_q", "_words")) / n_query).otherwise(0.0)
     scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("rrf_score", F.lit(0.0)) * RRF_SCALE))
-    scored = joined.withColumn("rerank_score", F.round(LEXICAL_WEIGHT * coverage + RRF_WEIGHT * scaled, 9)).drop("_q", "_body")
+    scored = joined.withColumn("rerank_score", F.round(LEXICAL_WEIGHT * coverage + RRF_WEIGHT * scaled, 9)).drop("_q", "_words")
     return first_rows(scored, ["query_id"], [F.desc("rerank_score"), F.desc_nulls_last("rrf_score"), F.asc("doc_id")], n, "rank")
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions import rules as R
 from corpuscope.functions import text as X
-from corpuscope.operators import agentic, bm25, context, evidence, fuse, ingest, memory
+from corpuscope.operators import agentic, context, evidence, fuse, ingest, memory
+from corpuscope.operators.postings import lexical_topk, open_postings, write_postings
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.ingestion import PARENTS, numbered
 from corpuscope.plans.lists import ACTIVE, _NOW
 from corpuscope.plans.planning import plan_sql, variants_sql
 from corpuscope.plans.registry import query
-from corpuscope.plans.retrieval import asked, asked_both
+from corpuscope.plans.retrieval import asked, asked_both, index_of, stored_once
 
 QPLAN = plan_sql("SELECT query_id, text FROM questions")
 QVARIANTS = variants_sql(QPLAN)
@@ -39,7 +40,7 @@ def variants_with_user(t):
 
 @query("f09_multi_query_recall", f"{RECALL} SELECT query_id, variant_no, query_type, doc_id, rank, channel FROM lists")
 def _recall(t):
-    return fuse.recall_round(variants_with_user(t), t.docs, t.vectors, 8).select("query_id", "variant_no", "query_type", "doc_id", "rank", "channel")
+    return fuse.recall_round(variants_with_user(t), index_of(t), t.vectors, 8).select("query_id", "variant_no", "query_type", "doc_id", "rank", "channel")
 
 
 @query("f09_degraded_channels", f"""{RECALL}, gone AS (SELECT v.query_id, v.variant_no, c.channel FROM variants v, (SELECT unnest(['BM25', 'VECTOR']) AS channel) c WHERE c.channel = 'BM25' OR v.query_id % 4 <> 0)
@@ -48,11 +49,12 @@ def _recall(t):
 def _degraded(t):
     # the vector channel of every fourth question is taken to be down
     variants = variants_with_user(t).withColumn("embedding", F.when(F.col("query_id") % 4 != 0, F.col("embedding")))
-    return fuse.degraded_channels(variants, fuse.recall_round(variants, t.docs, t.vectors, 8))
+    return fuse.degraded_channels(variants, fuse.recall_round(variants, index_of(t), t.vectors, 8))
 
 
-@query("f12_parent_assembly", f"""WITH {PARENTS}, ch AS (SELECT doc_id * 100000 + chunk_id AS doc_id, doc_id AS file_id, doc_id * 100000 + chunk_id - in_page % 3 AS parent_id, text FROM num),
-    {sql.bm25('questions', 'ch', acl=False)}, hits AS ({sql.topk('bm_scores', 20)}),
+@query("f12_parent_assembly", f"""WITH RECURSIVE {sql.EFFECTIVE}, {PARENTS}, ch AS (SELECT n.doc_id * 100000 + chunk_id AS doc_id, n.doc_id AS file_id, n.doc_id * 100000 + chunk_id - in_page % 3 AS parent_id, n.text,
+      d.owner_id, d.org_tag, d.is_public FROM num n JOIN docs d ON d.doc_id = n.doc_id),
+    {sql.bm25('questions', 'ch', acl=True)}, hits AS ({sql.topk('bm_scores', 20)}),
     k AS (SELECT h.query_id, h.doc_id AS child_id, h.rank, c.file_id, c.parent_id FROM hits h JOIN ch c ON c.doc_id = h.doc_id),
     b AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank, child_id) AS one FROM k),
     f AS (SELECT query_id, child_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, child_id) AS rank FROM b WHERE one = 1),
@@ -64,8 +66,11 @@ def _parents(t):
     child = rows.select((F.col("doc_id") * 100000 + F.col("chunk_id")).alias("child_id"), "doc_id",
                         (F.col("doc_id") * 100000 + F.col("chunk_id") - F.col("in_page") % 3).alias("parent_id"), "text")
     parents = ingest.parent_chunks(rows).select((F.col("doc_id") * 100000 + F.col("parent_index")).alias("parent_id"), "parent_text")
-    passages = child.select(F.col("child_id").alias("doc_id"), "text")
-    hits = bm25.bm25_topk(t.questions.select("query_id", "text"), passages, 20, min_score=0.0, open_access=True).withColumnRenamed("doc_id", "child_id")
+    # a passage is seen by those who see its document
+    access = t.docs.select("doc_id", "owner_id", "org_tag", "is_public")
+    passages = child.join(access, "doc_id").drop("doc_id").withColumnRenamed("child_id", "doc_id")
+    index = stored_once(t, "passage-postings", lambda path: write_postings(passages, path), lambda path: open_postings(t.spark, path))
+    hits = lexical_topk(asked(t), index, 20, min_score=0.0).withColumnRenamed("doc_id", "child_id")
     out = fuse.assemble_parents(hits.drop("score"), child, parents, 8)
     return out.select("query_id", "child_id", "parent_id", "rank", F.md5("text").alias("text_md5"), "n_candidates", "n_dropped")
 
@@ -114,7 +119,7 @@ COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(bo
 
 
 def evidence_hits(t):
-    hits = bm25.bm25_topk(asked(t), t.docs, 8)
+    hits = lexical_topk(asked(t), index_of(t), 8)
     return agentic.as_evidence(hits, t.docs, t.files)
 
 
@@ -163,14 +168,14 @@ def _corrective(t):
 
 @query("f19_agentic_retrieval")
 def _agentic(t):
-    out = agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8)
+    out = agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, index=index_of(t))
     return out.assessments.select("query_id", "status", "confidence", "round", "n_hits", F.size("covered").alias("n_covered"), "action",
                                   evidence.terminal_reason(F.col("action")).alias("terminal_reason"))
 
 
 @query("f20_stage_trace")
 def _trace(t):
-    return agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, max_rounds=1).trace
+    return agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, max_rounds=1, index=index_of(t)).trace
 
 
 @query("f21_context_pack", f"""WITH RECURSIVE {HITS} SELECT query_id, string_agg('[' || rank || '] (' || file_name || ' | 第' || rank || '页) ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END || chr(10), '' ORDER BY rank) AS context FROM ev GROUP BY query_id""")
@@ -249,7 +254,7 @@ def _access(t):
 @query("f27_summary_sources", f"""{RECALL}, fused AS (SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 12) AS rrf_score FROM lists GROUP BY 1, 2), top12 AS ({sql.topk('fused', 12, score='rrf_score')})
     SELECT query_id, count(*) AS source_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS sources FROM top12 GROUP BY query_id""")
 def _summary(t):
-    lists = fuse.recall_round(variants_with_user(t), t.docs, t.vectors, 12)
+    lists = fuse.recall_round(variants_with_user(t), index_of(t), t.vectors, 12)
     top = fuse.rrf(lists, max(1, min(20, 12)))
     packed = top.groupBy("query_id").agg(F.count("*").alias("source_count"), F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("_l"))
     return packed.select("query_id", "source_count", F.array_join(F.transform("_l", lambda x: x["doc_id"].cast("string")), ",").alias("sources"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscope.operators import access, bm25, evaluate as E, traces
+from corpuscope.operators import access, evaluate as E, traces
+from corpuscope.operators.postings import lexical_topk
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.lists import LATEST
 from corpuscope.plans.registry import query
-from corpuscope.plans.retrieval import asked
+from corpuscope.plans.retrieval import asked, index_of
 
 _R4 = "floor(({v}) * 10000 + 0.5) / 10000"
 
@@ -26,7 +27,7 @@ CASES = f"""{sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)}, top10 AS
 
 
 def cases(t):
-    hits = bm25.bm25_topk(asked(t), t.docs, 10, min_score=0.0)
+    hits = lexical_topk(asked(t), index_of(t), 10, min_score=0.0)
     found = E.retrieval_cases(hits, t.qrels, 10)
     return found.withColumn("latency_ms", F.col("relevant") * 100 + F.col("query_id"))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscope.operators import access, bm25, dense, fuse
+from corpuscope import session
+from corpuscope.operators import access, dense, fuse, ivf, postings
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.bindings import Tables
 from corpuscope.plans.registry import query
 from corpuscope.session import cut_lineage
+from corpuscope.streaming.pipeline import scratch_path
 
 
 def asked(t: Tables):
@@ -24,6 +26,23 @@ def asked_both(t: Tables):
     return asked(t).join(t.question_vectors.select("query_id", "embedding"), "query_id", "left")
 
 
+def stored_once(t: Tables, name: str, write, read):
+    """What ``read(path)`` finds at a path of the shared folder that ``write(path)`` has filled, once for the input files of a session."""
+    known = t.spark.sparkContext.__dict__.setdefault("_corpuscope_stored", {})
+    key = (name, t.folder, tuple(sorted(t.documents.inputFiles() + t.embeddings.inputFiles())))
+    found = read(known[key]) if key in known else None
+    if found is None:
+        known[key] = scratch_path(t.spark, name)
+        write(known[key])
+        found = read(known[key])
+    return found
+
+
+def index_of(t: Tables) -> postings.Postings:
+    """The postings of the documents, as their ingestion leaves them."""
+    return t.once("postings", lambda: stored_once(t, "postings", lambda path: postings.write_postings(t.docs, path), lambda path: postings.open_postings(t.spark, path)))
+
+
 BM = f"WITH RECURSIVE {sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)}"
 PLAIN_BM = f"WITH {sql.bm25('questions', 'docs', acl=False)}"
 DENSE_ALL = f"dn_scores AS ({sql.dense('question_vectors', 'vectors', acl=True)})"
@@ -37,20 +56,20 @@ _R6 = "score"
 
 
 def lists_of(t: Tables):
-    lexical = fuse.ranked(bm25.bm25_topk(asked(t), t.docs, 40), "BM25")
+    lexical = fuse.ranked(postings.lexical_topk(asked(t), index_of(t), 40), "BM25")
     return lexical.unionByName(fuse.ranked(dense.dense_topk(asked_vectors(t), t.vectors, 40), "VECTOR"))
 
 
 @query("f01_bm25_topk", f"{BM} SELECT query_id, doc_id, rank, {_R6} FROM ({sql.topk('bm_scores', 10, where='WHERE score >= 0.3')}) x")
 def _bm25(t):
-    return bm25.bm25_topk(asked(t), t.docs, 10)
+    return postings.lexical_topk(asked(t), index_of(t), 10)
 
 
 @query("f02_bm25_all_terms_rescore", f"""{PLAIN_BM}, w AS ({sql.topk('bm_scores', 300)}),
     f AS (SELECT query_id, doc_id, round(0.2::DOUBLE * score + CASE WHEN matched = n_terms THEN score ELSE 0 END, 9) AS score FROM w)
     SELECT query_id, doc_id, rank, {_R6} FROM ({sql.topk('f', 10)}) x""")
 def _rescore(t):
-    return bm25.bm25_all_terms_rescore(t.questions, t.docs, 10, 300, open_access=True)
+    return postings.all_terms_rescore(t.questions, index_of(t), 10, 300, open_access=True)
 
 
 @query("f03_dense_topk", f"""WITH RECURSIVE {sql.EFFECTIVE}, {DENSE_ALL}
@@ -59,9 +78,28 @@ def _dense(t):
     return dense.dense_topk(asked_vectors(t), t.vectors, 10)
 
 
+def inverted(t: Tables) -> ivf.InvertedFile:
+    """The inverted file of the vectors, as their ingestion leaves it."""
+    return t.once("inverted", lambda: stored_once(t, "inverted", lambda path: ivf.write_inverted(t.vectors, path), lambda path: ivf.open_inverted(t.spark, path)))
+
+
 @query("f04_approximate_topk")
 def _approximate(t):
-    return dense.approximate_topk(asked_vectors(t), t.vectors, 10)
+    return ivf.search(asked_vectors(t), inverted(t), 10).hits
+
+
+@query("f04_approximate_check", f"""WITH RECURSIVE {sql.EFFECTIVE}, {DENSE_ALL}
+    SELECT query_id, least(count(*), 10) AS n_hits, least(count(*), 10) AS n_true FROM dn_scores GROUP BY query_id""")
+def _approximate_check(t):
+    # whatever candidates were found: each question has its k hits (or all that its user sees), and each hit its true score
+    hits = cut_lineage(ivf.search(asked_vectors(t), inverted(t), 10).hits)
+    seen = access.with_effective_tags(t.question_vectors.select("query_id", "user_id", F.col("embedding").alias("q")), t.users, t.org_tags)
+    pairs = hits.join(seen, "query_id").join(session.only_ids(t.vectors, hits, "doc_id"), "doc_id").where(access.visible())
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    cosine = dot(F.col("q"), F.col("embedding")) / F.sqrt(dot(F.col("q"), F.col("q")) * dot(F.col("embedding"), F.col("embedding")))
+    right = F.abs((1 + cosine) / 2 - F.col("score")) < 2e-9
+    true = pairs.where(right).groupBy("query_id").agg(F.count("*").alias("n_true"))
+    return hits.groupBy("query_id").agg(F.count("*").alias("n_hits")).join(true, "query_id", "left").select("query_id", "n_hits", F.coalesce("n_true", F.lit(0)).alias("n_true"))
 
 
 @query("f05_legacy_hybrid", f"""{PLAIN_BM}, d AS ({sql.dense('question_vectors', 'vectors', acl=False)}),
@@ -80,7 +118,7 @@ def _legacy(t):
 @query("f06_hybrid_search", f"""{FUSED} SELECT x.query_id, x.doc_id, rrf_score, n_hits, retrieval_mode, rank, f.file_name
     FROM ({sql.topk('fused', 10, score='rrf_score')}) x LEFT JOIN files f ON f.doc_id = x.doc_id""")
 def _hybrid(t):
-    found = fuse.hybrid_search(asked_both(t), t.docs, t.vectors, 10)
+    found = fuse.hybrid_search(asked_both(t), index_of(t), t.vectors, 10)
     return fuse.attach_names(found, t.files)
 
 
@@ -131,11 +169,11 @@ def _rerank(t):
 
 def vector_scores(t: Tables):
     """Scores of an outside model, for the queries whose id is not a multiple of three: here the vector channel's."""
-    scored = dense.dense_topk(t.question_vectors.select("query_id", "embedding"), t.vectors.select("doc_id", "embedding"), 100, open_access=True)
+    scored = dense.dense_topk(asked_vectors(t), t.vectors, 100)
     return scored.where(F.col("query_id") % 3 != 0).select("query_id", "doc_id", "score")
 
 
-@query("f11_external_rerank", f"""{RERANKED}, ext AS (SELECT * FROM ({sql.topk('(' + sql.dense('question_vectors', 'vectors', acl=False) + ')', 100)}) e
+@query("f11_external_rerank", f"""{RERANKED}, ext AS (SELECT * FROM ({sql.topk('dn_scores', 100)}) e
       WHERE query_id % 3 <> 0),
     m AS (SELECT c.query_id, c.doc_id, e.score AS rerank_score FROM top40 c JOIN ext e ON e.query_id = c.query_id AND e.doc_id = c.doc_id),
     mk AS ({sql.topk('m', 8, score='rerank_score')})

@@ -72,6 +72,12 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is among those of ``ids``. The ids are broadcast when their counted size allows it, so that ``df`` is filtered where it is read."""
+    wanted = ids.select(key).distinct()
+    return df.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, key, "left_semi")
+
+
 def join_on_hot_keys(big: DataFrame, small: DataFrame, keys: list[str], *, salt_by: list[str],
                      small_fits: bool | None = None, salts: int = 32, how: str = "inner") -> DataFrame:
     """Equi-join where one key may hold a large share of ``big``.

@@ -62,8 +62,7 @@ def test_salted_join_equals_broadcast_join(tables, monkeypatch):
 def test_search_without_identity_is_refused(tables):
     queries = tables.questions.select("query_id", "text")
     vectors = tables.question_vectors.select("query_id", "embedding")
-    for search in (lambda: bm25.bm25_topk(queries, tables.docs, 5), lambda: dense.dense_topk(vectors, tables.vectors, 5),
-                   lambda: dense.approximate_topk(vectors, tables.vectors, 5)):
+    for search in (lambda: bm25.bm25_topk(queries, tables.docs, 5), lambda: dense.dense_topk(vectors, tables.vectors, 5)):
         with pytest.raises(ValueError, match="open_access"):
             search()
 
@@ -86,12 +85,6 @@ def test_dense_scores_equal_brute_force(tables):
         assert got == want
 
 
-def test_approximate_search_finds_most_neighbours(tables):
-    exact = {(r["query_id"], r["doc_id"]) for r in dense.dense_topk(asked_vectors(tables), tables.vectors, 10).collect()}
-    found = {(r["query_id"], r["doc_id"]) for r in dense.approximate_topk(asked_vectors(tables), tables.vectors, 10).collect()}
-    assert len(exact & found) / len(exact) > 0.6
-
-
 def test_large_side_check_reads_a_bounded_number_of_rows(spark):
     assert session.fits_broadcast(spark.range(10), 10) and not session.fits_broadcast(spark.range(11), 10)
 
