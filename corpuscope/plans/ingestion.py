@@ -12,6 +12,8 @@ from corpuscope.functions.chunking import chunk_table
 from corpuscope.operators import ingest
 from corpuscope.plans import fragments as sql
 from corpuscope.plans.registry import query
+from corpuscope.sources.files import scan_files
+from corpuscope.streaming.pipeline import scratch_path
 from corpuscope.session import spread
 
 
@@ -23,14 +25,35 @@ def _scan(t):
         F.max(F.md5("text")).alias("last_fingerprint"))
 
 
-@query("a02_html_to_text", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+_VISIBLE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
       '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'),
-      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS text FROM pages""")
+      '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\t\n\x0B\f\r ]+', ' ', 'g'))"""
+
+
+@query("a02_html_to_text", f"SELECT page_id, {_VISIBLE} AS text FROM pages")
 def _html(t):
     return t.pages.select("page_id", X.html_to_text("html").alias("text"))
 
 
+@query("a01_mixed_files", f"""SELECT 'd' || doc_id AS name, CASE WHEN doc_id % 20 = 2 THEN 'plain' WHEN doc_id % 2 = 0 THEN 'json' ELSE 'csv' END AS kind,
+      md5(CASE WHEN doc_id % 20 = 2 THEN text || chr(10) ELSE text END) AS text_md5 FROM documents
+    UNION ALL SELECT 'p' || page_id, CASE WHEN page_id % 10 = 0 THEN 'html' ELSE 'json' END, md5(CASE WHEN page_id % 10 = 0 THEN {_VISIBLE} ELSE html END) FROM pages""")
+def _mixed(t):
+    # all documents and pages as a folder of plain, JSON, CSV and HTML files without telling names
+    base = scratch_path(t.spark, "mixed")
+    docs = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.col("doc_id").alias("n"))
+    pages = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("doc_id"), F.col("html").alias("text"), F.col("page_id").alias("n"))
+    docs.where("n % 20 = 2").select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/a")
+    pages.where("n % 10 = 0").select("doc_id", "text").write.partitionBy("doc_id").text(f"{base}/b")
+    docs.where("n % 20 <> 2 AND n % 2 = 0").unionByName(pages.where("n % 10 <> 0")).select("doc_id", "text").write.json(f"{base}/c")
+    (docs.where("n % 2 = 1").select("doc_id", "text").write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/d"))
+    found = scan_files(t.spark, base).where("reason IS NULL")
+    name = F.coalesce("doc_id", F.regexp_extract("path", "doc_id=([dp][0-9]+)/", 1))
+    return found.select(name.alias("name"), "kind", F.md5("text").alias("text_md5"))
+
+
 def _in(values):
     return ", ".join(f"'{v}'" for v in values)
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuscope.functions.times import micros
 from corpuscope.operators import ledgers, limits
 from corpuscope.operators import evaluate as E
 from corpuscope.plans.lists import LATEST
 from corpuscope.plans.registry import query
 from corpuscope.session import cut_lineage
-from corpuscope.sources import golden, sinks
-from corpuscope.streaming import pipeline, state
+from corpuscope.sources import golden
+from corpuscope.sources.segments import SegmentIndex
+from corpuscope.streaming import keyed, pipeline, retries, state
 
 EV = "ev AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) AS us, epoch_us(ts) // 1000 * 1000 AS t FROM events)"
 
@@ -45,7 +47,7 @@ def _limit(t):
 @query("k01_window_limit_stream", _K1)
 def _limit_stream(t):
     rows = stream_of(t, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
-    return pipeline.drain(state.limit_stream(rows, 3, 21600), "limit")
+    return pipeline.drain(keyed.limit_stream(rows, 3, 21600), "limit")
 
 
 _K2 = f"""WITH RECURSIVE {EV}, {_window_sql('ev', 'm', 21600, 2)}, pass AS (SELECT key, id, us, t FROM m WHERE accepted), {_window_sql('pass', 'd', 86400, 3)}
@@ -60,7 +62,7 @@ def _dual(t):
 @query("k02_dual_window_limit_stream", _K2)
 def _dual_stream(t):
     rows = stream_of(t, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "ts")
-    return pipeline.drain(state.dual_limit_stream(rows, 2, 21600, 3, 86400), "dual")
+    return pipeline.drain(keyed.dual_limit_stream(rows, 2, 21600, 3, 86400), "dual")
 
 
 _K4 = """WITH RECURSIVE q AS (SELECT user_id, event_id AS id, CAST(ts AS DATE) AS d, CAST(round(value * 100, 0) AS BIGINT) AS a, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events),
@@ -80,7 +82,7 @@ def _reserve(t):
 
 @query("k04_daily_reserve_stream", _K4)
 def _reserve_stream(t):
-    return pipeline.drain(state.reserve_stream(requests(stream_of(t, "events")), 9000), "reserve").select("user_id", "id", "admitted")
+    return pipeline.drain(keyed.reserve_stream(requests(stream_of(t, "events")), 9000), "reserve").select("user_id", "id", "admitted")
 
 
 @query("k05_global_budget_stream")
@@ -109,7 +111,7 @@ def _failures(t):
 
 @query("k07_failure_spans_stream", _K7)
 def _failures_stream(t):
-    return pipeline.drain(state.failure_stream(outcomes(stream_of(t, "events")), cooldown=43200), "failures")
+    return pipeline.drain(keyed.failure_stream(outcomes(stream_of(t, "events")), cooldown=43200), "failures")
 
 
 @query("k03_clock_counters_stream", """SELECT user_id, epoch_us(date_trunc('day', ts)) AS window_us, count(*) AS requests, CAST(sum(round(value * 100, 0)) AS BIGINT) AS tokens FROM events GROUP BY ALL""")
@@ -191,6 +193,62 @@ def _ttl(t):
     return ledgers.within_history(t.steps, "generation_id", "occurred_at", F.expr(_NOW)).groupBy("generation_id").agg(F.count("*").alias("steps"))
 
 
+_MARK = "10::BIGINT * 60000000"
+
+
+@query("k06_settlement_stream", f"""WITH r AS (SELECT event_id AS id, concat(CAST(user_id AS STRING), ':', CAST(CAST(ts AS DATE) AS VARCHAR)) AS quota_key, epoch_us(ts) AS us, CAST(round(value * 100, 0) AS BIGINT) AS reserved FROM events),
+    o AS (SELECT event_id AS id, epoch_us(ts) + (event_id % 50) * 60000000 AS us, CASE WHEN event_id % 5 = 0 THEN 'abort' ELSE 'settle' END AS outcome, CAST(floor(round(value * 100, 0) * (80 + event_id % 50) / 100) AS BIGINT) AS actual FROM events WHERE event_id % 5 <> 1),
+    w AS (SELECT least((SELECT max(us) FROM r), (SELECT max(us) FROM o)) // 1000 * 1000 - {_MARK} AS w)
+    SELECT r.id, quota_key, reserved, coalesce(outcome, 'abort') AS outcome, o.id IS NULL AS timed_out, CASE WHEN outcome = 'settle' THEN actual ELSE 0 END AS final
+    FROM r LEFT JOIN o ON o.id = r.id AND o.us >= r.us AND o.us <= r.us + 1800000000, w WHERE o.id IS NOT NULL OR r.us + 1800000000 < w""")
+def _settle_stream(t):
+    rows = requests(stream_of(t, "events"))
+    quota_key = F.concat_ws(":", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
+    # outcomes come up to 49 minutes later; half an hour counts, and every fifth reservation has none
+    outcomes = requests(stream_of(t, "events")).where("id % 5 <> 1").select(
+        "id", F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("id") % 50) * 60_000_000).alias("ts"),
+        F.when(F.col("id") % 5 == 0, "abort").otherwise("settle").alias("outcome"), F.floor(F.col("reserved") * (80 + F.col("id") % 50) / 100).alias("actual"))
+    return pipeline.drain(keyed.settlement_stream(rows.withColumn("quota_key", quota_key), outcomes, "30 MINUTES"), "settlement")
+
+
+_QUIET = f"""q AS (SELECT generation_id, epoch_us(max(occurred_at)) AS last_us, arg_max(stage, id) AS stage FROM steps GROUP BY 1),
+    w AS (SELECT epoch_us(max(ts)) // 1000 - 600000 AS w FROM events),
+    found AS (SELECT generation_id, last_us, last_us // 1000 + 7200001 AS found_ms, w FROM q, w WHERE stage = 'view' AND last_us // 1000 + 7200001 <= w)"""
+
+
+def step_stream(t):
+    """Steps of runs as a stream, with the name that the bindings give a run."""
+    rows = stream_of(t, "events")
+    name = F.concat(F.lit("g"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("event_id") / 500).cast("string"))
+    return rows.select(name.alias("generation_id"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("status"))
+
+
+@query("k10_interrupted_runs_stream", f"WITH {_QUIET} SELECT generation_id, last_us, 'INTERRUPTED' AS new_status FROM found")
+def _interrupted_stream(t):
+    # nothing but time brings these rows about
+    return pipeline.drain(keyed.interrupted_stream(step_stream(t), 120, ("view",)), "quiet").drop("found_at")
+
+
+@query("k10_interrupted_daily_stream", f"""WITH {_QUIET} SELECT found_ms // 86400000 * 86400000000 AS day_us, count(*) AS runs FROM found GROUP BY found_ms // 86400000, w HAVING (found_ms // 86400000 + 1) * 86400000 <= w""")
+def _interrupted_daily(t):
+    # a second stateful operator behind the first: runs found quiet per day, when the day is over
+    found = keyed.interrupted_stream(step_stream(t), 120, ("view",))
+    daily = found.groupBy(F.window("found_at", "1 day").alias("w")).agg(F.count("*").alias("runs"))
+    return pipeline.drain(daily.select(F.unix_micros("w.start").alias("day_us"), "runs"), "quiet-days")
+
+
+@query("k11_pending_tasks_stream", """WITH e AS (SELECT user_id, event_id AS id, epoch_us(ts) AS us, event_type = 'signup' AS task FROM events WHERE event_type IN ('signup', 'click')),
+    n AS (SELECT *, lead(us) OVER o AS next_us, lead(task) OVER o AS next_task FROM e WINDOW o AS (PARTITION BY user_id ORDER BY us, id)),
+    w AS (SELECT max(us) // 1000 - 600000 AS w FROM e)
+    SELECT user_id, id AS task_id, CASE WHEN next_us IS NULL OR us + 86400000000 < next_us THEN 'EXPIRED' WHEN next_task THEN 'REPLACED' ELSE 'RESUMED' END AS state,
+      CASE WHEN next_us IS NULL OR us + 86400000000 < next_us THEN us + 86400000000 ELSE next_us END AS at_us
+    FROM n, w WHERE task AND (next_us IS NOT NULL OR (us + 86400000000) // 1000 + 1 <= w)""")
+def _pending_stream(t):
+    rows = stream_of(t, "events").where("event_type IN ('signup', 'click')")
+    events = rows.select("user_id", F.col("event_id").alias("id"), "ts", (F.col("event_type") == "signup").alias("is_task"), (micros("ts") + 86_400_000_000).alias("expires_us"))
+    return pipeline.drain(keyed.pending_stream(events), "pending")
+
+
 def task_rows(t):
     """One JSON task per file, as the queue would carry it; every twelfth has no file id."""
     md5 = F.when(F.col("doc_id") % 12 == 5, "").otherwise(F.col("file_md5"))
@@ -220,20 +278,34 @@ def _retries(t):
     def work(rows):
         return rows.withColumn("ok", F.col("attempt") >= F.col("n_chars") % 7)
 
-    done, dead = pipeline.process_with_retries(t.files.select("doc_id", "n_chars"), work, pipeline.scratch_path(t.spark, "retries"))
+    tasks = stream_of(t, "documents").select("doc_id", "n_chars")
+    done, dead = retries.drain_with_retries(tasks, work, pipeline.scratch_path(t.spark, "retries"))
     both = done.withColumn("outcome", F.lit("done")).unionByName(dead.withColumn("outcome", F.lit("dead")))
     return both.groupBy("outcome", "attempt").agg(F.count("*").alias("tasks"))
 
 
 @query("a06_index_sink", "SELECT file_md5, count(*) AS documents FROM files GROUP BY 1")
 def _index(t):
-    path = pipeline.scratch_path(t.spark, "index")
+    index = SegmentIndex(t.spark, pipeline.scratch_path(t.spark, "index"), spread_by=("doc_id",))
     rows = t.files.select("file_md5", "doc_id", "file_name")
-    sinks.upsert_index(rows, path, salt_by=["doc_id"])
+    index.upsert(rows, "first")
     # writing some files again replaces their rows and keeps all others
-    sinks.upsert_index(rows.where("doc_id % 5 = 0").join(rows.select("file_md5"), "file_md5", "left_semi").select("file_md5").distinct()
-                       .join(rows, "file_md5"), path, salt_by=["doc_id"])
-    return t.spark.read.parquet(path).groupBy("file_md5").agg(F.count("*").alias("documents"))
+    some = rows.where("doc_id % 5 = 0").select("file_md5").distinct()
+    index.upsert(rows.join(some, "file_md5", "left_semi"), "again")
+    return index.read().groupBy("file_md5").agg(F.count("*").alias("documents"))
+
+
+@query("a07_index_delete_marks", """SELECT file_md5, count(*) AS documents, CAST(sum(CASE WHEN file_md5 IN (SELECT file_md5 FROM files WHERE status = 0) THEN 2 ELSE 1 END) AS BIGINT) AS versions
+    FROM files WHERE file_md5 NOT IN (SELECT file_md5 FROM files WHERE status = 2) OR file_md5 IN (SELECT file_md5 FROM files WHERE status = 0) GROUP BY 1""")
+def _marks(t):
+    index = SegmentIndex(t.spark, pipeline.scratch_path(t.spark, "marks"), spread_by=("doc_id",))
+    rows = t.files.select("file_md5", "doc_id", F.lit(1).alias("version"))
+    index.upsert(rows, "first")
+    index.delete(t.files.where("status = 2"), "deleted")
+    # what is written after its deletion is there again
+    index.upsert(rows.withColumn("version", F.lit(2)).join(t.files.where("status = 0").select("file_md5").distinct(), "file_md5", "left_semi"), "again")
+    index.compact(fan=2)
+    return index.read().groupBy("file_md5").agg(F.count("*").alias("documents"), F.sum("version").alias("versions"))
 
 
 @query("a09_retrieval_golden_set", "SELECT CAST(query_id AS VARCHAR) AS case_id, CAST(doc_id AS VARCHAR) AS document_id FROM qrels")

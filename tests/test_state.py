@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.times import micros
 from corpuscope.operators import context, guards, ledgers, limits, memory, usage
-from corpuscope.streaming import pipeline, state
+from corpuscope.streaming import keyed, pipeline, state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -116,9 +116,9 @@ def stream_over(spark, tmp_path, rows, batches=3):
 def test_streams_carry_state_over_micro_batches(spark, tmp_path):
     rows = events(random.Random(7), n=150)
     stream = stream_over(spark, tmp_path, rows)
-    got = {r["id"]: r["accepted"] for r in pipeline.drain(state.limit_stream(stream, 5, 60), "t").collect()}
+    got = {r["id"]: r["accepted"] for r in pipeline.drain(keyed.limit_stream(stream, 5, 60), "t").collect()}
     assert got == fold(rows, (0, 0), lambda s, t, f, a: limits.limiter_step(s, t, 5, 60))
-    spans = {r["id"]: r["state"] for r in pipeline.drain(state.failure_stream(stream), "t").collect()}
+    spans = {r["id"]: r["state"] for r in pipeline.drain(keyed.failure_stream(stream), "t").collect()}
     assert spans == fold(rows, (0, 0), lambda s, t, f, a: limits.breaker_step(s, t, f, 3, 30))
 
 
