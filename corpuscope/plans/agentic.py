@@ -9,11 +9,11 @@ from corpuscope.functions import text as X
 from corpuscope.operators import agentic, context, evidence, fuse, ingest, memory
 from corpuscope.operators.postings import lexical_topk, open_postings, write_postings
 from corpuscope.plans import fragments as sql
-from corpuscope.plans.ingestion import PARENTS, numbered
+from corpuscope.plans.ingestion import _ANCHOR, _SQUEEZE, PARENTS, numbered
 from corpuscope.plans.lists import ACTIVE, _NOW
 from corpuscope.plans.planning import plan_sql, variants_sql
 from corpuscope.plans.registry import query
-from corpuscope.plans.retrieval import asked, asked_both, index_of, stored_once
+from corpuscope.plans.retrieval import asked, asked_both, index_of, rerank_sql, stored_once
 
 QPLAN = plan_sql("SELECT query_id, text FROM questions")
 QVARIANTS = variants_sql(QPLAN)
@@ -103,7 +103,9 @@ def _any(c, needles):
 
 HITS = f"""{sql.EFFECTIVE}, {sql.bm25('questions', 'docs', acl=True)}, top8 AS ({sql.topk('bm_scores', 8, where='WHERE score >= 0.3')}),
     ev AS (SELECT h.query_id, h.doc_id, h.rank, f.file_name || '   ' || d.text AS body, d.text, f.file_name FROM top8 h JOIN docs d ON d.doc_id = h.doc_id JOIN files f ON f.doc_id = h.doc_id)"""
-COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(body) AS lb FROM ev),
+def cover(hits: str) -> str:
+    """Coverage and status over the rows ``ev`` (query_id, doc_id, rank, body) that ``hits`` defines."""
+    return f"""{ASPECTS}, {hits}, ht AS (SELECT *, {_terms('body')} AS ts, lower(body) AS lb FROM ev),
     aa AS (SELECT query_id, unnest(range(0, len(aspects))) AS i, unnest(aspects) AS aspect FROM asp),
     ac AS (SELECT a.query_id, a.i, a.aspect, coalesce(max(CASE WHEN len({_terms('a.aspect')}) = 0 THEN 0 ELSE len(list_intersect({_terms('a.aspect')}, h.ts))::DOUBLE / len({_terms('a.aspect')}) END), 0) AS best
       FROM aa a LEFT JOIN ht h ON h.query_id = a.query_id GROUP BY 1, 2, 3),
@@ -118,6 +120,11 @@ COVER = f"""{ASPECTS}, {HITS}, ht AS (SELECT *, {_terms('body')} AS ts, lower(bo
       THEN 'SUFFICIENT' WHEN query_coverage > 0 OR aspect_coverage > 0 THEN 'PARTIAL' ELSE 'INSUFFICIENT' END AS status FROM st)"""
 
 
+COVER = cover(HITS)
+_CONFIDENCE = ("CASE WHEN status = 'INSUFFICIENT' AND n_hits = 0 THEN 0.95 ELSE greatest(0, least(1, 0.25::DOUBLE * least(1, n_hits / 4.0::DOUBLE) + 0.4::DOUBLE * query_coverage "
+               "+ 0.35::DOUBLE * aspect_coverage)) END")
+
+
 def evidence_hits(t):
     hits = lexical_topk(asked(t), index_of(t), 8)
     return agentic.as_evidence(hits, t.docs, t.files)
@@ -166,16 +173,71 @@ def _corrective(t):
     return evidence.corrective_queries(who, judged, executed).select("query_id", "variant_no", "variant_type", "variant")
 
 
+def copies(t):
+    """Copies of one text as children of the first of them: (children, parents)."""
+    first = t.files.groupBy("file_md5").agg(F.min("doc_id").alias("parent_id"), F.count("*").alias("n"))
+    children = t.files.join(first, "file_md5").select("doc_id", F.when(F.col("n") > 1, F.col("parent_id")).alias("parent_id"))
+    return children, t.docs.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
+
+
+def agentic_outcome(t, max_rounds):
+    children, parents = copies(t)
+    return agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, max_rounds=max_rounds, index=index_of(t), children=children, parents=parents, phrases=PHRASES)
+
+
+def assessed_rows(out):
+    return out.assessments.select("query_id", "status", F.round("confidence", 6).alias("confidence"), "round", "n_hits", F.size("covered").alias("n_covered"), "action",
+                                  evidence.terminal_reason(F.col("action")).alias("terminal_reason"))
+
+
+# one round in SQL: all lists fused, reranked against the question, copies folded into their first, and the evidence of what is left
+ASSEMBLED = f"""{RECALL[len("WITH RECURSIVE "):].replace(QVARIANTS + ", ", "")}, fused AS (SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 12) AS rrf_score, count(*) AS n_hits, '' AS retrieval_mode FROM lists GROUP BY 1, 2),
+    top40 AS ({sql.topk('fused', 40, score='rrf_score')}), rr AS ({rerank_sql('top40', 8)}),
+    hr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rrf_score DESC, doc_id) AS rank FROM rr) y WHERE rank <= 8),
+    par AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY file_md5) > 1 THEN min(doc_id) OVER (PARTITION BY file_md5) END AS parent_id FROM files),
+    kids AS (SELECT h.query_id, h.doc_id, h.rank, p.parent_id, row_number() OVER (PARTITION BY h.query_id, coalesce('p' || p.parent_id, 'c' || h.doc_id) ORDER BY h.rank, h.doc_id) AS one FROM hr h JOIN par p ON p.doc_id = h.doc_id),
+    kept AS (SELECT query_id, doc_id, parent_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS rank FROM kids WHERE one = 1),
+    ev AS (SELECT k.query_id, k.doc_id, k.rank, k.parent_id, f.file_name || ' ' || coalesce({_ANCHOR.format(c=_SQUEEZE.format(c='coalesce(pd.text, d.text)'))}, '') || ' '
+      || CASE WHEN length(d.text) > 800 THEN left(d.text, 800) || '…' ELSE d.text END || ' ' || coalesce(pd.text, d.text) AS body
+      FROM kept k JOIN docs d ON d.doc_id = k.doc_id JOIN files f ON f.doc_id = k.doc_id LEFT JOIN docs pd ON pd.doc_id = k.parent_id)"""
+FIRST_ROUND = cover(ASSEMBLED)
+_ACTIONS = "CASE status WHEN 'SUFFICIENT' THEN 'ANSWER' WHEN 'CONFLICTED' THEN 'ANSWER_WITH_CONFLICTS' ELSE CASE WHEN n_hits = 0 THEN 'ABSTAIN' ELSE 'PARTIAL_ANSWER' END END"
+
+
 @query("f19_agentic_retrieval")
 def _agentic(t):
-    out = agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, index=index_of(t))
-    return out.assessments.select("query_id", "status", "confidence", "round", "n_hits", F.size("covered").alias("n_covered"), "action",
-                                  evidence.terminal_reason(F.col("action")).alias("terminal_reason"))
+    return assessed_rows(agentic_outcome(t, 2))
+
+
+@query("f19_first_round", f"""WITH RECURSIVE {FIRST_ROUND} SELECT query_id, status, round({_CONFIDENCE}, 6) AS confidence, 0 AS round, n_hits, n_covered, {_ACTIONS} AS action,
+    CASE {_ACTIONS} WHEN 'ANSWER' THEN 'ANSWERED' WHEN 'ANSWER_WITH_CONFLICTS' THEN 'CONFLICTED' WHEN 'PARTIAL_ANSWER' THEN 'PARTIAL' ELSE 'INSUFFICIENT_EVIDENCE' END AS terminal_reason FROM fin""")
+def _first_round(t):
+    return assessed_rows(agentic_outcome(t, 0))
 
 
 @query("f20_stage_trace")
 def _trace(t):
-    return agentic.retrieve(plans(t), t.docs, t.vectors, t.files, 8, max_rounds=1, index=index_of(t)).trace
+    return agentic_outcome(t, 1).trace.drop("latency_ms")
+
+
+@query("f20_first_round_trace", f"""WITH RECURSIVE {FIRST_ROUND},
+    cv_ AS (SELECT query_id, count(*) AS v FROM variants GROUP BY 1), lv AS (SELECT query_id, count(*) AS l FROM lists GROUP BY 1),
+    ch_ AS (SELECT query_id, string_agg(c, ';' ORDER BY c COLLATE "C") AS channels FROM (SELECT query_id, channel || ':' || query_type || '=' || count(*) AS c FROM lists GROUP BY query_id, channel, query_type) x GROUP BY 1),
+    fv AS (SELECT query_id, count(*) AS f FROM top40 GROUP BY 1), rv AS (SELECT query_id, count(*) AS r FROM hr GROUP BY 1),
+    av AS (SELECT query_id, count(*) AS a, count(parent_id) AS x FROM kept GROUP BY 1), dv AS (SELECT query_id, count(*) FILTER (one > 1) AS dropped FROM kids GROUP BY 1),
+    nv AS (SELECT query_id, count(*) AS d FROM variants WHERE query_id NOT IN (SELECT query_id FROM question_vectors) GROUP BY 1),
+    b AS (SELECT p.query_id, p.intent, p.complexity, coalesce(v, 0) AS v, coalesce(l, 0) AS l, coalesce(f, 0) AS f, coalesce(r, 0) AS r, coalesce(a, 0) AS a, coalesce(x, 0) AS x, coalesce(dropped, 0) AS dropped,
+      coalesce(d, 0) AS d, coalesce(channels, '') AS channels, n.status, n.n_covered, CAST(floor({_CONFIDENCE} * 10000) AS BIGINT) AS conf, {_ACTIONS} AS action
+      FROM plan p LEFT JOIN cv_ USING (query_id) LEFT JOIN lv USING (query_id) LEFT JOIN ch_ USING (query_id) LEFT JOIN fv USING (query_id) LEFT JOIN rv USING (query_id) LEFT JOIN av USING (query_id)
+      LEFT JOIN dv USING (query_id) LEFT JOIN nv USING (query_id) JOIN fin n USING (query_id))
+    SELECT query_id, 0 AS round, 'QUERY_PLANNING' AS stage, 'SUCCEEDED' AS status, 1 AS n_in, v AS n_out, 'complexity=' || complexity || ';intent=' || intent AS details FROM b
+    UNION ALL SELECT query_id, 0, 'PARALLEL_RECALL', CASE WHEN d > 0 THEN 'DEGRADED' ELSE 'SUCCEEDED' END, v, l, channels FROM b
+    UNION ALL SELECT query_id, 0, 'RRF_FUSION', 'SUCCEEDED', l, f, 'rankConstant=60;refinementRound=0' FROM b
+    UNION ALL SELECT query_id, 0, 'RERANK', 'SUCCEEDED', f, r, 'refinementRound=0;strategy=HEURISTIC' FROM b
+    UNION ALL SELECT query_id, 0, 'PARENT_CONTEXT_ASSEMBLY', 'SUCCEEDED', r, a, 'deduplicatedChildren=' || dropped || ';expandedParents=' || x || ';refinementRound=0' FROM b
+    UNION ALL SELECT query_id, 0, 'EVIDENCE_VERIFY', status, a, n_covered, 'action=' || action || ';confidence=' || conf || ';refinementRound=0' FROM b""")
+def _first_trace(t):
+    return agentic_outcome(t, 0).trace.drop("latency_ms")
 
 
 @query("f21_context_pack", f"""WITH RECURSIVE {HITS} SELECT query_id, string_agg('[' || rank || '] (' || file_name || ' | 第' || rank || '页) ' || CASE WHEN length(text) > 300 THEN left(text, 300) || '…' ELSE text END || chr(10), '' ORDER BY rank) AS context FROM ev GROUP BY query_id""")

@@ -151,6 +151,9 @@ def test_corrective_queries_skip_what_ran(spark):
     assert first[0]["fp"] not in {r["fp"] for r in again}
 
 
+STAGES = ("QUERY_PLANNING", "PARALLEL_RECALL", "RRF_FUSION", "RERANK", "PARENT_CONTEXT_ASSEMBLY", "EVIDENCE_VERIFY")
+
+
 def test_refinement_is_bounded_and_keeps_every_question(tables):
     plans = agentic_plans.plans(tables)
     out = agentic.retrieve(plans, tables.docs, tables.vectors, tables.files, 8)
@@ -158,7 +161,42 @@ def test_refinement_is_bounded_and_keeps_every_question(tables):
     assert sorted(r["query_id"] for r in rows) == sorted(r["query_id"] for r in tables.questions.collect())
     assert max(r["round"] for r in rows) <= 2
     assert out.hits.groupBy("query_id").count().where("count > 8").count() == 0
-    assert {r["stage"] for r in out.trace.select("stage").distinct().collect()} == {"RECALL", "RRF_FUSION", "RERANK", "EVIDENCE_VERIFY"}
+    trace = out.trace.collect()
+    assert {r["stage"] for r in trace if r["round"] == 0} == set(STAGES)
+    again = {r["stage"] for r in trace if r["round"] == 1}
+    assert again == {"CORRECTIVE_RECALL_1", *(f"{s}_1" for s in STAGES[2:])}
+    # a question that went on has all stages of its round, and one that stopped says why
+    reasons = {(r["query_id"], r["round"], r["reason"].split(":")[0]) for r in out.degradations.collect()}
+    last = {r["query_id"]: r["round"] for r in rows}
+    open_ = {r["query_id"] for r in rows if r["status"] in ("PARTIAL", "INSUFFICIENT") and last[r["query_id"]] < 2}
+    assert open_ <= {q for q, _, reason in reasons if reason.startswith("EVIDENCE_REFINE_")}
+
+
+def test_plans_without_retrieval_stop_after_planning(tables):
+    plans = agentic_plans.plans(tables).withColumn("retrieval_required", F.col("query_id") % 2 == 0).withColumn("embedding", F.when(F.col("query_id") % 4 == 0, F.col("embedding")))
+    out = agentic.retrieve(plans, tables.docs, tables.vectors, tables.files, 8, max_rounds=0)
+    stages = {}
+    for r in out.trace.collect():
+        stages.setdefault(r["query_id"], []).append((r["stage"], r["status"]))
+    assert all(len(s) == (6 if q % 2 == 0 else 1) for q, s in stages.items()) and {q % 2 for q in stages} == {0, 1}
+    assert {r["query_id"] % 2 for r in out.assessments.collect()} == {0}
+    # the vector channel of every other question could not be asked
+    assert all(("PARALLEL_RECALL", "DEGRADED" if q % 4 else "SUCCEEDED") in s for q, s in stages.items() if q % 2 == 0)
+    assert {r["query_id"] % 4 for r in out.degradations.collect()} == {2} and "no embedding" in out.degradations.first()["reason"]
+    off = agentic.retrieve(plans, tables.docs, tables.vectors, tables.files, 8, enabled=False)
+    assert off.hits.count() == off.assessments.count() == 0 and {r["stage"] for r in off.trace.collect()} == {"QUERY_PLANNING"}
+
+
+def test_parents_take_the_place_of_their_children(spark):
+    ranked = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (1, 12, 3)], "query_id long, doc_id long, rank int")
+    docs = spark.createDataFrame([(10, "child ten"), (11, "child eleven"), (12, "alone"), (13, "never hit")], "doc_id long, text string")
+    files = spark.createDataFrame([(i, f"f{i}") for i in (10, 11, 12)], "doc_id long, file_name string")
+    children = spark.createDataFrame([(10, 7), (11, 7), (12, None)], "doc_id long, parent_id long")
+    parents = spark.createDataFrame([(7, "Heading of seven.\nchild ten and child eleven"), (8, "other")], "parent_id long, parent_text string")
+    rows = agentic.assembled(ranked, docs, files, children, parents, 5).orderBy("rank").collect()
+    assert [(r["doc_id"], r["text"], r["matched"], r["expanded"], r["n_dropped"]) for r in rows] == [
+        (10, "Heading of seven.\nchild ten and child eleven", "child ten", True, 1), (12, "alone", "alone", False, 1)]
+    assert rows[0]["anchor_text"] == "Heading of seven. child ten and child eleven"
 
 
 def test_bm25_formula(spark):
