@@ -14,7 +14,7 @@ the sorted left-most suffixes that the general method obtains by recursion on a
 
 Cases: a null or empty text has no bytes; texts under ``LENGTH`` bytes have no windows; matches never cross documents. Rows equal in doc_id and text are
 one document; rows that share a doc_id with other texts are ordered by a hash of the text; a null doc_id comes first.
-Long texts are cut into overlapping pieces while anchors are sought. Empty tables give no rows. The spill files are anonymous
+Long texts are cut into overlapping pieces while anchors are sought. Empty tables give no rows; columns of other names are left out, whatever they are called. The spill files are anonymous
 and live within one task; nothing else reads them.
 """
 
@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import map_text, row_key, stored, text_of
+from corpuscope.llm.base import map_text, row_key, small_enough, stored, text_of
 from corpuscope.session import cut_lineage, task_count
 
 LENGTH, GRAM = 100, 16
 IN_MEMORY, CHUNK, PIECE, BLOCK = 1_000_000, 32_768, 1 << 20, 1 << 16
-HOT_KEYS, HOT_ROWS, SALTS = 1_000, 5_000, 64
+HOT_ROWS, SALTS = 5_000, 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
 
 
@@ -279,9 +279,18 @@ def _flag(who: np.ndarray, begins: np.ndarray, at: int, first: np.ndarray, order
     flags[found, at - first[found]] = True
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """``key`` (doc_id and the whole hash of the text, which tells texts of one id apart) and ``text`` of every row."""
-    return docs.select(row_key(docs).alias("key"), text_of(docs).alias("text"))
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether every row has a whole-number doc_id of its own, which then is its key: half as wide as with the hash of the text."""
+    ids = docs.select(docs["doc_id"].alias("id"))
+    if ids.schema["id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
+        return False
+    repeated = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    return repeated.isEmpty()
+
+
+def keyed_rows(docs: DataFrame, plain: bool) -> DataFrame:
+    """``key`` and ``text`` of every row; the key is the doc_id, or doc_id and the whole hash of the text where that is needed to tell texts of one id apart."""
+    return docs.select((docs["doc_id"] if plain else row_key(docs)).alias("key"), text_of(docs).alias("text"))
 
 
 def _ranks(held: Spool) -> np.ndarray:
@@ -290,9 +299,11 @@ def _ranks(held: Spool) -> np.ndarray:
     for batch in held.read():
         keys = batch.select(["h", "key", "place"]).to_struct_array()
         new = np.ones(len(keys), bool)
+        key = batch.column("key")
+        fields = key.flatten() if pa.types.is_struct(key.type) else [key]
         if len(keys) > 1:
             same = [pc.equal(a.slice(1), a.slice(0, len(a) - 1)).fill_null(True).to_numpy(zero_copy_only=False) for a in (
-                batch.column("h"), batch.column("place"), *batch.column("key").flatten())]
+                batch.column("h"), batch.column("place"), *fields)]
             new[1:] = ~np.logical_and.reduce(same)
         new[0] = keys[0].as_py() != last
         last = keys[len(keys) - 1].as_py()
@@ -344,8 +355,9 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     lone = map_text(rows, "text", "h array<long>", lambda texts: [(segments(t, length, True)[0],) for t in texts])
     counted = lone.select(F.explode_outer("h").alias("h")).where("h IS NOT NULL").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     repeated = cut_lineage(counted)
-    # the most frequent anchors, a bounded number, are spread over salts
-    hot = F.broadcast(repeated.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "h").limit(HOT_KEYS).select("h", F.lit(SALTS).alias("salts")))
+    # anchors of many segments are spread over salts
+    hot = repeated.where(F.col("n") > HOT_ROWS).select("h", F.lit(SALTS).alias("salts"))
+    hot = F.broadcast(hot) if small_enough(hot) else hot
     full = map_text(rows, "text", "h array<long>, g array<long>, place array<long>", lambda texts: [segments(t, length) for t in texts])
     found = full.select("key", F.explode_outer(F.arrays_zip("h", "g", "place")).alias("s")).select("key", "s.*").where("h IS NOT NULL")
     salt = F.when(F.col("salts").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key", "place"), F.lit(SALTS))).cast("int")
@@ -360,9 +372,9 @@ def _occurrences(rows: DataFrame, length: int) -> DataFrame:
     return ranked.select("h", "g", "key", "place", "salt", (F.col("nth") == 1).alias("first"), bodies.alias("mixed"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, plain: bool | None = None) -> DataFrame:
     """``key`` and ``spans``: sorted byte ranges (start, stop) that repeats cover, for documents that have any."""
-    rows = keyed_rows(docs)
+    rows = keyed_rows(docs, plain_ids(docs) if plain is None else plain)
     spark = docs.sparkSession
     met = stored(_occurrences(rows, length).where("NOT first OR mixed OR salt >= 0"))
     # of a spread anchor, the firsts of the salts meet here: at most SALTS rows for a segment
@@ -418,8 +430,9 @@ def cut_spans(text: str | None, spans: list | None) -> tuple[bytes, int, int, in
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` of the bytes that are left."""
-    rows = keyed_rows(docs)
-    both = rows.repartition(task_count(docs.sparkSession), "key").join(repeated_spans(docs, length), "key", "left")
+    plain = plain_ids(docs)
+    rows = keyed_rows(docs, plain)
+    both = rows.repartition(task_count(docs.sparkSession), "key").join(repeated_spans(docs, length, plain), "key", "left")
 
     def run(cells: list) -> list[tuple]:
         out = []
@@ -428,5 +441,5 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out.append((size, removed, runs, hashlib.sha256(kept).hexdigest()))
         return out
 
-    cells = both.select(F.col("key.doc_id").alias("doc_id"), F.struct("text", "spans").alias("cell"))
+    cells = both.select(F.col("key" if plain else "key.doc_id").alias("doc_id"), F.struct("text", "spans").alias("cell"))
     return map_text(cells, "cell", "n_bytes long, n_removed long, n_spans long, kept_sha256 string", run)
