@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 import zlib
 
 import numpy as np
@@ -33,6 +34,74 @@ def test_main_text(page, text):
     assert html_main.main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<html><head><title>T</title><body><p>hi there</p></body></html>", "hi there"), ("<html><head><meta charset=x>text<p>more</p>", "text more"),
+    ("<body><form id=f><div><article><p>Story</p></article></div></form></body>", "Story"),
+    ("<body><form id=f><div><p>Story of the whole page</p></div></form><p>x</p></body>", "Story of the whole page x"), ("<form><p>search</p></form><p>an article that is long enough</p>", "an article that is long enough"),
+    ("<div id='page-header-wrap'><p>Story only</p></div>", "Story only"), ("<p>a</p><div class='share-price'><p>12</p></div>", "a 12"),
+    ("<article><div class='article-header'><h1>T</h1></div><div class=header>U</div><p>b</p></article>", "T U b"), ("foo<img>bar<br>baz", "foobar baz"),
+    ("<div class=site-header>S</div><p>body text here</p><div class='comment-list'>" + "long comments " * 50 + "</div>", "body text here"),
+    ("<div class='cookie-notice'>c</div><div class='main-nav left'>n</div><p>b</p>", "b"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>", "a b c d 1 2 3"),
+])
+def test_main_text_of_valid_pages(page, text):
+    assert html_main.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 200_000 + "x", "<div>x" * 100_000 + "</div>" * 100_000, "<b>" * 100_000 + "<div></div>" * 50_000 + "x", "<div><li>" * 60_000 + "x", "<p>" * 100_000 + "x",
+    "<div>" * 100_000 + "</x>" * 100_000 + "x", "<i>" + "<b>" * 60_000 + "</i>" * 60_000 + "x", "<table><tr><td>" * 40_000 + "x", "<article>" * 50_000 + "<p>x</p>" * 20_000,
+])
+def test_deep_pages_take_time_by_their_length(page):
+    since = time.time()
+    assert html_main._without(page, frozenset([5]))[0].strip("x ") == ""
+    html_main.page_subtrees(page)
+    assert time.time() - since < 15
+
+
+def _tree(rnd, depth=0):
+    if depth > 2 or rnd.random() < 0.3:
+        return rnd.choice("abcdefgh") * rnd.randint(1, 3)
+    return (rnd.choice(["div", "p", "section"]) if depth else "div", [_tree(rnd, depth + 1) for _ in range(rnd.randint(1, 3))])
+
+
+def _shown(tree):
+    return tree if isinstance(tree, str) else f"<{tree[0]}>{''.join(map(_shown, tree[1]))}</{tree[0]}>"
+
+
+def _parts(tree):
+    return [] if isinstance(tree, str) else [tree, *(p for k in tree[1] for p in _parts(k))]
+
+
+@pytest.mark.parametrize("listed", [200_000, 0])
+def test_templates_by_counting_subtrees(spark, monkeypatch, listed):
+    """Random sites against a plain count of subtrees per host."""
+    monkeypatch.setattr(html_main, "small_enough", lambda df, rows: rows > 0 and listed > 0)
+    rnd = random.Random(6)
+    pages = []
+    for host in range(3):
+        shared = [_tree(rnd) for _ in range(5)]
+        for i in range(30):
+            # no p may hold another block, so trees are closed as written
+            kids = [t for t in [*rnd.sample(shared, 3), ("div", [f"own {host} {i}"]), _tree(rnd)] if not isinstance(t, str)]
+            pages.append((100 * host + i, f"http://h{host}.example/{i}", ("div", [k for k in kids if not any(p[0] == "p" and any(not isinstance(x, str) for x in p[1]) for p in _parts(k))])))
+    pages += [(900, "http://h0.example/copy", pages[0][2])]
+    seen = {}
+    for _, url, tree in pages:
+        for part in map(repr, _parts(tree)):
+            seen.setdefault((url.split("/")[2], part), set()).add(_leaves(tree))
+    table = spark.createDataFrame([(i, u, _shown(t), "z") for i, u, t in pages], "page_id long, url string, html string, host string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html_main.extract(table).collect()}
+    assert got == {i: " ".join(_leaves(t, lambda p, u=u: len(seen[u.split("/")[2], repr(p)]) >= html_main.LEAST_PAGES).split()) for i, u, t in pages}
+    assert any(len(v) >= html_main.LEAST_PAGES for v in seen.values())
+
+
+def _leaves(tree, gone=lambda part: False):
+    """Texts of the leaves; neighbours inside one element are one text."""
+    if isinstance(tree, str):
+        return tree
+    return "" if gone(tree) else f" {''.join(_leaves(k, gone) for k in tree[1])} "
+
+
 def test_site_templates(spark):
     rows = [(i, f"http://a.example/{i}", f"<body><p>Follow us on all channels</p><div><p>story {i} has words</p></div>") for i in range(12)]
     rows += [(100 + i, "http://b.example/x", f"<p>Follow us on all channels</p><p>other {i}</p>") for i in range(3)]
@@ -209,6 +278,30 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
     assert [(r["conv_id"], r["role"], r["text"]) for r in out] == [(1, "user", "hello"), (1, "assistant", "right"), (2, "", "a")]
 
 
+def test_log_of_turns_has_drafts_edits_and_regenerations(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "first"), (1, 1, "assistant", "é" * 900), (1, 2, "user", None), (1, 3, "user", "odd"), (1, None, "assistant", "")], "conv_id long, turn long, role string, text string")
+    log = chat_events.events_of(turns)
+    kinds = [r["kind"] for r in log.orderBy("seq").collect()]
+    assert {k: kinds.count(k) for k in set(kinds)} == {"message": 5, "delta": 2 + 3 + 1, "regenerate": 2, "edit": 2}
+    got = sorted((r["role"], r["text"]) for r in chat_events.fold(log).collect())
+    assert got == [("assistant", ""), ("assistant", "é" * 900), ("user", ""), ("user", "first"), ("user", "odd")]
+
+
+def test_long_replies_and_conversations(spark):
+    """A reply of two million characters and a conversation of 8,000 turns, each in seconds, and the mask by characters names what the mask by bytes does."""
+    long = "".join(chr(97 + i % 26) if i % 50 else "é[<\\" [i // 50 % 4] for i in range(2_000_000))
+    many = [(2, i, "assistant" if i % 2 else "user", f"turn {i} <s> é") for i in range(8_000)]
+    turns = spark.createDataFrame([(1, 0, "user", "go"), (1, 1, "assistant", long), *many], "conv_id long, turn long, role string, text string")
+    since = time.time()
+    rows = {r["conv_id"]: r for r in chat_events.read_back(chat_events.render(chat_events.fold(chat_events.events_of(turns)))).collect()}
+    assert time.time() - since < 30
+    assert rows[1]["loss_text"] == long and rows[2]["loss_text"] == "".join(t for _, i, r, t in many if r == "assistant")
+    assert [(t["role"], t["text"]) for t in rows[2]["turns"]] == [(r, t) for _, _, r, t in many]
+    for r in rows.values():
+        under = "".join(r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss"])
+        assert under.replace("\\i", "[").replace("\\l", "<").replace("\\b", "\\") == r["loss_text"]
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 ODD = ["a@b.c+d@e.f x@y a.b@c.d.", "1.2.3.4.5.6.7.8 256.1.1.1 000255.0.0.1 1.2.3", "4111 1111 1111 1111 4111-1111-1111-1112 41111111111111110000", "+1 (456) 555-2186 +12 +1234567 +1 2 3 4 5 6 7 8-",
        "é日 +49 30 1234567 x@é.com mail@x-y.de\nz@q.w", "9" * 5000, "a" * 20000 + "@", "+" + "1" * 5000, "0 " * 3000, "+1.555.123.4567@mail.com"]
