@@ -11,19 +11,22 @@ Template: ``<s>`` role ``[INST]`` text, then ``</s>`` after an assistant and ``[
 Cases: null texts and roles count as empty; a null conversation or message id is a conversation or message of its own; unknown
 event kinds are ignored; a message without a ``message`` event has an empty role; deltas before the first setting event append to the
 empty text; events equal in ``seq`` are ordered by kind and text; an empty log gives no rows. A conversation is rendered to one
-string and so has to fit a row; messages are folded apart from each other, so a long conversation is not folded in one task.
-Only DataFrame functions are used.
+string and so has to fit a row; messages are folded apart from each other, so a long conversation is not folded in one task. Work grows with the
+length of a reply and with the number of turns, however many: replies are cut by one pattern, offsets are running sums, and the mask, which names its spans in
+code points and in bytes, is read by bytes. Columns of other names are left out, whatever they are called. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuscope.functions.text import let
+
 BEGIN, ROLE_END, TURN_END, REPLY_END = "<s>", "[INST]", "[/INST]", "</s>"
 ASSISTANT = "assistant"
 SETS = ("message", "edit", "regenerate")
-PIECE = 400
+PIECE, DRAFT = 400, 40
 
 
 def escape(c: Column) -> Column:
@@ -37,7 +40,8 @@ def unescape(c: Column) -> Column:
 
 
 def events_of(turns: DataFrame, piece: int = PIECE) -> DataFrame:
-    """A log for whole turns (conv_id, turn, role, text): a message event each; a reply streams in deltas of ``piece`` characters."""
+    """A log for whole turns (conv_id, turn, role, text), as a chat would have left it: a message event each; a reply streams in deltas of ``piece`` characters, after a first
+    draft that is regenerated; other texts of even turns are sent as a draft and edited."""
     text = F.coalesce(turns["text"].cast("string"), F.lit(""))
     role = F.coalesce(turns["role"].cast("string"), F.lit(""))
     rows = turns.select(turns["conv_id"].alias("conv_id"), turns["turn"].alias("turn"), role.alias("role"), text.alias("text"))
@@ -45,14 +49,16 @@ def events_of(turns: DataFrame, piece: int = PIECE) -> DataFrame:
     rows = rows.groupBy("conv_id", "turn", "role", "text").count()
     rows = rows.select("conv_id", "role", "text", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("again"), "turn")
     rows = rows.withColumn("message", F.struct("turn", "role", F.xxhash64("text").alias("hash"), "again"))
-    first = F.when(F.col("role") == ASSISTANT, F.lit("")).otherwise(F.col("text"))
-    opened = F.array(F.struct(F.lit(0).alias("nth"), F.lit("message").alias("kind"), F.col("role").alias("role"), first.alias("text")))
-    count = F.ceil(F.length("text") / piece).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.struct(i.alias("nth"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"),
-                           F.substring(F.col("text"), (i - 1) * piece + 1, F.lit(piece)).alias("text")))
-    log = rows.select("conv_id", "message", F.explode_outer(F.concat(opened, F.when(F.col("role") == ASSISTANT, pieces).otherwise(F.slice(pieces, 1, 0)))).alias("e"))
+    event = lambda nth, kind, text: F.struct(nth.cast("int").alias("nth"), F.lit(kind).alias("kind"), (F.col("role") if kind == "message" else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    draft = F.concat(F.left("text", F.lit(DRAFT)), F.lit(" ..."))
+    found = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    pieces = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+    reply = F.concat(F.array(event(F.lit(0), "message", F.lit("")), event(F.lit(1), "delta", draft), event(F.lit(2), "regenerate", F.lit(""))),
+                     F.transform(pieces, lambda p, i: event(i + 3, "delta", p)))
+    edited = F.array(event(F.lit(0), "message", draft), event(F.lit(1), "edit", F.col("text")))
+    plain = F.array(event(F.lit(0), "message", F.col("text")))
+    events = F.when(F.col("role") == ASSISTANT, reply).when(F.coalesce(F.col("turn") % 2 == 0, F.lit(False)), edited).otherwise(plain)
+    log = rows.select("conv_id", "message", F.explode_outer(events).alias("e"))
     return log.select("conv_id", "message", F.struct("message", "e.nth").alias("seq"), "e.kind", "e.role", "e.text")
 
 
@@ -70,21 +76,22 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """Per conversation: ``conv_id``, ``formatted`` and ``loss`` (start and length of each assistant text, in code points)."""
-    turn = F.struct("seq", F.concat(F.lit(BEGIN), escape(F.col("role")), F.lit(ROLE_END)).alias("head"), escape(F.col("text")).alias("body"),
-                    (F.col("role") == ASSISTANT).alias("reply"))
-    one = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    tail = lambda t: F.when(t["reply"], F.lit(REPLY_END)).otherwise(F.lit(TURN_END))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], tail(t))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def place(state: Column, t: Column) -> Column:
-        begin = state["at"] + F.length(t["head"])
-        span = F.array(F.struct(begin.alias("start"), F.length(t["body"]).alias("length")))
-        return F.struct((begin + F.length(t["body"]) + F.length(tail(t))).alias("at"),
-                        F.when(t["reply"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    return one.select("conv_id", formatted.alias("formatted"), F.aggregate("turns", start, place)["spans"].alias("loss"))
+    """Per conversation: ``conv_id``, ``formatted`` and ``loss`` (start and length of each assistant text, in code points and in bytes)."""
+    reply = F.col("role") == ASSISTANT
+    parts = messages.select("conv_id", "seq", F.concat(F.lit(BEGIN), escape(F.col("role")), F.lit(ROLE_END)).alias("head"), escape(F.col("text")).alias("body"), reply.alias("reply"))
+    before = Window.partitionBy("conv_id").orderBy("seq", "head", "body", "reply").rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.when(F.col("reply"), F.lit(REPLY_END)).otherwise(F.lit(TURN_END))
+    place = []
+    for name, size in (("start", F.length), ("byte_start", F.octet_length)):
+        whole = (size("head") + size("body") + size(tail)).cast("long")
+        place.append((F.coalesce(F.sum(whole).over(before), F.lit(0)) + size("head")).alias(name))
+    placed = parts.select("*", *place)
+    turn = F.struct("seq", "head", "body", "reply", "start", "byte_start")
+    one = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    shown = F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.when(t["reply"], F.lit(REPLY_END)).otherwise(F.lit(TURN_END))))
+    spans = F.transform(F.filter("turns", lambda t: t["reply"]), lambda t: F.struct(
+        t["start"].alias("start"), F.length(t["body"]).cast("long").alias("length"), t["byte_start"].alias("byte_start"), F.octet_length(t["body"]).cast("long").alias("byte_length")))
+    return one.select("conv_id", F.array_join(shown, "").alias("formatted"), spans.alias("loss"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -93,5 +100,9 @@ def read_back(rendered: DataFrame) -> DataFrame:
     roles, texts = (F.regexp_extract_all("formatted", pattern, F.lit(i)) for i in (1, 2))
     turns = F.transform(F.arrays_zip(roles.alias("role"), texts.alias("text")),
                         lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
-    under = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
+
+    def cut(data: Column) -> Column:
+        return F.transform("loss", lambda s: unescape(F.substring(data, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int")).cast("string")))
+
+    under = let(F.col("formatted").cast("binary"), cut)
     return rendered.select("*", turns.alias("turns"), F.array_join(under, "").alias("loss_text"))
