@@ -9,6 +9,7 @@ from corpuscope.operators.closure import ancestors
 
 DEFAULT_TAG = "DEFAULT"
 PRIVATE_PREFIX = "PRIVATE_"
+PART_BYTES = 5 * 1024 * 1024
 
 
 def tag_ancestors(tags: DataFrame) -> DataFrame:
@@ -71,6 +72,46 @@ def accessible_files(users: DataFrame, tags: DataFrame, files: DataFrame) -> Dat
     return owned.unionByName(tagged.select("user_id", "doc_id")).unionByName(public)
 
 
+def access_bitmaps(users: DataFrame, tags: DataFrame, files: DataFrame) -> DataFrame:
+    """(user_id, bucket, seen): per user and block of document ids (32,768 of them) the bitmap of what the user sees, unions of one bitmap per tag, per owner and for the public.
+
+    No row of a user and a document is formed: documents become bitmaps where they are read, and only bitmaps of 4 KB meet users. Public documents stand once, under a null user.
+    """
+    placed = files.select("owner_id", "org_tag", F.coalesce("is_public", F.lit(False)).alias("is_public"), F.expr("bitmap_bucket_number(doc_id)").alias("bucket"), F.expr("bitmap_bit_position(doc_id)").alias("bit"))
+    built = F.expr("bitmap_construct_agg(bit)").alias("seen")
+    private = placed.where("NOT is_public")
+    by_owner = private.where("owner_id IS NOT NULL").groupBy("owner_id", "bucket").agg(built)
+    by_tag = private.where("org_tag IS NOT NULL").groupBy("org_tag", "bucket").agg(built)
+    owned = by_owner.join(users.select("user_id").distinct(), F.col("owner_id") == F.col("user_id")).select("user_id", "bucket", "seen")
+    tagged = by_tag.join(effective_tags(users, tags), F.col("org_tag") == F.col("tag")).select("user_id", "bucket", "seen")
+    own = owned.unionByName(tagged).groupBy("user_id", "bucket").agg(F.expr("bitmap_or_agg(seen)").alias("seen"))
+    public = placed.where("is_public").groupBy("bucket").agg(built)
+    return own.unionByName(public.select(F.lit(None).cast(own.schema["user_id"].dataType).alias("user_id"), "bucket", "seen"))
+
+
+def visible_counts(users: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(user_id, documents): how many documents every user sees."""
+    counted = bitmaps.select("user_id", F.expr("bitmap_count(seen)").alias("n"))
+    own = counted.where("user_id IS NOT NULL").groupBy("user_id").agg(F.sum("n").alias("_own"))
+    public = counted.where("user_id IS NULL").select(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return users.select("user_id").join(own, "user_id", "left").select("user_id", (F.coalesce("_own", F.lit(0)) + public).alias("documents"))
+
+
+def sees(requests: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Add ``visible`` to (user_id, doc_id) requests: the bit of the document in the bitmap of the user or of the public."""
+    bit = F.expr("bitmap_bit_position(doc_id)").cast("int")
+
+    def held(bitmap: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(bitmap, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.call_function("shiftright", byte, bit % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+    asked = requests.withColumn("bucket", F.expr("bitmap_bucket_number(doc_id)"))
+    own = bitmaps.where("user_id IS NOT NULL").withColumnRenamed("seen", "_own")
+    public = bitmaps.where("user_id IS NULL").select("bucket", F.col("seen").alias("_all"))
+    met = asked.join(own, ["user_id", "bucket"], "left").join(public, "bucket", "left")
+    return met.withColumn("visible", held(F.col("_own")) | held(F.col("_all"))).drop("bucket", "_own", "_all")
+
+
 def tag_tree(tags: DataFrame) -> DataFrame:
     """(tag_id, level, path, root, children): roots at level 0, path from the root, child count."""
     up = tag_ancestors(tags)
@@ -127,13 +168,22 @@ def access_decisions(requests: DataFrame, resources: DataFrame, users: DataFrame
     return joined.select("user_id", "doc_id", reason.alias("reason")).withColumn("allowed", allowed)
 
 
-def oversize_uploads(files: DataFrame, users: DataFrame, tags: DataFrame) -> DataFrame:
-    """Uploads of non-admins above the byte limit of their organisation tag; a limit of 0 or none is no limit."""
+def oversize_uploads(files: DataFrame, users: DataFrame, tags: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Uploads of non-admins above the byte limit of their organisation tag, by the declared size or by what a part shows; a limit of 0 or none is no limit.
+
+    ``parts`` (doc_id, part_index, part_size): a part stands behind ``part_index`` whole ones, so the upload has at least so many bytes. Adds ``estimated_size`` (0 without parts).
+    """
     limits = tags.select(F.col("tag_id").alias("org_tag"), "upload_max_size_bytes")
     people = users.select("user_id", "role")
-    return (files.join(limits, "org_tag").where((F.col("upload_max_size_bytes") > 0) & (F.col("total_size") > F.col("upload_max_size_bytes")))
+    if parts is None:
+        sized = files.withColumn("estimated_size", F.lit(0).cast("long"))
+    else:
+        seen = parts.groupBy("doc_id").agg(F.max(F.col("part_index") * PART_BYTES + F.col("part_size")).alias("estimated_size"))
+        sized = files.join(seen, "doc_id", "left").withColumn("estimated_size", F.coalesce("estimated_size", F.lit(0)).cast("long"))
+    over = F.greatest("total_size", "estimated_size") > F.col("upload_max_size_bytes")
+    return (sized.join(limits, "org_tag").where((F.col("upload_max_size_bytes") > 0) & over)
             .join(people, "user_id").where(F.col("role") != "ADMIN")
-            .select("doc_id", "user_id", "org_tag", "total_size", "upload_max_size_bytes"))
+            .select("doc_id", "user_id", "org_tag", "total_size", "estimated_size", "upload_max_size_bytes"))
 
 
 def list_users(users: DataFrame, *, keyword: str | None = None, tag: str | None = None, role: str | None = None) -> DataFrame:

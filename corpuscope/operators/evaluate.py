@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import jtrim
+from corpuscope.operators.quantiles import exact_quantile
+from corpuscope.session import cut_lineage
 
 # --- fixed values: default gates (metric, bound, is_minimum) --------------------------------------
 RETRIEVAL_GATES = (
@@ -140,9 +142,10 @@ def retrieval_report(cases: DataFrame) -> DataFrame:
     """One row of means over all judged queries. ``cases`` may carry latency_ms."""
     aggs = [F.count("*").alias("queries"), round4(F.avg("recall_at_k")).alias("recall_at_k"), round4(F.avg("reciprocal_rank")).alias("mrr"),
             round4(F.avg("ndcg_at_k")).alias("ndcg_at_k"), round4(F.count_if(F.col("hits") == 0) / F.count("*")).alias("zero_recall_rate")]
-    if "latency_ms" in cases.columns:
-        aggs.append(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("double").alias("p95_latency_ms"))
-    return cases.agg(*aggs)
+    if "latency_ms" not in cases.columns:
+        return cases.agg(*aggs)
+    cases = cut_lineage(cases)
+    return cases.agg(*aggs).withColumn("p95_latency_ms", exact_quantile(cases, [], F.col("latency_ms"), 0.95, "p").select(F.col("p").cast("double")).scalar())
 
 
 def gate(report: DataFrame, gates=RETRIEVAL_GATES) -> DataFrame:
@@ -214,13 +217,14 @@ def ratio_metrics(attempts: DataFrame) -> DataFrame:
     side, writes = F.sum(F.greatest(F.lit(0), "duplicate_side_effects")), F.sum(F.greatest(F.lit(0), "write_actions"))
     tries = F.count_if("recovery_attempt")
     won = F.count_if(F.col("recovery_attempt") & F.col("recovered"))
+    attempts = cut_lineage(attempts)
+    slow = exact_quantile(attempts, [], F.greatest(F.lit(0).cast("long"), "latency_ms"), 0.95, "p").select("p")
     return attempts.agg(
         n.alias("attempts"), round4(ratio(dup, total)).alias("duplicate_action_rate"),
         round4(F.count_if(norm(F.col("terminal_reason")) == "no_progress") / n).alias("no_progress_rate"),
         round4(F.when(tries == 0, 1.0).otherwise(won / tries)).alias("resume_success_rate"),
         round4(ratio(side, F.greatest(writes, side))).alias("duplicate_side_effect_rate"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY greatest(0L, latency_ms))").cast("long").alias("p95_latency_ms"),
-        F.sum(F.greatest(F.lit(0), "prompt_tokens") + F.greatest(F.lit(0), "completion_tokens")).alias("total_tokens"))
+        F.sum(F.greatest(F.lit(0), "prompt_tokens") + F.greatest(F.lit(0), "completion_tokens")).alias("total_tokens")).withColumn("p95_latency_ms", slow.scalar())
 
 
 def agent_report(attempts: DataFrame) -> DataFrame:

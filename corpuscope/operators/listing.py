@@ -14,6 +14,7 @@ MEMORY_CANDIDATES, RECENT_RUNS = 50, 50
 RECOVERABLE = ("FAILED", "INTERRUPTED", "CANCELLED", "WAITING_APPROVAL")
 FINISHED = ("COMPLETED", "FAILED", "CANCELLED", "INTERRUPTED", "RESUMED")
 DEFAULT_TITLE = "新对话"
+CLOSED_DETAIL = "Agent 运行终止，当前步骤已安全关闭"
 # ------------------------------------------------------------------------------------------------
 
 
@@ -44,20 +45,25 @@ def latest_steps(steps: DataFrame) -> DataFrame:
 
 
 def step_view(steps: DataFrame, runs: DataFrame) -> DataFrame:
-    """Latest steps as shown to users: a step still 'running' in a finished run reads failed or cancelled."""
-    finished = runs.select("generation_id", F.col("status").alias("run_status"))
-    shown = (F.when((F.col("status") == "running") & F.col("run_status").isin("FAILED", "INTERRUPTED"), "failed")
-             .when((F.col("status") == "running") & (F.col("run_status") == "CANCELLED"), "cancelled").otherwise(F.col("status")))
-    return latest_steps(steps).join(finished, "generation_id").withColumn("status", shown)
+    """Latest steps as shown to users: a step still 'running' in a run that is not reads failed or cancelled, with a closing note for its ``detail``;
+    what a failed step says is shown as an audit message."""
+    ended = runs.select("generation_id", F.col("status").alias("run_status"))
+    dangling = (F.lower("status") == "running") & (F.upper("run_status") != "RUNNING")
+    shown = F.when(dangling, F.when(F.upper("run_status") == "CANCELLED", "cancelled").otherwise("failed")).otherwise(F.col("status"))
+    out = latest_steps(steps).join(ended, "generation_id").withColumn("_dangling", dangling).withColumn("status", shown)
+    if "detail" in steps.columns:
+        raw = F.when(F.col("_dangling"), CLOSED_DETAIL).otherwise(F.col("detail"))
+        out = out.withColumn("detail", F.when(F.lower("status") == "failed", audit_message(raw)).otherwise(raw))
+    return out.drop("_dangling")
 
 
 def recoverable_runs(runs: DataFrame, steps: DataFrame, n: int = RECENT_RUNS) -> DataFrame:
-    """Recoverable runs among the newest ``n`` per conversation, with their steps."""
-    recent = first_rows(runs, ["user_id", "conversation_id"], [F.desc("created_at"), F.desc("generation_id")], n)
-    wanted = recent.where(F.col("status").isin(*RECOVERABLE)).select("generation_id", "user_id", "conversation_id", F.col("status"))
+    """Recoverable runs among the first ``n`` of every conversation, with their steps as shown."""
+    early = first_rows(runs, ["user_id", "conversation_id"], [F.asc("created_at"), F.asc("generation_id")], n)
+    wanted = early.where(F.col("status").isin(*RECOVERABLE)).select("generation_id", "user_id", "conversation_id", F.col("status"))
     shown = step_view(steps.join(wanted.select("generation_id"), "generation_id", "left_semi"), wanted.select("generation_id", "status"))
-    return (wanted.withColumnRenamed("status", "run_state").join(
-        shown.select("generation_id", "step_id", "stage", F.col("status").alias("step_state")), "generation_id", "left"))
+    columns = ["generation_id", "step_id", "stage", F.col("status").alias("step_state"), *(["detail"] if "detail" in steps.columns else [])]
+    return wanted.withColumnRenamed("status", "run_state").join(shown.select(*columns), "generation_id", "left")
 
 
 def rate_settings(defaults: DataFrame, stored: DataFrame) -> DataFrame:
@@ -135,7 +141,3 @@ def credit_postings(orders: DataFrame, posted: DataFrame, *, tokens_per_unit: in
     kinds = F.explode(F.array(F.lit("LLM"), F.lit("EMBEDDING"))).alias("token_type")
     return fresh.select("trade_no", F.col("_o.order_id").alias("order_id"), F.col("_o.user_id").alias("user_id"),
                         (F.col("_o.package_units") * tokens_per_unit).alias("amount"), kinds)
-
-
-def sanitized(errors: DataFrame, message: str = "message") -> DataFrame:
-    return errors.withColumn(message, audit_message(message))

@@ -63,9 +63,12 @@ def recent_feedback(feedback: DataFrame, n: int = RECENT_FEEDBACK) -> DataFrame:
     return first_rows(feedback, ["user_id"], [F.desc("ts"), F.desc("feedback_id")], n, "rank")
 
 
-def count_access(memories: DataFrame, selected: DataFrame) -> DataFrame:
-    """Add access_count: how often each memory was selected."""
-    return memories.join(selected.groupBy("memory_id").agg(F.count("*").alias("access_count")), "memory_id", "left").fillna(0, ["access_count"])
+def count_access(memories: DataFrame, selected: DataFrame, now: Column | None = None) -> DataFrame:
+    """Add access_count, how often each memory was selected, and last_accessed: ``now`` for those that were, what it was before for the others."""
+    before = F.col("last_accessed") if "last_accessed" in memories.columns else F.lit(None).cast("timestamp")
+    counted = memories.join(selected.groupBy("memory_id").agg(F.count("*").alias("access_count")), "memory_id", "left")
+    touched = F.when(F.col("access_count").isNotNull(), F.current_timestamp() if now is None else now.cast("timestamp")).otherwise(before)
+    return counted.withColumn("last_accessed", touched).fillna(0, ["access_count"])
 
 
 def decide(memories: DataFrame, decisions: DataFrame) -> DataFrame:

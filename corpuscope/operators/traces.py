@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpuscope.functions.times import elapsed_millis
 from corpuscope.operators import evaluate as E
 from corpuscope.operators.listing import latest_steps
+from corpuscope.operators.quantiles import exact_quantile
+from corpuscope.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
 RUN_STATUSES = ("RUNNING", "WAITING_CLARIFICATION", "WAITING_APPROVAL", "RESUMED", "COMPLETED", "FAILED", "INTERRUPTED", "CANCELLED")
@@ -20,24 +22,24 @@ def round2(value):
 
 
 def run_health(runs: DataFrame, steps: DataFrame, *, by: list[str] = ()) -> DataFrame:
-    """Counts per fixed status, success and recovery rates, latency, steps per run, tokens; one row, or one per ``by``.
-
-    The exact percentile keeps one counter per distinct latency in whole milliseconds, combined before the shuffle.
-    """
+    """Counts per fixed status, success and recovery rates, latency, steps per run, tokens; one row, or one per ``by``."""
     n, retry = F.count("*"), F.col("retry_of").isNotNull()
     open_ = F.col("finished_at").isNull() | F.col("created_at").isNull()
     timed = runs.withColumn("latency_ms", F.when(~open_, elapsed_millis("created_at", "finished_at")))
     per_run = latest_steps(steps.select("id", "generation_id", "step_id")).groupBy("generation_id").agg(F.count("*").alias("_steps"))
-    joined = timed.join(per_run, "generation_id", "left")
+    joined = cut_lineage(timed.join(per_run, "generation_id", "left"))
+    slow = exact_quantile(joined, list(by), F.col("latency_ms"), 0.95, "_p95")
     retries, recovered = F.count_if(retry), F.count_if(retry & (F.col("status") == "COMPLETED"))
-    return joined.groupBy(*by).agg(
+    facts = joined.groupBy(*by).agg(
         n.alias("runs"), *[F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in RUN_STATUSES],
         round2(E.ratio(F.count_if(F.col("status") == "COMPLETED"), n)).alias("success_rate"),
         F.floor(F.coalesce(F.avg("latency_ms"), F.lit(0.0)) + 0.5).cast("long").alias("avg_latency_ms"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").cast("long"), F.lit(0)).alias("p95_latency_ms"),
         round2(E.ratio(F.sum(F.coalesce("_steps", F.lit(0))), n)).alias("steps_per_run"), retries.alias("retries"),
         round2(E.ratio(recovered, retries)).alias("recovery_rate"),
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).alias("prompt_tokens"), F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("completion_tokens"))
+    if not by:
+        return facts.withColumn("p95_latency_ms", F.coalesce(slow.select("_p95").scalar(), F.lit(0)))
+    return facts.join(slow, list(by), "left").withColumn("p95_latency_ms", F.coalesce("_p95", F.lit(0))).drop("_p95")
 
 
 def failure_stages(steps: DataFrame) -> DataFrame:

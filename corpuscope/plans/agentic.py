@@ -308,9 +308,9 @@ def _recent(t):
     return memory.recent_feedback(t.feedback).select("user_id", "feedback_id", "rank")
 
 
-@query("f26_access_counters", f"WITH {REL}, a AS (SELECT memory_id, count(*) AS n FROM sel GROUP BY 1) SELECT m.memory_id, coalesce(a.n, 0) AS access_count FROM memories m LEFT JOIN a ON a.memory_id = m.memory_id")
+@query("f26_access_counters", f"WITH {REL}, a AS (SELECT memory_id, count(*) AS n FROM sel GROUP BY 1) SELECT m.memory_id, coalesce(a.n, 0) AS access_count, CASE WHEN a.n IS NOT NULL THEN epoch_us({_NOW}) END AS last_us FROM memories m LEFT JOIN a ON a.memory_id = m.memory_id")
 def _access(t):
-    return memory.count_access(t.memories, selected(t)).select("memory_id", "access_count")
+    return memory.count_access(t.memories, selected(t), F.expr(_NOW)).select("memory_id", "access_count", F.unix_micros("last_accessed").alias("last_us"))
 
 
 @query("f27_summary_sources", f"""{RECALL}, fused AS (SELECT query_id, doc_id, round(sum(CAST(1 AS DOUBLE) / (60 + rank)), 12) AS rrf_score FROM lists GROUP BY 1, 2), top12 AS ({sql.topk('fused', 12, score='rrf_score')})
@@ -322,13 +322,15 @@ def _summary(t):
     return packed.select("query_id", "source_count", F.array_join(F.transform("_l", lambda x: x["doc_id"].cast("string")), ",").alias("sources"))
 
 
-@query("k16_memory_decisions", """WITH d AS (SELECT event_id AS decision_id, user_id % 20 AS user_id, m.memory_id, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'EXPIRED' ELSE 'DELETED' END AS target
-      FROM events e JOIN memories m ON m.memory_id = (e.event_id % (SELECT max(memory_id) // 1000 + 1 FROM memories)) * 1000 + e.event_id % 5),
+@query("k16_memory_decisions", """WITH d AS (SELECT memory_id * 3 + j AS decision_id, owner_id + CASE WHEN (memory_id + j) % 3 = 0 THEN 1 ELSE 0 END AS user_id, memory_id,
+      CASE CAST((memory_id + j) % 4 AS INT) WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'EXPIRED' ELSE 'DELETED' END AS target FROM memories, (SELECT unnest([0, 1, 2]) AS j)),
     v AS (SELECT d.memory_id, arg_max(target, decision_id) AS t FROM d JOIN memories m ON m.memory_id = d.memory_id AND m.owner_id = d.user_id WHERE target <> 'DELETED' GROUP BY 1)
     SELECT m.memory_id, coalesce(v.t, m.status) AS status FROM memories m LEFT JOIN v ON v.memory_id = m.memory_id""")
 def _decisions(t):
-    target = F.get(F.array(*[F.lit(s) for s in ("active", "Rejected", "EXPIRED", "DELETED")]), (F.col("event_id") % 4).cast("int"))
-    conversations = t.memories.agg(F.max("memory_id")).first()[0] // 1000 + 1
-    decisions = t.events.select(F.col("event_id").alias("decision_id"), (F.col("user_id") % 20).alias("user_id"),
-                                ((F.col("event_id") % conversations) * 1000 + F.col("event_id") % 5).alias("memory_id"), target.alias("target"), "ts")
+    # three decisions on every memory, some by another user and some to no valid state
+    each = t.memories.select("memory_id", "owner_id", "updated_at", F.explode(F.array(*[F.lit(j) for j in range(3)])).alias("j"))
+    nth = F.col("memory_id") + F.col("j")
+    target = F.get(F.array(*[F.lit(s) for s in ("active", "Rejected", "EXPIRED", "DELETED")]), (nth % 4).cast("int"))
+    decisions = each.select((F.col("memory_id") * 3 + F.col("j")).alias("decision_id"), (F.col("owner_id") + F.when(nth % 3 == 0, 1).otherwise(0)).alias("user_id"), "memory_id",
+                            target.alias("target"), (F.col("updated_at").cast("timestamp") + F.make_dt_interval(mins=F.col("j"))).alias("ts"))
     return memory.decide(t.memories, decisions)

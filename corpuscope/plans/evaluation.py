@@ -160,16 +160,29 @@ def _ratios(t):
     return E.ratio_metrics(signals(t).withColumn("terminal_reason", reason))
 
 
-@query("g23_attempt_pass_rule", f"""WITH {SIGNALS}, {TRAJECTORY.replace('tl AS', 'unused_tl AS')}, w AS (SELECT generation_id, string_agg(substr(stage, 1, 1), '' ORDER BY o) AS path FROM tr GROUP BY 1)
-    SELECT s.generation_id, w.path SIMILAR TO '.*v.*p.*' AND (s.intent = 'view') AND NOT s.conflict AS passed FROM signals s JOIN w USING (generation_id)""")
+@query("g23_attempt_pass_rule", f"""WITH {SIGNALS}, {TRAJECTORY.replace('tl AS', 'unused_tl AS')}, w AS (SELECT generation_id, string_agg(substr(stage, 1, 1), '' ORDER BY o) AS path FROM tr GROUP BY 1),
+    st AS (SELECT generation_id, bool_or(step_id = 's1') AS cited, bool_or(stage = 'view') AS claimed FROM steps GROUP BY 1), tc AS (SELECT generation_id, bool_or(tool = 'click' AND fingerprint = 'click:0') AS called FROM tool_calls GROUP BY 1)
+    SELECT s.generation_id, w.path SIMILAR TO '.*v.*p.*' AND s.intent = 'view' AND NOT s.conflict AND s.total_actions > 0
+      AND (r.user_id % 2 = 0 OR s.evidence_status = 'signup') AND (r.user_id % 3 = 0 OR r.status = 'COMPLETED') AND (r.user_id % 4 <> 1 OR coalesce(called, false))
+      AND (r.user_id % 5 <> 2 OR cited) AND (r.user_id % 7 <> 3 OR claimed) AS passed
+    FROM signals s JOIN w USING (generation_id) JOIN runs r USING (generation_id) JOIN st USING (generation_id) LEFT JOIN tc USING (generation_id)""")
 def _pass_rule(t):
-    joined = signals(t).join(traces.trajectories(t.steps), "generation_id")
-    # the twin expects a trajectory, an intent and no conflict; the other expectations are blank, and these tables have no citations, claims or clarifications
-    none, no_calls, blank = F.array().cast("array<string>"), F.array().cast("array<struct<name:string,fingerprint:string>>"), F.lit("")
-    rule = traces.passed(F.array(F.lit(" View"), F.lit("purchase ")), F.col("trajectory"), F.lit("VIEW"), F.col("intent"), F.lit(False), F.col("conflict"),
-                         expected_clarification=F.lit(False), clarification=F.lit(False), expected_evidence_status=blank, evidence_status=F.col("evidence_status"),
-                         expected_terminal_reason=blank, terminal_reason=blank, expected_tools=no_calls, tools=no_calls,
-                         expected_citations=none, citations=none, required_claims=none, supported_claims=none)
+    # each side is taken from the run: its steps are its citations and claims, a run without an action asked back; some users expect more than others
+    calls = t.tool_calls.groupBy("generation_id").agg(F.collect_list(F.struct(F.col("tool").alias("name"), "fingerprint")).alias("tools"))
+    said = t.steps.groupBy("generation_id").agg(F.collect_set("step_id").alias("cited"), F.collect_set("stage").alias("claims"))
+    joined = (signals(t).join(traces.trajectories(t.steps), "generation_id").join(t.runs.select("generation_id", "user_id", "status"), "generation_id")
+              .join(said, "generation_id").join(calls, "generation_id", "left"))
+    user = F.col("user_id")
+    none, no_calls = F.array().cast("array<string>"), F.array().cast("array<struct<name:string,fingerprint:string>>")
+    asks = lambda test, value, other: F.when(test, value).otherwise(other)
+    rule = traces.passed(
+        F.array(F.lit(" View"), F.lit("purchase ")), F.col("trajectory"), F.lit("VIEW"), F.col("intent"), F.lit(False), F.col("conflict"),
+        expected_clarification=F.lit(False), clarification=F.col("total_actions") == 0,
+        expected_evidence_status=asks(user % 2 == 0, F.lit(" "), F.lit("Signup ")), evidence_status=F.col("evidence_status"),
+        expected_terminal_reason=asks(user % 3 == 0, F.lit(""), F.lit("answered")), terminal_reason=asks(F.col("status") == "COMPLETED", F.lit("ANSWERED"), F.lit("NO_PROGRESS")),
+        expected_tools=asks(user % 4 == 1, F.array(F.struct(F.lit("Click").alias("name"), F.lit("click:0").alias("fingerprint"))), no_calls), tools=F.col("tools"),
+        expected_citations=asks(user % 5 == 2, F.array(F.lit("s1")), none), citations=F.col("cited"),
+        required_claims=asks(user % 7 == 3, F.array(F.lit("view")), none), supported_claims=F.col("claims"))
     return joined.select("generation_id", rule.alias("passed"))
 
 

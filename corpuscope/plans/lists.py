@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators import access, fuse, listing
 from corpuscope.plans import fragments as sql
+from corpuscope.plans.planning import _MASKED, _TRIM, _category
 from corpuscope.plans.registry import query
 from corpuscope.plans.retrieval import lists_of, FUSED
 
@@ -23,6 +24,22 @@ def _acl(t):
         "user_id", (F.coalesce("_n", F.lit(0)) + n_public).alias("documents"), (F.coalesce("_s", F.lit(0)) + s_public).alias("id_sum"))
 
 
+_PAIRS = "users u JOIN docs d ON d.owner_id = u.user_id OR d.is_public OR (u.user_id, d.org_tag) IN (SELECT (user_id, tag) FROM eff)"
+
+
+@query("d01_access_bitmaps", f"{_RECURSIVE} SELECT u.user_id, count(DISTINCT d.doc_id) AS documents FROM {_PAIRS} GROUP BY 1")
+def _bitmaps(t):
+    return access.visible_counts(t.users, access.access_bitmaps(t.users, t.org_tags, t.docs))
+
+
+@query("d01_bitmap_membership", f"""{_RECURSIVE}, seen AS (SELECT u.user_id, d.doc_id FROM {_PAIRS}), asked AS (SELECT doc_id, (doc_id * 7 + 3) % 40 AS user_id FROM documents)
+    SELECT a.user_id, a.doc_id, s.doc_id IS NOT NULL AS visible FROM asked a LEFT JOIN (SELECT DISTINCT * FROM seen) s ON s.user_id = a.user_id AND s.doc_id = a.doc_id""")
+def _membership(t):
+    # one question per document; users without an account see what is public
+    asked = t.documents.select("doc_id", ((F.col("doc_id") * 7 + 3) % 40).alias("user_id"))
+    return access.sees(asked, access.access_bitmaps(t.users, t.org_tags, t.docs))
+
+
 @query("d02_effective_tags", f"{_RECURSIVE} SELECT user_id, tag FROM eff")
 def _tags(t):
     return access.effective_tags(t.users, t.org_tags)
@@ -71,10 +88,13 @@ def _history(t):
     return found.select("event_id", "user_id", "ts", "event_type").orderBy("ts", "event_id")
 
 
-@query("d09_oversize_uploads", """SELECT f.doc_id, f.user_id, f.org_tag, f.total_size, o.upload_max_size_bytes FROM files f JOIN org_tags o ON o.tag_id = f.org_tag
-    JOIN users u ON u.user_id = f.user_id WHERE u.role <> 'ADMIN' AND o.upload_max_size_bytes > 0 AND f.total_size > o.upload_max_size_bytes""")
+@query("d09_oversize_uploads", """SELECT * FROM (SELECT f.doc_id, f.user_id, f.org_tag, f.total_size, CASE WHEN f.doc_id % 4 = 0 THEN 0 ELSE f.n_chars % 2 * 5242880 + f.n_chars * 1024 END AS estimated_size, o.upload_max_size_bytes
+      FROM files f JOIN org_tags o ON o.tag_id = f.org_tag JOIN users u ON u.user_id = f.user_id WHERE u.role <> 'ADMIN' AND o.upload_max_size_bytes > 0)
+    WHERE total_size > upload_max_size_bytes OR estimated_size > upload_max_size_bytes""")
 def _oversize(t):
-    return access.oversize_uploads(t.files, t.users, t.org_tags)
+    # the last part seen of three uploads in four
+    parts = t.files.where("doc_id % 4 <> 0").select("doc_id", (F.col("n_chars") % 2).alias("part_index"), (F.col("n_chars") * 1024).alias("part_size"))
+    return access.oversize_uploads(t.files, t.users, t.org_tags, parts)
 
 
 _ACCOUNT = "CASE WHEN user_id % 10 = 0 THEN concat('system-', CAST(user_id AS STRING)) WHEN user_id % 10 = 1 THEN ' ' ELSE CAST(user_id AS STRING) END"
@@ -99,12 +119,18 @@ def _memories(t):
 LATEST = "latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY generation_id, step_id ORDER BY id DESC) AS rn FROM steps) WHERE rn = 1)"
 
 
-@query("d12_recoverable_runs", f"""WITH {LATEST}, recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, conversation_id ORDER BY created_at DESC, generation_id DESC) AS n FROM runs) WHERE n <= 50)
-    SELECT r.generation_id, r.status AS run_state, s.step_id, s.stage, CASE WHEN s.status = 'running' AND r.status IN ('FAILED', 'INTERRUPTED') THEN 'failed'
-      WHEN s.status = 'running' AND r.status = 'CANCELLED' THEN 'cancelled' ELSE s.status END AS step_state
-    FROM recent r LEFT JOIN latest s ON s.generation_id = r.generation_id WHERE r.status IN ('FAILED', 'INTERRUPTED', 'CANCELLED', 'WAITING_APPROVAL')""")
+_DETAIL = "concat('call https://api', CAST(k AS STRING), '.example.com failed with Bearer tok', CAST(k AS STRING), ' in ', stage)"
+
+
+@query("d12_recoverable_runs", f"""WITH {LATEST}, early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, conversation_id ORDER BY created_at, generation_id) AS n FROM runs) WHERE n <= 50),
+    v AS (SELECT r.generation_id, r.status AS run_state, s.step_id, s.stage, CASE WHEN s.status = 'running' THEN CASE WHEN r.status = 'CANCELLED' THEN 'cancelled' ELSE 'failed' END ELSE s.status END AS step_state,
+      CASE WHEN s.status = 'running' THEN '{listing.CLOSED_DETAIL}' ELSE {_DETAIL} END AS raw
+      FROM early r LEFT JOIN latest s ON s.generation_id = r.generation_id WHERE r.status IN ('FAILED', 'INTERRUPTED', 'CANCELLED', 'WAITING_APPROVAL')),
+    m AS (SELECT *, {_category('raw')} AS category, {_MASKED} AS masked FROM (SELECT *, {_TRIM.format(c='raw')} AS tx FROM v))
+    SELECT generation_id, run_state, step_id, stage, step_state, CASE WHEN step_state <> 'failed' THEN raw WHEN category <> 'UNKNOWN' OR tx = '' THEN category WHEN length(masked) > 200 THEN left(masked, 200) || '...' ELSE masked END AS detail FROM m""")
 def _recoverable(t):
-    return listing.recoverable_runs(t.runs, t.steps).select("generation_id", "run_state", "step_id", "stage", "step_state")
+    steps = t.steps.withColumn("detail", F.expr(_DETAIL))
+    return listing.recoverable_runs(t.runs, steps).select("generation_id", "run_state", "step_id", "stage", "step_state", "detail")
 
 
 @query("d13_orders_by_status", """SELECT order_id, user_id, amount_cents FROM recharge_orders WHERE status = 'SUCCEED' AND amount_cents > 1 ORDER BY created_at DESC, order_id DESC""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.times import micros
 from corpuscope.operators import ledgers, limits
 from corpuscope.operators import evaluate as E
+from corpuscope.plans.evaluation import SIGNALS, r4
 from corpuscope.plans.lists import LATEST
 from corpuscope.plans.registry import query
 from corpuscope.session import cut_lineage
@@ -176,15 +177,18 @@ def _tools(t):
     return limits.tool_ledger(t.tool_calls, t.runs).select("id", "disposition")
 
 
-@query("k13_approvals", """WITH d AS (SELECT e.event_id AS decision_id, e.event_id // 2 AS call_id, CASE WHEN e.event_id % 3 = 0 THEN e.user_id ELSE c.user_id END AS user_id, e.value > 50 AS decision, c.user_id AS owner
-      FROM events e JOIN events c ON c.event_id = e.event_id // 2),
+@query("k13_approvals", """WITH d AS (SELECT 2 * e.event_id + j AS decision_id, c.event_id AS call_id, CASE WHEN (e.event_id + j) % 3 = 0 THEN e.user_id ELSE c.user_id END AS user_id,
+      e.value > 50 AS decision, c.user_id AS owner FROM events e, (SELECT unnest([0, 1]) AS j), (SELECT max(event_id) + 1 AS n FROM events) w, events c WHERE c.event_id = (e.event_id + 3 * j) % n),
     f AS (SELECT call_id, arg_min(decision, decision_id) AS decision, min(decision_id) AS id FROM d WHERE user_id = owner GROUP BY 1)
     SELECT d.decision_id, CASE WHEN d.user_id <> d.owner THEN 'FORBIDDEN' WHEN d.decision_id = f.id THEN 'APPLIED' WHEN d.decision = f.decision THEN 'IDEMPOTENT' ELSE 'CONFLICT' END AS outcome FROM d LEFT JOIN f ON f.call_id = d.call_id""")
 def _approvals(t):
+    # every event decides on two calls, so every call is decided on by two events
     calls = t.events.select(F.col("event_id").alias("call_id"), "user_id")
-    made = t.events.withColumn("call_id", F.floor(F.col("event_id") / 2)).join(calls.withColumnRenamed("user_id", "_u"), "call_id")
-    who = F.when(F.col("event_id") % 3 == 0, F.col("user_id")).otherwise(F.col("_u"))
-    decisions = made.select(F.col("event_id").alias("decision_id"), "call_id", who.alias("user_id"), (F.col("value") > 50).alias("decision"))
+    n = t.events.select(F.max("event_id") + 1).scalar()
+    each = t.events.select("event_id", "user_id", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("j")).withColumn("call_id", (F.col("event_id") + 3 * F.col("j")) % n)
+    made = each.join(calls.withColumnRenamed("user_id", "_u"), "call_id")
+    who = F.when((F.col("event_id") + F.col("j")) % 3 == 0, F.col("user_id")).otherwise(F.col("_u"))
+    decisions = made.select((2 * F.col("event_id") + F.col("j")).alias("decision_id"), "call_id", who.alias("user_id"), (F.col("value") > 50).alias("decision"))
     return ledgers.approvals(calls, decisions).select("decision_id", "outcome")
 
 
@@ -340,7 +344,29 @@ def _ingest(t):
     return t.spark.read.parquet(f"{base}/status").select("file_md5", "status").distinct()
 
 
-@query("g14_agent_gates")
+def _gates_sql():
+    """The report of ``_agent_gates`` by hand: what is expected there leaves few terms in every metric."""
+    values = {
+        "clarification_f1": r4("CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END"),
+        "intent_macro_f1": r4("CASE WHEN v = 0 THEN 0 ELSE 2.0::DOUBLE * v / (v + n) END / (1 + CASE WHEN c > 0 THEN 1 ELSE 0 END)"),
+        "evidence_status_macro_f1": "CASE WHEN es > 0 THEN 0 ELSE 1 END", "conflict_detection_f1": "CASE WHEN cf > 0 THEN 0 ELSE 1 END",
+        "trajectory_score": r4("0.5::DOUBLE * tr / n"), "invalid_transition_rate": "1", "tool_selection_f1": "1", "tool_argument_accuracy": "1", "citation_f1": "1", "claim_coverage": "1",
+        "duplicate_action_rate": r4("CASE WHEN tot = 0 THEN 0 ELSE dup::DOUBLE / tot END"), "terminal_reason_accuracy": r4("done::DOUBLE / n"),
+        "resume_success_rate": r4("CASE WHEN tries = 0 THEN 1 ELSE won::DOUBLE / tries END"), "duplicate_side_effect_rate": r4("CASE WHEN greatest(wr, side) = 0 THEN 0 ELSE side::DOUBLE / greatest(wr, side) END"),
+        "pass_power_k": r4("done::DOUBLE / n"),
+    }
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({values[m]} AS DOUBLE) AS value, CAST({bound} AS DOUBLE) AS threshold, {str(low).lower()} AS is_minimum FROM q" for m, bound, low in E.AGENT_GATES)
+    return f"""WITH {SIGNALS}, a AS (SELECT s.*, r.status FROM signals s JOIN runs r USING (generation_id)),
+    k AS (SELECT count(*) AS n, count(*) FILTER (intent = 'view') AS v, count(*) FILTER (intent = 'click') AS c, count(*) FILTER (evidence_status <> '') AS es, count(*) FILTER (conflict) AS cf,
+      count(*) FILTER (intent = 'view' AND conflict) AS tp, count(*) FILTER (intent <> 'view' AND conflict) AS fp, count(*) FILTER (intent = 'view' AND NOT conflict) AS fn,
+      count(*) FILTER (intent = 'view' OR evidence_status = 'signup') AS tr, sum(duplicate_actions) AS dup, sum(total_actions) AS tot, count(*) FILTER (status = 'COMPLETED') AS done,
+      count(*) FILTER (recovery_attempt) AS tries, count(*) FILTER (recovery_attempt AND recovered) AS won, sum(duplicate_side_effects) AS side, sum(write_actions) AS wr FROM a),
+    q AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp::DOUBLE / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1 ELSE tp::DOUBLE / (tp + fn) END AS r FROM k),
+    g AS ({rows}), h AS (SELECT *, CASE WHEN is_minimum THEN value >= threshold ELSE value <= threshold END AS passed FROM g)
+    SELECT *, (SELECT bool_and(passed) FROM h) AS gate_passed FROM h"""
+
+
+@query("g14_agent_gates", _gates_sql())
 def _agent_gates(t):
     from corpuscope.plans.evaluation import signals
 

@@ -45,6 +45,42 @@ def test_window_limit_equals_fold(spark, seed):
     assert got == fold(rows, (0, 0), lambda s, t, f, a: limits.limiter_step(s, t, 5, 60))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_hot_key_is_walked_over_blocks(spark, seed, monkeypatch):
+    """Nine rows in ten belong to one key; it is cut into blocks of four windows, and the starts are those of the plain walk."""
+    rng = random.Random(seed)
+    times = sorted(rng.choice([rng.randrange(0, 40_000), rng.randrange(10_000, 12_000), 20_000 + 60 * rng.randrange(100)]) for _ in range(3_000))
+    rows = [("hot" if rng.random() < 0.9 else f"k{rng.randrange(3)}", i, START + dt.timedelta(seconds=t), False, 1) for i, t in enumerate(times)]
+    df = frame(spark, rows)
+    plain = sorted(map(tuple, limits.window_starts(df, 60).collect()))
+    read, blocks = [], limits._starts_over_blocks
+    monkeypatch.setattr(limits, "_starts_over_blocks", lambda t, seconds: read.append(t) or blocks(t, seconds, windows=4))
+    assert sorted(map(tuple, limits.window_starts(df, 60, hot_points=200).collect())) == plain
+    assert read[0].select("key").distinct().count() >= 1 and {r["key"] for r in read[0].collect()} >= {"hot"}
+    # no block of the hot key holds over a tenth of its rows but where time itself is that dense
+    sizes = [r["count"] for r in read[0].where("key = 'hot'").groupBy(F.floor(F.col("t") / (4 * 60_000_000))).count().collect()]
+    assert max(sizes) <= sum(sizes) / 10
+
+
+def test_quantiles_by_refined_bins(spark, monkeypatch):
+    from corpuscope.operators.quantiles import exact_quantile
+
+    rng = random.Random(5)
+    groups = {"distinct": random.Random(1).sample(range(10**12), 3_000), "same": [7] * 50, "two": [-5, 10**15], "one": [3], "none": [None, None], "neg": [-rng.randrange(10**9) for _ in range(777)]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "g string, v long").repartition(5)
+    for q in (0.5, 0.95, 1.0):
+        want = {}
+        for k, vs in groups.items():
+            vs = sorted(v for v in vs if v is not None)
+            if vs:
+                want[k] = next(v for i, v in enumerate(vs) if (i + 1) / len(vs) >= q)
+        got = exact_quantile(df, ["g"], F.col("v"), q, "x", bins=16, narrow=4)
+        assert {r["g"]: r["x"] for r in got.collect()} == want
+        assert {r["g"]: r["x"] for r in exact_quantile(df, ["g"], F.col("v"), q, "x", narrow=10**16).collect()} == want  # the built-in one
+    every = sorted(v for vs in groups.values() for v in vs if v is not None)
+    assert exact_quantile(df, [], F.col("v"), 0.95, "x").first()["x"] == next(v for i, v in enumerate(every) if (i + 1) / len(every) >= 0.95)
+
+
 def test_rejected_call_is_told_when_to_retry(spark):
     rows = [("k", i, START + dt.timedelta(seconds=s), False, 1) for i, s in enumerate((0, 10, 20, 59, 60))]
     out = {r["id"]: (r["accepted"], r["retry_after"]) for r in limits.fixed_window_limit(frame(spark, rows), 2, 60).collect()}
