@@ -253,18 +253,19 @@ def _pending_stream(t):
     return pipeline.drain(keyed.pending_stream(events), "pending")
 
 
-def task_rows(t):
-    """One JSON task per file, as the queue would carry it; every twelfth has no file id."""
+def task_rows(t, paths=None):
+    """One JSON task per file, as the queue would carry it; every twelfth has no file id. ``paths`` (file_md5, filePath) tells where a file lies."""
     md5 = F.when(F.col("doc_id") % 12 == 5, "").otherwise(F.col("file_md5"))
-    return t.files.select("doc_id", F.to_json(F.struct(
-        md5.alias("fileMd5"), F.col("file_name").alias("fileName"), F.col("user_id").cast("string").alias("userId"), F.col("org_tag").alias("orgTag"),
+    rows = t.files.join(paths, "file_md5", "left") if paths is not None else t.files.withColumn("filePath", F.lit(None).cast("string"))
+    return rows.select("doc_id", F.to_json(F.struct(
+        md5.alias("fileMd5"), "filePath", F.col("file_name").alias("fileName"), F.col("user_id").cast("string").alias("userId"), F.col("org_tag").alias("orgTag"),
         F.col("is_public").alias("isPublic"), F.lit("VECTORIZE").alias("taskType"))).alias("value"))
 
 
-def task_stream(t):
+def task_stream(t, paths=None):
     """The tasks written as text files to the shared folder and read back as a stream."""
     path = pipeline.scratch_path(t.spark, "tasks")
-    task_rows(t).select("value").repartition(8).write.text(path)
+    task_rows(t, paths).select("value").repartition(8).write.text(path)
     return pipeline.parse_tasks(pipeline.read_stream(t.spark, path, "value string", "text"))
 
 
@@ -336,12 +337,17 @@ def _attempts(t):
     return golden.read_agent_golden(t.spark, path, one_document_per_file=False).select("caseId", "attemptIndex", "passed", F.col("signals.promptTokens").alias("prompt_tokens"))
 
 
-@query("k14_ingestion_stream", """SELECT file_md5, 'COMPLETED' AS status FROM (SELECT DISTINCT f.file_md5 FROM files f JOIN documents d ON d.doc_id = f.doc_id WHERE f.doc_id % 12 <> 5 AND length(trim(d.text)) > 0)""")
+@query("k14_ingestion_stream", """SELECT file_md5, CAST(user_id AS VARCHAR) AS user_id, 'COMPLETED' AS status FROM (SELECT DISTINCT f.file_md5, f.user_id FROM files f JOIN documents d ON d.doc_id = f.doc_id
+    WHERE f.doc_id % 12 <> 5 AND length(trim(d.text)) > 0)""")
 def _ingest(t):
-    texts = t.documents.select(F.md5("text").alias("fileMd5"), "text").dropDuplicates(["fileMd5"])
+    # every file is stored as such, and its tasks name it
+    store = pipeline.scratch_path(t.spark, "store")
+    t.documents.select(F.md5("text").alias("file_md5"), "text").dropDuplicates(["file_md5"]).write.partitionBy("file_md5").text(store)
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(store).select("path")
+    paths = found.select(F.regexp_extract("path", "file_md5=([0-9a-f]+)/", 1).alias("file_md5"), F.col("path").alias("filePath"))
     base = pipeline.scratch_path(t.spark, "ingestion")
-    pipeline.ingestion_stream(task_stream(t), texts, base).awaitTermination()
-    return t.spark.read.parquet(f"{base}/status").select("file_md5", "status").distinct()
+    pipeline.ingestion_stream(task_stream(t, paths), None, base).awaitTermination()
+    return pipeline.statuses(t.spark, base).select("file_md5", "user_id", "status")
 
 
 def _gates_sql():

@@ -1,9 +1,8 @@
-"""Readers of the given parquet tables and of document files in other formats."""
+"""Readers of the given parquet tables; files of other formats are read by ``files``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 GIVEN_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                 "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -11,24 +10,3 @@ GIVEN_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "l
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def read_documents(spark: SparkSession, path: str, fmt: str, *, id_col: str = "doc_id", text_col: str = "text",
-                   schema: str | None = None) -> DataFrame:
-    """Documents as (doc_id, text) from parquet, json, csv, plain text or html files.
-
-    Text and html are read one document per file, named by its path; tables need an explicit schema when the
-    format carries none.
-    """
-    if fmt in ("text", "html"):
-        from corpuscope.functions.text import html_to_text
-
-        raw = spark.read.text(path, wholetext=True)
-        body = html_to_text("value") if fmt == "html" else F.col("value")
-        return raw.select(F.col("_metadata.file_path").alias("doc_id"), body.alias("text"))
-    reader = spark.read
-    if schema:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
-    return reader.format(fmt).load(path).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.operators.ingest import child_chunks, chunk_documents, embed_chunks, number_chunks, parent_chunks
 from corpuscope.session import cut_lineage, ensure_checkpoint_dir, spread
-from corpuscope.sources.sinks import read_if_exists, write_batch
+from corpuscope.sources.files import read_paths
+from corpuscope.sources.segments import SegmentIndex
+from corpuscope.sources.sinks import read_if_exists
 
 TASK_SCHEMA = ("fileMd5 string, filePath string, fileName string, userId string, orgTag string, isPublic boolean, "
                "taskType string, requesterId string")
-MAX_RETRIES = 4
+REINDEX = "REINDEX"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -65,58 +66,84 @@ def drain_complete(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out-{query.lastProgress['batchId']}")
 
 
-def process_with_retries(tasks: DataFrame, work: Callable[[DataFrame], DataFrame], base: str, max_retries: int = MAX_RETRIES) -> tuple[DataFrame, DataFrame]:
-    """(done, dead): ``work`` adds a boolean ``ok`` to each task; a task is tried once and then ``max_retries`` times more.
+def index_of(spark: SparkSession, base: str) -> SegmentIndex:
+    """The index that the ingestion below ``base`` writes: rows of (file_md5, user_id)."""
+    return SegmentIndex(spark, f"{base}/index", ("file_md5", "user_id"), ("file_md5", "chunk_id"))
 
-    The loop is bounded by the number of attempts. Each attempt writes its good rows to ``base/done`` and the failed ones to
-    a retry table that the next attempt reads; what is left goes to ``base/dead`` with its attempt count.
-    """
-    spark = tasks.sparkSession
-    todo = tasks.withColumn("attempt", F.lit(1))
-    for attempt in range(1, max_retries + 2):
-        tried = f"{base}/tried-{attempt}"
-        work(todo).write.mode("overwrite").parquet(tried)
-        result = spark.read.parquet(tried)
-        result.where("ok").drop("ok").write.mode("append").parquet(f"{base}/done")
-        failed = result.where("NOT ok").drop("ok")
-        if attempt == max_retries + 1:
-            failed.write.mode("append").parquet(f"{base}/dead")
-        todo = failed.withColumn("attempt", F.col("attempt") + 1)
-    return spark.read.parquet(f"{base}/done"), spark.read.parquet(f"{base}/dead")
-
-
-def ingest_batch(tasks: DataFrame, documents: DataFrame, base: str, batch_id: int, embedder=None) -> None:
-    """One micro-batch: texts of its tasks, passages, parents, embeddings, index rows and a status row per file.
-
-    A file that an earlier batch completed is not parsed again. Index and status are partitioned by batch, so a batch that is
-    run again replaces its own output.
+
+def statuses(spark: SparkSession, base: str) -> DataFrame | None:
+    """The newest status of every (file_md5, user_id): status, reason, chunks, tokens, batch."""
+    rows = read_if_exists(spark, f"{base}/status")
+    if rows is None:
+        return None
+    newest = rows.groupBy("file_md5", "user_id").agg(F.max(F.struct("batch", "status", "reason", "chunks", "tokens")).alias("_s"))
+    return newest.select("file_md5", "user_id", "_s.*")
+
+
+def _texts_of(tasks: DataFrame, documents: DataFrame | None) -> DataFrame:
+    """(fileMd5, text, reason) of the files that new tasks name: read where they lie, or looked up in ``documents`` (fileMd5, text)."""
+    if documents is not None:
+        found = tasks.select("fileMd5").distinct().join(documents.select("fileMd5", "text"), "fileMd5", "left")
+        return found.withColumn("reason", F.when(F.col("text").isNull(), "FILE_NOT_FOUND"))
+    named = tasks.groupBy("fileMd5").agg(F.min("filePath").alias("filePath"))
+    return named.join(read_paths(tasks.sparkSession, named.select("filePath")), "filePath", "left").select(
+        "fileMd5", "text", F.when(F.col("filePath").isNull(), "NO_FILE_PATH").otherwise(F.coalesce("reason", F.when(F.col("text").isNull(), "FILE_NOT_FOUND"))).alias("reason"))
+
+
+def ingest_batch(tasks: DataFrame, documents: DataFrame | None, base: str, batch_id: int, embedder=None) -> None:
+    """One micro-batch: texts of its tasks, passages, parents, embeddings, index rows and a status row per file and owner.
+
+    A task is known by file and owner. One that an earlier batch completed is not worked again, unless it asks for a new index: then its stored passages are embedded anew, and the
+    file is read only if there are none. A file is read and parsed once, however many owners have it. The index takes a batch once and hides the rows that it replaces; the status of
+    a batch is written in one place, so a batch that runs again replaces its own output.
     """
     spark = tasks.sparkSession
-    wanted = tasks.where("valid").select("fileMd5", "userId", "orgTag", "isPublic").dropDuplicates(["fileMd5"])
-    status = read_if_exists(spark, f"{base}/status")
+    index = index_of(spark, base)
+    key = ["fileMd5", "userId"]
+    again = F.upper(F.coalesce("taskType", F.lit(""))) == REINDEX
+    wanted = (tasks.where("valid").withColumn("userId", F.coalesce("userId", F.lit(""))).groupBy(*key)
+              .agg(F.min("filePath").alias("filePath"), F.max("orgTag").alias("orgTag"), F.bool_or(F.coalesce("isPublic", F.lit(False))).alias("isPublic"), F.bool_or(again).alias("again")))
+    status = statuses(spark, base)
     if status is not None:
-        done = status.where((F.col("status") == "COMPLETED") & (F.col("batch") != batch_id)).select(F.col("file_md5").alias("fileMd5"))
-        wanted = wanted.join(done.distinct(), "fileMd5", "left_anti")
+        done = status.where((F.col("status") == "COMPLETED") & (F.col("batch") != batch_id)).select(F.col("file_md5").alias("fileMd5"), F.col("user_id").alias("userId"))
+        wanted = wanted.join(done.withColumn("_done", F.lit(True)), key, "left").where("again OR _done IS NULL").drop("_done")
     wanted = cut_lineage(wanted)
-    texts = documents.join(wanted.select("fileMd5"), "fileMd5", "left_semi")
+    held = index.read()
+    reused = None
+    if held is not None:
+        asked = wanted.where("again").select(F.col("fileMd5").alias("file_md5"), F.col("userId").alias("user_id"))
+        reused = cut_lineage(held.join(asked, ["file_md5", "user_id"], "left_semi").select(F.col("file_md5").alias("fileMd5"), F.col("user_id").alias("userId"), "chunk_id", "parent_index", "text", "contextual_text"))
+        new = wanted.join(reused.select(*key).distinct(), key, "left_anti")
+    else:
+        new = wanted
+    read = cut_lineage(_texts_of(new, documents))
     # passages and children are each read several times below, so they are written once
-    passages = cut_lineage(chunk_documents(spread(texts.select(F.col("fileMd5").alias("doc_id"), "text"), "doc_id")))
+    texts = read.where("reason IS NULL AND text IS NOT NULL").select(F.col("fileMd5").alias("doc_id"), "text")
+    passages = cut_lineage(chunk_documents(spread(texts, "doc_id")))
     numbered = number_chunks(passages)
     children = cut_lineage(child_chunks(numbered, parent_chunks(numbered)))
-    vectors = embed_chunks(children, **({"embedder": embedder} if embedder else {}))
-    rows = cut_lineage(vectors.join(wanted.withColumnRenamed("fileMd5", "doc_id"), "doc_id").select(
-        F.col("doc_id").alias("file_md5"), "chunk_id", "parent_index", "text", "embedding", "tokens", "model_version",
-        F.col("userId").alias("user_id"), F.col("orgTag").alias("org_tag"), F.col("isPublic").alias("is_public")))
-    write_batch(rows, f"{base}/index", batch_id, salt_by=["file_md5", "chunk_id"])
-    written = rows.groupBy("file_md5").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
-    states = wanted.select(F.col("fileMd5").alias("file_md5")).join(written, "file_md5", "left").select(
-        "file_md5", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        F.when(F.col("chunks") > 0, "COMPLETED").otherwise("FAILED").alias("status"), F.lit(batch_id).alias("batch"))
-    states.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{base}/status")
-
-
-def ingestion_stream(tasks: DataFrame, documents: DataFrame, base: str, embedder=None):
-    """Start the ingestion of a task stream; index and status tables live below ``base``."""
+    bodies = children.select(F.col("doc_id").alias("fileMd5"), "chunk_id", "parent_index", "text", "contextual_text").join(new.select(*key), "fileMd5")
+    if reused is not None:
+        bodies = bodies.unionByName(reused)
+    # equal passages of several owners are embedded once
+    once = cut_lineage(bodies.dropDuplicates(["fileMd5", "chunk_id", "contextual_text"]).select(F.col("fileMd5").alias("doc_id"), "chunk_id", "contextual_text", "text"))
+    vectors = embed_chunks(once, **({"embedder": embedder} if embedder else {})).select(F.col("doc_id").alias("fileMd5"), "chunk_id", "contextual_text", "embedding", "tokens", "model_version")
+    rows = cut_lineage(bodies.join(vectors, ["fileMd5", "chunk_id", "contextual_text"]).join(wanted.select(*key, "orgTag", "isPublic"), key).select(
+        F.col("fileMd5").alias("file_md5"), F.col("userId").alias("user_id"), "chunk_id", "parent_index", "text", "contextual_text", "embedding", "tokens", "model_version",
+        F.col("orgTag").alias("org_tag"), F.col("isPublic").alias("is_public")))
+    index.upsert(rows, f"batch-{batch_id}")
+    index.compact()
+    written = rows.groupBy("file_md5", "user_id").agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
+    states = (wanted.select(*key).join(read.select("fileMd5", "reason"), "fileMd5", "left").withColumnsRenamed({"fileMd5": "file_md5", "userId": "user_id"})
+              .join(written, ["file_md5", "user_id"], "left"))
+    states = states.select(
+        "file_md5", "user_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
+        F.when(F.col("chunks") > 0, "COMPLETED").otherwise("FAILED").alias("status"), F.when(F.col("chunks").isNull(), F.coalesce("reason", F.lit("NO_TEXT"))).alias("reason"), F.lit(batch_id).alias("batch"))
+    states.drop("batch").write.mode("overwrite").parquet(f"{base}/status/batch={batch_id}")
+
+
+def ingestion_stream(tasks: DataFrame, documents: DataFrame | None, base: str, embedder=None):
+    """Start the ingestion of a task stream; index and status tables live below ``base``. Without ``documents`` the files that the tasks name are read."""
     def run(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(batch, documents, base, batch_id, embedder)
 

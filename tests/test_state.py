@@ -280,18 +280,51 @@ def test_pending_question_expires(spark):
     assert {r["user_id"]: r["state"] for r in ledgers.pending_tasks(tasks, answers).collect()} == {1: "RESUMED", 2: "EXPIRED", 3: "WAITING"}
 
 
+def json_tasks(rows, **more):
+    fields = {"fileMd5": F.col("fileMd5"), "userId": F.lit("1"), **{k: v if not isinstance(v, str) else F.lit(v) for k, v in more.items()}}
+    return pipeline.parse_tasks(rows.select(F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("value")))
+
+
 def test_ingestion_runs_again_without_loss(spark, tables):
     """A second batch keeps the first one's rows, and a completed file is not parsed twice."""
     base = pipeline.scratch_path(spark, "again")
     docs = tables.documents.select(F.md5("text").alias("fileMd5"), "text").dropDuplicates(["fileMd5"])
-    some = docs.orderBy("fileMd5").limit(12)
-    tasks = some.select(F.to_json(F.struct("fileMd5", F.lit("1").alias("userId"))).alias("value"))
-    first = pipeline.parse_tasks(tasks.orderBy("value").limit(8))
+    some = docs.orderBy("fileMd5").limit(12).persist()
+    first = json_tasks(some.orderBy("fileMd5").limit(8))
     pipeline.ingest_batch(first, some, base, 0)
-    n = spark.read.parquet(f"{base}/index").count()
+    n = pipeline.index_of(spark, base).read().count()
     pipeline.ingest_batch(first, some, base, 0)
-    assert spark.read.parquet(f"{base}/index").count() == n
-    pipeline.ingest_batch(pipeline.parse_tasks(tasks), some, base, 1)
-    index = spark.read.parquet(f"{base}/index")
-    assert index.where("batch = 0").count() == n and index.select("file_md5").distinct().count() == 12
-    assert index.groupBy("file_md5", "chunk_id").count().where("count > 1").count() == 0
+    assert pipeline.index_of(spark, base).read().count() == n
+    pipeline.ingest_batch(json_tasks(some), some, base, 1)
+    index = pipeline.index_of(spark, base).read()
+    assert index.select("file_md5").distinct().count() == 12 and index.groupBy("file_md5", "user_id", "chunk_id").count().where("count > 1").count() == 0
+    assert {r["batch"]: r["count"] for r in pipeline.statuses(spark, base).groupBy("batch").count().collect()} == {0: 8, 1: 4}
+    # another owner of a known file has rows of their own; a new index embeds the stored passages, whatever the documents say
+    pipeline.ingest_batch(json_tasks(some.limit(1), userId="2", orgTag="N1", isPublic=F.lit(True)), some, base, 2)
+    one = some.first()["fileMd5"]
+    assert pipeline.index_of(spark, base).read().where(F.col("file_md5") == one).select("user_id", "org_tag", "is_public").distinct().count() == 2
+
+    def other(texts, key):
+        return texts.select(*key, F.array(F.lit(0.5).cast("float")).alias("embedding"))
+
+    pipeline.ingest_batch(json_tasks(some.limit(1), taskType="REINDEX"), some.where("false"), base, 3, other)
+    index = pipeline.index_of(spark, base).read().where(F.col("file_md5") == one)
+    assert {(r["user_id"], r["n"] == 1) for r in index.select("user_id", F.size("embedding").alias("n")).distinct().collect()} == {("1", True), ("2", False)}
+
+
+def test_ingestion_reads_the_files_that_tasks_name(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("First paragraph of a.\n\nSecond one.")
+    (tmp_path / "b.bin").write_bytes(b"<html><body><p>Page of b</p></body></html>")
+    (tmp_path / "c.jsonl").write_text('{"text": "one"}\n{"text": "two"}\n')
+    (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4")
+    named = {"a": "a.txt", "b": "b.bin", "c": "c.jsonl", "d": "d.pdf", "gone": "missing.txt"}
+    rows = spark.createDataFrame([(k, str(tmp_path / v)) for k, v in named.items()] + [("none", None)], "fileMd5 string, path string")
+    base = pipeline.scratch_path(spark, "named")
+    pipeline.ingest_batch(json_tasks(rows, filePath=F.col("path")), None, base, 0)
+    got = {r["file_md5"]: (r["status"], r["reason"]) for r in pipeline.statuses(spark, base).collect()}
+    assert got == {"a": ("COMPLETED", None), "b": ("COMPLETED", None), "c": ("COMPLETED", None), "d": ("FAILED", "pdf needs a parser"), "gone": ("FAILED", "FILE_NOT_FOUND"), "none": ("FAILED", "NO_FILE_PATH")}
+    texts = {}
+    for r in pipeline.index_of(spark, base).read().orderBy("file_md5", "chunk_id").collect():
+        texts.setdefault(r["file_md5"], []).append(r["text"])
+    assert " ".join(texts["a"]).split() == "First paragraph of a. Second one.".split() and texts["b"] == ["Page of b"] and " ".join(texts["c"]).split() == ["one", "two"]
+
