@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import ascii_lower, keyed, small_enough
+from corpuscope.llm.base import ascii_lower, keyed, salted_join, small_enough
 from corpuscope.session import cut_lineage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 5
-TEXT_MARK = -(2**62) + 12_345
+#: every text sends a row under one of the marks, so that its words are counted in the pass that finds the hits
+TEXT_MARK, MARKS = -(2**62) + 12_345, 1_024
 
 
 def _words(text: Column) -> Column:
@@ -66,7 +67,7 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
     at, begin = F.col("_nth"), F.col("_from")
     parts = [
         out.select("_key", "_words", "_n", "_low", "_starts", F.posexplode_outer("_starts").alias("_nth", "_from")).where("_from IS NOT NULL").select(
-            "_key", "_words", "_n", F.lit(window).alias("_size"), F.when(begin < 0, F.lit(TEXT_MARK)).otherwise(F.get("_low", begin)).alias("_fp"), "_from",
+            "_key", "_words", "_n", F.lit(window).alias("_size"), F.when(begin < 0, _mark(F.xxhash64("_key"))).otherwise(F.get("_low", begin)).alias("_fp"), "_from",
             F.when(begin < 0, -1).otherwise(F.coalesce(F.get("_starts", at + 1), F.size("_low")) - 1).alias("_to"))
     ]
     for size in sizes:
@@ -77,6 +78,10 @@ def _document_prints(rows: DataFrame, sizes: list[int], window: int, gram: int)
     return parts
 
 
+def _mark(number: Column) -> Column:
+    return F.lit(TEXT_MARK) + F.pmod(number, F.lit(MARKS))
+
+
 def _extended(met: DataFrame) -> DataFrame:
     """Every window start under a meeting whose words are those of the item window."""
     spread = met.withColumn("_at", F.explode(F.sequence("_from", "_to")))
@@ -86,7 +91,7 @@ def _extended(met: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``_key``, ``_n`` (words), ``_at``, ``_size``, ``_window`` of every occurrence of an item window, and one row with ``_at`` -1 for every text."""
-    mark = docs.sparkSession.range(1).select(F.lit(window).alias("_size"), F.lit(TEXT_MARK).alias("_fp"), F.lit(None).cast("string").alias("_window"))
+    mark = docs.sparkSession.range(MARKS).select(F.lit(window).alias("_size"), _mark(F.col("id")).alias("_fp"), F.lit(None).cast("string").alias("_window"))
     distinct = windows.select("_size", "_fp", "_window").distinct().unionByName(mark)
     sizes = sorted(r[0] for r in windows.where(F.col("_size") < window).select("_size").distinct().collect())  # at most window - 1 numbers
     rows = keyed(docs).select("_key", _words(F.col("_text")).alias("_words"))
@@ -94,7 +99,8 @@ def hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, gram: int =
     if small_enough(distinct):
         found = [_extended(part.join(F.broadcast(distinct), ["_size", "_fp"])) for part in parts]
     else:
-        slim = [part.drop("_words").join(distinct, ["_size", "_fp"]).select("_key", "_n", "_from", "_to", "_size", "_window") for part in parts]
+        # a fingerprint that many documents share is spread by document
+        slim = [salted_join(part.drop("_words"), distinct, ["_size", "_fp"], F.xxhash64("_key")).select("_key", "_n", "_from", "_to", "_size", "_window") for part in parts]
         found = [_extended(met.join(rows.dropDuplicates(["_key"]), "_key")) for met in slim]
     whole = found[0]
     for part in found[1:]:
@@ -122,7 +128,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     spans = found.groupBy("_key").agg(F.sort_array(F.collect_set(span)).alias("spans"))
     members = windows.where(F.col("_item").isNotNull()).select("_window", "_item").distinct()
     listed = (
-        found.select("_key", "_window").distinct().join(members, "_window").select("_key", "_item").distinct()
+        salted_join(found.select("_key", "_window").distinct(), members, ["_window"], F.xxhash64("_key")).select("_key", "_item").distinct()
         .groupBy("_key").agg(F.sort_array(F.collect_list("_item")).alias("items"))
     )
     rows = seen.where("_at < 0").select("_key", F.col("_key.doc_id").alias("_id"), F.col("_n").cast("long").alias("n_words"))
