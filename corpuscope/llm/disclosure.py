@@ -13,7 +13,7 @@ The patterns are the plain ones, written with possessive repeats and a test for
 in linear time. Positions are code points.
 
 Cases: a null text counts as empty and has no spans; rows equal in doc_id and text get equal results; a match never spans lines;
-entities are compared in lower case; ties in positions are ordered by kind; an empty table gives no rows. All counts are over all documents.
+entities are compared in lower case; ties in positions are ordered by kind; an empty table gives no rows; columns of other names are left out, whatever they are called. All counts are over all documents.
 Only DataFrame functions are used.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.base import keyed, small_enough
+from corpuscope.llm.base import keyed, salted_join, small_enough
 from corpuscope.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -110,7 +110,8 @@ def disclosing_terms(docs: DataFrame, share: float = LEAST_SHARE, bits: float =
     pairs = near.select(F.concat_ws(":", "s.kind", value).alias("entity"), around.alias("around"), "terms")
     entities = cut_lineage(pairs.groupBy("entity").agg(F.count("*").alias("with"))
                            .where(F.col("with") >= contexts).select("entity", "with"))
-    met = pairs.join(entities, "entity").select("entity", "with", "around", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    # an entity in a common footer is on a large share of all lines
+    met = salted_join(pairs, entities, ["entity"], F.xxhash64("around", F.size("terms"), F.array_join("terms", " "))).select("entity", "with", "around", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
     by_context = met.groupBy("entity", "term", "with", "around").agg(F.count("*").alias("n"))
     strong = cut_lineage(by_context.groupBy("entity", "term", "with").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
                          .where(F.col("contexts") >= contexts))
@@ -130,7 +131,7 @@ def find(docs: DataFrame, share: float = LEAST_SHARE, bits: float = LEAST_BITS,
     rows = keyed(docs)
     terms = cut_lineage(disclosing_terms(docs, share, bits, contexts))
     words = rows.select("_key", F.explode_outer(_terms(F.col("_text"))).alias("term")).where("term IS NOT NULL")
-    met = words.join(F.broadcast(terms) if small_enough(terms) else terms, "term")
+    met = words.join(F.broadcast(terms), "term") if small_enough(terms) else salted_join(words, terms, ["term"], F.xxhash64("_key"))
     per_doc = met.groupBy("_key").agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("_terms"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("_terms"), F.lit(r")(?!\p{L})"))
     own = F.when(F.col("_terms").isNotNull(), _placed(len(KINDS), lambda v: F.lit(True), F.col("_text"), pattern)).otherwise(F.array().cast(SPAN))
