@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.llm.base import map_text, row_key
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, join_on_hot_keys
 
 ACCURACY, REACH, LEAST_ROWS, LEAST_WORDS = 0.02, 3.0, 40, 50
 #: measure -> least spread: differences below it are never reason enough
@@ -108,8 +108,11 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(measured(docs))  # narrow, and read twice: the texts are measured once
     sketch = sketches(rows)
     fine, coarse, whole = _limits(sketch, ["lang", "source"], "fine"), _limits(sketch, ["lang"], "coarse"), _limits(sketch, [], "whole")
-    out = rows.join(fine, rows["lang"].eqNullSafe(fine["fine_lang"]) & rows["source"].eqNullSafe(fine["fine_source"]), "left")
-    out = out.join(coarse, rows["lang"].eqNullSafe(coarse["coarse_lang"]), "left")
+    # a group may hold a large share of all rows; keys are structs, in which nulls are equal
+    out = rows
+    for level, table, by in (("fine", fine, ["lang", "source"]), ("coarse", coarse, ["lang"])):
+        group = table.select(F.struct(*[F.col(f"{level}_{c}").alias(c) for c in by]).alias("_group"), level)
+        out = join_on_hot_keys(out.withColumn("_group", F.struct(*by)), group, ["_group"], salt_by=["doc_id", "text_hash"], how="left").drop("_group")
     out = out.withColumn("_all", F.lit(0)).join(F.broadcast(whole.withColumn("_all", F.lit(0))), "_all", "left")  # one row
     outside = []
     for name, value in measures().items():
