@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.text import CONTEXT_SNIPPET_LENGTH, TOOL_TEXT_LENGTH, limit_text, limit_text_within
@@ -18,7 +18,8 @@ MAX_PROMPT_CHARS, MAX_TOOL_CHARS, MAX_MESSAGE_CHARS = 32000, 8000, 1600
 TRUNCATED_SUFFIX = "\n[内容已截断]"
 # ----------------------------------------------------------------------------------------------
 
-FOLD_ROWS = 1_000_000
+#: rows of a group up to which it is folded in one pass; rows of a block, and pieces of its map, beyond
+FOLD_ROWS, BLOCK_ROWS, PIECES = 1_000_000, 65_536, 1_024
 
 
 def context_pack(hits: DataFrame) -> DataFrame:
@@ -40,22 +41,23 @@ def tool_text(hits: DataFrame) -> DataFrame:
 
 
 def admit(rows: DataFrame, key: list[str], order: Column, amount: str, limit: str, *, used: str | None = None, first_always: bool = False,
-          fold_rows: int = FOLD_ROWS) -> DataFrame:
+          fold_rows: int = FOLD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``admitted``: rows of a key in order are taken when they still fit into the limit; a row that does not fit is
-    skipped and uses nothing. ``order`` must be a total order; amounts are not negative.
+    skipped and uses nothing. ``order`` must be a total order of whole numbers; amounts are not negative.
 
-    Groups up to ``fold_rows`` rows are folded in one sorted pass that keeps one total. Larger groups are first worked down
-    in parallel: what is left only shrinks, so rows above it are out for good, and of the others every row up to the first
-    misfit of a running sum is in. Each such round settles the group up to that misfit.
+    Groups up to ``fold_rows`` rows are folded in one sorted pass that keeps one total. Larger groups are cut into blocks of ``block_rows``: every block is summarised, on its own,
+    by the map from what is left before it to what is left behind it; one pass over these maps, not over rows, gives what is left before each; and each block
+    is then folded from there. A hot group takes a fixed number of jobs, whatever its size, and its rows are spread over its blocks.
     """
     start = F.col(used) if used else F.lit(0)
-    base = rows.withColumn("_o", order).withColumn("_a", F.col(amount).cast("long")).withColumn("_left", (F.col(limit) - start).cast("long"))
+    base = rows.withColumn("_o", order.cast("long")).withColumn("_a", F.col(amount).cast("long")).withColumn("_left", (F.col(limit) - start).cast("long"))
     sizes = base.groupBy(*key).agg(F.count("*").alias("_n"))
     hot = sizes.where(F.col("_n") > fold_rows).select(*key)
     if hot.isEmpty():
         return _admit_fold(base, key, first_always).drop("_o", "_a", "_left")
+    hot = cut_lineage(hot)
     small = _admit_fold(base.join(hot, key, "left_anti"), key, first_always)
-    large = _admit_rounds(cut_lineage(base.join(hot, key, "left_semi")), key, first_always, fold_rows)
+    large = _admit_blocks(cut_lineage(base.join(hot, key, "left_semi")), key, first_always, block_rows)
     return small.unionByName(large).drop("_o", "_a", "_left")
 
 
@@ -76,38 +78,91 @@ def _admit_fold(base: DataFrame, key: list[str], first_always: bool) -> DataFram
     return base.repartition(*key).sortWithinPartitions(*key, "_o").mapInPandas(walk, schema)
 
 
-def _admit_rounds(open_: DataFrame, key: list[str], first_always: bool, fold_rows: int, blocks: int = 4096) -> DataFrame:
-    """Parallel rounds for hot groups. Ranges of the order value are the blocks of the two-level running sum."""
+def after(breaks: np.ndarray, shifts: np.ndarray, amount: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The map of a block with one more row of ``amount``.
+
+    A map tells what is left behind a block from what is left before it, x: from ``breaks[i]`` on, up to the next break, it is x - ``shifts[i]``. A row takes its amount from
+    every x that still has it, so a piece is moved as a whole, cut in two, or left alone. Nothing above ``most`` can be left.
+    """
+    point = shifts + amount  # from here on the row fits
+    ends = np.append(breaks[1:], most + 1)
+    cut = np.flatnonzero((point > breaks) & (point < ends))
+    shifts = np.insert(np.where(point <= breaks, shifts + amount, shifts), cut + 1, shifts[cut] + amount)
+    breaks = np.insert(breaks, cut + 1, point[cut])
+    new = np.append(True, shifts[1:] != shifts[:-1])
+    return breaks[new], shifts[new]
+
+
+def _groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """(key, rows) of every group of a partition that is sorted by key; one group is held at a time."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        keys = list(zip(*[pdf[c] for c in key]))
+        edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            yield keys[lo], pdf.iloc[lo:hi]
+        rest = pdf.iloc[edges[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield tuple(rest[c].iat[0] for c in key), rest
+
+
+def _admit_blocks(rows: DataFrame, key: list[str], first_always: bool, block_rows: int, pieces: int = PIECES) -> DataFrame:
+    """Hot groups by maps of blocks. A map that gets more than ``pieces`` pieces is closed and the rest of its block summarised by another one."""
     settled: list[DataFrame] = []
     if first_always:
-        firsts = open_.groupBy(*key).agg(F.min("_o").alias("_first"), F.min_by("_a", "_o").alias("_fa"))
-        open_ = open_.join(firsts, key)
-        settled.append(open_.where("_o = _first").drop("_first", "_fa").withColumn("admitted", F.lit(True)))
-        open_ = open_.where("_o > _first").withColumn("_left", F.col("_left") - F.col("_fa")).drop("_first", "_fa")
-    while True:
-        out = open_.where("_a > _left")
-        settled.append(out.withColumn("admitted", F.lit(False)))
-        rest = cut_lineage(open_.where("_a <= _left"))
-        stats = rest.groupBy(*key).agg(F.count("*").alias("_n"), F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))
-        if stats.where(F.col("_n") > fold_rows).isEmpty():
-            settled.append(_admit_fold(rest, key, False))
-            break
-        step = F.ceil((F.col("_hi") - F.col("_lo") + 1) / blocks)
-        placed = rest.join(stats.select(*key, "_lo", step.alias("_step")), key).withColumn("_b", F.floor((F.col("_o") - F.col("_lo")) / F.col("_step")))
-        sums = placed.groupBy(*key, "_b").agg(F.sum("_a").alias("_t"))
-        before = F.coalesce(F.sum("_t").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = F.sum("_a").over(Window.partitionBy(*key, "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
-        running = placed.withColumn("_in", inside).join(sums.select(*key, "_b", before.alias("_before")), [*key, "_b"]).withColumn("_run", F.col("_before") + F.col("_in"))
-        stop = running.groupBy(*key).agg(F.min(F.when(F.col("_run") > F.col("_left"), F.col("_o"))).alias("_stop"))
-        marked = cut_lineage(running.join(stop, key).select(*rest.columns, "_run", "_stop"))
-        fits = marked.where("_stop IS NULL OR _o < _stop")
-        settled.append(fits.select(*rest.columns).withColumn("admitted", F.lit(True)))
-        settled.append(marked.where("_o = _stop").select(*rest.columns).withColumn("admitted", F.lit(False)))
-        spent = fits.groupBy(*key).agg(F.max("_run").alias("_spent"))
-        later = marked.where("_o > _stop").select(*rest.columns)
-        if later.isEmpty():
-            break
-        open_ = cut_lineage(later.join(spent, key, "left").withColumn("_left", F.col("_left") - F.coalesce("_spent", F.lit(0))).drop("_spent"))
+        firsts = rows.groupBy(*key).agg(F.min("_o").alias("_first"), F.min_by("_a", "_o").alias("_fa"))
+        rows = cut_lineage(rows.join(firsts, key))
+        settled.append(rows.where("_o = _first").drop("_first", "_fa").withColumn("admitted", F.lit(True)))
+        rows = rows.where("_o > _first").withColumn("_left", F.col("_left") - F.col("_fa")).drop("_first", "_fa")
+    settled.append(rows.where("_a > _left").withColumn("admitted", F.lit(False)))  # never fits
+    numbered = running(rows.where("_a <= _left"), key, F.lit(1), "_nth", position=F.col("_o"))
+    placed = cut_lineage(numbered.withColumn("_blk", F.floor((F.col("_nth") - 1) / block_rows)))
+    block = [*key, "_blk"]
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in block)
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group, part in _groups(batches, block):
+            most, made = int(part["_left"].iat[0]), []
+            lowest = np.array([np.iinfo(np.int64).min // 2])
+            breaks, shifts = lowest, np.zeros(1, np.int64)
+            for amount in part["_a"].to_numpy():
+                breaks, shifts = after(breaks, shifts, int(amount), most)
+                if len(breaks) > pieces:
+                    made.append((breaks, shifts))
+                    breaks, shifts = lowest, np.zeros(1, np.int64)
+            made.append((breaks, shifts))
+            yield pd.DataFrame({**{k: [v] * len(made) for k, v in zip(block, group)}, "sub": range(len(made)), "breaks": [m[0] for m in made], "shifts": [m[1] for m in made], "most": most})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left = None, 0
+        for pdf in batches:
+            found = []
+            for i, (k, b, sub, breaks, shifts, most) in enumerate(zip(zip(*[pdf[c] for c in key]), pdf["_blk"], pdf["sub"], pdf["breaks"], pdf["shifts"], pdf["most"])):
+                if k != current:
+                    current, left = k, most
+                if sub == 0:
+                    found.append((*k, b, left))
+                left -= int(shifts[np.searchsorted(breaks, left, "right") - 1])
+            yield pd.DataFrame(found, columns=[*block, "_entry"])
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, part in _groups(batches, block):
+            left, flags = int(part["_entry"].iat[0]), []
+            for amount in part["_a"].tolist():
+                flags.append(amount <= left)
+                left -= amount if flags[-1] else 0
+            yield part.assign(admitted=flags)
+
+    ordered = placed.repartition(*block).sortWithinPartitions(*block, "_nth")
+    maps = ordered.select(*block, "_nth", "_a", "_left").mapInPandas(summarise, f"{names}, sub int, breaks array<bigint>, shifts array<bigint>, most bigint")
+    entries = cut_lineage(maps).repartition(*key).sortWithinPartitions(*block, "sub").mapInPandas(follow, f"{names}, _entry bigint")
+    met = placed.join(entries, block).repartition(*block).sortWithinPartitions(*block, "_nth")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in met.schema.fields) + ", admitted boolean"
+    settled.append(met.mapInPandas(replay, schema).drop("_nth", "_blk", "_entry"))
     result = settled[0]
     for part in settled[1:]:
         result = result.unionByName(part.select(*result.columns))

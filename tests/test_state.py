@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,20 +102,37 @@ def test_dual_limit_charges_the_day_only_for_accepted(spark):
     assert got == fold(rows, ((0, 0), (0, 0)), step)
 
 
-@pytest.mark.parametrize("fold_rows", [1_000_000, 40, 5])
-def test_admission_equals_fold(spark, fold_rows):
+@pytest.mark.parametrize("fold_rows, block_rows, pieces", [(1_000_000, 9, 9), (40, 16, 1_024), (5, 7, 3), (5, 1, 1_024)])
+def test_admission_equals_fold(spark, monkeypatch, fold_rows, block_rows, pieces):
+    blocks = context._admit_blocks
+    monkeypatch.setattr(context, "_admit_blocks", lambda rows, key, first, size: blocks(rows, key, first, size, pieces))
     rows = events(random.Random(9))
     df = frame(spark, rows).withColumn("cap", F.lit(300))
-    out = context.admit(df, ["key"], F.col("id"), "amount", "cap", fold_rows=fold_rows)
+    out = context.admit(df, ["key"], F.col("id"), "amount", "cap", fold_rows=fold_rows, block_rows=block_rows)
     assert set(out.columns) == {*df.columns, "admitted"} and out.count() == len(rows)
     got = {r["id"]: r["admitted"] for r in out.collect()}
     assert got == fold(rows, 0, lambda s, t, f, a: limits.reserve_step(s, a, 300))
 
 
+def test_maps_of_blocks_tell_what_is_left():
+    rng = random.Random(2)
+    for _ in range(60):
+        most = rng.choice([20, 1_000])
+        amounts = [rng.choice([0, 1, rng.randrange(30), rng.randrange(most)]) for _ in range(rng.randrange(1, 30))]
+        breaks, shifts = np.array([np.iinfo(np.int64).min // 2]), np.zeros(1, np.int64)
+        for a in amounts:
+            breaks, shifts = context.after(breaks, shifts, a, most)
+        for x in [-3, 0, most, *(rng.randrange(most + 1) for _ in range(20))]:
+            left = x
+            for a in amounts:
+                left -= a if a <= left else 0
+            assert x - shifts[np.searchsorted(breaks, x, "right") - 1] == left
+
+
 @pytest.mark.parametrize("fold_rows", [1_000_000, 5])
 def test_first_row_is_always_admitted_when_asked(spark, fold_rows):
     rows = [("k", i, START, False, a) for i, a in enumerate((500, 1, 0, 7))] + [("j", 10 + i, START, False, 1) for i in range(20)]
-    out = context.admit(frame(spark, rows).withColumn("cap", F.lit(8)), ["key"], F.col("id"), "amount", "cap", first_always=True, fold_rows=fold_rows)
+    out = context.admit(frame(spark, rows).withColumn("cap", F.lit(8)), ["key"], F.col("id"), "amount", "cap", first_always=True, fold_rows=fold_rows, block_rows=3)
     got = {r["id"]: r["admitted"] for r in out.collect()}
     assert [got[i] for i in range(4)] == [True, False, False, False] and sum(got[10 + i] for i in range(20)) == 8
 
