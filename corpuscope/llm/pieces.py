@@ -8,7 +8,7 @@ is the BPE result exactly when each piece and each pair of neighbours merges to
 way ids equal the library's.
 
 Cases: null counts as empty and has no ids; otherwise the text gets a space in front, spaces become U+2581, and characters without a piece
-become byte pieces. U+2581 itself is written as bytes, so decoding restores every text exactly. Boundaries that no piece of
+become byte pieces. U+2581 itself is written as bytes, so decoding restores every text exactly. Rows equal in doc_id and text get equal results, an empty table gives no rows, and columns of other names are left out. Boundaries that no piece of
 the vocabulary spans (before a space, around a line end) are met by all paths; the stretches between them are remembered, up to
 ``MEMO`` of them. The vocabulary is read on the driver and shipped; its size is fixed.
 """

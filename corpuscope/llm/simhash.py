@@ -14,9 +14,9 @@ worst, so ``CANDIDATE_RADIUS`` misses a pair with odds under 1 in 100,000; sets
 under four have none but equal ones. The candidates' components are compared by the shingles themselves; one of up to ``BLOCK_SHINGLES`` is settled
 in one place, larger ones are cut into blocks that are compared pair by pair, and only the links found so count.
 
-Cases: fewer words than a shingle needs make one shingle of all words; a wordless, empty or null text has the fingerprint zero and
+Cases: fewer words than a shingle needs make one shingle of all words; a text of any length is hashed in pieces of 65,536 shingles; a wordless, empty or null text has the fingerprint zero and
 links like any other by its fingerprint, and as a shingle set only with other empty sets. Equal texts and repeated rows share a fingerprint. The component is the smallest doc_id reachable; a null
-doc_id is smaller than none, so a component has one only if all its ids are null. Empty tables give no rows.
+doc_id is smaller than none, so a component has one only if all its ids are null. Empty tables give no rows; columns of other names are left out, whatever they are called.
 """
 
 from __future__ import annotations

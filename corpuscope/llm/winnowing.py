@@ -8,7 +8,8 @@ keeps the hash of its whole run, and documents keep every run of such a length.
 
 Cases: a null or wordless text has no words, no windows and is never hit. Rows equal in doc_id and text are one document and
 get equal results; an item id counts once per document however many rows or windows carry it; items without an id
-hit words but are not listed. Windows that many items share are joined once. Empty tables give no hits. Only DataFrame functions are used.
+hit words but are not listed. Windows that many items share are joined once; a text of any length is
+worked whole, in time by its length. Empty tables give no hits; columns of other names are left out, whatever they are called. Only DataFrame functions are used.
 """
 
 from __future__ import annotations

@@ -46,3 +46,30 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
         assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, equal ids and clashing columns: no stage fails, clean texts stay, and of equal texts one does."""
+    long = " ".join(f"w{i % 997}x{i // 997}" for i in range(30_000))
+    clean = [f"a plain text number {i} about {' '.join(f'thing{i}{j}' for j in range(12))}" for i in range(6)]
+    odd = [(None, None), (None, ""), (9_000, ""), (9_001, long), (9_002, "one"), (9_003, "two words"), (9_004, clean[0]), (9_004, clean[0]), (9_004, clean[1]), (9_005, clean[2]), (9_006, clean[2]), (None, clean[3]),
+           (9_007, clean[4]), (9_008, clean[4] + " indeed"), (9_009, clean[5]), (9_010, "\n".join([long] * 2))]
+    given = read(spark, FOLDER, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    extra = spark.createDataFrame([(i, t, None, "s", None) for i, t in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = given.unionByName(extra).selectExpr("*", "'x' AS _key", "1 AS score", "2 AS fp", "'y' AS shingle").repartition(5)
+    texts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, FOLDER)
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "encode":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+            texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        else:
+            assert docs.columns == ["doc_id", "n_ids", "ids"] and docs.count() == len(texts)
+        if name == "near_dedup":
+            # equal texts and near copies leave one, the one of the smallest id; a null id comes first
+            left = [i for i, t in texts if t in clean or (t or "").endswith(" indeed")]
+            assert sorted(left, key=lambda i: (i is not None, i)) == [None, 9_004, 9_004, 9_005, 9_007, 9_009]
+            assert sum(not (t or "").strip() for _, t in texts) == 1
+    assert {9_001, 9_002, 9_003} <= {i for i, _ in texts} and len(texts) > 100
