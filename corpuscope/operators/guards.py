@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.operators.access import first_rows
 from corpuscope.operators.usage import running
+from corpuscope.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------------
 REPEAT_WARNING, REPEAT_LIMIT, NO_PROGRESS_LIMIT, HISTORY_MESSAGES = 2, 3, 2, 20
@@ -31,12 +32,12 @@ def repeated_actions(actions: DataFrame, *, warn: int = REPEAT_WARNING, limit: i
 def stagnation(rounds: DataFrame, *, limit: int = NO_PROGRESS_LIMIT) -> DataFrame:
     """Add stagnant_rounds (equal signatures in a row before this one) and stop; blank signatures neither count nor reset.
 
-    ``rounds``: generation_id, seq, signature. Built from running values in blocks, so no run has to fit into one task.
+    ``rounds``: generation_id, seq, signature. Built from running values in blocks, so no run has to fit into one task; each of the three reads the one before from the shared folder.
     """
     known = rounds.where("trim(coalesce(signature, '')) <> ''")
     here, run = F.struct("seq", "signature"), ["generation_id"]
-    previous = running(known, run, here, "_p", how="max", position=F.col("seq"), inclusive=False)
-    numbered = running(previous, run, F.lit(1), "_i", position=F.col("seq"))
+    previous = cut_lineage(running(known, run, here, "_p", how="max", position=F.col("seq"), inclusive=False))
+    numbered = cut_lineage(running(previous, run, F.lit(1), "_i", position=F.col("seq")))
     fresh = F.col("_p").isNull() | (F.col("_p.signature") != F.col("signature"))
     counted = running(numbered, run, F.when(fresh, F.col("_i")), "_since", how="max", position=F.col("seq"))
     return (counted.withColumn("stagnant_rounds", F.col("_i") - F.col("_since")).drop("_p", "_i", "_since")
