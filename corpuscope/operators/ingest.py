@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscope.functions.chunking import GROUP_SIZE, chunk_table
 from corpuscope.functions.text import EMBEDDING_TEXT_EXTRA, EMBEDDING_TOKEN_MARGIN, anchor, contextual_text, token_estimate, tokens
 from corpuscope.operators.access import first_rows
-from corpuscope.session import spread
+from corpuscope.session import ship_package, spread
 
 # --- fixed values -----------------------------------------------------------------------------
 SUPPORTED_EXTENSIONS = (
@@ -40,6 +43,9 @@ STATUS_COMPLETED = 1
 EMBEDDING_DIMENSIONS = 64
 # ----------------------------------------------------------------------------------------------
 
+#: words whose place and sign a task remembers
+WORDS = 200_000
+
 
 def file_gate(files: DataFrame) -> DataFrame:
     """Add extension, file_type, verdict (SUPPORTED, UNSUPPORTED, UNKNOWN, NO_EXTENSION, EMPTY_NAME) and valid."""
@@ -177,18 +183,33 @@ def backfill_status(files: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def hashed_embedding(texts: DataFrame, key: list[str], *, text_col: str = "text", dimensions: int = EMBEDDING_DIMENSIONS) -> DataFrame:
-    """Default embedder: signed feature hashing of words, unit length; (key, embedding). Needs no model or network."""
-    texts = spread(texts.select(*key, text_col), *key)
-    word = texts.select(*key, F.explode_outer(tokens(text_col)).alias("_word"))
-    digest = F.md5("_word")
-    bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimensions
-    sign = F.when(F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    dims = word.select(*key, bucket.alias("_d"), sign.alias("_s")).groupBy(*key, "_d").agg(F.sum("_s").alias("_w"))
-    packed = dims.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("_d", "_w")))).alias("_m"),
-                                    F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                         lambda d: F.coalesce(F.col("_m")[d], F.lit(0)) / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0))
-    return packed.select(*key, F.transform(values, lambda v: v.cast("float")).alias("embedding"))
+    """Default embedder: signed feature hashing of words, unit length; (key, embedding). Needs no model or network, and no shuffle: a text is folded where it is read.
+
+    Words met before are remembered, ``WORDS`` of them in a task.
+    """
+    ship_package(texts.sparkSession)
+    split = spread(texts.select(*key, text_col), *key).select(*key, tokens(text_col).alias("_words"))
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, int]] = {}
+        for block in blocks:
+            vectors = []
+            for words in block["_words"]:
+                weights = np.zeros(dimensions)
+                for word in words:
+                    spot = known.get(word)
+                    if spot is None:
+                        digest = hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+                        spot = int(digest[:4], 16) % dimensions, 1 if int(digest[4], 16) % 2 == 0 else -1
+                        if len(known) < WORDS:
+                            known[word] = spot
+                    weights[spot[0]] += spot[1]
+                norm = np.sqrt((weights * weights).sum())
+                vectors.append((weights / (norm if norm > 0 else 1.0)).astype(np.float32))
+            yield block[key].assign(embedding=vectors)
+
+    kinds = dict(split.dtypes)
+    return split.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "embedding array<float>"]))
 
 
 def embed_chunks(chunks: DataFrame, *, embedder: Callable[..., DataFrame] = hashed_embedding, model_version: str = "hashed-64",
