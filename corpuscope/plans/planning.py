@@ -139,9 +139,17 @@ def _fingerprint(t):
     return t.messages.select("conv_id", "pos", X.fingerprint("content").alias("fingerprint"))
 
 
-@query("c12_action_fingerprint", """SELECT event_id, sha256(event_type || chr(10) || '{"k":' || regexp_extract(props, '[0-9]+', 0) || ',"source":"a b"}') AS fingerprint FROM events""")
+_NESTED = r'{"z": {"b": [1, "x  y", null], "a": true}, "q": "say \"hi\"\n there", "k": '
+
+
+@query("c12_action_fingerprint", r"""SELECT event_id, sha256(event_type || chr(10) || CASE CAST(event_id % 3 AS INT) WHEN 0 THEN '{"k":' || n || ',"source":"a b"}'
+      WHEN 1 THEN '{"k":' || n || ',"q":"say \"hi\" there","z":{"a":true,"b":[1,"x y",null]}}' ELSE '[' || n || ',{"e":"\\","k":"1"}]' END) AS fingerprint
+    FROM (SELECT event_id, event_type, regexp_extract(props, '[0-9]+', 0) AS n FROM events)""")
 def _action(t):
-    args = F.concat(F.lit('{"source": " a  b ", '), F.substring("props", 2, 1000))
+    # flat, nested and listed arguments, with quotes, escapes and spaces in their strings
+    n = F.regexp_extract("props", "[0-9]+", 0)
+    args = (F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"source": " a  b ", "k": '), n, F.lit("}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit(_NESTED), n, F.lit("}")))
+            .otherwise(F.concat(F.lit("["), n, F.lit(r', {"k": " 1 ", "e": "\\"}]'))))
     return t.events.select("event_id", R.action_fingerprint(F.col("event_type"), args).alias("fingerprint"))
 
 
