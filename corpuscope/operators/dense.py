@@ -1,7 +1,7 @@
 """Exact nearest neighbours under permissions.
 
 The search never forms query-document pairs as rows: each task multiplies blocks of its own documents with a block
-of queries and keeps the best k per query, so at most k rows per query and block leave the task.
+of queries and keeps the best k per query, so at most k rows per query leave the task.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from corpuscope.operators.access import first_rows, is_restricted, visible
 
 MAX_BROADCAST_QUERIES = 8192
 SCORE_DIGITS = 9
+#: scores (questions x documents) that a task holds at a time
+SCORE_CELLS = 4_000_000
 _OUT = "query_id bigint, doc_id bigint, score double"
 
 
@@ -35,16 +37,28 @@ def _allowed(queries: pd.DataFrame, block: pd.DataFrame) -> np.ndarray:
     return holds[:, codes] | owner | block["is_public"].fillna(False).to_numpy(dtype=bool)[None, :]
 
 
-def _best(queries: pd.DataFrame, unit_queries: np.ndarray, block: pd.DataFrame, k: int) -> pd.DataFrame:
-    scores = np.round((1.0 + unit_queries @ _unit(block["embedding"]).T) / 2.0, SCORE_DIGITS)
-    if "user_tags" in queries.columns:
-        scores[~_allowed(queries, block)] = -np.inf
-    ids = block["doc_id"].to_numpy()
-    by_id = np.argsort(ids, kind="stable")
-    order = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-    kept = np.take_along_axis(scores, order, axis=1)
-    q, d = np.nonzero(kept > -np.inf)
-    return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[q], "doc_id": ids[order[q, d]], "score": kept[q, d]})
+class _Best:
+    """The best ``k`` documents of every question so far; at most ``SCORE_CELLS`` scores are held at a time."""
+
+    def __init__(self, queries: pd.DataFrame, unit_queries: np.ndarray, k: int):
+        self.queries, self.unit, self.k = queries, unit_queries, k
+        self.scores, self.ids = np.full((len(queries), 0), -np.inf), np.zeros((len(queries), 0), np.int64)
+
+    def add(self, block: pd.DataFrame) -> None:
+        step = max(1, SCORE_CELLS // max(1, len(self.queries)))
+        for start in range(0, len(block), step):
+            part = block.iloc[start : start + step]
+            scores = np.round((1.0 + self.unit @ _unit(part["embedding"]).T) / 2.0, SCORE_DIGITS)
+            if "user_tags" in self.queries.columns:
+                scores[~_allowed(self.queries, part)] = -np.inf
+            ids = np.broadcast_to(part["doc_id"].to_numpy(), scores.shape)
+            scores, ids = np.hstack([self.scores, scores]), np.hstack([self.ids, ids])
+            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+            self.scores, self.ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+
+    def rows(self) -> pd.DataFrame:
+        q, d = np.nonzero(self.scores > -np.inf)
+        return pd.DataFrame({"query_id": self.queries["query_id"].to_numpy()[q], "doc_id": self.ids[q, d], "score": self.scores[q, d]})
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, *, query_blocks: int | None = None,
@@ -78,9 +92,10 @@ def _scan_search(head: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
     def search(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked, unit_queries = shared.value
+        best = _Best(asked, unit_queries, k)
         for block in blocks:
-            if len(block):
-                yield _best(asked, unit_queries, block, k)
+            best.add(block)
+        yield best.rows()
 
     return vectors.mapInPandas(search, _OUT)
 
@@ -99,6 +114,8 @@ def _grid_search(queries: DataFrame, vectors: DataFrame, k: int, query_blocks: i
         if asked.empty or block.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         asked, block = asked.rename(columns=lambda c: c.removeprefix("q_")), block.rename(columns=lambda c: c.removeprefix("d_"))
-        return _best(asked, _unit(asked["embedding"]), block, k)
+        best = _Best(asked, _unit(asked["embedding"]), k)
+        best.add(block)
+        return best.rows()
 
     return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(cell, _OUT)
