@@ -8,7 +8,7 @@ alternating large-star and small-star rounds over checkpointed edges.
 
 A fingerprint may be wider than 64 bits. The pipeline links texts whose sets of five-word shingles have a similarity (Jaccard) of
 ``SIMILAR`` or more: texts with equal sets stand for one. The ``LEAST`` smallest shingle hashes of a set are its buckets: of two sets at 0.8, each of the smallest hashes
-of both together lies in both with odds of 0.8, so a pair meets in no bucket with odds under 0.2 ^ 16 (1 in 10^11), and never where a set has up to 75 shingles. Inside a bucket the
+of both together lies in both with odds of 0.8, so a pair meets in no bucket with odds under 0.2 ^ 16 (1 in 10^11), and in one for certain where both together have up to 79 shingles. Inside a bucket the
 256-bit fingerprints of the sets are compared as above, in tiles if there are many, and only where the sizes allow 0.8: there fingerprints stand at 39 differing bits on average and at 41 at
 worst, so ``CANDIDATE_RADIUS`` misses a pair with odds under 1 in 100,000; sets of up to ``FEW`` shingles, whose fingerprints spread further, are candidates without it, and sets of
 under four have none but equal ones. The candidates' components are compared by the shingles themselves; one of up to ``BLOCK_SHINGLES`` is settled
