@@ -9,7 +9,7 @@ way ids equal the library's.
 
 Cases: null counts as empty and has no ids; otherwise the text gets a space in front, spaces become U+2581, and characters without a piece
 become byte pieces. U+2581 itself is written as bytes, so decoding restores every text exactly. Rows equal in doc_id and text get equal results, an empty table gives no rows, and columns of other names are left out. Boundaries that no piece of
-the vocabulary spans (before a space, around a line end) are met by all paths; the stretches between them are remembered, up to
+the vocabulary spans (before a space, around a line end) are met by all paths; the stretches between them, all worked by the same pass, are remembered, up to
 ``MEMO`` of them. The vocabulary is read on the driver and shipped; its size is fixed.
 """
 
@@ -134,30 +134,45 @@ class Vocabulary:
         return [self.byte_ids.get(b, 0) for b in char.encode("utf-8")]
 
     def stream(self, chars: str) -> Iterator[int]:
-        """Ids of normalised text, committed as soon as all surviving paths meet."""
+        """Ids of normalised text, committed as soon as all surviving paths meet.
+
+        In a BPE model the piece that ends at a boundary depends on the characters before it only, so short stretches with the same beginning share their backpointers.
+        """
+        known = self.prefixes if len(chars) <= SHORT and not self.unigram else None
+        if known is not None and len(known) >= MEMO:
+            known.clear()
+        ids, stays, longest, unigram, long = self.ids, self.stays, self.longest, self.unigram, len(chars) > COMMIT_EVERY
         done = 0  # boundary up to which ids are out
         back: dict[int, str] = {0: ""}  # boundary -> piece that ends there on the surviving path
         score = {0: 0.0}
         floor = 0  # no piece crosses this boundary: the text start, or a character without a piece
         for end in range(1, len(chars) + 1):
+            if known is not None and (piece := known.get(chars[:end])) is not None:
+                back[end] = piece
+                continue
             last = chars[end - 1]
-            if last not in self.ids:
+            if last not in ids:
                 yield from self._out(back, done, end - 1)
                 yield from self.spell(last)
                 done = floor = end
                 back, score = {end: ""}, {end: 0.0}
                 continue
-            if self.unigram:
-                reach = range(max(floor, end - self.longest), end)
-                total, _, piece = max((score[a] + self.scores[self.ids[p]], a, p) for a in reach if a in back and (p := chars[a:end]) in self.ids)
+            begin = end - longest
+            if begin < floor:
+                begin = floor
+            if unigram:
+                total, _, piece = max((score[a] + self.scores[ids[p]], a, p) for a in range(begin, end) if a in back and (p := chars[a:end]) in ids)
                 back[end], score[end] = piece, total
             else:
-                for begin in range(max(floor, end - self.longest), end):
+                while True:
                     piece = chars[begin:end]
-                    if piece in self.ids and begin in back and self.stays(back[begin], piece):
+                    if piece in ids and begin in back and stays(back[begin], piece):
                         back[end] = piece
                         break
-            if end - done >= COMMIT_EVERY and end % 32 == 0:
+                    begin += 1
+                if known is not None:
+                    known[chars[:end]] = piece
+            if long and end - done >= COMMIT_EVERY and end % 32 == 0:
                 meet = self._meeting(back, done, end)
                 if meet > done:
                     yield from self._out(back, done, meet)
@@ -166,29 +181,6 @@ class Vocabulary:
                     done = meet
         yield from self._out(back, done, len(chars))
 
-    def _short(self, chars: str) -> list[int]:
-        """``stream`` for a short stretch of a BPE model: the piece that ends at a boundary depends on the characters before it only,
-        so stretches with the same beginning share their backpointers."""
-        ids, known, tails = self.ids, self.prefixes, [""]
-        if not all(map(ids.__contains__, chars)):
-            return list(self.stream(chars))
-        if len(known) >= MEMO:
-            known.clear()
-        for end in range(1, len(chars) + 1):
-            piece = known.get(chars[:end])
-            if piece is None:
-                for begin in range(max(0, end - self.longest), end):
-                    piece = chars[begin:end]
-                    if piece in ids and self.stays(tails[begin], piece):
-                        break
-                known[chars[:end]] = piece
-            tails.append(piece)
-        out, end = [], len(chars)
-        while end:
-            out.append(ids[tails[end]])
-            end -= len(tails[end])
-        return out[::-1]
-
     def _meeting(self, back: dict[int, str], done: int, end: int) -> int:
         live = {at for at in range(max(done, end - self.longest + 1), end + 1) if at in back}
         while len(live) > 1:
@@ -212,10 +204,8 @@ class Vocabulary:
         for stretch in self.stretches.findall(chars):
             ids = self.memo.get(stretch)
             if ids is None:
-                short = len(stretch) <= SHORT
-                made = self._short(stretch) if short and not self.unigram else list(self.stream(stretch))
-                ids = array("i", made).tobytes()
-                if short:
+                ids = array("i", self.stream(stretch)).tobytes()
+                if len(stretch) <= SHORT:
                     if len(self.memo) >= MEMO:
                         self.memo.clear()
                     self.memo[stretch] = ids
