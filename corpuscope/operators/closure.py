@@ -1,11 +1,14 @@
-"""Transitive closures of parent links by pointer doubling: about log2(depth) equi-join rounds, no limit on depth."""
+"""Transitive closures of parent links by pointer doubling: about log2(depth) equi-join rounds, no limit on depth.
+
+A parent may have a large share of all children: the side that is looked up is broadcast by its counted size, or the children of one parent are spread over salts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.session import cut_lineage
+from corpuscope.session import BROADCAST_ROWS, cut_lineage, join_on_hot_keys
 
 
 def ancestors(links: DataFrame, child: str, parent: str) -> DataFrame:
@@ -20,13 +23,16 @@ def ancestors(links: DataFrame, child: str, parent: str) -> DataFrame:
                         .groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
     reach, count = 1, known.count()
     while True:
-        beyond = jump.join(known.where("depth > 0").withColumnRenamed("node", "up"), "up").select("node", "ancestor", (F.col("depth") + reach).alias("depth"))
+        fits = count <= BROADCAST_ROWS  # there are no more jumps than known pairs
+        farther = known.where("depth > 0").withColumnRenamed("node", "up")
+        beyond = join_on_hot_keys(jump, farther, ["up"], salt_by=["node"], small_fits=fits).select("node", "ancestor", (F.col("depth") + reach).alias("depth"))
         grown = cut_lineage(known.unionByName(beyond).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
         now = grown.count()
         if now == count:
             return grown.select(F.col("node").alias(child), "ancestor", "depth")
         known, count = grown, now
-        jump = cut_lineage(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_next")), "up").select("node", F.col("_next").alias("up")))
+        doubled = join_on_hot_keys(jump, jump.select(F.col("node").alias("up"), F.col("up").alias("_next")), ["up"], salt_by=["node"], small_fits=fits)
+        jump = cut_lineage(doubled.select("node", F.col("_next").alias("up")))
         reach *= 2
 
 
@@ -45,7 +51,7 @@ def chain_starts(links: DataFrame, node: str, parent: str) -> DataFrame:
         if not state.where("NOT done").limit(1).count():
             break
         ahead = state.select(F.col("node").alias("root"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
-        moved = state.where("NOT done").join(ahead, "root").select("node", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        moved = join_on_hot_keys(state.where("NOT done"), ahead, ["root"], salt_by=["node"], small_fits=total <= BROADCAST_ROWS).select("node", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
         state = cut_lineage(state.where("done").unionByName(moved))
     out = state.select(F.col("node").alias(node), F.when(F.col("done"), F.col("root")).otherwise(F.col("node")).alias("root"),
                        F.when(F.col("done"), F.col("depth")).otherwise(0).alias("depth"))

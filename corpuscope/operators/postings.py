@@ -49,7 +49,8 @@ def write_postings(docs: DataFrame, path: str, block_documents: int = BLOCK_DOCU
     Text is shuffled once, by block; counting and packing follow in place.
     """
     access = [c for c in ACCESS_COLUMNS if c in docs.columns]
-    blocks = max(1, -(-docs.count() // block_documents))
+    n_docs = docs.count()
+    blocks = max(1, -(-n_docs // block_documents))
     placed = docs.select("doc_id", "text", *access, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"))
     words = placed.repartition(min(blocks, task_count(docs.sparkSession)), "block").select("block", "doc_id", *access, tokens("text").alias("words"))
     counted = (words.withColumn("length", F.size("words")).withColumn("term", F.explode("words")).drop("words")
@@ -60,7 +61,10 @@ def write_postings(docs: DataFrame, path: str, block_documents: int = BLOCK_DOCU
     (packed.select("block", "term", "df", "highest", "shortest", *arrays).sortWithinPartitions("term", "block")
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/terms"))
     # a document without words still counts
-    docs.select(F.size(tokens("text")).alias("n")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("total")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark = docs.sparkSession
+    words = spark.read.parquet(f"{path}/terms").select(F.aggregate("tf", F.lit(0).cast("long"), lambda n, tf: n + tf).alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    spark.createDataFrame([(n_docs, total)], "n_docs bigint, total bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def open_postings(spark: SparkSession, path: str) -> Postings | None:
