@@ -19,11 +19,11 @@ def exact_quantile(df: DataFrame, keys: list[str], value: Column, q: float, name
     """(keys, ``name``): the smallest value of each group whose share of values up to it is ``q`` or more; groups without a value have no row."""
     key = keys or ["_all"]
     rows = df.select(*keys, *([] if keys else [F.lit(0).alias("_all")]), value.cast("long").alias("_v")).where("_v IS NOT NULL")
-    rows = cut_lineage(rows)
-    bounds = cut_lineage(rows.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")).withColumn("_before", F.lit(0).cast("long")))
+    bounds = rows.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n")).withColumn("_before", F.lit(0).cast("long"))
     if bounds.where(F.col("_hi") - F.col("_lo") >= narrow).isEmpty():
         found = rows.groupBy(*key).agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY _v)").cast("long").alias(name))
         return found if keys else found.drop("_all")
+    rows, bounds = cut_lineage(rows), cut_lineage(bounds)  # read in every pass
     known = bounds.where("_lo = _hi").select(*key, F.col("_lo").alias(name))
     open_ = bounds.where("_lo < _hi")
     while not open_.isEmpty():
